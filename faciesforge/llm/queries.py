@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op9_language_id
 from .packing import op2_best_fit_packing
+from .simhash import op7_simhash_near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op9_language_id": op9_language_id,
     }
 
 
