@@ -19,7 +19,7 @@ first by name); an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +41,8 @@ BACKOFF, UNKNOWN = float(np.log(0.4)), -14.0
 #: Below this confidence the pipeline takes a text for none of the learnt languages.
 ACCEPT = 0.35
 WORD = re.compile(r"[^\W\d_]+")
-MEMO_WORDS = 400_000
+#: Words that a worker remembers beside the model's, and texts scored together.
+MEMO_WORDS, BATCH = 400_000, 64
 
 
 def grams(word: str) -> list[str]:
@@ -61,16 +62,17 @@ class Model:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to counts of words (kind 0) and n-grams (kind 1)."""
     for batch in batches:
-        found: Counter = Counter()
+        words: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for word, n in Counter(WORD.findall(text.lower())).items():
-                found[lang, 0, word] += n
-        for (lang, _, word), n in list(found.items()):
-            for gram in grams(word):
-                for k in range(1, len(gram) + 1):
-                    found[lang, 1, gram[:k]] += n
-        langs, kinds, texts = zip(*found, strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(texts, pa.string()), pa.array(found.values(), pa.int64())], ["lang", "kind", "item", "n"])
+            words[lang].update(WORD.findall(text.lower()))
+        for lang, found in words.items():
+            parts: dict[str, int] = defaultdict(int)
+            for word, n in found.items():
+                for gram in grams(word):
+                    for k in range(1, len(gram) + 1):
+                        parts[gram[:k]] += n
+            for kind, got in enumerate((found, parts)):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got), pa.string()), pa.array(np.full(len(got), kind, np.int32)), pa.array(got.keys(), pa.string()), pa.array(got.values(), pa.int64())], ["lang", "kind", "item", "n"])
 
 
 def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -112,63 +114,72 @@ class Scorer:
     """Language scores of texts under a model, with a bounded memo of words."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, n = model, len(model.languages)
+        self.known = {w: i for i, w in enumerate(model.words)}
+        self.base = np.stack([*model.words.values()]) if model.words else np.empty((0, n))
+        self.gram = {g: i for i, g in enumerate(model.grams)}
+        #: The last row is that of an n-gram that no language knows.
+        self.gram_rows = np.stack([*model.grams.values(), np.full(n, UNKNOWN)])
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.rows = np.empty((1024, len(self.model.languages)))
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.model.words.get(word)
-        if known is not None:
-            return known
-        found, total = self.model.grams, np.zeros(len(self.model.languages))
-        places = grams(word)
-        for gram in places:
-            for k in range(len(gram), 0, -1):
-                if gram[:k] in found:
-                    total += found[gram[:k]] + (len(gram) - k) * BACKOFF
-                    break
-            else:
-                total += UNKNOWN
-        return total / len(places)
-
-    def text(self, text: str) -> np.ndarray | None:
-        """The mean score of the text's words in each language, or None if it has none."""
-        words = WORD.findall(text.lower())
-        if not words:
-            return None
-        if len(self.at) > MEMO_WORDS:
+        self.at, self.rows = dict(self.known), self.base
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Backoff scores, a row for each word: the mean over its positions."""
+        find, nothing = self.gram.get, len(self.gram)
+        places, starts, cost = [], [], []
+        for word in words:
+            starts.append(len(places))
+            down = 0
+            for gram in grams(word):
+                at = find(gram)
+                while at is None and len(gram) > 1:
+                    gram, down = gram[:-1], down + 1
+                    at = find(gram)
+                places.append(nothing if at is None else at)
+            cost.append(down * BACKOFF)
+        sums = np.add.reduceat(self.gram_rows[places], starts, axis=0) + np.array(cost)[:, None]
+        return sums / np.diff([*starts, len(places)])[:, None]
+
+    def means(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """The mean score of each text's words in each language, or None if it has none."""
+        if len(self.at) > len(self.known) + MEMO_WORDS:
             self.clear()
-        at = self.at
-        for w in set(words).difference(at):
-            n = at[w] = len(at)
-            if n == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            self.rows[n] = self.word(w)
-        return self.rows[np.fromiter(map(at.__getitem__, words), np.int64, len(words))].mean(axis=0)
+        at, split, new = self.at, [WORD.findall(t.lower()) if t else [] for t in texts], set()
+        for words in split:
+            new.update(set(words).difference(at))
+        if new:
+            found = list(new)
+            at.update(zip(found, range(len(self.rows), len(self.rows) + len(found)), strict=True))
+            self.rows = np.concatenate([self.rows, self.unseen(found)])
+        return [self.rows[np.fromiter(map(at.__getitem__, words), np.int64, len(words))].mean(axis=0) if words else None for words in split]
+
+    def answers(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and confidence of each text."""
+        said, sure = [], []
+        for i in range(0, len(texts), BATCH):
+            for x in self.means(texts[i : i + BATCH]) if self.model.languages else [None] * len(texts[i : i + BATCH]):
+                best = None if x is None else int(x.argmax())
+                said.append(UND if best is None else self.model.languages[best])
+                sure.append(0.0 if best is None else float(1 / np.exp(x - x[best]).sum()))
+        return said, sure
+
+
+def scorer(model: Model) -> Scorer:
+    """The worker's scorer for a model that it got by broadcast."""
+    if not hasattr(model, "scorer"):
+        model.scorer = Scorer(model)
+    return model.scorer
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, names = Scorer(shared.value), shared.value.languages
         for batch in batches:
-            said: list[str] = []
-            sure: list[float] = []
-            for text in batch.column(1).to_pylist():
-                x = scorer.text(text) if text and names else None
-                if x is None:
-                    said.append(UND)
-                    sure.append(0.0)
-                else:
-                    best = int(x.argmax())
-                    said.append(names[best])
-                    sure.append(float(1 / np.exp(x - x[best]).sum()))
+            said, sure = scorer(shared.value).answers(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -185,18 +196,12 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def accept(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a learnt language with this confidence."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    i = docs.columns.index("text")
+    shared, i = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for batch in batches:
-            keep = []
-            for text in batch.column(i).to_pylist():
-                x = scorer.text(text) if text and shared.value.languages else None
-                keep.append(x is not None and float(1 / np.exp(x - x.max()).sum()) >= least)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            said, sure = scorer(shared.value).answers(batch.column(i).to_pylist())
+            yield batch.filter(pa.array([a != UND and x >= least for a, x in zip(said, sure, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -8,16 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op9_language_id
 from .packing import op2_best_fit_packing
+from .quality import op6_quality_classifier
+from .sharding import op5_sharding
 from .simhash import op7_simhash_near_dedup
+from .urls import ORACLE as OP3_SQL
+from .urls import op3_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_url_filters": op3_url_filters,
+        "op5_sharding": op5_sharding,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_language_id": op9_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filters": OP3_SQL}
