@@ -3,28 +3,43 @@
 The two pre-tokenizers used here never let a token run from a non-space character into
 white space, nor from a letter into an ASCII character that is none. So a text may be cut
 before every run of ASCII white space that follows something else and after the ASCII
-letter that ends a run of letters, and the pieces encoded on their own. Natural text repeats its words, so
-each worker remembers the ids of the pieces it has met (bounded) and hands only new ones
-to the tokenizer. Texts with other Unicode white space, where a run could mix both kinds,
-are encoded whole. Either way the ids are those of encoding the whole text at once.
+letter that ends a run of letters, and the pieces encoded on their own. Natural text repeats
+its words, so each worker remembers the ids of words (text between spaces) and of their
+pieces (both bounded) and hands only new pieces to the tokenizer. Texts with other Unicode
+white space, where a run could mix both kinds, are encoded whole, and so, where white space
+is kept, are those with runs of it before a space. Words of a group of texts are told apart
+and laid out again by Arrow and NumPy, so that each different one costs Python once. Either way the ids are
+those of encoding the whole text at once.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK = re.compile(rb"[\t-\r ]*(?:[A-Za-z\x80-\xff]*[A-Za-z](?![A-Za-z\x80-\xff])|[^\t-\r ]+)|[\t-\r ]+")
+#: Pieces of a word, for a vocabulary that keeps white space and for one that drops it.
+KEEPING = re.compile(rb"[\t-\r ]*(?:[A-Za-z\x80-\xff]*[A-Za-z](?![A-Za-z\x80-\xff])|[^\t-\r ]+)|[\t-\r ]+")
+DROPPING = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?![A-Za-z\x80-\xff])|[^\t-\r ]+")
 OTHER_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0                　"
-#: Entries of the memo and the longest piece it keeps: about 200 MB a worker at most.
-MEMO_ENTRIES, MEMO_BYTES = 800_000, 64
+RUNS = tuple(a + b" " for a in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
 WHITE = frozenset(b"\t\n\x0b\x0c\r ")
 SEPARATOR = "\N{BLUE HEART}".encode()
-#: Texts whose new pieces go to the tokenizer together.
-BATCH_DOCS = 256
+#: Entries of the memos and the longest key they keep: about 200 MB a worker at most.
+MEMO_WORDS, MEMO_PIECES, MEMO_BYTES = 500_000, 400_000, 64
+#: Bytes of text that are encoded together (or one longer text).
+GROUP_BYTES = 4_000_000
+#: Stands before a text's first word, which no space precedes.
+FIRST = b"\x02"
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 class Encoder:
@@ -38,85 +53,137 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.model._resize_cache(0)  # the memo below stands in for it
-        self.memo: dict[bytes, bytes] = {}
-        #: Either the bytes that each id stands for (a lossless byte-level vocabulary), or a
-        #: separator word with an id of its own; both tell the chunks of one encoding apart.
-        self.length, self.mark, self.joint = None, None, b" " + SEPARATOR + b" "
-        if self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel":
-            vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-            self.length = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
+        self.tokenizer.model._resize_cache(0)  # the memos stand in for it
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        most = max(self.tokenizer.get_vocab().values()) + 1
+        #: White space is kept and each id stands for so many bytes; or it is dropped, ends of words
+        #: are marked in the vocabulary, and a separator word has an id of its own.
+        self.keeps = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+        self.length, self.ends, self.mark = np.zeros(most, np.int64), np.zeros(most, bool), None
+        if self.keeps:
             self.length[list(vocab.values())] = [len(t) for t in vocab]
-        elif len(ids := self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids) == 1:
-            self.mark = ids[0]
+        else:
+            self.ends[list(vocab.values())] = [t.endswith("</w>") for t in vocab]
+            own = self._direct([SEPARATOR.decode()])[0]
+            self.mark = int.from_bytes(own, "little") if len(own) == 4 else None
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _new(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of chunks met for the first time: those that open with white space are encoded in
-        one go and told apart afterwards, the rest (and any batch where that fails) one by one."""
-        out, run = dict.fromkeys(chunks, b""), [c for c in chunks if c[0] in WHITE and c[-1] not in WHITE]
-        if run and (self.length is not None or self.mark is not None):
-            text = b"".join(run) if self.length is not None else self.joint.join(run)
-            ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
-            if self.length is not None:
-                ends, at = np.cumsum(self.length[ids]), np.cumsum([len(c) for c in run])
-                cuts = np.searchsorted(ends, at)
-                good = cuts[-1] < len(ends) and bool((ends[cuts] == at).all())
-                first, last = np.r_[0, cuts[:-1] + 1], cuts + 1
-            else:
-                cuts = np.flatnonzero(ids == self.mark)
-                good = len(cuts) == len(run) - 1
-                first, last = np.r_[0, cuts + 1], np.r_[cuts, len(ids)]
-            if good:
-                raw = ids.tobytes()
-                out.update(zip(run, [raw[a:b] for a, b in zip((4 * first).tolist(), (4 * last).tolist(), strict=True)], strict=True))
-            else:
-                run = []
+        return [packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _at_once(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
+
+    def _runs(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces that were encoded as one text and told apart afterwards; empty where that fails."""
+        if not pieces:
+            return {}
+        if self.keeps:
+            ids = self._at_once(b"".join(pieces))
+            ends, at = np.cumsum(self.length[ids]), np.cumsum([len(c) for c in pieces])
+            last = np.searchsorted(ends, at)
+            good, first = last[-1] < len(ends) and bool((ends[np.minimum(last, len(ends) - 1)] == at).all()), np.r_[0, last[:-1] + 1]
+        elif all(c.decode().isalpha() for c in pieces):  # one word each
+            ids = self._at_once(b" ".join(pieces))
+            last = np.flatnonzero(self.ends[ids])
+            good, first = len(last) == len(pieces), np.r_[0, last[:-1] + 1]
+        elif self.mark is not None:
+            ids = self._at_once((b" " + SEPARATOR + b" ").join(pieces))
+            marks = np.flatnonzero(ids == self.mark)
+            good, first, last = len(marks) == len(pieces) - 1, np.r_[0, marks + 1], np.r_[marks, len(ids)] - 1
+        else:
+            return {}
+        if not good:
+            return {}
+        raw = ids.tobytes()
+        return dict(zip(pieces, [raw[a:b] for a, b in zip((4 * first).tolist(), (4 * last + 4).tolist(), strict=True)], strict=True))
+
+    def _new(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces met for the first time."""
+        if self.keeps:
+            out = self._runs([c for c in pieces if c[0] in WHITE and c[-1] not in WHITE])
         else:
-            run = []
-        done = set(run)
-        rest = [c for c in chunks if c not in done]
+            letters = {c for c in pieces if c.decode().isalpha()}
+            out = self._runs(list(letters)) | self._runs([c for c in pieces if c not in letters])
+        rest = [c for c in pieces if c not in out]
         out.update(zip(rest, self._direct([c.decode() for c in rest]), strict=True))
-        return [out[c] for c in chunks]
+        return out
+
+    def _ready(self, raw: bytes) -> bytes | None:
+        """A text whose words can be told by its spaces alone; None if it has to be encoded whole."""
+        if not raw.isascii():
+            text = raw.decode()
+            if any(c in text for c in OTHER_SPACE):
+                return None
+            if not self.keeps:  # lower case before or after composing is the same where nothing is composed
+                low = raw.lower()
+                return low if unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low.decode()) else raw
+        elif b"\x1c" in raw or b"\x1d" in raw or b"\x1e" in raw or b"\x1f" in raw:
+            return None
+        if not self.keeps:
+            return raw.lower()
+        return None if FIRST in raw or any(r in raw for r in RUNS) else FIRST + raw
+
+    def _split(self, word: bytes) -> list[bytes]:
+        """The pieces of a word: of a space and the word, but for a text's first one, where white space is kept."""
+        if self.keeps:
+            return KEEPING.findall(word[1:] if word[:1] == FIRST else b" " + word)
+        return DROPPING.findall(word)
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different words."""
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+        if len(self.pieces) > MEMO_PIECES:
+            self.pieces.clear()
+        got, pieces = list(map(self.words.get, words)), self.pieces
+        unseen = [i for i, ids in enumerate(got) if ids is None]
+        parts = [self._split(words[i]) for i in unseen]
+        fresh = set().union(*parts).difference(pieces)
+        new = self._new(list(fresh))
+        long = {c: ids for c, ids in new.items() if len(c) > MEMO_BYTES}
+        pieces.update({c: ids for c, ids in new.items() if len(c) <= MEMO_BYTES} if long else new)
+        part = pieces.__getitem__ if not long else lambda c: long[c] if c in long else pieces[c]
+        for i, split in zip(unseen, parts, strict=True):
+            got[i] = part(split[0]) if len(split) == 1 else b"".join(map(part, split))
+            if len(words[i]) <= MEMO_BYTES:
+                self.words[words[i]] = got[i]
+        return got
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """One result for each UTF-8 text."""
         out: list[bytes] = []
-        for i in range(0, len(texts), BATCH_DOCS):
-            out += self._batch(texts[i : i + BATCH_DOCS])
-        return out
+        group, size = [], 0
+        for raw in texts:
+            if group and size + len(raw) > GROUP_BYTES:
+                out += self._group(group)
+                group, size = [], 0
+            group.append(raw)
+            size += len(raw)
+        return out + self._group(group) if group else out
 
-    def _batch(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        memo, get, chunks, whole, new = self.memo, self.memo.get, [], {}, set()
-        for i, raw in enumerate(texts):
-            if not raw.isascii():
-                text = raw.decode()
-                if any(c in text for c in OTHER_SPACE):
-                    whole[i] = text
-                    chunks.append(())
-                    continue
-            elif any(c in raw for c in (b"\x1c", b"\x1d", b"\x1e", b"\x1f")):
-                whole[i] = raw.decode()
-                chunks.append(())
-                continue
-            found = CHUNK.findall(raw)
-            chunks.append(found)
-            new.update([c for c, ids in zip(found, map(get, found)) if ids is None])  # noqa: B905
-        new = list(new)
-        extra = {}
-        for c, ids in zip(new, self._new(new), strict=True):
-            (memo if len(c) <= MEMO_BYTES else extra)[c] = ids
-        direct = dict(zip(whole, self._direct(list(whole.values())), strict=True))
-        if extra:
-            return [direct[i] if i in direct else b"".join([extra[c] if c in extra else memo[c] for c in found]) for i, found in enumerate(chunks)]
-        return [direct[i] if i in direct else b"".join(map(memo.__getitem__, found)) for i, found in enumerate(chunks)]
+    def _group(self, texts: list[bytes]) -> list[bytes]:
+        ready = [self._ready(raw) for raw in texts]
+        whole = [raw.decode() for raw, r in zip(texts, ready, strict=True) if r is None]
+        direct = iter(self._direct(whole)) if whole else iter(())
+        array = pa.array([r for r in ready if r is not None], pa.binary()).cast(pa.string())
+        lists = pc.split_pattern(array, " ") if self.keeps else pc.ascii_split_whitespace(array)
+        coded = lists.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary.cast(pa.binary()).to_pylist())
+        # each word's ids, laid end to end in the order of the texts
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        word = coded.indices.to_numpy()
+        counts = length[word]
+        ends = np.cumsum(counts)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat((np.cumsum(length) - length)[word] - (ends - counts), counts)
+        raw = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        cuts = (4 * np.r_[0, ends][lists.offsets.to_numpy()]).tolist()
+        mine = iter([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        return [next(direct) if r is None else next(mine) for r in ready]
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; its memo lives as long as the worker."""
+    """The worker's encoder for a tokenizer file; its memos live as long as the worker."""
     return Encoder(path)
