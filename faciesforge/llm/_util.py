@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,5 +46,39 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: list = [None, None]
+
+
+def held(key, build: Callable):
+    """What a worker keeps from task to task: one object, built anew when another key is asked for.
+
+    Workers outlive operators. Holding one thing at a time keeps their memory that of the
+    operator at work; a task that keeps nothing asks with ``None``.
+    """
+    if _HELD[0] != key:
+        _HELD[:] = [None, None]  # the old one goes before the new one comes
+        _HELD[:] = [key, build()]
+    return _HELD[1]
+
+
+#: Bytes of rows that a Python worker gets at a time; rows of long texts come in fewer to a batch.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of texts bounded by their bytes, unless the session has them smaller already."""
+    digits, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(_BATCH).lower()).groups()
+    now = int(digits) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}[unit]
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
+def values(column: pa.Array, step: int = 512) -> Iterator:
+    """A column's values as Python objects, some at a time."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import scratch_path, table
+from ._util import bounded_batches, scratch_path, table, values
 from .tokens import encoder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,6 +39,8 @@ END_ID = 1
 MAGIC = b"FTK1"
 #: Ids after which a block is closed (a longer document has a block of its own).
 BLOCK_IDS = 2_000_000
+#: Ids below this are counted in a table, others by sorting.
+TABLE = 1 << 22
 #: A control byte's four lengths.
 LENGTHS = np.array([[(b >> 2 * i & 3) + 1 for i in range(4)] for b in range(256)], np.uint8)
 BLOCKS = "file int, block int, base long, n long, data binary"
@@ -73,11 +75,20 @@ def data_bytes(control: np.ndarray, n: int) -> int:
 def write_block(doc_ids: list[int | None], texts: list[bytes]) -> bytes:
     """``texts``: each document's ids as little-endian unsigned 32-bit."""
     ids = np.frombuffer(b"".join(texts), "<u4")
-    known, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    by_rank = np.lexsort((known, -counts))
-    rank = np.empty(len(known), np.uint32)
-    rank[by_rank] = np.arange(len(known), dtype=np.uint32)
-    control, data = pack_ranks(rank[inverse])
+    if len(ids) and ids.max() < TABLE:  # a vocabulary's ids are counted and ranked by table
+        counts = np.bincount(ids)
+        known = np.flatnonzero(counts)
+        by_rank = np.lexsort((known, -counts[known]))
+        rank = np.zeros(len(counts), np.uint32)
+        rank[known[by_rank]] = np.arange(len(known), dtype=np.uint32)
+        ranks = rank[ids]
+    else:
+        known, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        by_rank = np.lexsort((known, -counts))
+        rank = np.empty(len(known), np.uint32)
+        rank[by_rank] = np.arange(len(known), dtype=np.uint32)
+        ranks = rank[inverse]
+    control, data = pack_ranks(ranks)
     body = b"".join(
         (
             MAGIC,
@@ -115,6 +126,7 @@ def read_block(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, files: int | None = None) -> None:
     """Encode whole texts of ``docs(doc_id, text)`` and write their blocks in ascending order of id."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +141,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "block", "base", "n", "data"])
 
         for batch in batches:
-            texts = enc.encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
+            texts = enc.encoded(values(batch.column(1).cast(pa.binary())))
             for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
                 if held[0] and size + len(ids) // 4 + 1 > block_ids:
                     yield close()

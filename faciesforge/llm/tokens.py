@@ -17,12 +17,14 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ._util import held
+
 #: Pieces of a word, for a vocabulary that keeps white space and for one that drops it.
 KEEPING = re.compile(rb"[\t-\r ]*(?:[A-Za-z\x80-\xff]*[A-Za-z](?![A-Za-z\x80-\xff])|[^\t-\r ]+)|[\t-\r ]+")
 DROPPING = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?![A-Za-z\x80-\xff])|[^\t-\r ]+")
@@ -30,11 +32,11 @@ OTHER_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0             
 RUNS = tuple(a + b" " for a in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
 WHITE = frozenset(b"\t\n\x0b\x0c\r ")
 SEPARATOR = "\N{BLUE HEART}".encode()
-#: Entries of the memos and the longest key they keep: about 200 MB a worker at most.
-MEMO_WORDS, MEMO_PIECES, MEMO_BYTES = 500_000, 400_000, 64
+#: Entries of each of the memo's two generations, and the longest key it keeps: about 130 MB a worker at most.
+MEMO_ENTRIES, MEMO_BYTES = 320_000, 64
 #: Bytes of text that are encoded together (or one longer text).
-GROUP_BYTES = 4_000_000
-#: Stands before a text's first word, which no space precedes.
+GROUP_BYTES = 5_000_000
+#: Stands before what no space precedes: a text's first word, a later piece of a word.
 FIRST = b"\x02"
 
 
@@ -42,6 +44,24 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+class Memo:
+    """A bounded mapping. What is asked for again outlives the rest: when the young generation is
+    full it becomes the old one, and the old one goes, but for what has been moved up by then."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+    def revive(self, key: bytes) -> bytes | None:
+        value = self.old.get(key)
+        if value is not None:
+            self.young[key] = value
+        return value
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -54,8 +74,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.model._resize_cache(0)  # the memos stand in for it
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.memo = Memo(MEMO_ENTRIES)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         most = max(self.tokenizer.get_vocab().values()) + 1
         #: White space is kept and each id stands for so many bytes; or it is dropped, ends of words
@@ -75,7 +94,7 @@ class Encoder:
     def _at_once(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
 
-    def _runs(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+    def _runs(self, pieces: list[bytes], letters: bool = False) -> dict[bytes, bytes]:
         """Ids of pieces that were encoded as one text and told apart afterwards; empty where that fails."""
         if not pieces:
             return {}
@@ -84,7 +103,7 @@ class Encoder:
             ends, at = np.cumsum(self.length[ids]), np.cumsum([len(c) for c in pieces])
             last = np.searchsorted(ends, at)
             good, first = last[-1] < len(ends) and bool((ends[np.minimum(last, len(ends) - 1)] == at).all()), np.r_[0, last[:-1] + 1]
-        elif all(c.decode().isalpha() for c in pieces):  # one word each
+        elif letters:  # one word each
             ids = self._at_once(b" ".join(pieces))
             last = np.flatnonzero(self.ends[ids])
             good, first = len(last) == len(pieces), np.r_[0, last[:-1] + 1]
@@ -99,16 +118,19 @@ class Encoder:
         raw = ids.tobytes()
         return dict(zip(pieces, [raw[a:b] for a, b in zip((4 * first).tolist(), (4 * last + 4).tolist(), strict=True)], strict=True))
 
-    def _new(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces met for the first time."""
+    def _new(self, keys: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces met for the first time, by their keys."""
         if self.keeps:
-            out = self._runs([c for c in pieces if c[0] in WHITE and c[-1] not in WHITE])
+            literal = [k[1:] if k[:1] == FIRST else b" " + k for k in keys]
+            out = self._runs([c for c in literal if c[0] in WHITE and c[-1] not in WHITE])
         else:
-            letters = {c for c in pieces if c.decode().isalpha()}
-            out = self._runs(list(letters)) | self._runs([c for c in pieces if c not in letters])
-        rest = [c for c in pieces if c not in out]
+            literal, letters, mixed = keys, [], []
+            for c in keys:
+                (letters if c.isalpha() or not c.isascii() and c.decode().isalpha() else mixed).append(c)
+            out = self._runs(letters, True) | self._runs(mixed)
+        rest = [c for c in literal if c not in out]
         out.update(zip(rest, self._direct([c.decode() for c in rest]), strict=True))
-        return out
+        return dict(zip(keys, map(out.__getitem__, literal), strict=True)) if self.keeps else out
 
     def _ready(self, raw: bytes) -> bytes | None:
         """A text whose words can be told by its spaces alone; None if it has to be encoded whole."""
@@ -126,42 +148,54 @@ class Encoder:
         return None if FIRST in raw or any(r in raw for r in RUNS) else FIRST + raw
 
     def _split(self, word: bytes) -> list[bytes]:
-        """The pieces of a word: of a space and the word, but for a text's first one, where white space is kept."""
+        """The keys of a word's pieces. Where white space is kept, a word and a piece stand for
+        themselves with a space before, or, after ``FIRST``, for themselves alone."""
+        if word.isalpha():  # ASCII letters alone
+            return [word]
         if self.keeps:
-            return KEEPING.findall(word[1:] if word[:1] == FIRST else b" " + word)
+            found = KEEPING.findall(word[1:] if word[:1] == FIRST else b" " + word)
+            return [c[1:] if c[0] == 32 and c[1:2] != FIRST else FIRST + c for c in found]
         return DROPPING.findall(word)
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """Ids of different words."""
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        if len(self.pieces) > MEMO_PIECES:
-            self.pieces.clear()
-        got, pieces = list(map(self.words.get, words)), self.pieces
-        unseen = [i for i, ids in enumerate(got) if ids is None]
+        memo = self.memo
+        memo.turn()
+        known, got = memo.young, list(map(memo.young.get, words))
+        unseen = []
+        for i in [i for i, ids in enumerate(got) if ids is None]:
+            got[i] = memo.revive(words[i])
+            if got[i] is None:
+                unseen.append(i)
         parts = [self._split(words[i]) for i in unseen]
-        fresh = set().union(*parts).difference(pieces)
-        new = self._new(list(fresh))
+        new = self._new([c for c in set().union(*parts).difference(known) if memo.revive(c) is None])
         long = {c: ids for c, ids in new.items() if len(c) > MEMO_BYTES}
-        pieces.update({c: ids for c, ids in new.items() if len(c) <= MEMO_BYTES} if long else new)
-        part = pieces.__getitem__ if not long else lambda c: long[c] if c in long else pieces[c]
+        known.update({c: ids for c, ids in new.items() if len(c) <= MEMO_BYTES} if long else new)
+        part = known.__getitem__ if not long else lambda c: long[c] if c in long else known[c]
         for i, split in zip(unseen, parts, strict=True):
-            got[i] = part(split[0]) if len(split) == 1 else b"".join(map(part, split))
-            if len(words[i]) <= MEMO_BYTES:
-                self.words[words[i]] = got[i]
+            if len(split) == 1:
+                got[i] = part(split[0])
+            else:
+                got[i] = b"".join(map(part, split))
+                if len(words[i]) <= MEMO_BYTES:
+                    known[words[i]] = got[i]
         return got
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """One result for each UTF-8 text."""
-        out: list[bytes] = []
+    def encoded(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        """One result for each UTF-8 text (none: empty), a group of texts at a time."""
         group, size = [], 0
         for raw in texts:
+            raw = raw or b""
             if group and size + len(raw) > GROUP_BYTES:
-                out += self._group(group)
+                yield from self._group(group)
                 group, size = [], 0
             group.append(raw)
             size += len(raw)
-        return out + self._group(group) if group else out
+        if group:
+            yield from self._group(group)
+
+    def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
+        return list(self.encoded(texts))
 
     def _group(self, texts: list[bytes]) -> list[bytes]:
         ready = [self._ready(raw) for raw in texts]
@@ -176,14 +210,16 @@ class Encoder:
         word = coded.indices.to_numpy()
         counts = length[word]
         ends = np.cumsum(counts)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat((np.cumsum(length) - length)[word] - (ends - counts), counts)
+        n = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if n < 2**31 else np.int64
+        at = np.repeat(((np.cumsum(length) - length)[word] - (ends - counts)).astype(kind), counts)
+        at += np.arange(n, dtype=kind)
         raw = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
         cuts = (4 * np.r_[0, ends][lists.offsets.to_numpy()]).tolist()
         mine = iter([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         return [next(direct) if r is None else next(mine) for r in ready]
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; its memos live as long as the worker."""
-    return Encoder(path)
+    """The worker's encoder for a tokenizer file; its memos live as long as it is the one in use."""
+    return held(("tokenizer", path), lambda: Encoder(path))
