@@ -7,10 +7,11 @@ does; operators that chain share the exchange on ``well_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_DEPTH = Window.partitionBy("well_id").orderBy("depth")
+def by_depth() -> WindowSpec:
+    return Window.partitionBy("well_id").orderBy("depth")
 
 
 def sanitised(c: Column, null_value: float | None = None) -> Column:
@@ -34,7 +35,7 @@ def fill_linear(series: DataFrame, min_finite: int = 1) -> DataFrame:
 
     Wells with fewer than ``min_finite`` samples stay as they are.
     """
-    before, after = BY_DEPTH.rowsBetween(Window.unboundedPreceding, 0), BY_DEPTH.rowsBetween(0, Window.unboundedFollowing)
+    before, after = by_depth().rowsBetween(Window.unboundedPreceding, 0), by_depth().rowsBetween(0, Window.unboundedFollowing)
     point = F.when(F.col("value").isNotNull(), F.struct("depth", "value"))
     out = series.select("well_id", "depth", "value", F.last(point, True).over(before).alias("a"), F.first(point, True).over(after).alias("b"), F.count("value").over(Window.partitionBy("well_id")).alias("n"))
     t = (F.col("depth") - F.col("a.depth")) / F.nullif(F.col("b.depth") - F.col("a.depth"), F.lit(0.0))
@@ -51,7 +52,7 @@ def resample(series: DataFrame, n: int) -> DataFrame:
     """
     own = Window.partitionBy("well_id")
     s = series.filter("value is not null").select(
-        "well_id", "depth", "value", F.lead("depth").over(BY_DEPTH).alias("d2"), F.lead("value").over(BY_DEPTH).alias("v2"), F.min("depth").over(own).alias("top"), F.max("depth").over(own).alias("base")
+        "well_id", "depth", "value", F.lead("depth").over(by_depth()).alias("d2"), F.lead("value").over(by_depth()).alias("v2"), F.min("depth").over(own).alias("top"), F.max("depth").over(own).alias("base")
     )
     step = (F.col("base") - F.col("top")) / (n - 1)
     last = F.col("d2").isNull()
@@ -66,7 +67,7 @@ def resample(series: DataFrame, n: int) -> DataFrame:
 
 def imputed_mask(series: DataFrame, max_gap: float) -> DataFrame:
     """``imputed``: a missing sample outside the well's samples, or in a gap longer than ``max_gap``."""
-    before, after = BY_DEPTH.rowsBetween(Window.unboundedPreceding, 0), BY_DEPTH.rowsBetween(0, Window.unboundedFollowing)
+    before, after = by_depth().rowsBetween(Window.unboundedPreceding, 0), by_depth().rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col("value").isNotNull(), F.col("depth"))
     a, b = F.last(at, True).over(before), F.first(at, True).over(after)
     return series.select("well_id", "depth", "value", F.coalesce((b - a) > max_gap, F.lit(True)).alias("imputed"))
@@ -109,7 +110,7 @@ def robust_z(rows: DataFrame, column: str, partition: list[str], style: str = "0
 
 def monotone(series: DataFrame) -> DataFrame:
     """``mono``: the running maximum; ``reversed``: whether the sample lies below it."""
-    up = F.max("value").over(BY_DEPTH.rowsBetween(Window.unboundedPreceding, 0))
+    up = F.max("value").over(by_depth().rowsBetween(Window.unboundedPreceding, 0))
     gap = F.abs(up - F.col("value")) > F.lit(1e-10) + F.lit(1e-8) * F.abs(F.col("value"))
     return series.select("well_id", "depth", "value", up.alias("mono"), F.coalesce(gap, F.lit(False)).alias("reversed"))
 
@@ -117,9 +118,9 @@ def monotone(series: DataFrame) -> DataFrame:
 def zero_crossings(series: DataFrame) -> DataFrame:
     """Samples where the sign changes; zeros carry the sign before them, leading ones the sign after."""
     sign = F.when(F.abs("value") > 1e-12, F.signum("value"))
-    before, after = BY_DEPTH.rowsBetween(Window.unboundedPreceding, 0), BY_DEPTH.rowsBetween(0, Window.unboundedFollowing)
+    before, after = by_depth().rowsBetween(Window.unboundedPreceding, 0), by_depth().rowsBetween(0, Window.unboundedFollowing)
     s = series.select("well_id", "depth", "value", F.coalesce(F.last(sign, True).over(before), F.first(sign, True).over(after)).alias("s"))
-    return s.withColumn("was", F.lag("s").over(BY_DEPTH)).filter("s <> was").select("well_id", "depth", "value")
+    return s.withColumn("was", F.lag("s").over(by_depth())).filter("s <> was").select("well_id", "depth", "value")
 
 
 def snap(coarse: DataFrame, fine: DataFrame, window: int) -> DataFrame:
@@ -180,7 +181,7 @@ def tops_pivot(tops: DataFrame, names: list[str]) -> DataFrame:
 def type_log(series: DataFrame, n: int) -> DataFrame:
     """The mean of all wells on a common grid of ``n`` depths, each inside its own range: ``(k, depth, value, n_wells)``."""
     bounds = series.filter("value is not null").agg(F.min("depth").alias("lo"), F.max("depth").alias("hi"))
-    s = series.filter("value is not null").select("well_id", "depth", "value", F.lead("depth").over(BY_DEPTH).alias("d2"), F.lead("value").over(BY_DEPTH).alias("v2"))
+    s = series.filter("value is not null").select("well_id", "depth", "value", F.lead("depth").over(by_depth()).alias("d2"), F.lead("value").over(by_depth()).alias("v2"))
     s = s.crossJoin(F.broadcast(bounds)).filter("hi > lo")  # one row
     step = (F.col("hi") - F.col("lo")) / (n - 1)
     first_k = F.ceil((F.col("depth") - F.col("lo")) / step - 1e-9)

@@ -12,7 +12,7 @@ from ..sources import las
 def las_files(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """New LAS files of a folder as they come: (path, text)."""
     reader = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).schema("value string")
-    return reader.load(folder).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return reader.load(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def ingest_samples(spark: SparkSession, folder: str, out: str, checkpoint: str, wanted: tuple[str, ...] | None = None) -> StreamingQuery:
