@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -57,10 +59,21 @@ def held(key, build: Callable):
     """
     if _HELD[0] != key:
         _HELD[:] = [None, None]  # the old one goes before the new one comes
+        give_back()
         _HELD[:] = [key, build()]
     return _HELD[1]
 
 
+def give_back() -> None:
+    """Return freed memory to the machine, which counts what a worker's allocators keep as the worker's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not the GNU C library
+
+
 #: Bytes of rows that a Python worker gets at a time; rows of long texts come in fewer to a batch.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -19,16 +19,18 @@ first by name); an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cut, table
+from ._util import bounded_batches, cut, held, table, values
 
 UND = "und"
 #: Labelled rows of a language that are learnt from, about.
@@ -42,7 +44,7 @@ BACKOFF, UNKNOWN = float(np.log(0.4)), -14.0
 ACCEPT = 0.35
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers beside the model's, and texts scored together.
-MEMO_WORDS, BATCH = 400_000, 64
+MEMO_WORDS, BATCH = 100_000, 64
 
 
 def grams(word: str) -> list[str]:
@@ -54,16 +56,27 @@ def grams(word: str) -> list[str]:
 @dataclass
 class Model:
     languages: list[str]
-    #: Word or n-gram -> log frequency in each language.
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: list[str]
+    grams: list[str]
+    #: Log frequency in each language, a row for each word and each n-gram.
+    word_rows: np.ndarray
+    gram_rows: np.ndarray
+    #: Tells models apart in a worker that has met several.
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
+def model_of(languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]) -> Model:
+    """From the log frequencies of each word and n-gram."""
+    rows = lambda d: np.stack([*d.values()]) if d else np.empty((0, len(languages)))
+    return Model(languages, list(words), list(grams), rows(words), rows(grams))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to counts of words (kind 0) and n-grams (kind 1)."""
+    held(None, lambda: None)
     for batch in batches:
         words: dict[str, Counter] = defaultdict(Counter)
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for lang, text in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
             words[lang].update(WORD.findall(text.lower()))
         for lang, found in words.items():
             parts: dict[str, int] = defaultdict(int)
@@ -77,10 +90,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on ``labelled(doc_id, text, lang)``; what reaches the driver is bounded by the model's size."""
+    bounded_batches(labelled.sparkSession)
     labelled = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], {}, {})
+        return model_of([], {}, {})
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, rows / n))) for k, n in sorted(sizes.items())])
     sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
     counts = sample.mapInArrow(_counts, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
@@ -103,11 +117,11 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 tables[kind].setdefault(item, np.full(len(langs), np.nan))[i] = np.log(n / per[item])
     for known in tables:  # what a language lacks counts as half an occurrence at the rarest frequency
         if known:
-            low = np.nanmin(np.stack(list(known.values())), axis=0)
+            low = np.fmin.reduce(np.stack([*known.values(), np.full(len(langs), np.nan)]))
             low = np.where(np.isnan(low), UNKNOWN, low) - np.log(2)
             for item, x in known.items():
                 known[item] = np.where(np.isnan(x), low, x)
-    return Model(langs, *tables)
+    return model_of(langs, *tables)
 
 
 class Scorer:
@@ -116,10 +130,10 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, n = model, len(model.languages)
         self.known = {w: i for i, w in enumerate(model.words)}
-        self.base = np.stack([*model.words.values()]) if model.words else np.empty((0, n))
+        self.base = model.word_rows
         self.gram = {g: i for i, g in enumerate(model.grams)}
         #: The last row is that of an n-gram that no language knows.
-        self.gram_rows = np.stack([*model.grams.values(), np.full(n, UNKNOWN)])
+        self.gram_rows = np.concatenate([model.gram_rows, np.full((1, n), UNKNOWN)])
         self.clear()
 
     def clear(self) -> None:
@@ -155,11 +169,11 @@ class Scorer:
             self.rows = np.concatenate([self.rows, self.unseen(found)])
         return [self.rows[np.fromiter(map(at.__getitem__, words), np.int64, len(words))].mean(axis=0) if words else None for words in split]
 
-    def answers(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def answers(self, texts: Iterator[str | None]) -> tuple[list[str], list[float]]:
         """Language and confidence of each text."""
-        said, sure = [], []
-        for i in range(0, len(texts), BATCH):
-            for x in self.means(texts[i : i + BATCH]) if self.model.languages else [None] * len(texts[i : i + BATCH]):
+        said, sure, texts = [], [], iter(texts)
+        while some := list(islice(texts, BATCH)):
+            for x in self.means(some) if self.model.languages else [None] * len(some):
                 best = None if x is None else int(x.argmax())
                 said.append(UND if best is None else self.model.languages[best])
                 sure.append(0.0 if best is None else float(1 / np.exp(x - x[best]).sum()))
@@ -168,9 +182,7 @@ class Scorer:
 
 def scorer(model: Model) -> Scorer:
     """The worker's scorer for a model that it got by broadcast."""
-    if not hasattr(model, "scorer"):
-        model.scorer = Scorer(model)
-    return model.scorer
+    return held(("languages", model.name), lambda: Scorer(model))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -179,9 +191,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said, sure = scorer(shared.value).answers(batch.column(1).to_pylist())
+            said, sure = scorer(shared.value).answers(values(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
@@ -200,9 +213,10 @@ def accept(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said, sure = scorer(shared.value).answers(batch.column(i).to_pylist())
+            said, sure = scorer(shared.value).answers(values(batch.column(i)))
             yield batch.filter(pa.array([a != UND and x >= least for a, x in zip(said, sure, strict=True)], pa.bool_()))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import cut, table
+from ._util import bounded_batches, cut, table, values
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -35,6 +35,8 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces of one length that are numbered in one window; more are dealt to more buckets.
 BUCKET_ROWS = 200_000
+#: Pieces that a worker gathers before it hands them on.
+OUT_ROWS = 4_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -51,22 +53,28 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+        n = 6 if keep_ids else 5
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds[:n], strict=True)], names[:n])
+
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
             rows: list[tuple] = []
-            for doc_id, raw in zip(ids, enc.encode([t or b"" for t in texts]), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), enc.encoded(values(batch.column(1).cast(pa.binary()))), strict=True):
                 raw += end
                 starts = cut_points(len(raw) // 4, capacity)
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(raw) // 4], strict=True)):
                     part = raw[4 * a : 4 * b]
                     rows.append((doc_id, k, a, b - a, zlib.crc32(part), part if keep_ids else None))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 6 if keep_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], kinds[:n], strict=True)], names[:n])
+                if len(rows) >= OUT_ROWS:
+                    yield out(rows)
+                    rows = []
+            yield out(rows)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cut, table
+from ._util import bounded_batches, cut, held, table, values
 
 #: Weights of the pooled covariance and of a diagonal one in a class's covariance.
 POOL, DIAGONAL = 0.15, 0.05
@@ -77,10 +77,12 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, x): the statistics of each row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None, lambda: None)
         for batch in batches:
-            x = [statistics(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            x = [statistics(t or b"") for t in values(batch.column(1).cast(pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
@@ -173,9 +175,10 @@ def accept(docs: DataFrame, labels: DataFrame, least: float = THRESHOLD) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t or b"") for t in batch.column(i).cast(pa.binary()).to_pylist()]).reshape(-1, len(NAMES))
+            x = np.array([statistics(t or b"") for t in values(batch.column(i).cast(pa.binary()))]).reshape(-1, len(NAMES))
             yield batch.filter(pa.array(model.scores(x) >= least))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

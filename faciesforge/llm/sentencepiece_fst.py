@@ -25,7 +25,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from math import inf
 
 import numpy as np
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import table
+from ._util import bounded_batches, held, table
 
 MODEL = "piece_bpe_32k.model"
 META = "\N{LOWER ONE EIGHTH BLOCK}"
@@ -212,10 +211,14 @@ class Transducer:
         return self.normalise.invert(b"".join([surface[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode(errors="replace"))
 
 
-@lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
-    with open(path, "rb") as f:
-        return Transducer(f.read())
+    """The worker's compiled model; its memo lives as long as it is the one in use."""
+
+    def build() -> Transducer:
+        with open(path, "rb") as f:
+            return Transducer(f.read())
+
+    return held(("pieces", path), build)
 
 
 def encode_documents(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
@@ -234,6 +237,7 @@ def encode_documents(docs: DataFrame, path: str, keep: bool = False) -> DataFram
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean" + (", ids binary, decoded string" if keep else "")
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cut, table
+from ._util import bounded_batches, cut, held, table, values
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -72,10 +72,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(None, lambda: None)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = values(batch.column(1).cast(pa.binary()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t or b"", shingle) for t in texts], pa.int64())], ["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 

@@ -39,6 +39,8 @@ END_ID = 1
 MAGIC = b"FTK1"
 #: Ids after which a block is closed (a longer document has a block of its own).
 BLOCK_IDS = 2_000_000
+#: Entries of the writers' memo of words; writing is all that their workers do.
+MEMO_ENTRIES = 320_000
 #: Ids below this are counted in a table, others by sorting.
 TABLE = 1 << 22
 #: A control byte's four lengths.
@@ -130,7 +132,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, file = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        enc, end, file = encoder(tokenizer, MEMO_ENTRIES), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         held: tuple[list, list] = ([], [])
         size = base = number = 0
 

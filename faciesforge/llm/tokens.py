@@ -32,10 +32,12 @@ OTHER_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0             
 RUNS = tuple(a + b" " for a in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
 WHITE = frozenset(b"\t\n\x0b\x0c\r ")
 SEPARATOR = "\N{BLUE HEART}".encode()
-#: Entries of each of the memo's two generations, and the longest key it keeps: about 130 MB a worker at most.
-MEMO_ENTRIES, MEMO_BYTES = 320_000, 64
+#: Entries of each of the memo's two generations, about 200 bytes each, and the longest key it keeps.
+MEMO_ENTRIES, MEMO_BYTES = 120_000, 64
 #: Bytes of text that are encoded together (or one longer text).
 GROUP_BYTES = 5_000_000
+#: New pieces that go to the tokenizer as one text; its result takes some hundred bytes for each of its characters.
+RUN_PIECES = 4_000
 #: Stands before what no space precedes: a text's first word, a later piece of a word.
 FIRST = b"\x02"
 
@@ -65,7 +67,7 @@ class Memo:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         from tokenizers import Tokenizer
 
@@ -74,7 +76,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.model._resize_cache(0)  # the memos stand in for it
-        self.memo = Memo(MEMO_ENTRIES)
+        self.memo = Memo(entries)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         most = max(self.tokenizer.get_vocab().values()) + 1
         #: White space is kept and each id stands for so many bytes; or it is dropped, ends of words
@@ -95,9 +97,13 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
 
     def _runs(self, pieces: list[bytes], letters: bool = False) -> dict[bytes, bytes]:
-        """Ids of pieces that were encoded as one text and told apart afterwards; empty where that fails."""
-        if not pieces:
-            return {}
+        """Ids of pieces that were encoded together and told apart afterwards, without those where that fails."""
+        out: dict[bytes, bytes] = {}
+        for i in range(0, len(pieces), RUN_PIECES):
+            out.update(self._run(pieces[i : i + RUN_PIECES], letters))
+        return out
+
+    def _run(self, pieces: list[bytes], letters: bool) -> dict[bytes, bytes]:
         if self.keeps:
             ids = self._at_once(b"".join(pieces))
             ends, at = np.cumsum(self.length[ids]), np.cumsum([len(c) for c in pieces])
@@ -220,6 +226,6 @@ class Encoder:
         return [next(direct) if r is None else next(mine) for r in ready]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; its memos live as long as it is the one in use."""
-    return held(("tokenizer", path), lambda: Encoder(path))
+def encoder(path: str, entries: int = MEMO_ENTRIES) -> Encoder:
+    """The worker's encoder for a tokenizer file; its memo lives as long as it is the one in use."""
+    return held(("tokenizer", path, entries), lambda: Encoder(path, entries))
