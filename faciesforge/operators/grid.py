@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .order import numbered
 
 
 def assign(wells: DataFrame, cell_km: float, lat0: float) -> DataFrame:
@@ -122,7 +123,7 @@ def quotas(caps: dict[str, int], total: int, mode: str = "equal", least: int = 1
 def west_to_east(points: DataFrame) -> DataFrame:
     """``station`` by (lon, lat), missing coordinates as 0."""
     k = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
-    return points.withColumn("station", F.row_number().over(Window.orderBy(k("lon"), k("lat"), "well_id")))
+    return numbered(points, [k("lon"), k("lat"), F.col("well_id")], "station")
 
 
 def extent(cells: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+
 def by_depth() -> WindowSpec:
     return Window.partitionBy("well_id").orderBy("depth")
 

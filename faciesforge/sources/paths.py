@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import running_total
+
 
 def oriented(paths: DataFrame) -> DataFrame:
     """``paths(src, dst, ii, jj)`` with src < dst; where ends are swapped, so are the columns."""
@@ -19,9 +21,7 @@ def inject(edges: DataFrame, paths: DataFrame) -> DataFrame:
 
 def pack(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges with the range of rows that is theirs, and all tie points in that order: (src, dst, first, last), (place, i, j)."""
-    order = Window.orderBy("src", "dst")
-    before = F.coalesce(F.sum(F.size("ii")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    index = paths.select("src", "dst", "ii", "jj", before.cast("long").alias("first"))
+    index = running_total(paths.select("src", "dst", "ii", "jj"), [F.col("src"), F.col("dst")], F.size("ii"), "first")
     points = index.select("first", F.posexplode(F.arrays_zip("ii", "jj"))).select((F.col("first") + F.col("pos")).alias("place"), F.col("col.ii").alias("i"), F.col("col.jj").alias("j"))
     return index.select("src", "dst", "first", (F.col("first") + F.size("ii")).alias("last")), points
 
