@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import bounded_batches, cut, table, values
-from .tokens import encoder
+from .tokens import MEMO_ENTRIES, encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -48,11 +48,11 @@ def cut_points(n: int, capacity: int) -> list[int]:
     return [0, *range(n % capacity or capacity, n, capacity)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False, memo: int = MEMO_ENTRIES) -> DataFrame:
     """(doc_id, text) to pieces of at most ``capacity`` ids, with their checksum and, if asked for, the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, memo), np.array([end_id], "<u4").tobytes()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         n = 6 if keep_ids else 5
@@ -171,9 +171,12 @@ def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFr
     return ranked(items, order).mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """Tokenise whole documents, cut the long ones and pack all pieces. The texts are read once."""
-    items = cut(pieces(docs, tokenizer, end_id, capacity, keep_ids), "pieces")
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False, memo: int = MEMO_ENTRIES) -> DataFrame:
+    """Tokenise whole documents, cut the long ones and pack all pieces. The texts are read once.
+
+    ``memo``: words that a worker remembers (times two, about 200 bytes each); results are the same.
+    """
+    items = cut(pieces(docs, tokenizer, end_id, capacity, keep_ids, memo), "pieces")
     return pack(items, ["doc_id", "piece", "start", "ids_crc32"], capacity)
 
 
@@ -186,4 +189,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
-    return pack_documents(table(spark, sf_dir, "documents"), path(TOKENIZER))
+    return pack_documents(table(spark, sf_dir, "documents"), path(TOKENIZER), memo=240_000)

@@ -40,7 +40,7 @@ MAGIC = b"FTK1"
 #: Ids after which a block is closed (a longer document has a block of its own).
 BLOCK_IDS = 2_000_000
 #: Entries of the writers' memo of words; writing is all that their workers do.
-MEMO_ENTRIES = 320_000
+MEMO_ENTRIES = 240_000
 #: Ids below this are counted in a table, others by sorting.
 TABLE = 1 << 22
 #: A control byte's four lengths.
