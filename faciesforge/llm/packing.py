@@ -189,4 +189,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
-    return pack_documents(table(spark, sf_dir, "documents"), path(TOKENIZER), memo=240_000)
+    return pack_documents(table(spark, sf_dir, "documents"), path(TOKENIZER), memo=450_000)
