@@ -124,7 +124,7 @@ def samples(text: str, wanted: tuple[str, ...] | None = None) -> Iterator[tuple[
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): each file a row."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def headers(files: DataFrame) -> DataFrame:
