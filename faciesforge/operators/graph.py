@@ -9,13 +9,18 @@ at a time, so that components are spread over the cluster.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels.greedy import Sets
 from ..scratch import cut
 
+#: Edges that are few enough for one task.
+SMALL_EDGES = 200_000
+
 
 def canonical(edges: DataFrame) -> DataFrame:
     """Smaller id first, self loops dropped, of repeated edges the least distance."""
@@ -75,25 +80,31 @@ def anchors(edges: DataFrame) -> DataFrame:
     return components(edges).join(degrees(edges), "id").groupBy("component").agg(best.alias("anchor"))
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
+def spanning_forest(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """The maximum spanning forest by ``sim``, ties to the smaller (src, dst).
 
-    Rounds in which each component takes its best edge out; the number of components at
-    least halves, so a graph of n nodes needs at most log2 n rounds.
+    Rounds in which each component takes its best edge out; the number of components at least
+    halves, so a graph of n nodes needs at most log2 n rounds. Components are contracted to
+    their labels as they grow, and once ``small`` edges or fewer are left between them, the
+    rest is decided in one place.
     """
-    rest = cut(edges.select("src", "dst", "sim"), "forest-rest").withColumn("cs", F.col("src")).withColumn("cd", F.col("dst"))
-    taken = None
-    while True:
-        rest = rest.filter("cs <> cd")
-        best = F.max_by(F.struct("src", "dst", "sim"), F.struct("sim", (-F.col("src")).alias("s"), (-F.col("dst")).alias("d")))
-        ends = rest.select("src", "dst", "sim", F.explode(F.array("cs", "cd")).alias("c"))
-        picked = cut(ends.groupBy("c").agg(best.alias("e")).select("e.src", "e.dst", "e.sim").distinct(), "forest-picked")
-        if picked.isEmpty():
-            return taken if taken is not None else edges.select("src", "dst", "sim").limit(0)
-        taken = picked if taken is None else taken.union(picked)
-        label = cut(components(taken), "forest-labels")
-        a, b = label.toDF("src", "la"), label.toDF("dst", "lb")
-        rest = cut(rest.select("src", "dst", "sim").join(a, "src", "left").join(b, "dst", "left").select("src", "dst", "sim", F.coalesce("la", "src").alias("cs"), F.coalesce("lb", "dst").alias("cd")).filter("cs <> cd"), "forest-rest")
+    spark = edges.sparkSession
+    rest = cut(edges.select("src", "dst", "sim", F.col("src").alias("cs"), F.col("dst").alias("cd")).filter("cs <> cd"), "forest-rest")
+    taken = [edges.select("src", "dst", "sim").limit(0)]
+    while (left := rest.count()) > small:
+        best = F.max_by(F.struct("src", "dst", "sim", "cs", "cd"), F.struct("sim", (-F.col("src")).alias("s"), (-F.col("dst")).alias("d")))
+        ends = rest.select("src", "dst", "sim", "cs", "cd", F.explode(F.array("cs", "cd")).alias("c"))
+        picked = cut(ends.groupBy("c").agg(best.alias("e")).select("e.*").distinct(), "forest-picked")
+        taken.append(picked.select("src", "dst", "sim"))
+        label = cut(components(picked.select(F.col("cs").alias("src"), F.col("cd").alias("dst"))), "forest-labels")
+        a, b = label.toDF("cs", "la"), label.toDF("cd", "lb")
+        rest = cut(rest.join(a, "cs", "left").join(b, "cd", "left").select("src", "dst", "sim", F.coalesce("la", "cs").alias("cs"), F.coalesce("lb", "cd").alias("cd")).filter("cs <> cd"), "forest-rest")
+    if left:
+        last = rest.toPandas().sort_values(["sim", "src", "dst"], ascending=[False, True, True])  # ``small`` rows at most
+        sets = Sets()
+        last = last[[sets.join(s, d) for s, d in last[["cs", "cd"]].itertuples(index=False)]]
+        taken.append(spark.createDataFrame(last[["src", "dst", "sim"]], taken[0].schema))
+    return reduce(DataFrame.union, taken)
 
 
 def per_component(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

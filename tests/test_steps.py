@@ -26,6 +26,17 @@ def test_run(spark, tmp_path):
     assert Run(spark, "x", Settings(alpha=0.2)).key != run.key
 
 
+def test_forest_by_rounds_and_at_once(spark):
+    from faciesforge.kernels import greedy
+    from faciesforge.operators import graph
+    from faciesforge.plans.queries import _edges
+
+    edges = _edges(spark, "/root/testdata/sf0.01").select("src", "dst", "sim")
+    want = sorted(greedy.kruskal(edges.toPandas())[["src", "dst"]].itertuples(index=False, name=None))
+    for small in (0, 300, 200_000):
+        assert sorted((r["src"], r["dst"]) for r in graph.spanning_forest(edges, small).collect()) == want
+
+
 def test_settings():
     assert Settings.of({"alpha": 0.3, "nothing": 1}).alpha == 0.3
     assert merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
