@@ -101,9 +101,13 @@ def features(series: DataFrame, cutoff: float) -> DataFrame:
 
 def robust_z(rows: DataFrame, column: str, partition: list[str], style: str = "0.6745") -> DataFrame:
     """``z``: distance from the median in units of the median absolute deviation, 0 where that vanishes."""
-    own = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
-    dev = rows.withColumn("_med", F.median(column).over(own))
-    dev = dev.withColumn("_mad", F.median(F.abs(F.col(column) - F.col("_med"))).over(own))
+    if partition:
+        own = Window.partitionBy(*partition)
+        dev = rows.withColumn("_med", F.median(column).over(own))
+        dev = dev.withColumn("_mad", F.median(F.abs(F.col(column) - F.col("_med"))).over(own))
+    else:  # two aggregates of one row each
+        dev = rows.crossJoin(F.broadcast(rows.agg(F.median(column).alias("_med"))))
+        dev = dev.crossJoin(F.broadcast(dev.agg(F.median(F.abs(F.col(column) - F.col("_med"))).alias("_mad"))))
     d = F.col(column) - F.col("_med")
     z = F.lit(0.6745) * d / F.col("_mad") if style == "0.6745" else d / (F.lit(1.4826) * F.col("_mad"))
     return dev.withColumn("z", F.when(F.col("_mad") > 1e-12, z).otherwise(0.0)).drop("_med", "_mad")
