@@ -40,8 +40,9 @@ MODEL_WORDS, MODEL_GRAMS = 30_000, 20_000
 NGRAM = 4
 #: Cost of a step to shorter n-grams, and of an n-gram that no language knows.
 BACKOFF, UNKNOWN = float(np.log(0.4)), -14.0
-#: Below this confidence the pipeline takes a text for none of the learnt languages.
-ACCEPT = 0.35
+#: A text whose confidence is below so many times chance (one in the number of languages) is in none of them:
+#: the model knows hardly a word or n-gram of it. Anything else is kept, however short.
+ACCEPT = 1.12
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers beside the model's, and texts scored together.
 MEMO_WORDS, BATCH = 100_000, 64
@@ -208,13 +209,14 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in a learnt language with this confidence."""
+    """The rows of ``docs``, all columns, whose text is in a learnt language with ``least`` times chance or more."""
+    floor = min(1.0, least / max(1, len(model.languages)))
     shared, i = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said, sure = scorer(shared.value).answers(values(batch.column(i)))
-            yield batch.filter(pa.array([a != UND and x >= least for a, x in zip(said, sure, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([a != UND and x >= floor for a, x in zip(said, sure, strict=True)], pa.bool_()))
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
