@@ -30,7 +30,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/faciesforge/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, few_files: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back.
 
     This cuts the lineage at a copy every executor can reach, so that a lost executor
@@ -38,6 +38,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if few_files:  # of a table that is small for its partitions: as many files as keep every core busy
+        df = df.coalesce(max(8, 2 * spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -199,7 +199,7 @@ def components(edges: DataFrame) -> DataFrame:
     is written before the next, until nothing changes.
     """
     mark = None
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars", few_files=True)
     while True:
         seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == mark or not seen[0]:
@@ -210,7 +210,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
-        edges = cut(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).filter("a <> b").distinct(), "stars")
+        edges = cut(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).filter("a <> b").distinct(), "stars", few_files=True)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS, hot: int = HOT_BUCKET) -> DataFrame:
