@@ -6,7 +6,10 @@ inner product is a smaller Euclidean distance, which obeys the triangle inequali
 splits its vectors at the median distance from a vantage point. A search keeps the distance
 ``t`` of its k-th nearest so far and leaves a side out if ``factor`` times the least distance
 that the inequality allows there is beyond ``t``: factor one is exact, larger ones prune
-more. Queries go down a tree together; each starts in the leaf nearest to it.
+more. Queries go down a tree together; each starts in the leaf nearest to it. How much may be
+pruned depends on the vectors (the bounds bite more the lower their intrinsic dimension is),
+so each search takes, shard by shard, the largest of ``FACTORS`` whose recall on a bounded
+sample of its queries, held against the exact search, is at least ``RECALL``.
 
 Shards are cut from the stream of rows where they lie (``SHARD_ROWS`` at most), so that
 every row is indexed, memory is bounded and nothing is shuffled. The index is a written
@@ -33,8 +36,8 @@ from ._util import cut, table
 from .topk import of_length, usable
 
 SHARD_ROWS, LEAF_ROWS, BLOCK = 8192, 96, 4096
-#: Recall of the 20 nearest measured at 0.99 on random unit vectors of 64 dimensions, the hardest case; 1 is exact.
-FACTOR = 5.0
+#: Factors to choose from; none of them reaching ``RECALL`` on ``SAMPLE`` queries in a shard, the search there is exact.
+FACTORS, RECALL, SAMPLE = (5.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.25), 0.97, 128
 #: Scores are compared on this grid while searching, so that equal vectors tie in spite of rounding.
 GRID = 2.0**40
 HITS = "query_id long, vec_id long, score double"
@@ -171,6 +174,18 @@ class Search:
         return self._repeats
 
 
+def factor_for(tree: Tree, ids: np.ndarray, q: np.ndarray, k: int) -> float:
+    """The largest factor that finds ``RECALL`` of the exact ``k`` nearest in this tree for a sample of the queries."""
+    at = np.random.default_rng(len(ids)).permutation(len(ids))[:SAMPLE]
+
+    def found(factor: float) -> set[tuple[int, int]]:
+        a, b, _ = Search(tree, ids[at], q[at], k, factor).run()
+        return set(zip(a.tolist(), b.tolist(), strict=True))
+
+    want = found(1.0)
+    return next((f for f in FACTORS if len(found(f) & want) >= RECALL * len(want)), 1.0)
+
+
 def ready(vectors: DataFrame) -> DataFrame:
     good = usable() & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
     return vectors.filter(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -199,8 +214,11 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF_ROW
     return ready(vectors).mapInArrow(run, "dims int, n int, tree binary")
 
 
-def search(trees: DataFrame, queries: DataFrame, k: int, factor: float = FACTOR) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of each of ``queries(vec_id, embedding)``; ``trees`` is a written index."""
+def search(trees: DataFrame, queries: DataFrame, k: int, factor: float | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest found of each of ``queries(vec_id, embedding)``; ``trees`` is a written index.
+
+    Without a ``factor`` each shard gets its own by ``factor_for``.
+    """
     spark, queries = trees.sparkSession, ready(queries)
     blocks = -(-queries.count() // BLOCK)
     found = spark.createDataFrame([], HITS)
@@ -215,7 +233,8 @@ def search(trees: DataFrame, queries: DataFrame, k: int, factor: float = FACTOR)
             for batch in batches:
                 for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if n in shared.value:
-                        got = Search(pickle.loads(raw), *shared.value[n], k, factor).run()
+                        tree = pickle.loads(raw)
+                        got = Search(tree, *shared.value[n], k, factor or factor_for(tree, *shared.value[n], k)).run()
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["query_id", "vec_id", "score"])
 
         found = found.union(trees.select("dims", "tree").mapInArrow(run, HITS))

@@ -93,3 +93,18 @@ def test_recall(spark, sf):
         best = set(ids[np.lexsort((ids, -s))[:20]].tolist())
         hits, total = hits + len(best & found[q]), total + 20
     assert hits / total >= 0.95
+
+
+@pytest.mark.parametrize("dims", [3, 6, 8, 12, 24, 64])
+def test_recall_at_low_intrinsic_dimension(spark, dims):
+    rnd = np.random.default_rng(dims)
+    x = rnd.standard_normal((4000, dims)) @ rnd.standard_normal((dims, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    v = table(spark, list(enumerate(x.tolist()))).coalesce(1)
+    found = {}
+    for r in ann.search(cut(ann.index(v), "trees"), v.filter("vec_id % 20 = 0"), 20).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    s = x[::20].astype(float) @ x.T.astype(float)
+    s[np.arange(len(s)), np.arange(0, len(x), 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert sum(len(found[20 * i] & set(b.tolist())) for i, b in enumerate(best)) / best.size >= 0.9
