@@ -40,6 +40,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Up to this size a bucket gives all its links, beyond it a spanning forest of them.
 SMALL_BUCKET = 24
 HOT_BUCKET = 100_000
+#: The column of row numbers while rows are deduplicated.
+ROW = "__row"
 #: Shingles whose bits are held at a time, so that a very long text needs no more memory.
 BLOCK = 255 * 256
 
@@ -224,11 +226,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BIT
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` without all but the smallest id of each component; of repeated rows of that id, one."""
-    found = cut(near_duplicates(docs, shingle, most), "components")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    out = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    return out if kept.filter("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each component: that of the smallest id, null ids last, and of repeated ids the first.
+
+    Rows are told apart by a number that is written with them, so neither null nor repeated ids matter.
+    """
+    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), shingle, most).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("root"))
+    return survivors(rows, found)
+
+
+def survivors(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The best row of each root of ``found(row, root)``, without its number."""
+    i = F.col("doc_id").cast("long")
+    best = rows.select(ROW, i.alias("doc_id")).join(found, ROW).groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", ROW)).alias("best"))
+    return rows.join(best.select(F.col("best")[ROW].alias(ROW)), ROW, "left_semi").drop(ROW)
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

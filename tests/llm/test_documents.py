@@ -268,6 +268,14 @@ def test_deduplicate_keeps_one(awkward, empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_by_text_whatever_the_ids(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[3]), (None, texts[3]), (8, texts[4]), (None, texts[4]), (5, texts[4]), (9, texts[5])]
+    kept = simhash.deduplicate(cut(spark.createDataFrame(rows, "doc_id long, text string"), "docs")).collect()
+    want = [(None, 0), (None, 1), (7, 2), (7, 3), (5, 4), (9, 5)]
+    assert sorted((texts.index(r["text"]), r["doc_id"] or 0) for r in kept) == [(t, i or 0) for i, t in want]
+
+
 # ---- languages ---------------------------------------------------------------------------------
 
 
