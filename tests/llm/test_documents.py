@@ -276,6 +276,19 @@ def test_deduplicate_by_text_whatever_the_ids(spark):
     assert sorted((texts.index(r["text"]), r["doc_id"] or 0) for r in kept) == [(t, i or 0) for i, t in want]
 
 
+def test_deduplicate_by_similarity_of_five_words(spark):
+    rnd, rows = np.random.default_rng(4), []
+    for i in range(40):
+        words = [f"w{x}" for x in rnd.integers(0, 5000, 200)]
+        other = lambda n, i=i, words=words: " ".join(f"other{i}" if n and k % (190 // n) == 10 and k // (190 // n) < n else w for k, w in enumerate(words))
+        rows += [(10 * i, other(0)), (10 * i + 1, other(4)), (10 * i + 2, other(5))]  # 176 of 216 shingles and 171 of 221 in common with the first
+    sets = [simhash.shingles(t.encode(), 5) for _, t in rows]
+    similarity = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert all(similarity(sets[i], sets[i + 1]) >= 0.8 > max(similarity(sets[i], sets[i + 2]), similarity(sets[i + 1], sets[i + 2])) for i in range(0, len(sets), 3))
+    kept = simhash.deduplicate(cut(spark.createDataFrame(rows, "doc_id long, text string"), "docs"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in rows if i % 10 != 1)
+
+
 # ---- languages ---------------------------------------------------------------------------------
 
 
