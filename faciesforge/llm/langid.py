@@ -41,8 +41,11 @@ NGRAM = 4
 #: Cost of a step to shorter n-grams, and of an n-gram that no language knows.
 BACKOFF, UNKNOWN = float(np.log(0.4)), -14.0
 #: A text whose confidence is below so many times chance (one in the number of languages) is in none of them:
-#: the model knows hardly a word or n-gram of it. Anything else is kept, however short.
+#: the model knows hardly a word or n-gram of it.
 ACCEPT = 1.12
+#: A text is also in none of them if the model knows less than this part of the share of words that it should know
+#: of a new text of that language. The floor rises from none at the first length in words to all of it at the second.
+FIT, FIT_WORDS = 0.35, (5, 20)
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers beside the model's, and texts scored together.
 MEMO_WORDS, BATCH = 100_000, 64
@@ -62,14 +65,16 @@ class Model:
     #: Log frequency in each language, a row for each word and each n-gram.
     word_rows: np.ndarray
     gram_rows: np.ndarray
+    #: The share of words of a new text that the model should know, for each language.
+    coverage: np.ndarray
     #: Tells models apart in a worker that has met several.
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def model_of(languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]) -> Model:
+def model_of(languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], coverage: list[float] | None = None) -> Model:
     """From the log frequencies of each word and n-gram."""
     rows = lambda d: np.stack([*d.values()]) if d else np.empty((0, len(languages)))
-    return Model(languages, list(words), list(grams), rows(words), rows(grams))
+    return Model(languages, list(words), list(grams), rows(words), rows(grams), np.array(coverage if coverage is not None else [0.0] * len(languages)))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,12 +107,17 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     counts = cut(counts, "language-counts")
     langs = sorted(sizes)
     tables: list[dict[str, np.ndarray]] = [{}, {}]
+    # words that occur once are as frequent as words not met yet (Good and Turing); those beyond the model's are unknown too
+    met = {r[0]: (r[1], r[2]) for r in counts.filter("kind = 0").groupBy("lang").agg(F.sum("n"), F.count_if(F.col("n") == 1)).collect()}
+    coverage = [0.0] * len(langs)
     for kind, most in ((0, MODEL_WORDS), (1, MODEL_GRAMS)):
         for i, lang in enumerate(langs):
             top = counts.filter((F.col("kind") == kind) & (F.col("lang") == lang)).select("item", "n").orderBy(F.desc("n"), "item").limit(most)
             got = {r[0]: r[1] for r in top.collect()}
             if kind == 0:
                 total = sum(got.values())
+                if total:
+                    coverage[i] = max(0.0, (total - met[lang][1]) / met[lang][0])
                 per = dict.fromkeys(got, total)
             else:
                 by = Counter()
@@ -122,7 +132,7 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             low = np.where(np.isnan(low), UNKNOWN, low) - np.log(2)
             for item, x in known.items():
                 known[item] = np.where(np.isnan(x), low, x)
-    return model_of(langs, *tables)
+    return model_of(langs, *tables, coverage)
 
 
 class Scorer:
@@ -157,8 +167,8 @@ class Scorer:
         sums = np.add.reduceat(self.gram_rows[places], starts, axis=0) + np.array(cost)[:, None]
         return sums / np.diff([*starts, len(places)])[:, None]
 
-    def means(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """The mean score of each text's words in each language, or None if it has none."""
+    def places(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The rows of each text's words; those below the number of known words are known."""
         if len(self.at) > len(self.known) + MEMO_WORDS:
             self.clear()
         at, split, new = self.at, [WORD.findall(t.lower()) if t else [] for t in texts], set()
@@ -168,7 +178,11 @@ class Scorer:
             found = list(new)
             at.update(zip(found, range(len(self.rows), len(self.rows) + len(found)), strict=True))
             self.rows = np.concatenate([self.rows, self.unseen(found)])
-        return [self.rows[np.fromiter(map(at.__getitem__, words), np.int64, len(words))].mean(axis=0) if words else None for words in split]
+        return [np.fromiter(map(at.__getitem__, words), np.int64, len(words)) for words in split]
+
+    def means(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """The mean score of each text's words in each language, or None if it has none."""
+        return [self.rows[p].mean(axis=0) if len(p) else None for p in self.places(texts)]
 
     def answers(self, texts: Iterator[str | None]) -> tuple[list[str], list[float]]:
         """Language and confidence of each text."""
@@ -180,6 +194,20 @@ class Scorer:
                 sure.append(0.0 if best is None else float(1 / np.exp(x - x[best]).sum()))
         return said, sure
 
+    def accepted(self, texts: Iterator[str | None], floor: float) -> list[bool]:
+        """Whether each text is in a learnt language: confidence of ``floor`` or more, and enough known words for its length."""
+        out, texts, (none, full) = [], iter(texts), FIT_WORDS
+        while some := list(islice(texts, BATCH)):
+            for p in self.places(some) if self.model.languages else [()] * len(some):
+                if not len(p):
+                    out.append(False)
+                    continue
+                x = self.rows[p].mean(axis=0)
+                best = int(x.argmax())
+                share = FIT * self.model.coverage[best] * min(1.0, max(0, len(p) - none) / (full - none))
+                out.append(bool(1 / np.exp(x - x[best]).sum() >= floor and (p < len(self.known)).mean() >= share))
+        return out
+
 
 def scorer(model: Model) -> Scorer:
     """The worker's scorer for a model that it got by broadcast."""
@@ -209,14 +237,13 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in a learnt language with ``least`` times chance or more."""
+    """The rows of ``docs``, all columns, whose text is in a learnt language: with ``least`` times chance or more, and of words that the model knows."""
     floor = min(1.0, least / max(1, len(model.languages)))
     shared, i = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said, sure = scorer(shared.value).answers(values(batch.column(i)))
-            yield batch.filter(pa.array([a != UND and x >= floor for a, x in zip(said, sure, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array(scorer(shared.value).accepted(values(batch.column(i)), floor), pa.bool_()))
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -320,6 +320,37 @@ def test_unseen_words_back_off():
     assert s.means(["12"])[0] is None
 
 
+FOREIGN = {
+    "it": "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita ahi quanto a dir qual era e cosa dura esta selva selvaggia e aspra e forte che nel pensier rinova la paura",
+    "fi": "mieleni minun tekevi aivoni ajattelevi lahteani laulamahan saa mua sanelemahan sukuvirtta suoltamahan lajivirtta laulamahan sanat suussani sulavat puhe'et putoelevat kielelleni kerkiavat hampahilleni hajoovat",
+    "pl": "litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił dziś piękność twą w całej ozdobie widzę i opisuję bo tęsknię po tobie",
+    "id": "aku mau hidup seribu tahun lagi kalau sampai waktuku ku mau tak seorang kan merayu tidak juga kau tak perlu sedu sedan itu aku ini binatang jalang dari kumpulannya terbuang",
+    "tr": "korkma sönmez bu şafaklarda yüzen al sancak sönmeden yurdumun üstünde tüten en son ocak o benim milletimin yıldızıdır parlayacak o benimdir o benim milletimindir ancak",
+    "nl": "wilhelmus van nassouwe ben ik van duitsen bloed den vaderland getrouwe blijf ik tot in den dood een prinse van oranje ben ik vrij onverveerd den koning van hispanje heb ik altijd geëerd",
+    "vi": "trăm năm trong cõi người ta chữ tài chữ mệnh khéo là ghét nhau trải qua một cuộc bể dâu những điều trông thấy mà đau đớn lòng",
+}
+PLAIN = [
+    "it was a bright cold day in april and the clocks were striking thirteen as the old man walked slowly home",
+    "es war einmal ein kleines haus am rande des waldes in dem eine alte frau mit ihrer katze wohnte",
+    "le petit chat dort sur la table de la cuisine pendant que la pluie tombe dehors",
+    "la casa vieja estaba cerca del rio y los niños jugaban todas las tardes en la calle",
+    "and the",
+    "ja",
+]
+
+
+def test_language_stage_drops_what_is_in_no_learnt_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.learn(langid.training_rows(docs))
+    rnd = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    gibberish = [" ".join("".join(rnd.choice(letters, rnd.integers(2, 10))) for _ in range(n)) for n in (50, 500) for _ in range(30)]
+    texts = [*FOREIGN.values(), *gibberish, *PLAIN]
+    made = cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "made")
+    assert {r["text"] for r in langid.accept(made, model).collect()} == set(PLAIN)
+    assert langid.accept(docs, model).count() >= 0.999 * docs.count()
+
+
 # ---- quality ------------------------------------------------------------------------------------
 
 
