@@ -81,8 +81,7 @@ def solved_shifts(spark, d):
 
 @query
 def delaunay_edges(spark, d):
-    cells = grid.assign(views.wells(spark, d), 120.0, LAT0)
-    return kernels.delaunay_edges(cells.select(F.col("cell_id").alias("tile"), F.col("well_id").alias("id"), "x", "y"))
+    return kernels.delaunay_edges(grid.assign(views.wells(spark, d), CELL_KM, LAT0).select(F.col("well_id").alias("id"), "x", "y"))
 
 
 @query

@@ -132,3 +132,16 @@ def test_stitching_recovers_an_affine_map():
     pairs = [("a", "b", x, 2 * x - 1, 1.0) for x in np.linspace(0, 10, 50)]
     a, b = solve.stitch(["a", "b"], pairs, "a", 1e-9, 1e-9)["b"]
     assert np.isclose(a, 0.5, atol=1e-4) and np.isclose(b, 0.5, atol=1e-3)
+
+
+def test_triangulation_query_takes_all_wells_at_once(spark):
+    from faciesforge.operators import grid
+    from faciesforge.plans import kernel_queries, views
+
+    w = grid.assign(views.wells(spark, "/root/testdata/sf0.001"), 20.0, 38.5).select("well_id", "x", "y").toPandas().sort_values("well_id", ignore_index=True)
+    x, y, ids = w.x.to_numpy(), w.y.to_numpy(), w.well_id.to_numpy()
+    found = {(r["src"], r["dst"]) for r in kernel_queries.delaunay_edges(spark, "/root/testdata/sf0.001").collect()}
+    assert found == {(ids[a], ids[b]) for a, b in greedy.delaunay(x, y)}
+    empty = lambda a, b: not ((x - (x[a] + x[b]) / 2) ** 2 + (y - (y[a] + y[b]) / 2) ** 2 < ((x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2) / 4 * (1 - 1e-9)).any()
+    gabriel = {(ids[a], ids[b]) for a, b in combinations(range(len(ids)), 2) if empty(a, b)}
+    assert len(gabriel) >= len(ids) - 1 and gabriel <= found  # edges whose own circle is empty are in every triangulation
