@@ -14,7 +14,8 @@ capacity and not by the corpus.
 
 Defined results: a null text is an empty document, which is the end id alone; documents of
 equal id are packed one by one, each row for itself; an empty table gives no rows; a null
-id stays null; other columns are ignored, whatever their names.
+id stays null; other columns of documents are ignored, whatever their names, and those of
+items (``pack``) are kept.
 """
 
 from __future__ import annotations
@@ -24,17 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import bounded_batches, cut, table, values
-from .tokens import MEMO_ENTRIES, encoder
+from .tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces of one length that are numbered in one window; more are dealt to more buckets.
-BUCKET_ROWS = 200_000
 #: Pieces that a worker gathers before it hands them on.
 OUT_ROWS = 4_000
 
@@ -48,11 +48,14 @@ def cut_points(n: int, capacity: int) -> list[int]:
     return [0, *range(n % capacity or capacity, n, capacity)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False, memo: int = MEMO_ENTRIES) -> DataFrame:
-    """(doc_id, text) to pieces of at most ``capacity`` ids, with their checksum and, if asked for, the ids."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False, specials: bool = True, number: bool = False) -> DataFrame:
+    """(doc_id, text) to pieces of at most ``capacity`` ids, with their checksum and, if asked for, the ids and the numbers that packing needs.
+
+    ``specials``: the tokenizer's special strings in a text are their ids, as the library has it; else they are ordinary text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer, memo), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, specials=specials), np.array([end_id], "<u4").tobytes()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         n = 6 if keep_ids else 5
@@ -75,7 +78,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int
             yield out(rows)
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
+    schema = PIECES + (", ids binary" if keep_ids else "")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    if number:
+        return docs.mapInArrow(lambda batches: numbered(run(batches), "__part", "__place"), schema + ", __part int, __place long")
+    return docs.mapInArrow(run, schema)
 
 
 def fullest(counts: np.ndarray, lengths: list[int], room: int) -> dict[int, int]:
@@ -134,50 +141,70 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return out[np.lexsort((out[:, 1], out[:, 0]))], bins
 
 
-def ranked(items: DataFrame, order: list[str]) -> DataFrame:
-    """``items`` with ``rank``, from 0 without gaps within each length.
+def numbered(batches: Iterator[pa.RecordBatch], part: str, place: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a task with its number and their rank among its rows of the same length.
 
-    Rows of one length, which may be most of all rows, are dealt to buckets by a hash; each
-    bucket is numbered on its own and shifted by what the buckets before it hold.
+    Tasks count for themselves, so that no length, however frequent, is gathered anywhere.
     """
-    buckets = max(1, -(-items.count() // BUCKET_ROWS))
-    items = items.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = items.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
-    place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order)) - 1
-    return items.withColumn("place", place).join(shift, ["length", "bucket"]).withColumn("rank", F.col("place") + F.col("shift")).drop("place", "shift", "bucket")
-
-
-def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
-    """Rows with a ``length`` from 1 to ``capacity`` get ``sequence_id`` and ``offset``.
-
-    ``items`` is read several times and should be a written table; ``order`` names columns
-    that tell its rows apart.
-    """
-    histogram = {r[0]: r[1] for r in items.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    met, task = np.zeros(1, np.int64), TaskContext.get().partitionId()
+    for batch in batches:
+        length = batch.column(batch.schema.get_field_index("length")).to_numpy()
+        if len(length) and length.max() >= len(met):
+            met = np.r_[met, np.zeros(int(length.max()) + 1 - len(met), np.int64)]
+        order = np.argsort(length, kind="stable")
+        first = np.r_[True, length[order][1:] != length[order][:-1]] if len(order) else np.empty(0, bool)
+        run = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = run
+        rank += met[length]
+        met += np.bincount(length, minlength=len(met))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(order), task, np.int32)), pa.array(rank)], [*batch.schema.names, part, place])
+
+
+def fields_of(frame: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+
+
+def private(columns: list[str], name: str) -> str:
+    """A name that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Rows with a ``length`` from 1 to ``capacity`` get ``sequence_id`` and ``offset``; columns of these names are replaced, all others kept."""
+    part, place = private(items.columns, "__part"), private(items.columns, "__place")
+    return _placed(cut(items.mapInArrow(lambda batches: numbered(batches, part, place), f"{fields_of(items)}, `{part}` int, `{place}` long"), "items"), part, place, capacity)
+
+
+def _placed(items: DataFrame, part: str, place: str, capacity: int) -> DataFrame:
+    """Pack a written table of numbered rows."""
+    counts = cut(items.groupBy("length", part).agg(F.count("*").alias("n")), "lengths", few_files=True)
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most ``capacity`` rows
     rows, _ = plan(histogram, capacity)
     stride = 1 << 44
     keys = rows[:, 0] * stride + rows[:, 1]
-    fields = [f for f in items.schema.fields if f.name not in ("sequence_id", "offset")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = [c for c in items.columns if c not in (part, place, "sequence_id", "offset")]
+    rank = private(items.columns, "__rank")
+    # the pieces of this length in the tasks before: a row for each task and length, so that a frequent length is many keys
+    before = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("length", part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(rank))
+    ranked = items.join(shift.hint("merge"), ["length", part]).select(*[F.col(f"`{c}`") for c in kept], (F.col(rank) + F.col(place)).alias(rank))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            at = rows[np.searchsorted(keys, length * stride + rank, "right") - 1] if len(rows) else rows
-            kept = [batch.column(batch.schema.get_field_index(f.name)) for f in fields]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(at[:, 2] + rank - at[:, 1]), pa.array(at[:, 4])], [*(f.name for f in fields), "sequence_id", "offset"])
+            length, at_rank = batch.column(batch.schema.get_field_index("length")).to_numpy(), batch.column(len(kept)).to_numpy()
+            at = rows[np.searchsorted(keys, length * stride + at_rank, "right") - 1] if len(rows) else rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(at[:, 2] + at_rank - at[:, 1]), pa.array(at[:, 4])], [*kept, "sequence_id", "offset"])
 
-    return ranked(items, order).mapInArrow(place, schema)
+    return ranked.mapInArrow(put, f"{fields_of(ranked.drop(rank))}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False, memo: int = MEMO_ENTRIES) -> DataFrame:
-    """Tokenise whole documents, cut the long ones and pack all pieces. The texts are read once.
-
-    ``memo``: words that a worker remembers (times two, about 200 bytes each); results are the same.
-    """
-    items = cut(pieces(docs, tokenizer, end_id, capacity, keep_ids, memo), "pieces")
-    return pack(items, ["doc_id", "piece", "start", "ids_crc32"], capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False, specials: bool = True) -> DataFrame:
+    """Tokenise whole documents, cut the long ones and pack all pieces. The texts are read once."""
+    return _placed(cut(pieces(docs, tokenizer, end_id, capacity, keep_ids, specials, True), "pieces"), "__part", "__place", capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -189,4 +216,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
-    return pack_documents(table(spark, sf_dir, "documents"), path(TOKENIZER), memo=450_000)
+    return pack_documents(table(spark, sf_dir, "documents"), path(TOKENIZER))

@@ -1,23 +1,26 @@
 """Exact subword ids for whole texts, at the speed of a word memo.
 
 The two pre-tokenizers used here never let a token run from a non-space character into
-white space, nor from a letter into an ASCII character that is none. So a text may be cut
-before every run of ASCII white space that follows something else and after the ASCII
-letter that ends a run of letters, and the pieces encoded on their own. Natural text repeats
-its words, so each worker remembers the ids of words (text between spaces) and of their
-pieces (both bounded) and hands only new pieces to the tokenizer. Texts with other Unicode
-white space, where a run could mix both kinds, are encoded whole, and so, where white space
-is kept, are those with runs of it before a space. Words of a group of texts are told apart
-and laid out again by Arrow and NumPy, so that each different one costs Python once. Either way the ids are
-those of encoding the whole text at once.
+white space, so a text may be cut before every space that stands alone and the words encoded
+on their own. Natural text repeats its words, so each worker remembers the ids of those it
+has met. Arrow tells the words of a group of texts apart, together with the remembered ones,
+in one dictionary; only words that are new reach the tokenizer, many at once, and NumPy lays
+the ids of all words out again. Texts where words cannot be told by their spaces (other
+Unicode white space, or runs of white space where it is kept) go to the tokenizer as they
+are, in stretches that end where a cut is safe.
+
+Special strings of the vocabulary that occur in a text are their own ids, as the library has
+it; ``specials=False`` makes them ordinary text. Either way the ids are those of encoding the
+whole text at once.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,60 +28,96 @@ import pyarrow.compute as pc
 
 from ._util import held
 
-#: Pieces of a word, for a vocabulary that keeps white space and for one that drops it.
-KEEPING = re.compile(rb"[\t-\r ]*(?:[A-Za-z\x80-\xff]*[A-Za-z](?![A-Za-z\x80-\xff])|[^\t-\r ]+)|[\t-\r ]+")
-DROPPING = re.compile(rb"[A-Za-z\x80-\xff]*[A-Za-z](?![A-Za-z\x80-\xff])|[^\t-\r ]+")
-OTHER_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0                　"
-RUNS = tuple(a + b" " for a in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
-WHITE = frozenset(b"\t\n\x0b\x0c\r ")
-SEPARATOR = "\N{BLUE HEART}".encode()
-#: Entries of each of the memo's two generations, about 200 bytes each, and the longest key it keeps.
-MEMO_ENTRIES, MEMO_BYTES = 120_000, 64
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+RUNS = re.compile(rb"[\t-\r ] ")
+WHITE_END = "[\\t-\\r ]$"
+#: A space where any text may be cut.
+SAFE = re.compile("(?<=[!-~]) (?=[!-~])")
+SEPARATOR = "\N{BLUE HEART}"
+#: Words that the memo keeps, about 40 bytes each, and the longest of them.
+MEMO_ENTRIES, MEMO_BYTES = 600_000, 64
 #: Bytes of text that are encoded together (or one longer text).
-GROUP_BYTES = 5_000_000
-#: New pieces that go to the tokenizer as one text; its result takes some hundred bytes for each of its characters.
-RUN_PIECES = 4_000
-#: Stands before what no space precedes: a text's first word, a later piece of a word.
-FIRST = b"\x02"
-
-
-def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+GROUP_BYTES = 8_000_000
+#: Words that go to the tokenizer as one text, and characters of a stretch; a result takes some hundred bytes for each id.
+RUN_WORDS, STRETCH = 2_000, 1 << 16
+#: Stands before a text's first word, which no space precedes.
+FIRST = "\x02"
+NO_IDS = np.empty(0, "<u4")
 
 
 class Memo:
-    """A bounded mapping. What is asked for again outlives the rest: when the young generation is
-    full it becomes the old one, and the old one goes, but for what has been moved up by then."""
+    """Words with their ids: word ``i`` has ``length[i]`` of them, one word's after the other's."""
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.now = most, 0
+        self.words, self.ids = pa.array([], pa.string()), NO_IDS
+        self.length, self.uses, self.last = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def lay(self, words: pa.Array, new: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, one word's after the other's, and how many each has; ``new`` tells those of different words not held."""
+        before = len(self.words)
+        coded = pa.concat_arrays([self.words, words]).dictionary_encode()
+        ids, length = new(coded.dictionary.slice(before))
+        ids, length = np.concatenate([self.ids, ids]), np.r_[self.length, length]
+        word = coded.indices.to_numpy()[before:]
+        out = ids[spread(np.cumsum(length) - length, length, word)], length[word]
+        self.keep(coded.dictionary, ids, length, np.bincount(word, minlength=len(length)))
+        return out
+
+    def keep(self, words: pa.Array, ids: np.ndarray, length: np.ndarray, uses: np.ndarray) -> None:
+        """Take over a group's dictionary, which begins with the words held before. When there are
+        too many, words met once go first, then those not met for longest."""
+        self.now += 1
+        before = len(self.uses)
+        self.last = np.where(uses > 0, self.now, np.r_[self.last, np.zeros(len(uses) - before, np.int64)])
+        uses = uses + np.r_[self.uses, np.zeros(len(uses) - before, np.int64)]
+        short = pc.binary_length(words).to_numpy() <= MEMO_BYTES
+        if len(words) > self.most:
+            rank = self.last + (uses > 1) * 8
+            bar = np.partition(rank[short], -min(self.most // 2, int(short.sum())))[-min(self.most // 2, int(short.sum()))] if short.any() else 0
+            short &= rank > bar if (rank[short] > bar).any() else np.arange(len(short)) < self.most // 2
+        if not short.all():
+            at = np.flatnonzero(short)
+            ids = ids[spread(np.cumsum(length) - length, length, at)]
+            words, length, uses, self.last = words.take(pa.array(at)), length[at], uses[at], self.last[at]
+        self.words, self.ids, self.length, self.uses = words, ids, length, uses
 
-    def turn(self) -> None:
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
 
-    def revive(self, key: bytes) -> bytes | None:
-        value = self.old.get(key)
-        if value is not None:
-            self.young[key] = value
-        return value
+def spread(start: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The places of the ids of these words, one word's after the other's."""
+    counts = length[which]
+    ends = np.cumsum(counts)
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(n, len(start) and int(start[-1])) < 2**30 else np.int64
+    out = np.repeat((start[which] - (ends - counts)).astype(kind), counts)
+    out += np.arange(n, dtype=kind)
+    return out
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES, specials: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens") or []
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # texts are cut at special strings before
+        self.specials = specials
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.model._resize_cache(0)  # the memos stand in for it
+        self.tokenizer.model._resize_cache(0)  # the memo stands in for it
         self.memo = Memo(entries)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         most = max(self.tokenizer.get_vocab().values()) + 1
+        #: Special strings that end a stretch of text, with their ids; any text that may hold others is left to the library.
+        plain = {a["content"]: a["id"] for a in added if specials and not any(a[k] for k in ("single_word", "lstrip", "rstrip", "normalized"))}
+        rest = [a["content"].lower() for a in added if a["content"] not in plain and not (a["special"] and not specials)]
+        self.special = {c.encode(): np.array([i], "<u4").tobytes() for c, i in plain.items()}
+        self.marks = re.compile(b"(" + b"|".join(re.escape(c) for c in sorted(self.special, key=len, reverse=True)) + b")") if plain else None
+        self.others = [c.encode() for c in rest]
         #: White space is kept and each id stands for so many bytes; or it is dropped, ends of words
         #: are marked in the vocabulary, and a separator word has an id of its own.
         self.keeps = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
@@ -87,62 +126,79 @@ class Encoder:
             self.length[list(vocab.values())] = [len(t) for t in vocab]
         else:
             self.ends[list(vocab.values())] = [t.endswith("</w>") for t in vocab]
-            own = self._direct([SEPARATOR.decode()])[0]
-            self.mark = int.from_bytes(own, "little") if len(own) == 4 else None
+            own = self._direct([SEPARATOR])[0]
+            self.mark = int(own[0]) if len(own) == 1 else None
 
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _at_once(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
+    def _joined(self, words: pa.Array, before: str, between: str) -> np.ndarray:
+        """The ids of words that stand one after another, in runs of some thousand."""
+        offsets = pa.array(np.r_[np.arange(0, len(words), RUN_WORDS), len(words)], pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(offsets, words), between)
+        out = []
+        for text in texts:
+            out += self._direct([before + text.as_py()])
+            if between.strip():  # the runs are told apart like the words in them
+                out.append(np.array([self.mark], "<u4"))
+        return np.concatenate(out) if out else NO_IDS
 
-    def _runs(self, pieces: list[bytes], letters: bool = False) -> dict[bytes, bytes]:
-        """Ids of pieces that were encoded together and told apart afterwards, without those where that fails."""
-        out: dict[bytes, bytes] = {}
-        for i in range(0, len(pieces), RUN_PIECES):
-            out.update(self._run(pieces[i : i + RUN_PIECES], letters))
-        return out
+    def _one_by_one(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = []
+        for i in range(0, len(words), RUN_WORDS):
+            some = words.slice(i, RUN_WORDS).to_pylist()
+            parts += self._direct([w[1:] if w[:1] == FIRST else " " + w for w in some] if self.keeps else some)
+        return (np.concatenate(parts) if parts else NO_IDS), np.array([len(p) for p in parts], np.int64)
 
-    def _run(self, pieces: list[bytes], letters: bool) -> dict[bytes, bytes]:
+    def _together(self, words: pa.Array, letters: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words that are encoded together and told apart afterwards; None where that fails."""
         if self.keeps:
-            ids = self._at_once(b"".join(pieces))
-            ends, at = np.cumsum(self.length[ids]), np.cumsum([len(c) for c in pieces])
+            ids = self._joined(words, " ", " ")
+            ends, at = np.cumsum(self.length[ids]), np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
             last = np.searchsorted(ends, at)
-            good, first = last[-1] < len(ends) and bool((ends[np.minimum(last, len(ends) - 1)] == at).all()), np.r_[0, last[:-1] + 1]
-        elif letters:  # one word each
-            ids = self._at_once(b" ".join(pieces))
+            if not len(ends) or last[-1] != len(ends) - 1 or (ends[last] != at).any():
+                return None
+            return ids, np.diff(np.r_[-1, last])
+        if letters:  # one word each
+            ids = self._joined(words, "", " ")
             last = np.flatnonzero(self.ends[ids])
-            good, first = len(last) == len(pieces), np.r_[0, last[:-1] + 1]
-        elif self.mark is not None:
-            ids = self._at_once((b" " + SEPARATOR + b" ").join(pieces))
-            marks = np.flatnonzero(ids == self.mark)
-            good, first, last = len(marks) == len(pieces) - 1, np.r_[0, marks + 1], np.r_[marks, len(ids)] - 1
-        else:
-            return {}
-        if not good:
-            return {}
-        raw = ids.tobytes()
-        return dict(zip(pieces, [raw[a:b] for a, b in zip((4 * first).tolist(), (4 * last + 4).tolist(), strict=True)], strict=True))
-
-    def _new(self, keys: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces met for the first time, by their keys."""
-        if self.keeps:
-            literal = [k[1:] if k[:1] == FIRST else b" " + k for k in keys]
-            out = self._runs([c for c in literal if c[0] in WHITE and c[-1] not in WHITE])
+            return (ids, np.diff(np.r_[-1, last])) if len(last) == len(words) and last[-1] == len(ids) - 1 else None
+        if self.mark is None:
+            return None
+        ids = self._joined(words, "", f" {SEPARATOR} ")
+        mark = ids == self.mark
+        at = np.flatnonzero(mark)
+        return (ids[~mark], np.diff(np.r_[-1, at]) - 1) if len(at) == len(words) else None
+
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words met for the first time, one word's after the other's, and how many each has."""
+        n = len(words)
+        if self.keeps:  # a text's first word, and what ends in white space, stands alone
+            alone = pc.or_(pc.starts_with(words, FIRST), pc.or_(pc.equal(pc.binary_length(words), 0), pc.match_substring_regex(words, WHITE_END)))
+            kinds = [np.flatnonzero(alone.to_numpy(zero_copy_only=False)), np.flatnonzero(~alone.to_numpy(zero_copy_only=False)), np.empty(0, np.int64)]
         else:
-            literal, letters, mixed = keys, [], []
-            for c in keys:
-                (letters if c.isalpha() or not c.isascii() and c.decode().isalpha() else mixed).append(c)
-            out = self._runs(letters, True) | self._runs(mixed)
-        rest = [c for c in literal if c not in out]
-        out.update(zip(rest, self._direct([c.decode() for c in rest]), strict=True))
-        return dict(zip(keys, map(out.__getitem__, literal), strict=True)) if self.keeps else out
+            alone, letters = (m.to_numpy(zero_copy_only=False) for m in (pc.match_substring(words, SEPARATOR), pc.utf8_is_alpha(words)))
+            kinds = [np.flatnonzero(alone), np.flatnonzero(letters), np.flatnonzero(~letters & ~alone)]
+        ids, length, order = [], [], []
+        for kind, which in enumerate(kinds):
+            if len(which):
+                some = words.take(pa.array(which))
+                got = (self._together(some, kind == 1) if kind else None) or self._one_by_one(some)
+                ids.append(got[0])
+                length.append(got[1])
+                order.append(which)
+        if not order:
+            return NO_IDS, np.empty(0, np.int64)
+        ids, length, order = np.concatenate(ids), np.concatenate(length), np.concatenate(order)
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        return ids[spread(np.cumsum(length) - length, length, back)], length[back]
 
     def _ready(self, raw: bytes) -> bytes | None:
-        """A text whose words can be told by its spaces alone; None if it has to be encoded whole."""
+        """A text whose words can be told by its spaces alone; None if it goes to the library as it is."""
         if not raw.isascii():
             text = raw.decode()
-            if any(c in text for c in OTHER_SPACE):
+            if OTHER_SPACE.search(text):
                 return None
             if not self.keeps:  # lower case before or after composing is the same where nothing is composed
                 low = raw.lower()
@@ -151,41 +207,30 @@ class Encoder:
             return None
         if not self.keeps:
             return raw.lower()
-        return None if FIRST in raw or any(r in raw for r in RUNS) else FIRST + raw
+        return None if b"\x02" in raw or RUNS.search(raw) else b"\x02" + raw
 
-    def _split(self, word: bytes) -> list[bytes]:
-        """The keys of a word's pieces. Where white space is kept, a word and a piece stand for
-        themselves with a space before, or, after ``FIRST``, for themselves alone."""
-        if word.isalpha():  # ASCII letters alone
-            return [word]
-        if self.keeps:
-            found = KEEPING.findall(word[1:] if word[:1] == FIRST else b" " + word)
-            return [c[1:] if c[0] == 32 and c[1:2] != FIRST else FIRST + c for c in found]
-        return DROPPING.findall(word)
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of different words."""
-        memo = self.memo
-        memo.turn()
-        known, got = memo.young, list(map(memo.young.get, words))
-        unseen = []
-        for i in [i for i, ids in enumerate(got) if ids is None]:
-            got[i] = memo.revive(words[i])
-            if got[i] is None:
-                unseen.append(i)
-        parts = [self._split(words[i]) for i in unseen]
-        new = self._new([c for c in set().union(*parts).difference(known) if memo.revive(c) is None])
-        long = {c: ids for c, ids in new.items() if len(c) > MEMO_BYTES}
-        known.update({c: ids for c, ids in new.items() if len(c) <= MEMO_BYTES} if long else new)
-        part = known.__getitem__ if not long else lambda c: long[c] if c in long else known[c]
-        for i, split in zip(unseen, parts, strict=True):
-            if len(split) == 1:
-                got[i] = part(split[0])
-            else:
-                got[i] = b"".join(map(part, split))
-                if len(words[i]) <= MEMO_BYTES:
-                    known[words[i]] = got[i]
-        return got
+    def _stretches(self, text: str) -> list[str]:
+        """A text cut where that changes no id, so that no part has to be much longer than ``STRETCH``."""
+        out, at = [], 0
+        while len(text) - at > STRETCH:
+            cut = SAFE.search(text, at + STRETCH)
+            if cut is None:
+                break
+            out.append(text[at : cut.start()])
+            at = cut.start()
+        return [*out, text[at:]]
+
+    def _odd(self, raw: bytes) -> bool:
+        """Whether a text may hold an added string of another kind, which only the library can tell."""
+        return bool(self.others) and any(c in raw.lower() for c in self.others)
+
+    def _whole(self, raw: bytes) -> bytes:
+        if self._odd(raw):
+            self.tokenizer.encode_special_tokens = not self.specials
+            ids = self._direct([raw.decode()])[0].tobytes()
+            self.tokenizer.encode_special_tokens = True
+            return ids
+        return b"".join(self._direct([part])[0].tobytes() for part in self._stretches(raw.decode()))
 
     def encoded(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
         """One result for each UTF-8 text (none: empty), a group of texts at a time."""
@@ -204,28 +249,30 @@ class Encoder:
         return list(self.encoded(texts))
 
     def _group(self, texts: list[bytes]) -> list[bytes]:
-        ready = [self._ready(raw) for raw in texts]
-        whole = [raw.decode() for raw, r in zip(texts, ready, strict=True) if r is None]
-        direct = iter(self._direct(whole)) if whole else iter(())
+        marked = [i for i, raw in enumerate(texts) if self.marks and self.marks.search(raw)]
+        if not marked:
+            return self._plain(texts)
+        split = {i: self.marks.split(texts[i]) for i in marked}  # special strings stand at odd places
+        parts = iter(self._plain([p for i, raw in enumerate(texts) for p in (split[i][::2] if i in split else [raw])]))
+        out = []
+        for i in range(len(texts)):
+            if i in split:
+                out.append(b"".join(self.special[p] if k % 2 else next(parts) for k, p in enumerate(split[i])))
+            else:
+                out.append(next(parts))
+        return out
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts without special strings."""
+        ready = [None if self._odd(raw) else self._ready(raw) for raw in texts]
         array = pa.array([r for r in ready if r is not None], pa.binary()).cast(pa.string())
         lists = pc.split_pattern(array, " ") if self.keeps else pc.ascii_split_whitespace(array)
-        coded = lists.flatten().dictionary_encode()
-        ids = self._ids(coded.dictionary.cast(pa.binary()).to_pylist())
-        # each word's ids, laid end to end in the order of the texts
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        word = coded.indices.to_numpy()
-        counts = length[word]
-        ends = np.cumsum(counts)
-        n = int(ends[-1]) if len(ends) else 0
-        kind = np.int32 if n < 2**31 else np.int64
-        at = np.repeat(((np.cumsum(length) - length)[word] - (ends - counts)).astype(kind), counts)
-        at += np.arange(n, dtype=kind)
-        raw = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
-        cuts = (4 * np.r_[0, ends][lists.offsets.to_numpy()]).tolist()
-        mine = iter([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-        return [next(direct) if r is None else next(mine) for r in ready]
-
-
-def encoder(path: str, entries: int = MEMO_ENTRIES) -> Encoder:
+        ids, counts = self.memo.lay(lists.flatten(), self._new)
+        flat, cuts = ids.tobytes(), (4 * np.r_[0, np.cumsum(counts)][lists.offsets.to_numpy()]).tolist()
+        mine = iter([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        return [self._whole(raw) if r is None else next(mine) for raw, r in zip(texts, ready, strict=True)]
+
+
+def encoder(path: str, entries: int = MEMO_ENTRIES, specials: bool = True) -> Encoder:
     """The worker's encoder for a tokenizer file; its memo lives as long as it is the one in use."""
-    return held(("tokenizer", path, entries), lambda: Encoder(path, entries))
+    return held(("tokenizer", path, entries, specials), lambda: Encoder(path, entries, specials))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
+import re
+import struct
 import zlib
+from collections import Counter
 from itertools import groupby
 
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from faciesforge.llm import langid, packing, quality, sentencepiece_fst, sharding, simhash, tokenfile, urls
+from faciesforge.llm import langid, packing, quality, sentencepiece_fst, sharding, simhash, tokenfile, tokens, urls
 from faciesforge.llm._util import cut, scratch_path
 from faciesforge.llm.tokens import Encoder
 
@@ -43,9 +48,7 @@ def empty(spark):
 
 
 def plain_ids(name: str, text: str | None) -> list[int]:
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids) -> int:
@@ -55,14 +58,17 @@ def crc(ids) -> int:
 # ---- exact ids ------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("specials", [True, False])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_word_memo_gives_the_ids_of_whole_texts(name):
+def test_word_memo_gives_the_ids_of_whole_texts(name, specials, monkeypatch):
+    monkeypatch.setattr(tokens, "STRETCH", 40)
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 20_000)
     rnd = np.random.default_rng(3)
-    parts = ["a", "B", "the", " ", "  ", "\n", "\t", "\r\n", ".", ",", "'s", "'", "é", "E\u0301", "J\u030c", "\u00a0", "\u2003", "12", "!", "日本", "<|endoftext|>", "💙", "ß", "İ", "—", "\x1c", "\x02", "Σ", "x" * 80, "don't", "ﬁ", "가", "\u1100\u1161", "_", "\x00"]
+    parts = ["a", "B", "the", " ", "  ", "\n", "\t", "\r\n", ".", ",", "'s", "'", "é", "E\u0301", "J\u030c", "\u00a0", "\u2003", "12", "!", "日本", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "endoftext|>", ">", "\u0338", "💙", "ß", "İ", "—", "\x1c", "\x02", "Σ", "x" * 80, "don't", "ﬁ", "가", "\u1100\u1161", "_", "\x00"]
     texts = ["".join(rnd.choice(parts, rnd.integers(0, 25))) for _ in range(4000)] + [t or "" for _, t, _ in ROWS]
-    got = Encoder(public_tokenizers.path(name)).encode([t.encode() for t in texts])
+    got = Encoder(public_tokenizers.path(name), 500, specials).encode([t.encode() for t in texts])
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not specials
     want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
     assert got == want
 
@@ -136,6 +142,16 @@ def test_packed_sequences_hold_the_ids(awkward):
         assert zlib.crc32(bytes(part)) == r["ids_crc32"]
 
 
+def test_pack_keeps_clashing_columns_and_splits_one_length(spark):
+    names = ["length", "bucket", "place", "shift", "rank", "n", "__part", "__place", "__rank", "sequence_id", "offset"]
+    items = spark.range(0, 3000, 1, 7).select(F.lit(700).cast("long").alias("length"), *[F.lit(i).alias(c) for i, c in enumerate(names) if i])
+    rows = packing.pack(items.union(items.limit(1).withColumn("length", F.lit(5).cast("long")))).collect()
+    assert len(rows) == 3001 and set(rows[0].asDict()) == set(names)
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 3001 and len({r["sequence_id"] for r in rows}) == 1500
+    assert all(r["bucket"] == 1 and r["__part"] == 6 and r["__rank"] == 8 for r in rows)
+    assert {r["offset"] for r in rows if r["length"] == 700} <= {0, 700} and len({r["offset"] for r in rows}) == 3
+
+
 def test_packing_is_near_the_bound(spark):
     rows = packing.op2_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
     bins = len({r["sequence_id"] for r in rows})
@@ -245,6 +261,25 @@ def test_links_lose_nothing(spark, hot):
     assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
 
 
+def test_no_finer_bucket_holds_a_hot_one(spark):
+    rnd = np.random.default_rng(6)
+    f = np.unique(rnd.integers(0, 2**63, 3000, dtype=np.uint64) << np.uint64(21) | np.uint64(12345))  # one first segment
+    f = np.unique(np.r_[f, f[:40] ^ np.uint64(1 << 30 | 1 << 50), f[40:50] ^ np.uint64(0b1111 << 30)])
+    nodes = cut(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long"), "nodes")
+    rows = simhash.variants(nodes).filter("path = 0")
+    sizes = lambda d: max(r["count"] for r in d.groupBy("key").count().collect())
+    assert sizes(rows) == len(f)
+    paths = [simhash.FULL ^ ((1 << n) - 1 << low) for low, n in simhash.SEGMENTS]
+    split, paths = simhash.finer(rows, paths, 5)
+    assert sizes(split) < len(f) / 20 and all(33 <= p.bit_count() <= 36 for p in paths)
+    stars = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes, 4, 64)).collect()}
+    want = plain_components(list(range(len(f))), f)
+    groups: dict = {}
+    for x, w in zip(f.view(np.int64).tolist(), want, strict=True):
+        groups.setdefault(w, set()).add(stars.get(x, x))
+    assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups) < len(f) - 40
+
+
 def test_near_duplicates_awkward(awkward, empty):
     rows = simhash.near_duplicates(awkward).collect()
     texts = sorted(((i is not None, i or 0, t or "") for i, t, _ in ROWS))
@@ -311,6 +346,61 @@ def test_language_awkward(awkward, empty):
     assert kept.columns == awkward.columns and not {2, 3, 4, 8} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_numbers_are_no_letters():
+    model = langid.model_of(["a"], {"wort": np.zeros(1)}, {"w": np.zeros(1)})
+    said, sure = langid.Scorer(model).answers(iter(["\u00b2 \u00bd", "\u2460", "\u2167 12 _", "x\u00b2", "\u4e00", None, ""]))
+    assert said == ["und", "und", "und", "a", "a", "und", "und"] and [s > 0 for s in sure] == [s == "a" for s in said]
+
+
+def plain_language(docs, texts):
+    """Words first, then ever shorter n-grams, straight from the definition."""
+    words, grams = {}, {}
+    split = lambda t: [w for w in re.findall(r"\w+", re.sub(r"[\d_]", " ", t.lower())) if w.isalpha()]
+    for lang, text in docs:
+        for w in split(text):
+            words.setdefault(lang, Counter())[w] += 1
+            for i in range(len(w) + 1):
+                for k in range(1, 5):
+                    if i + k <= len(w) + 2:
+                        grams.setdefault((lang, k), Counter())[f"<{w}>"[i : i + k]] += 1
+    langs = sorted(words)
+    log = lambda c, x: math.log(c[x] / c.total()) if c[x] else None
+    word = {w: [log(words[a], w) for a in langs] for a in langs for w in words[a]}
+    gram = {g: [log(grams[a, len(g)], g) for a in langs] for (a, _), c in grams.items() for g in c}
+    for table in (word, gram):
+        low = [min((v[i] for v in table.values() if v[i] is not None)) - math.log(2) for i in range(len(langs))]
+        for v in table.values():
+            v[:] = [low[i] if x is None else x for i, x in enumerate(v)]
+
+    def score(w):
+        if w in word:
+            return word[w]
+        total, marked = [0.0] * len(langs), f"<{w}>"
+        for i in range(len(w) + 1):
+            g, down = marked[i : i + 4], 0
+            while g not in gram and len(g) > 1:
+                g, down = g[:-1], down + 1
+            total = [t + x + down * math.log(0.4) for t, x in zip(total, gram.get(g, [-14.0] * len(langs)), strict=True)]
+        return [t / (len(w) + 1) for t in total]
+
+    for text in texts:
+        rows = [score(w) for w in split(text)]
+        if not rows:
+            yield "und", 0.0
+            continue
+        mean = [sum(c) / len(rows) for c in zip(*rows, strict=True)]
+        best = max(range(len(langs)), key=lambda i: (mean[i], -i))
+        yield langs[best], 1 / sum(math.exp(m - mean[best]) for m in mean)
+
+
+def test_language_query_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    learnt = [(r["lang"], r["text"]) for r in docs if r["lang"] and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.op9_language_id(spark, "/root/testdata/sf0.001").collect()}
+    for r, (lang, score) in zip(docs, plain_language(learnt, [r["text"] or "" for r in docs]), strict=True):
+        assert got[r["doc_id"]][0] == lang and abs(got[r["doc_id"]][1] - score) < 1e-9
+
+
 def test_unseen_words_back_off():
     x = lambda *v: np.log(np.array(v))
     model = langid.model_of(["a", "b"], {"wort": x(0.9, 0.1)}, {"t": x(0.5, 0.5), "th": x(0.1, 0.9), "<": x(0.5, 0.5)})
@@ -470,8 +560,86 @@ def test_sentencepiece_awkward(awkward, empty):
     assert sentencepiece_fst.encode_documents(empty, path).count() == 0
 
 
-def test_unigram_path_is_the_best_one():
-    m = object.__new__(sentencepiece_fst.Transducer)
-    m.kind, m.scores = sentencepiece_fst.UNIGRAM, {"a": -1.0, "b": -1.0, "ab": -1.5, "abc": -9.0, "c": -1.0, "bc": -3.0}
-    m.ids, m.longest, m.worst = dict.fromkeys(m.scores, 0), 3, -20.0
-    assert m.shortest("abc") == ["ab", "c"] and m.shortest("axb") == ["a", "x", "b"]
+def field(number: int, value) -> bytes:
+    """One field of a protocol-buffer message."""
+
+    def varint(n: int) -> bytes:
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def model_file(pieces, trainer: dict, normaliser: bytes) -> bytes:
+    rows = b"".join(field(1, field(1, p.encode()) + field(2, float(s)) + field(3, k)) for p, s, k in pieces)
+    return rows + field(2, b"".join(field(n, v) for n, v in trainer.items())) + field(3, normaliser)
+
+
+WHOLE = field(3, 1) + field(4, 0) + field(5, 1)
+
+
+def held_against_the_library(raw: bytes, texts: list[str], decoding: bool = True):
+    import sentencepiece
+
+    ours, theirs = sentencepiece_fst.Transducer(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    for t, got in zip(texts, ours.encode_all(texts), strict=True):
+        ids = np.frombuffer(got, "<u4").tolist()
+        assert ids == theirs.encode(t), t
+        if decoding:
+            assert ours.decode(got) == theirs.decode(ids)
+
+
+def unigram_pieces(fallback: bool):
+    rnd = np.random.default_rng(9)
+    chars = "abcdefgh.é0"
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3)] + ([(f"<0x{b:02X}>", 0, 6) for b in range(256)] if fallback else [])
+    words = {"".join(rnd.choice(list(chars), rnd.integers(1, 5))) for _ in range(400)} | set(chars)
+    words |= {"\u2581" + w for w in list(words)[:150]} | {"\u2581", "\u2581\u2581", "and"}
+    return pieces + [(w, -float(rnd.uniform(1, 12)), 1) for w in sorted(words)]
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_unigram_models(fallback):
+    rnd = np.random.default_rng(6)
+    texts = ["".join(rnd.choice(list("abcdefgh.é0  \u2581xß日🎉\n"), rnd.integers(0, 40))) for _ in range(1500)]
+    own = [("<sep>", 0, 4), ("ab cd".replace(" ", ""), 0, 4)]
+    for pieces in (unigram_pieces(fallback), unigram_pieces(fallback) + own):
+        held_against_the_library(model_file(pieces, {3: 1} | ({35: 1} if fallback else {}), WHOLE), texts + ["<sep>a <sep>", "xabcdx abcd"])
+
+
+def test_character_map():
+    import sentencepiece
+
+    spec = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    (inner,) = [v for k, v in sentencepiece_fst._fields(spec.serialized_model_proto()) if k == 3]
+    rules = dict(sentencepiece_fst._fields(inner))[2]
+    rnd = np.random.default_rng(7)
+    texts = ["".join(rnd.choice(list("abcé ①ｱﾄﾞﬁ\u3000\t\n½ 가\u1100\u1161\u0301e"), rnd.integers(0, 30))) for _ in range(1500)]
+    for trims in (0, 1):
+        raw = model_file(unigram_pieces(True), {3: 1, 35: 1}, field(2, rules) + field(3, 1) + field(4, trims) + field(5, 1))
+        held_against_the_library(raw, texts, decoding=False)
+        sentencepiece_fst.Transducer(raw)
+
+
+def test_user_pieces_of_a_byte_pair_model():
+    with open(public_tokenizers.path(sentencepiece_fst.MODEL), "rb") as f:
+        fields = list(sentencepiece_fst._fields(f.read()))
+    own = {"\u2581the", "ing", "<", "ab"}
+    out = b""
+    for number, value in fields:
+        if number == 1:
+            d = dict(sentencepiece_fst._fields(value))
+            if d[1].decode() in own:
+                value = field(1, d[1]) + field(2, 0.0) + field(3, 4)
+        out += field(number, value)
+    rnd = np.random.default_rng(8)
+    texts = ["".join(rnd.choice(["the", " ", "ing", "<", "cab", "bing", "x", "é", "\n", "  "], rnd.integers(0, 25))) for _ in range(800)]
+    held_against_the_library(out, texts)
+
+
+def test_weights_decide_the_path():
+    pieces = [("<unk>", 0, 2), ("a", -1, 1), ("b", -1, 1), ("c", -1, 1), ("ab", -1.5, 1), ("bc", -3, 1), ("abc", -9, 1)]
+    for better, want in ((-9.0, ["ab", "c"]), (-0.5, ["abc"])):
+        m = sentencepiece_fst.Transducer(model_file(pieces[:-1] + [("abc", better, 1)], {3: 1}, field(3, 0) + field(4, 0) + field(5, 1)))
+        assert [m.pieces[i][0] for i in np.frombuffer(m.encode("abc"), "<u4")] == want
\ No newline at end of file
