@@ -6,7 +6,8 @@ end first; two bits for each id say how many, four of them to a control byte, an
 control bytes stand apart from the data. A reader looks each control byte up in a table of
 four lengths, adds the lengths up to places, gathers the bytes and maps ranks back to ids.
 
-Layout of a block, little-endian: ``FTK1``; documents, ids, distinct ids as unsigned 32-bit;
+Ranks are by the block's own counts, which codes a little better than the corpus's and needs no
+second pass. Layout of a block, little-endian: ``FTK1``; documents, ids, distinct ids as unsigned 32-bit;
 distinct ids by rank, unsigned 32-bit; for each document its id (signed 64-bit), whether it
 has one (a byte) and its count of ids (unsigned 32-bit); control bytes; data bytes; the
 crc32 of all before. Files are the partitions of a Parquet table of blocks, so that any
@@ -39,8 +40,8 @@ END_ID = 1
 MAGIC = b"FTK1"
 #: Ids after which a block is closed (a longer document has a block of its own).
 BLOCK_IDS = 2_000_000
-#: Entries of the writers' memo of words; writing is all that their workers do.
-MEMO_ENTRIES = 240_000
+#: Bytes of text that a file is to hold.
+FILE_BYTES = 64 << 20
 #: Ids below this are counted in a table, others by sorting.
 TABLE = 1 << 22
 #: A control byte's four lengths.
@@ -125,14 +126,21 @@ def read_block(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [d if h else None for d, h in zip(doc_ids.tolist(), has.tolist(), strict=True)], counts, ids[unpack_ranks(control, data, n)]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, files: int | None = None) -> None:
-    """Encode whole texts of ``docs(doc_id, text)`` and write their blocks in ascending order of id."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, files: int | None = None, specials: bool = True) -> None:
+    """Encode whole texts of ``docs(doc_id, text)`` and write their blocks in ascending order of id.
+
+    Without a number of ``files`` there is one for each ``FILE_BYTES`` of text, and as many as the
+    session has shuffle partitions at least. ``specials``: see ``tokens``.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not files:
+        size = ready.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, file = encoder(tokenizer, MEMO_ENTRIES), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        enc, end, file = encoder(tokenizer, specials=specials), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         held: tuple[list, list] = ([], [])
         size = base = number = 0
 
@@ -153,9 +161,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         if held[0]:
             yield close()
 
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tie = F.xxhash64("text")
-    ready.repartitionByRange(files, "doc_id", tie).sortWithinPartitions("doc_id", tie).mapInArrow(run, BLOCKS).write.parquet(path)
+    # rows that share an id and a text differ in their number, so that no range has to hold them all
+    tied = ready.select("*", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    by = ("doc_id", "h", "row")
+    tied.repartitionByRange(files, *by).sortWithinPartitions(*by).mapInArrow(run, BLOCKS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
