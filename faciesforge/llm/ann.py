@@ -13,7 +13,7 @@ sample of its queries, held against the exact search, is at least ``RECALL``.
 
 Shards are cut from the stream of rows where they lie (``SHARD_ROWS`` at most), so that
 every row is indexed, memory is bounded and nothing is shuffled. The index is a written
-table. Queries are taken in blocks of about ``BLOCK``, a bounded collect and broadcast each.
+table of plain numbers, and so are the queries, in blocks; each tree meets each block in one join.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
 part, nor do rows with null id; vectors meet those of their own length only; rows that share
@@ -23,24 +23,29 @@ candidates has no rows, and so has an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cut, table
-from .topk import of_length, usable
+from ._util import bounded_batches, table
+from ._util import cut as written
+from .topk import blocks, meetings, of_length, ranked, unpacked, usable
 
-SHARD_ROWS, LEAF_ROWS, BLOCK = 8192, 96, 4096
+SHARD_ROWS, LEAF_ROWS = 8192, 96
 #: Factors to choose from; none of them reaching ``RECALL`` on ``SAMPLE`` queries in a shard, the search there is exact.
 FACTORS, RECALL, SAMPLE = (5.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.25), 0.97, 128
 #: Scores are compared on this grid while searching, so that equal vectors tie in spite of rounding.
 GRID = 2.0**40
 HITS = "query_id long, vec_id long, score double"
+TREE = "dims int, n int, ids binary, x binary, norm2 double, points binary, nodes binary"
+#: A node: vantage point, inner and outer child, first row and the one after the last; distances that bound the sides.
+NODE = np.dtype([("v", "<i4"), ("inner", "<i4"), ("outer", "<i4"), ("a", "<i4"), ("b", "<i4"), ("inside", "<f8"), ("outside", "<f8")])
+#: Pairs found that a task holds before it hands on the best of each query.
+HELD = 500_000
 
 
 @dataclass
@@ -89,6 +94,17 @@ def build(ids: np.ndarray, x: np.ndarray, leaf: int = LEAF_ROWS) -> Tree:
     return Tree(ids[place], x[place], norm2, points, done)
 
 
+def stored(tree: Tree) -> list:
+    """A tree's row of ``TREE``."""
+    nodes = np.array([(v, inner, outer, a, b, inside, outside) for v, inside, inner, outer, a, b, outside in tree.nodes], NODE)
+    return [tree.x.shape[1], len(tree.ids), tree.ids.astype("<i8").tobytes(), tree.x.astype("<f8").tobytes(), tree.norm2, tree.extra.astype("<f8").tobytes(), nodes.tobytes()]
+
+
+def restored(dims: int, ids: bytes, x: bytes, norm2: float, points: bytes, nodes: bytes) -> Tree:
+    rows = [(v, inside, inner, outer, a, b, outside) for v, inner, outer, a, b, inside, outside in np.frombuffer(nodes, NODE).tolist()]
+    return Tree(*unpacked(dims, ids, x), norm2, np.frombuffer(points, "<f8").reshape(-1, dims + 1), rows)
+
+
 class Search:
     """The k nearest in one tree for a block of queries."""
 
@@ -192,26 +208,40 @@ def ready(vectors: DataFrame) -> DataFrame:
 
 
 def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF_ROWS) -> DataFrame:
-    """(dims, n, tree): the serialised tree of each shard; every usable row is in one."""
+    """The tree of each shard, a row of ``TREE`` each; every usable row is in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary()]
 
         def shard(n: int) -> pa.RecordBatch:
             parts = held.pop(n)
-            tree = build(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), leaf)
-            return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([len(tree.ids)], pa.int32()), pa.array([pickle.dumps(tree, protocol=5)], pa.binary())], ["dims", "n", "tree"])
+            row = stored(build(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), leaf))
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds, strict=True)], [c.split()[0] for c in TREE.split(", ")])
 
         for batch in batches:
             for n, ids, x in of_length(batch.column(0), batch.column(1)):
                 for i in range(0, len(ids), shard_rows):
-                    held.setdefault(n, []).append((ids[i : i + shard_rows], x[i : i + shard_rows]))
-                    if sum(len(p[0]) for p in held[n]) >= shard_rows:
+                    part = ids[i : i + shard_rows], x[i : i + shard_rows]
+                    if sum(len(p[0]) for p in held.get(n, ())) + len(part[0]) > shard_rows:
                         yield shard(n)
+                    held.setdefault(n, []).append(part)
         for n in list(held):
             yield shard(n)
 
-    return ready(vectors).mapInArrow(run, "dims int, n int, tree binary")
+    return ready(vectors).mapInArrow(run, TREE)
+
+
+def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries that may be among the ``k`` best different ids of a query: those of the best score of their id."""
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    pair = np.lexsort((np.arange(len(query)), ids, query))  # the first of an id is its best
+    again = np.zeros(len(query), bool)
+    again[pair[1:]] = (query[pair[1:]] == query[pair[:-1]]) & (ids[pair[1:]] == ids[pair[:-1]])
+    query, ids, score = query[~again], ids[~again], score[~again]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], ids[keep], score[keep]
 
 
 def search(trees: DataFrame, queries: DataFrame, k: int, factor: float | None = None) -> DataFrame:
@@ -219,29 +249,34 @@ def search(trees: DataFrame, queries: DataFrame, k: int, factor: float | None =
 
     Without a ``factor`` each shard gets its own by ``factor_for``.
     """
-    spark, queries = trees.sparkSession, ready(queries)
-    blocks = -(-queries.count() // BLOCK)
-    found = spark.createDataFrame([], HITS)
-    for i in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow().combine_chunks()
-        if not part.num_rows:
-            continue
-        one = part.to_batches()[0]
-        shared = spark.sparkContext.broadcast({n: (ids, x) for n, ids, x in of_length(one.column(0), one.column(1))})
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if n in shared.value:
-                        tree = pickle.loads(raw)
-                        got = Search(tree, *shared.value[n], k, factor or factor_for(tree, *shared.value[n], k)).run()
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["query_id", "vec_id", "score"])
-
-        found = found.union(trees.select("dims", "tree").mapInArrow(run, HITS))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size, last = [], 0, (None, None)
+
+        def out(hits) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in hits], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            names = [c.split()[0] for c in TREE.split(", ") if not c.startswith("n ")] + ["q_ids", "q_x"]
+            for row in zip(*(batch.column(c) for c in names), strict=True):
+                *cells, q_ids, q_x = (v.as_py() for v in row)
+                if last[0] != cells[1]:
+                    last = cells[1], restored(*cells)
+                ids, q = unpacked(cells[0], q_ids, q_x)
+                found.append(Search(last[1], ids, q, k, factor or factor_for(last[1], ids, q, k)).run())
+                size += len(found[-1][0])
+                if size > HELD:
+                    found = [best(*(np.concatenate(c) for c in zip(*found, strict=True)), k)]
+                    if len(found[0][0]) > HELD // 2:
+                        yield out(found.pop())
+                    size = sum(len(f[0]) for f in found)
+        if found:
+            yield out(best(*(np.concatenate(c) for c in zip(*found, strict=True)), k))
+
+    bounded_batches(trees.sparkSession)
+    return ranked(meetings(trees, blocks(ready(queries).distinct(), "queries")).mapInArrow(run, HITS), k)
 
 
 def op10_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return search(cut(index(vectors), "vantage-point-trees"), vectors.filter(F.col("vec_id") % 20 == 0), 20)
+    return search(written(index(vectors), "vantage-point-trees"), vectors.filter(F.col("vec_id") % 20 == 0), 20)

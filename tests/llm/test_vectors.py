@@ -45,12 +45,40 @@ def test_topk_is_exact(spark, monkeypatch):
     want = brute(rows, 50, 5, True, True)
     got = lambda: sorted(tuple(r) for r in topk.search(v, v.filter("vec_id % 50 = 0"), 5).select("query_id", "rank", "vec_id", "score").collect())
     assert got() == want
-    monkeypatch.setattr(topk, "BLOCK", 3)
+    for name, n in (("BLOCK", 3), ("CHUNK", 50), ("HELD", 20)):
+        monkeypatch.setattr(topk, name, n)
     assert got() == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # partitions of chunks against partitions of blocks
+    assert got() == want
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert topk.search(v.limit(0), v.limit(0), 5).count() == 0
     assert topk.search(v.filter("vec_id = 50"), v.filter("vec_id = 50"), 5).count() == 0
 
 
+@pytest.mark.parametrize("falling", [False, True])
+def test_cutoff_spares_partial_scores(falling):
+    rnd = np.random.default_rng(2)
+    x = rnd.standard_normal((32_768, 64)) * (0.9 ** np.arange(64) if falling else 1.0)
+    y = topk.quantised(x / np.linalg.norm(x, axis=1, keepdims=True))
+    q, computed, seen, got = y[:100], 0, [[] for _ in range(100)], []
+    same = np.arange(100)[:, None] == np.arange(len(y))[None, :]
+    for i in range(0, len(y), topk.CHUNK):
+        (a, b, s), n = topk.leading(q, y[i : i + topk.CHUNK], same[:, i : i + topk.CHUNK], 5)
+        computed += n
+        for at, v in zip(a.tolist(), s.tolist(), strict=True):
+            seen[at].append(v)
+    cutoff = np.array([sorted(v)[-5] for v in seen])
+    for i in range(0, len(y), topk.CHUNK):
+        (a, b, s), n = topk.sufficient(q, y[i : i + topk.CHUNK], same[:, i : i + topk.CHUNK], cutoff)
+        computed += n
+        got += zip(a.tolist(), (b + i).tolist(), s.tolist(), strict=True)
+    total = q @ y.T
+    total[same] = -np.inf
+    want = np.nonzero(total >= cutoff[:, None])
+    assert sorted(got) == sorted(zip(*(w.tolist() for w in want), total[want].tolist(), strict=True))
+    assert computed < (0.5 if falling else 1.0) * topk.LISTS * total.size
+
+
 def test_topk_beyond_doubles(spark):
     rows = [(0, [3e38, 1.0]), (1, [3e38, 1.0]), (2, [1e15, 1.0]), (3, [-3e38, 1.0]), (4, [0.5, -0.001])]
     v = table(spark, rows)
@@ -73,7 +101,8 @@ def test_factor_one_is_exact(spark, monkeypatch):
         got = sorted(tuple(r) for r in ann.search(trees, v.filter("vec_id % 20 = 0"), 20, 1.0).select("query_id", "rank", "vec_id", "score").collect())
         assert [g[:3] for g in got] == [w[:3] for w in want]
         assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
-    monkeypatch.setattr(ann, "BLOCK", 7)
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    monkeypatch.setattr(ann, "HELD", 50)
     assert ann.search(trees, v.filter("vec_id % 20 = 0"), 20, 1.0).count() == len(want)
     assert ann.search(cut(ann.index(v.limit(0)), "trees"), v.limit(0), 20).count() == 0
 
