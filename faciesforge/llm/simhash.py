@@ -9,9 +9,11 @@ meeting is verified on the full fingerprints. Nothing is capped: no link is lost
 Texts with one fingerprint are one node from the start (grouping is pre-aggregated), so
 copies never multiply. A bucket gives every link of a small group once, and a spanning
 forest of the links of a large one, found breadth first against the shrinking rest, so a
-dense group of near copies costs its size and not its square. A bucket with more than
-``HOT_BUCKET`` different fingerprints is split by five bands of the remaining bits, one of
-which linked fingerprints share. Components come from alternating large-star and small-star
+dense group of near copies costs its size and not its square. Buckets with more than
+``HOT_BUCKET`` different fingerprints are told by counts before anything is gathered, and
+split: the bits that their members need not share are cut into five bands, one of which
+linked fingerprints share, and so on until no bucket is too large or so few bits are left
+that none can be. Components come from alternating large-star and small-star
 steps over tables; links, components and fingerprints never reach the driver.
 
 Defined results: null and empty texts have no word and fingerprint zero; texts with fewer
@@ -45,6 +47,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Up to this size a bucket gives all its links, beyond it a spanning forest of them.
 SMALL_BUCKET = 24
 HOT_BUCKET = 100_000
+#: So many hot keys (8 bytes each) are sent to all tasks; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 #: For deduplication: words of a shingle, and the Jaccard similarity of near copies as a fraction.
 WORDS, SIMILARITY = 5, (4, 5)
 #: Keys of a set and minima in each: two sets of similarity 0.8 share none with probability 6e-5, of 0.9 with 5e-11.
@@ -104,13 +108,32 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: What the members of a bucket may differ in, by the number of its path; at first, of its segment.
+Paths = list[int]
+FULL = (1 << 64) - 1
+
+
 def variants(nodes: DataFrame) -> DataFrame:
-    """(key, fp) for each of the 64 ways to take one bit out of one segment."""
+    """(key, path, fp) for each of the 64 ways to take one bit out of one segment; the path is the segment."""
     keys = []
-    for low, n in SEGMENTS:
+    for at, (low, n) in enumerate(SEGMENTS):
         segment = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << n) - 1))
-        keys += [segment.bitwiseAND(F.lit(((1 << n) - 1) ^ (1 << i))).bitwiseOR(F.lit((low + i) << 22)).cast("int") for i in range(n)]
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
+        keys += [F.struct(segment.bitwiseAND(F.lit(((1 << n) - 1) ^ (1 << i))).bitwiseOR(F.lit((low + i) << 22)).cast("long").alias("key"), F.lit(at).alias("path")) for i in range(n)]
+    return nodes.select(F.explode(F.array(*keys)).alias("x"), "fp").select("x.key", "x.path", "fp")
+
+
+def bands_of(free: int, bands: int) -> list[int]:
+    """The set bits of ``free`` cut into even bands."""
+    bits = [i for i in range(64) if free >> i & 1]
+    return [sum(1 << i for i in bits[len(bits) * j // bands : len(bits) * (j + 1) // bands]) for j in range(bands)]
+
+
+def finer(rows: DataFrame, paths: Paths, bands: int) -> tuple[DataFrame, Paths]:
+    """Rows of hot buckets under a key for each band of the bits that their bucket leaves free."""
+    cuts = [bands_of(free, bands) for free in paths]
+    masks = F.expr("array(" + ",".join("array(" + ",".join(f"CAST('{signed(m)}' AS BIGINT)" for m in c) + ")" for c in cuts) + ")")
+    shared = F.transform(F.element_at(masks, F.col("path") + 1), lambda m, j: F.struct(F.xxhash64("key", j, F.col("fp").bitwiseAND(m)).alias("key"), (F.col("path") * bands + j).alias("path")))
+    return rows.select(F.explode(shared).alias("x"), "fp").select("x.key", "x.path", "fp"), [free & ~m for free, c in zip(paths, cuts, strict=True) for m in c]
 
 
 def first_meeting(x: np.ndarray) -> np.ndarray:
@@ -141,19 +164,14 @@ def forest(f: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class Bucketed:
     """Links within the groups of equal key of a stream sorted by key."""
 
-    def __init__(self, most: int, hot: int | None, once: bool):
-        self.most, self.hot, self.once = most, hot, once
+    def __init__(self, most: int, once: bool):
+        self.most, self.once = most, once
 
-    def groups(self, key: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """(a, b, kind): kind 0 is a link, kind 1 a row (key, fingerprint) of a bucket too hot for here."""
+    def groups(self, key: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[edge, len(key)])
         for s, n in zip(edge[size > SMALL_BUCKET], size[size > SMALL_BUCKET], strict=True):
-            if self.hot and n > self.hot:
-                yield key[s : s + n].astype(np.int64), f[s : s + n], 1
-            else:
-                for found, parent in forest(np.unique(f[s : s + n]), self.most):
-                    yield found, parent, 0
+            yield from forest(np.unique(f[s : s + n]), self.most)
         keep = np.repeat((size > 1) & (size <= SMALL_BUCKET), size)
         key, f = key[keep], f[keep]
         for lag in range(1, min(SMALL_BUCKET, len(key))):
@@ -166,13 +184,13 @@ class Bucketed:
             if self.once:
                 good = first_meeting(x) == key[i] >> 22
                 i = i[good]
-            yield f[i], f[i + lag], 0
+            yield f[i], f[i + lag]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(key: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a, b, kind in self.groups(key, f) if len(key) else ():
+            for a, b in self.groups(key, f) if len(key) else ():
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False) if x.dtype != np.uint64 else x.view(np.int64)) for x in (a, b)] + [pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []  # the group at the end of what came so far
         for batch in batches:
@@ -192,23 +210,28 @@ class Bucketed:
 
 
 def links(nodes: DataFrame, most: int = MAX_BITS, hot: int = HOT_BUCKET) -> DataFrame:
-    """(a, b): links between different fingerprints; their components are those of all links."""
-    if most >= 2 * len(SEGMENTS) - 1 + 1:
+    """(a, b): links between the different fingerprints of a written table; their components are those of all links."""
+    if most >= 2 * len(SEGMENTS):
         raise ValueError(f"{len(SEGMENTS)} segments find differences of up to {2 * len(SEGMENTS) - 1} bits")
-    met = variants(nodes).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(Bucketed(most, hot, True), "a long, b long, kind int")
-    met = cut(met, "links")
-    split = met.filter("kind = 1").select(F.col("a").cast("int").alias("key"), F.col("b").alias("fp"))
-    found = met.filter("kind = 0").select("a", "b")
-    if split.isEmpty():
-        return found
-    bands = [((1 << 13) - 1) << 13 * j & (1 << 64) - 1 for j in range(most + 1)]
-    bands[-1] = (1 << 64) - (1 << 13 * most)
-    masks = F.array(*[F.lit(signed(((1 << n) - 1) << low)) for low, n in SEGMENTS])
-    bit = F.shiftright("key", 22)
-    outside = F.bitwise_not(F.element_at(masks, F.when(bit < SEGMENTS[1][0], 1).when(bit < SEGMENTS[2][0], 2).otherwise(3)))
-    keys = F.array(*[F.xxhash64("key", F.lit(j), F.col("fp").bitwiseAND(F.lit(signed(m))).bitwiseAND(outside)) for j, m in enumerate(bands)])
-    finer = split.select(F.explode(keys).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    return found.union(cut(finer.mapInArrow(Bucketed(most, None, False), "a long, b long, kind int").select("a", "b"), "hot-links"))
+    hot = max(hot, 1 << most + 2)  # below that a bucket may have no bits left for all bands
+    rows, paths, level, found = variants(nodes), [FULL ^ ((1 << n) - 1 << low) for low, n in SEGMENTS], 0, None
+    many = nodes.count() > hot  # else no bucket can be hot
+    while True:
+        cold, split = rows, None
+        # a bucket's members share all but its free bits and, once, the bit taken out
+        if many and max(f.bit_count() for f in paths) + 1 >= hot.bit_length():
+            keys = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"), "hot-keys", few_files=True)
+            n = keys.count()
+            if n:
+                known = F.broadcast(keys) if n < BROADCAST_KEYS else keys
+                cold, split = rows.join(known, "key", "left_anti"), rows.join(known, "key", "left_semi")
+        met = cold.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(Bucketed(most, level == 0), "a long, b long")
+        met = cut(met, "links")
+        found = met if found is None else found.union(met)
+        if split is None:
+            return found
+        finest, paths = finer(split, paths, most + 1)
+        rows, level = cut(finest, "finer"), level + 1
 
 
 def components(edges: DataFrame) -> DataFrame:
