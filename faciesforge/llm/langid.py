@@ -8,7 +8,8 @@ score for a language is the mean over its words; the answer's confidence is the
 those means.
 
 Training reads a bounded sample of the labelled rows (``TRAIN_ROWS`` a language, by a hash
-of the id); scoring reads whole texts and every row.
+of the id), and the model holds all words and n-grams of that sample; scoring reads whole
+texts and every row.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is
 everything if no labelled row has a letter; rows with null id are scored, never learnt from,
@@ -19,6 +20,7 @@ first by name); an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,6 +29,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +38,6 @@ from ._util import bounded_batches, cut, held, table, values
 UND = "und"
 #: Labelled rows of a language that are learnt from, about.
 TRAIN_ROWS = 1_000
-#: Words and n-grams that the model keeps of each language, the most frequent ones.
-MODEL_WORDS, MODEL_GRAMS = 30_000, 20_000
 NGRAM = 4
 #: Cost of a step to shorter n-grams, and of an n-gram that no language knows.
 BACKOFF, UNKNOWN = float(np.log(0.4)), -14.0
@@ -46,7 +47,9 @@ ACCEPT = 1.12
 #: A text is also in none of them if the model knows less than this part of the share of words that it should know
 #: of a new text of that language. The floor rises from none at the first length in words to all of it at the second.
 FIT, FIT_WORDS = 0.35, (5, 20)
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: what Python counts as alphanumeric, without digits and other numbers (as in ``²`` or ``①``).
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No"))
+WORD = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
 #: Words that a worker remembers beside the model's, and texts scored together.
 MEMO_WORDS, BATCH = 100_000, 64
 
@@ -95,7 +98,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on ``labelled(doc_id, text, lang)``; what reaches the driver is bounded by the model's size."""
+    """Fit on ``labelled(doc_id, text, lang)``; what reaches the driver are the items of a bounded sample."""
     bounded_batches(labelled.sparkSession)
     labelled = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
@@ -106,26 +109,19 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     counts = sample.mapInArrow(_counts, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     counts = cut(counts, "language-counts")
     langs = sorted(sizes)
+    place = {lang: i for i, lang in enumerate(langs)}
     tables: list[dict[str, np.ndarray]] = [{}, {}]
-    # words that occur once are as frequent as words not met yet (Good and Turing); those beyond the model's are unknown too
-    met = {r[0]: (r[1], r[2]) for r in counts.filter("kind = 0").groupBy("lang").agg(F.sum("n"), F.count_if(F.col("n") == 1)).collect()}
-    coverage = [0.0] * len(langs)
-    for kind, most in ((0, MODEL_WORDS), (1, MODEL_GRAMS)):
-        for i, lang in enumerate(langs):
-            top = counts.filter((F.col("kind") == kind) & (F.col("lang") == lang)).select("item", "n").orderBy(F.desc("n"), "item").limit(most)
-            got = {r[0]: r[1] for r in top.collect()}
-            if kind == 0:
-                total = sum(got.values())
-                if total:
-                    coverage[i] = max(0.0, (total - met[lang][1]) / met[lang][0])
-                per = dict.fromkeys(got, total)
-            else:
-                by = Counter()
-                for gram, n in got.items():
-                    by[len(gram)] += n
-                per = {gram: by[len(gram)] for gram in got}
-            for item, n in got.items():
-                tables[kind].setdefault(item, np.full(len(langs), np.nan))[i] = np.log(n / per[item])
+    # words that occur once are as frequent as words not met yet (Good and Turing)
+    coverage, total = [0.0] * len(langs), Counter()
+    for r in counts.filter("kind = 0").groupBy("lang").agg(F.sum("n"), F.count_if(F.col("n") == 1)).collect():
+        coverage[place[r[0]]] = 1.0 - r[2] / r[1]
+    got = counts.orderBy("kind", "item", "lang").toArrow()  # the items of ``rows`` texts a language
+    size = np.where(got["kind"].to_numpy() == 0, 0, pc.utf8_length(got["item"]).to_numpy()).tolist()
+    items = list(zip(got["kind"].to_pylist(), size, map(place.__getitem__, got["lang"].to_pylist()), got["item"].to_pylist(), got["n"].to_pylist(), strict=True))
+    for _, k, i, _, n in items:  # words are compared with all words, n-grams with those of their length
+        total[k, i] += n
+    for kind, k, i, item, n in items:
+        tables[kind].setdefault(item, np.full(len(langs), np.nan))[i] = np.log(n / total[k, i])
     for known in tables:  # what a language lacks counts as half an occurrence at the rarest frequency
         if known:
             low = np.fmin.reduce(np.stack([*known.values(), np.full(len(langs), np.nan)]))
@@ -216,7 +212,7 @@ def scorer(model: Model) -> Scorer:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``docs(doc_id, text)``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the items of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
