@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,12 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is made and
-    recorded in the session, so that later calls find the same one.
+    Only where that setting is absent and everything runs on this machine (tests, a laptop) a temporary
+    folder is made and recorded in the session, so that later calls find the same one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="faciesforge-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="faciesforge-")
+        atexit.register(shutil.rmtree, made, True)
+        root = "file://" + made
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
