@@ -47,13 +47,21 @@ ACCEPT = 1.12
 #: A text is also in none of them if the model knows less than this part of the share of words that it should know
 #: of a new text of that language. The floor rises from none at the first length in words to all of it at the second.
 FIT, FIT_WORDS = 0.35, (5, 20)
-#: Runs of letters: what Python counts as alphanumeric, without digits and other numbers (as in ``²`` or ``①``).
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No"))
-WORD = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
+#: Runs of letters are what Python counts as alphanumeric, without digits and other numbers (as in ``²`` or ``①``).
+WORD = re.compile(r"[^\W\d_]+")
+NUMBER = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No")) + "]")
 #: Words that a worker remembers beside the model's, and texts scored together.
 MEMO_WORDS, BATCH = 100_000, 64
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, in lower case."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for word in found for part in ([word] if word.isalpha() else NUMBER.split(word)) if part]
+
+
 def grams(word: str) -> list[str]:
     """For each position of the marked word, its n-grams from there on are prefixes of these."""
     marked = f"<{word}>"
@@ -86,7 +94,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
-            words[lang].update(WORD.findall(text.lower()))
+            words[lang].update(words_of(text))
         for lang, found in words.items():
             parts: dict[str, int] = defaultdict(int)
             for word, n in found.items():
@@ -167,7 +175,7 @@ class Scorer:
         """The rows of each text's words; those below the number of known words are known."""
         if len(self.at) > len(self.known) + MEMO_WORDS:
             self.clear()
-        at, split, new = self.at, [WORD.findall(t.lower()) if t else [] for t in texts], set()
+        at, split, new = self.at, [words_of(t) if t else [] for t in texts], set()
         for words in split:
             new.update(set(words).difference(at))
         if new:
