@@ -4,14 +4,14 @@ Records are ordered by a key (hash of the text, id, row number), so equal texts
 together and the order has nothing to do with how the input was dealt. A sample of keys,
 drawn in proportion to each record's share of bytes and rows, gives quantile boundaries for
 many more ranges than shards. Exact counts then show which ranges are overfull, and those
-are subdivided by samples of their own until none is. Ranges in key order, with their exact
-bytes and rows, give each record its exact place in the whole, and the place gives the
-shard: by bytes (law ``bytes``: sizes differ by one record at most) or by count (law
+are subdivided by samples of their own until none is, and those of more records than a task
+should order once more. Ranges in key order, with their exact bytes and rows, give each record
+its exact place in the whole, and the place gives the shard: by bytes (law ``bytes``: sizes differ by one record at most) or by count (law
 ``rows``). A group of equal texts, however large, is only cut where a boundary falls, and
 ranges cut it too, so no task gets more than a range.
 
 Everything is DataFrame functions. The texts are read once, to a written table of keys and
-sizes; what reaches the driver are samples and totals of a fixed number of ranges.
+sizes; what reaches the driver are samples and totals of a fixed number of first ranges.
 
 Defined results: a null text has size 1 and no checksum, and counts as a text of its own
 for grouping; repeated rows and repeated or null ids are placed row by row; an empty table
@@ -20,8 +20,6 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +28,8 @@ from ._util import cut, table
 SHARDS = 16
 #: Ranges aimed at, sampled keys for each, and how many times the mean makes a range overfull.
 RANGES, SAMPLES, OVERFULL = 1024, 16, 2.0
+#: Records of a range; ranges of more are cut again by splitters of their own, so that no task orders many more.
+RANGE_ROWS = 1_000_000
 #: Rounds of subdivision; each makes an overfull range smaller many times over.
 ROUNDS = 8
 KEY = ("h", "doc_id", "row")
@@ -121,31 +121,54 @@ def assign(rows: DataFrame, shards: int = SHARDS, law: str = "bytes", ranges: in
         return rows.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     bounds = splitters(rows, n, size, ranges)
     weight, total = (F.col("size"), size) if law == "bytes" else (F.lit(1).cast("long"), n)
-    dealt = rows.withColumn("range", range_of(bounds)).withColumn("weight", weight)
-    held = {r["range"]: (r["n"], r["w"]) for r in dealt.groupBy("range").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
-    first, at_row, at_weight = [], 0, 0
-    for k in range(len(bounds) + 1):  # rows and weight before each range
-        first.append((at_row, at_weight))
-        at_row, at_weight = at_row + held.get(k, (0, 0))[0], at_weight + held.get(k, (0, 0))[1]
-    before = F.element_at(F.expr(_structs(("rows", "weight"), first)), F.col("range") + 1)
-    order = Window.partitionBy("range").orderBy(*KEY)
-    ahead = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = subdivided(rows.withColumn("range", range_of(bounds)).withColumn("weight", weight))
+    # what stands before each range: a row for each of them, far fewer than records
+    order = Window.orderBy("range", "sub")
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("range", "sub").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    nothing = F.lit(0).cast("long")
+    totals = cut(totals.withColumn("rows_before", F.coalesce(F.sum("n").over(upto), nothing)).withColumn("weight_before", F.coalesce(F.sum("w").over(upto), nothing)), "ranges", few_files=True)
+    inner = Window.partitionBy("range", "sub").orderBy(*KEY)
+    ahead = F.coalesce(F.sum("weight").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # the shard that the record's middle falls into, so that the share each gets is off by half a record at either end
-    middle = F.col("before.weight") + F.col("ahead") + F.floor((F.col("weight") - F.lit(1)) / 2).cast("long")
+    middle = F.col("weight_before") + F.col("ahead") + F.floor((F.col("weight") - F.lit(1)) / 2).cast("long")
     shard = F.least(F.floor(middle * shards / F.lit(total)), F.lit(shards - 1)).cast("int")
 
     def placed(frame: DataFrame) -> DataFrame:
-        out = frame.withColumn("before", before).withColumn("ahead", ahead).withColumn("place", F.row_number().over(order) - 1 + F.col("before.rows"))
-        return out.withColumn("shard", shard)
-
-    full = sorted(held)
-    opens = [max(0, bisect_right([first[k][1] for k in full], total * s // shards) - 1) for s in range(shards)]
-    near = sorted({k for i in opens for k in full[max(0, i - 1) : i + 2]})  # the ranges where shards can begin
-    start = {r["shard"]: r["place"] for r in placed(dealt.filter(F.col("range").isin(near))).groupBy("shard").agg(F.min("place").alias("place")).collect()}
+        out = frame.withColumn("ahead", ahead).withColumn("inner", F.row_number().over(inner) - 1)
+        out = out.join(totals.select("range", "sub", "rows_before", "weight_before"), ["range", "sub"])
+        return out.withColumn("place", F.col("inner") + F.col("rows_before")).withColumn("shard", shard)
+
+    # shards begin in ranges across which the share changes, or next to them
+    share = lambda w: F.floor(w * shards / F.lit(total))
+    crosses = share(F.col("weight_before")) != share(F.col("weight_before") + F.col("w"))
+    marked = totals.withColumn("crosses", crosses | (F.col("rows_before") == 0))
+    beside = F.coalesce(F.lag("crosses").over(order), F.lit(False)) | F.coalesce(F.lead("crosses").over(order), F.lit(False))
+    near = marked.withColumn("beside", beside).filter("crosses or beside").select("range", "sub")  # three for each shard at most
+    start = {r["shard"]: r["place"] for r in placed(dealt.join(F.broadcast(near), ["range", "sub"], "left_semi")).groupBy("shard").agg(F.min("place").alias("place")).collect()}
     starts = F.element_at(F.array(*[F.lit(start.get(s, 0)).cast("long") for s in range(shards)]), F.col("shard") + 1)
     return placed(dealt).withColumn("slot", (F.col("place") - starts).cast("long")).select(*rows.columns, "shard", "slot")
 
 
+def subdivided(dealt: DataFrame) -> DataFrame:
+    """``dealt`` with ``sub``: ranges of more than ``RANGE_ROWS`` records are cut at sampled splitters of their own, however many it takes.
+
+    The splitters of a range are one row of a table that has a row a range, so its size follows the number of ranges asked for.
+    """
+    held = {r["range"]: r["n"] for r in dealt.groupBy("range").agg(F.count("*").alias("n")).collect()}  # the ranges of ``splitters``
+    parts = {k: -(-n // RANGE_ROWS) for k, n in held.items() if n > RANGE_ROWS}
+    if not parts:
+        return dealt.withColumn("sub", F.lit(0))
+    spark = dealt.sparkSession
+    asked = spark.createDataFrame([(k, int(p), p * SAMPLES / held[k]) for k, p in sorted(parts.items())], "range int, parts int, chance double")
+    drawn = _drawn(dealt.join(F.broadcast(asked), "range"), F.col("chance"), 77)
+    keys = drawn.groupBy("range", "parts").agg(F.array_sort(F.collect_list(key())).alias("keys"))  # SAMPLES for each part, about
+    at = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: F.element_at("keys", F.greatest(F.lit(1), F.floor(i * F.size("keys") / F.col("parts")).cast("int"))))
+    cuts = cut(keys.select("range", F.array_distinct(at).alias("cuts")), "cuts", few_files=True)
+    here = dealt.join(cuts, "range", "left")
+    return here.withColumn("sub", F.coalesce(F.size(F.filter("cuts", lambda c: c <= key())), F.lit(0))).drop("cuts")
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "bytes") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row of ``docs(doc_id, text)``."""
     return assign(cut(keyed(docs), "keys"), shards, law).drop("h", "row")
