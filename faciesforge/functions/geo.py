@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Mean Earth radius, and the GRS80 ellipsoid with the parallels of EPSG:5070.
@@ -41,6 +41,44 @@ def equirect_xy(lat: Column, lon: Column, lat0: float | Column) -> tuple[Column,
     return F.lit(EARTH_KM) * F.radians(lon) * F.cos(F.radians(lat0)), F.lit(EARTH_KM) * F.radians(lat)
 
 
+# Metres a degree of latitude and, at the equator, of longitude, and kilometres a degree, of the grids that use them.
+M_PER_LAT, M_PER_LON, KM_PER_DEGREE = 111_132.0, 111_320.0, 111.32
+
+
+def centred_xy(lat: Column, lon: Column, lat0: float | Column, lon0: float | Column) -> tuple[Column, Column]:
+    """x, y in km from a middle, as the local grid has them."""
+    lat0, lon0 = (c if isinstance(c, Column) else F.lit(c) for c in (lat0, lon0))
+    return F.lit(EARTH_KM) * (F.radians(lon) - F.radians(lon0)) * F.cos(F.radians(lat0)), F.lit(EARTH_KM) * (F.radians(lat) - F.radians(lat0))
+
+
+def origin_xy_m(lat: Column, lon: Column, lat0: float, lon0: float) -> tuple[Column, Column]:
+    """x, y in metres from a grid's origin, by metres a degree."""
+    return (lon - lon0) * (M_PER_LON * math.cos(math.radians(lat0))), (lat - lat0) * M_PER_LAT
+
+
+def degree_xy(lat: Column, lon: Column, lat0: float | Column) -> tuple[Column, Column]:
+    """x, y in km by kilometres a degree, for nearness only."""
+    lat0 = lat0 if isinstance(lat0, Column) else F.lit(lat0)
+    return lon * F.cos(F.radians(lat0)) * KM_PER_DEGREE, lat * KM_PER_DEGREE
+
+
+def grid_origin(points: DataFrame, grid_km: float) -> tuple[float, float]:
+    """The lowest latitude and longitude, snapped down to a grid of about ``grid_km`` in degrees; zeros for no points."""
+    lat, lon = points.filter("lat is not null and lon is not null").agg(F.min("lat"), F.min("lon")).first()
+    if lat is None:
+        return 0.0, 0.0
+    by_lat, by_lon = 1000 * grid_km / M_PER_LAT, 1000 * grid_km / (M_PER_LON * math.cos(math.radians(lat)) + 1e-12)
+    return math.floor(lat / by_lat) * by_lat, math.floor(lon / by_lon) * by_lon
+
+
+def padded_bounds(points: DataFrame, cell: float, pad_frac: float = 0.01) -> DataFrame:
+    """One row: bounds of ``points(x, y)`` padded by a share of the longer side, and their origin snapped down to the cells."""
+    b = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    pad = F.greatest(F.lit(1e-9), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) * pad_frac
+    out = b.select((F.col("x0") - pad).alias("x_min"), (F.col("x1") + pad).alias("x_max"), (F.col("y0") - pad).alias("y_min"), (F.col("y1") + pad).alias("y_max"))
+    return out.select((F.floor(F.col("x_min") / cell) * cell).alias("x0"), (F.floor(F.col("y_min") / cell) * cell).alias("y0"), "*")
+
+
 def inverse_equirect(x: Column, y: Column, lat0: float) -> tuple[Column, Column]:
     """lat, lon of a point of that plane."""
     return F.degrees(y / EARTH_KM), F.degrees(x / (EARTH_KM * math.cos(math.radians(lat0))))

@@ -6,6 +6,7 @@ map literals of a fixed size.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -60,19 +61,51 @@ UNITS = {
     "": ["NONE"],
 }
 # Units that a mnemonic may have.
-ALLOWED_UNITS = (
-    {m: ["FT", "M", ""] for m in ("DEPT", "MD", "TVD")}
-    | {"GR": ["GAPI", "CPS", "CPM", ""], "SP": ["MV", "V", ""]}
-    | {m: ["G/CC", "KG/M3", ""] for m in ("RHOB", "RHOC", "DRHO")}
-    | {m: ["US/FT", ""] for m in ("DT", "DTC", "DTS")}
-    | {m: ["IN", "MM", ""] for m in ("CALI", "DCAL", "MCAL")}
-    | {"PE": [""]}
-    | {m: ["PU", ""] for m in ("NPHI", "NPOR", "CNPOR", "DPHI", "DPOR", "SPOR")}
-    | {m: ["OHM-M", "OHM", ""] for m in ("ILD", "ILM", "LLD", "LLS", "RILD", "RILM", "RLL3", "RT", "RXO", "RXRT", "RXORT")}
-    | {m: ["MMHO/M", "MMHO", ""] for m in ("CILD", "CILM", "CLL3")}
-)
+ALLOWED_UNITS = {
+    "DEPT": ["FT", "M", ""],
+    "MD": ["FT", "M", ""],
+    "TVD": ["FT", "M", ""],
+    "GR": ["GAPI", "CPS", "CPM", ""],
+    "SP": ["MV", "V", ""],
+    "RHOB": ["G/CC", "KG/M3", ""],
+    "RHOC": ["G/CC", "KG/M3", ""],
+    "DRHO": ["G/CC", "KG/M3", ""],
+    "DT": ["US/FT", ""],
+    "DTC": ["US/FT", ""],
+    "DTS": ["US/FT", ""],
+    "CALI": ["IN", "MM", ""],
+    "DCAL": ["IN", "MM", ""],
+    "MCAL": ["IN", "MM", ""],
+    "PE": [""],
+    "NPHI": ["PU", ""],
+    "NPOR": ["PU", ""],
+    "CNPOR": ["PU", ""],
+    "DPHI": ["PU", ""],
+    "DPOR": ["PU", ""],
+    "SPOR": ["PU", ""],
+    "ILD": ["OHM-M", "OHM", ""],
+    "ILM": ["OHM-M", "OHM", ""],
+    "LLD": ["OHM-M", "OHM", ""],
+    "LLS": ["OHM-M", "OHM", ""],
+    "RILD": ["OHM-M", "OHM", ""],
+    "RILM": ["OHM-M", "OHM", ""],
+    "RLL3": ["OHM-M", "OHM", ""],
+    "RT": ["OHM-M", "OHM", ""],
+    "RXO": ["OHM-M", "OHM", ""],
+    "RXRT": ["OHM-M", "OHM", ""],
+    "RXORT": ["OHM-M", "OHM", ""],
+    "CILD": ["MMHO/M", "MMHO", ""],
+    "CILM": ["MMHO/M", "MMHO", ""],
+    "CLL3": ["MMHO/M", "MMHO", ""],
+}
 # Mnemonic and unit that cannot go together.
 IMPOSSIBLE = [("DCAL", "GAPI"), ("MCAL", "GAPI"), ("CALI", "GAPI"), ("DEPT", "GAPI"), ("DEPT", "MV"), ("GR", "IN"), ("GR", "OHM-M")]
+# Reasons of the rules that put curves in quarantine (a mnemonic, a unit where they stand).
+IMPOSSIBLE_REASON = "Impossible mnemonic+unit: {} with {}"
+NOT_ALLOWED_REASON = "Unit not allowed for mnemonic: {} has {}"
+UNKNOWN_REASON = "Unknown mnemonic"
+GAMMA_REASON = "Gamma ray curve carrying resistivity/caliper units."
+CALIPER_REASON = "Caliper mnemonic but description suggests gamma ray."
 # Texts that mean no number.
 NO_NUMBER = ["", "NA", "N/A", "NULL", "NONE", "NAN"]
 
@@ -110,6 +143,75 @@ def aliases_for(canonical: str) -> list[str]:
     return [canonical, *rest]
 
 
+def qc_mnemonic(c: Column) -> Column:
+    """``norm_mnemonic`` as the header check has it, which knows letters, digits and ``_ / . -`` alone: the colon of ``GR:1`` goes and its 1 stays."""
+    token = F.regexp_replace(_cleaned(c, r"[^A-Z0-9_/.\-]+"), r":\d+$", "")
+    return F.coalesce(F.try_element_at(_map(ALIAS_OF), token), token)
+
+
+def qc_unit(c: Column) -> Column:
+    """``norm_unit`` as the header check has it: ``%`` goes before aliases are looked up."""
+    token = _cleaned(c, r"[^A-Z0-9_/.\-]+")
+    return F.coalesce(F.try_element_at(_map(UNIT_OF), token), token)
+
+
+def qc_key(mnemonic: Column, unit: Column) -> Column:
+    return F.concat(qc_mnemonic(mnemonic), F.lit("|"), qc_unit(unit))
+
+
+def raw_for(mnemonics: Column, canonical: str) -> Column:
+    """The raw mnemonic for a canonical one: that of the same name, else one without a suffix, else the shortest, else the first."""
+    ranked = F.filter(F.transform(mnemonics, lambda m, i: F.struct((F.upper(F.trim(m)) != canonical).alias("other"), m.contains(":").alias("suffix"), F.length(F.trim(m)).alias("n"), i.alias("i"), m.alias("m"), norm_mnemonic(m).alias("c"))), lambda s: s["c"] == canonical)
+    return F.array_min(ranked)["m"]
+
+
+def raw_preferred(mnemonics: Column, preferred: list[str]) -> Column:
+    """``raw_for`` the first of the preferred names that is there."""
+    return F.coalesce(*[raw_for(mnemonics, canonical_name(p)) for p in preferred])
+
+
+def raw_in_family(mnemonics: Column, canonical: str) -> Column:
+    """The first raw mnemonic of the first family member, in the family's order, that is there."""
+    names = list(dict.fromkeys(canonical_name(a) for a in aliases_for(canonical_name(canonical))))
+    first = lambda n: F.get(F.filter(mnemonics, lambda m: norm_mnemonic(m) == n), 0)
+    return F.coalesce(*map(first, names))
+
+
+def all_in_family(mnemonics: Column, canonical: str) -> Column:
+    """Every raw mnemonic whose canonical name is one of the family's."""
+    names = list(dict.fromkeys(canonical_name(a) for a in aliases_for(canonical_name(canonical))))
+    return F.filter(mnemonics, lambda m: norm_mnemonic(m).isin(names))
+
+
+def column_for(mnemonics: Column, wanted: str) -> Column:
+    """Position (from 0) of a curve, null if there is none: the same name; the only one of its canonical name; of the family
+    the one that begins with the name, else the first; any that begins with the name."""
+    bare, name = re.sub(r"\s+", "", wanted).upper(), canonical_name(wanted)
+    family = list(dict.fromkeys(canonical_name(a) for a in aliases_for(name)))
+    raw = F.transform(mnemonics, lambda m: F.upper(F.regexp_replace(m, r"\s+", "")))
+    first = lambda test: F.array_min(F.filter(F.transform(raw, lambda m, i: F.when(test(m), i)), lambda i: i.isNotNull()))
+    same = F.filter(F.transform(raw, lambda m, i: F.when(norm_mnemonic(m) == name, i)), lambda i: i.isNotNull())
+    kin = lambda m: norm_mnemonic(m).isin(family)
+    return F.coalesce(first(lambda m: m == bare), F.when(F.size(same) == 1, F.array_min(same)), first(lambda m: kin(m) & m.startswith(bare)), first(kin), first(lambda m: m.startswith(bare)))
+
+
+def canonical_name(text: str) -> str:
+    """``norm_mnemonic`` of a Python text."""
+    token = re.sub(r":\d+$", "", re.sub(r"[^A-Z0-9_:/\-]+", "", re.sub(r"\s+", "", text).upper()))
+    return ALIAS_OF.get(token, token)
+
+
+def url_to_path(url: Column, root: str) -> Column:
+    """The place of a URL's file under a folder; null for a URL without a file name."""
+    name = F.trim(basename(F.coalesce(url, F.lit(""))))
+    return F.when(name != "", F.concat(F.lit(root.rstrip("/") + "/"), name))
+
+
+def cache_key(path: Column, n: int) -> Column:
+    """A name for a file's stored vector: base name, length and 8 hex digits of the path's md5."""
+    return F.concat(stem(path), F.lit(f"_{n}_"), F.substring(F.md5(path), 1, 8))
+
+
 def has_depth_axis(mnemonics: Column) -> Column:
     """Whether an array of raw mnemonics holds a depth curve."""
     return F.exists(mnemonics, lambda m: norm_mnemonic(m).isin("DEPT", "DEPTH", "MD"))
@@ -154,9 +256,14 @@ def select_well_id(nodash: Column, api: Column, kgs_id: Column, url: Column, lat
     return F.coalesce(some(nodash), some(api), some(kgs_id), some(F.regexp_replace(basename(url), r"\.[^.]*$", "")), place)
 
 
+def stem(path: Column) -> Column:
+    """A path's file name without its last extension."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+
+
 def file_key(path: Column) -> Column:
     """Cleaned base name and ten hex digits of the path's sha1."""
-    return F.concat(F.regexp_replace(F.regexp_replace(basename(path), r"\.[^.]*$", ""), r"[^A-Za-z0-9._-]+", "_"), F.lit("_"), F.substring(F.sha1(path), 1, 10))
+    return F.concat(F.regexp_replace(stem(path), r"[^A-Za-z0-9._-]+", "_"), F.lit("_"), F.substring(F.sha1(path), 1, 10))
 
 
 def allowed_units(mnemonic: Column) -> Column:
@@ -168,14 +275,15 @@ def allowed_units(mnemonic: Column) -> Column:
 def quarantine_hits(mnemonic: Column, unit: Column, descr: Column) -> Column:
     """Array of (severity, reason) for a canonical mnemonic and unit: none, one or several."""
     hit = lambda when, severity, reason: F.when(when, F.struct(F.lit(severity).alias("severity"), reason.alias("reason")))
+    told = lambda text: F.format_string(text.replace("{}", "%s"), mnemonic, unit)
     impossible = reduce(lambda a, b: a | b, [(mnemonic == m) & (unit == u) for m, u in IMPOSSIBLE])
     allowed, text = allowed_units(mnemonic), F.lower(F.trim(F.coalesce(descr, F.lit(""))))
     hits = F.array(
-        hit(impossible, "ERROR", F.concat(F.lit("Impossible mnemonic+unit: "), mnemonic, F.lit(" with "), unit)),
-        hit(allowed.isNotNull() & ~F.array_contains(allowed, unit), "WARN", F.concat(F.lit("Unit not allowed for mnemonic: "), mnemonic, F.lit(" has "), unit)),
-        hit(allowed.isNull(), "INFO", F.lit("Unknown mnemonic")),
-        hit((mnemonic == "GR") & unit.isin("OHM-M", "IN"), "ERROR", F.lit("Gamma ray curve carrying resistivity/caliper units.")),
-        hit(mnemonic.isin("CALI", "DCAL", "MCAL") & (text.contains("gamma") | text.contains("gr")) & (unit == "GAPI"), "ERROR", F.lit("Caliper mnemonic but description suggests gamma ray.")),
+        hit(impossible, "ERROR", told(IMPOSSIBLE_REASON)),
+        hit(allowed.isNotNull() & ~F.array_contains(allowed, unit), "WARN", told(NOT_ALLOWED_REASON)),
+        hit(allowed.isNull(), "INFO", F.lit(UNKNOWN_REASON)),
+        hit((mnemonic == "GR") & unit.isin("OHM-M", "IN"), "ERROR", F.lit(GAMMA_REASON)),
+        hit(mnemonic.isin("CALI", "DCAL", "MCAL") & (text.contains("gamma") | text.contains("gr")) & (unit == "GAPI"), "ERROR", F.lit(CALIPER_REASON)),
     )
     return F.filter(hits, lambda h: h.isNotNull())
 

@@ -75,10 +75,13 @@ def subsequence_dtw(x: np.ndarray, y: np.ndarray, alpha: float = 0.15) -> tuple[
     return float(d[-1, end]), float(d[-1, end] / len(path)), path, int(path[0, 1]), end
 
 
-def end_slopes_ok(path: np.ndarray, share: float = 0.1, least: int = 16, low: float = 0.5, high: float = 2.0) -> bool:
-    """Whether the slope over the first and the last steps lies in the allowed range; no advance passes."""
-    k = min(len(path) - 1, max(least, int(share * len(path))))
-    for a, b in ((path[0], path[k]), (path[-1 - k], path[-1])):
+def end_slopes_ok(path: np.ndarray, share: float = 0.1, least: int = 16, low: float = 0.5, high: float = 2.0, n: int | None = None) -> bool:
+    """Whether the slope over the first and over the last steps (a share of ``n`` samples, by default of the path) lies in
+    the allowed range; a stretch without advance passes, and so does a path of one step."""
+    k = min(len(path), max(least, int(share * (len(path) if n is None else n))))
+    if k < 2:
+        return True
+    for a, b in ((path[0], path[k - 1]), (path[-k], path[-1])):
         di, dj = b - a
         if di and not low <= dj / di <= high:
             return False

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,17 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one is made and recorded only where none is set."""
+    """``spark.checkpoint.dir`` of the session; where none is set and all runs on this machine, one is made and recorded."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="faciesforge-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="faciesforge-")
+        atexit.register(shutil.rmtree, made, True)
+        root = "file://" + made
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/faciesforge/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back: what follows can be redone from the table, wherever executors are lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/faciesforge/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession) -> None:
+    """Delete this application's tables in that folder, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/faciesforge/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

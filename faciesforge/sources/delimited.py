@@ -44,3 +44,28 @@ def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "errorif
 def write_parts(df: DataFrame, path: str, rows: int = 1000, mode: str = "errorifexists") -> None:
     """Snappy Parquet files of at most so many rows."""
     df.write.mode(mode).option("maxRecordsPerFile", rows).option("compression", "snappy").parquet(path)
+
+
+class CsvSink:
+    """A folder of text that grows by whole tables, as from ``foreachBatch``: a header in each part, nulls as ''. The first write
+    replaces what is there if ``overwrite`` is asked for; a batch written before is not written again."""
+
+    def __init__(self, path: str, columns: list[str], overwrite: bool = False):
+        self.path, self.columns, self.overwrite, self.last = path.rstrip("/"), columns, overwrite, -1
+
+    def __call__(self, df: DataFrame, batch: int | None = None) -> None:
+        if batch is not None and batch <= self.last:
+            return
+        write_csv(df, self.path, self.columns, "overwrite" if self.overwrite else "append")
+        self.overwrite, self.last = False, self.last if batch is None else batch
+
+
+def write_alignment(edges: DataFrame, path: str) -> None:
+    """Aligned edges as text without their paths, and the packed paths of those that are OK as two tables beside it."""
+    from .paths import pack
+
+    rest = [c for c in edges.columns if c not in ("ii", "jj")]
+    write_csv(edges, f"{path}/dtw_edges", rest, "overwrite")
+    index, points = pack(edges.filter("upper(status) = 'OK' and size(ii) > 0"))
+    index.write.mode("overwrite").parquet(f"{path}/dtw_paths/index")
+    points.write.mode("overwrite").parquet(f"{path}/dtw_paths/points")

@@ -13,12 +13,14 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.headers import ALIAS_OF
+from ..kernels import traces
 
 DEPTH_NAMES = ("DEPT", "DEPTH", "MD", "TVD", "Z")
 LINE = re.compile(r"^\s*([^.\s]*)\s*\.(\S*)\s*(.*?)\s*(?::\s*(.*))?$")
@@ -122,6 +124,170 @@ def samples(text: str, wanted: tuple[str, ...] | None = None) -> Iterator[tuple[
             yield r, m, depth, clean(number(tokens[i]))
 
 
+def parse_meta(text: str) -> Header:
+    """The header as identity inference reads it: WRAP from ~V alone, mnemonics in upper case without white space."""
+    out, section = parse_header(text), ""
+    out.wrap = False
+    for line in text.splitlines():
+        s = line.strip()
+        if s.startswith("~"):
+            section = s[1:2].upper()
+            if section == "A":
+                break
+        elif section == "V" and (m := LINE.match(s)) and m[1].upper() == "WRAP":
+            out.wrap = (m[3] or m[2]).strip().upper().startswith("Y")
+    out.curves = [("".join(n.split()).upper(), u, d) for n, u, d in out.curves]
+    return out
+
+
+def well_fields(text: str, wanted: tuple[str, ...] = ("UWI", "API", "WELL", "WELLNAME", "LEASE", "FLD", "LOC", "LAT", "LON", "COMP")) -> dict[str, str]:
+    """Values of the ~W section by their names."""
+    out, section = {}, ""
+    for line in text.splitlines():
+        s = line.strip()
+        if s.startswith("~"):
+            section = s[1:2].upper()
+            if section == "A":
+                break
+        elif section == "W" and not s.startswith("#") and (m := LINE.match(s)) and m[1].upper() in wanted:
+            out[m[1].upper()] = (f"{m[2]} {m[3]}" if m[2] and m[3] else m[3] or m[2]).strip()
+    return out
+
+
+def column_values(text: str, column: int, n_curves: int, wrapped: bool, null_value: float | None) -> Iterator[float]:
+    """One column of all ~A sections: a wrapped file's tokens are cut every ``n_curves``, other rows that are short go; null markers
+    and bad numbers are NaN. Only white space parts tokens here."""
+    inside, held = False, []
+    for line in text.splitlines():
+        s = line.strip()
+        if s.startswith("~"):
+            inside = s[1:2].upper() == "A"
+            continue
+        if not inside or not s or s.startswith("#"):
+            continue
+        tokens = s.split()
+        if wrapped:
+            held += tokens
+            whole = len(held) // n_curves * n_curves
+            found, held = [held[i : i + n_curves] for i in range(0, whole, n_curves)], held[whole:]
+        else:
+            found = [tokens] if len(tokens) >= n_curves else []
+        for row in found:
+            x = number(row[column])
+            yield math.nan if null_value is not None and x == null_value else x
+
+
+@dataclass
+class Read:
+    """A file read whole: its header, which way of reading worked, and a column of numbers for each curve."""
+
+    header: Header
+    engine: str
+    columns: np.ndarray
+
+
+def read_whole(text: str, prefer_fast: bool = True, ignore_data: bool = False) -> Read:
+    """All columns of a file. An unwrapped file is read as one block of numbers if it is one; a wrapped one, or one with odd tokens or
+    short rows, token by token. Raises for a file without curves or, unless its data are ignored, without rows."""
+    head = parse_header(text)
+    n = len(head.curves)
+    if not n:
+        raise ValueError("wrapped file without curves" if head.wrap else "no curves")
+    if ignore_data:
+        return Read(head, "header", np.empty((n, 0)))
+    block = re.split(r"(?mi)^\s*~A.*$", text, maxsplit=1)
+    data, engine = None, "normal"
+    if prefer_fast and not head.wrap and len(block) == 2 and not re.search(r"(?m)^\s*[~#]", block[1]):
+        try:
+            flat = np.array(block[1].replace(",", " ").split(), float)
+            lines = [x for x in block[1].splitlines() if x.strip()]
+            if len(flat) and len(flat) == n * len(lines) and all(len(x.replace(",", " ").split()) == n for x in lines):
+                data, engine = flat.reshape(-1, n).T, "fast"
+        except ValueError:
+            pass
+    if data is None:
+        found = [[number(t) for t in r[:n]] for r in rows(text, n, head.wrap) if len(r) >= n]
+        data = np.array(found, float).reshape(-1, n).T
+    if not data.shape[1]:
+        raise ValueError("no rows of data")
+    data = np.where(np.isfinite(data), data, np.nan)
+    if head.null_value is not None:
+        data = np.where(data == head.null_value, np.nan, data)
+    return Read(head, engine, data)
+
+
+def best_curve(read: Read, wanted: tuple[str, ...]) -> int:
+    """Column of the curve of the wanted families with most finite samples, the first on a tie; without one, of those whose name begins
+    with a wanted name; -1 if there is none."""
+    names = {canonical(w) for w in wanted if canonical(w)}
+    raw = [w.strip().upper() for w in wanted if w.strip()]
+    hits = [i for i, (m, *_) in enumerate(read.header.curves) if canonical(m) in names] or [i for i, (m, *_) in enumerate(read.header.curves) if m.strip().upper().startswith(tuple(raw))]
+    return max(hits, key=lambda i: (int(np.isfinite(read.columns[i]).sum()), -i), default=-1)
+
+
+def canonical_logs(logs: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Curves by canonical names; of several for one name the one with more finite samples, the first on a tie."""
+    out: dict[str, np.ndarray] = {}
+    for raw, x in logs.items():
+        name = canonical(raw)
+        if name and (name not in out or np.isfinite(x).sum() > np.isfinite(out[name]).sum()):
+            out[name] = x
+    return out
+
+
+def well_arrays(read: Read, n: int, wanted: tuple[str, ...] = ("GR",), normalise_first: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(depths, x): a file's best curve by depth, filled, normalised and made even; or made even before it is normalised."""
+    curve, at = best_curve(read, wanted), best_curve(read, ("DEPT", "DEPTH", "MD", "TVD"))
+    if curve < 0 or at < 0:
+        raise ValueError("no such curve" if curve < 0 else "no depth")
+    d, v = read.columns[at], read.columns[curve]
+    d, v = d[np.isfinite(d)], v[np.isfinite(d)]
+    order = np.argsort(d, kind="stable")
+    d, v = d[order], v[order]
+    good = np.isfinite(v)
+    if good.sum() < 2 or d[-1] <= d[0]:
+        raise ValueError("too few samples")
+    v = np.interp(np.arange(len(v)), np.flatnonzero(good), v[good])
+    last = np.r_[d[1:] != d[:-1], True]
+    z = np.linspace(d[0], d[-1], n)
+    return z, np.interp(z, d[last], traces.scaled(v)[last]) if normalise_first else traces.scaled(np.interp(z, d[last], v[last]))
+
+
+RESAMPLED = "path string, status string, x array<double>, top double, base double, n_finite long, step double"
+
+
+def resampled_curves(files: DataFrame, n: int, wanted: tuple[str, ...] = ("GR",), max_rows: int = 0, **settings) -> DataFrame:
+    """Each of ``files(path, text)`` as ``n`` even samples of its curve, rows read in the file's order (``kernels.traces.resampled``)."""
+
+    def one(path: str, text: str) -> tuple:
+        none = (None,) * 5
+        head = parse_header(text)
+        at, curve = find_curve(head, DEPTH_NAMES), find_curve(head, ("GR",), wanted)
+        if at < 0 or curve < 0:
+            return path, "FAIL: no curves" if not head.curves else "FAIL: no depth" if at < 0 else "FAIL: no such curve", *none
+        clean = lambda x: math.nan if x == head.null_value else x
+        pairs = []
+        for k, r in enumerate(rows(text, len(head.curves), head.wrap)):
+            if max_rows and k >= max_rows:
+                return path, "FAIL: too many rows", *none
+            if len(r) > max(at, curve):
+                pairs.append((clean(number(r[at])), clean(number(r[curve]))))
+        try:
+            t = traces.resampled(*(np.array(pairs, float).reshape(-1, 2).T), n, **settings)
+        except traces.TraceError as e:
+            return path, f"FAIL: {e}", *none
+        return path, "OK", t.x.tolist(), t.top, t.base, t.n_finite, None if math.isnan(t.step) else t.step
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+        for batch in batches:
+            got = [one(p, t or "") for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            cols = list(zip(*got, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in RESAMPLED.split(", ")])
+
+    return files.select("path", "text").mapInArrow(run, RESAMPLED)
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): each file a row."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
