@@ -12,14 +12,17 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels.greedy import Sets
-from ..scratch import cut
+from ..scratch import cut, scratch_path
+from .order import numbered
 
 #: Edges that are few enough for one task.
 SMALL_EDGES = 200_000
+#: Edges of a component that one task works on where there is another way for larger ones.
+SMALL_COMPONENT = 2_000_000
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -107,10 +110,79 @@ def spanning_forest(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     return reduce(DataFrame.union, taken)
 
 
-def per_component(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``kernel`` on the edges of each connected component."""
+def per_component(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, large: Callable[[DataFrame], DataFrame] | None = None, small: int = SMALL_COMPONENT) -> DataFrame:
+    """``kernel`` on the edges of each connected component.
+
+    Where there is a way for ``large`` components too, those of more than ``small`` edges go that way: it gets their
+    edges with their ``component`` and works by joins, so that no task holds a component of any size.
+    """
     label = components(edges).select(F.col("id").alias("src"), "component")
-    return edges.join(label, "src").groupBy("component").applyInPandas(lambda pdf: kernel(pdf.drop(columns="component").sort_values(["src", "dst"], ignore_index=True)), schema)
+    labelled = edges.join(label, "src")
+    at_once = lambda df: df.groupBy("component").applyInPandas(lambda pdf: kernel(pdf.drop(columns="component").sort_values(["src", "dst"], ignore_index=True)), schema)
+    if large is None:
+        return at_once(labelled)
+    labelled = cut(labelled, "labelled")
+    big = cut(labelled.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > small).select("component"), "large-components")
+    if big.isEmpty():
+        return at_once(labelled)
+    return at_once(labelled.join(big, "component", "left_anti")).union(large(labelled.join(big, "component", "left_semi")))
+
+
+def both_ways(edges: DataFrame, value: Column, back: Column) -> DataFrame:
+    """(u, v, x): each edge from either end, written."""
+    there = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), value.alias("x"))
+    return cut(there.union(edges.select(F.col("dst"), F.col("src"), back)), "both-ways")
+
+
+def breadth_first(edges: DataFrame) -> DataFrame:
+    """(id, shift, anchor) of ``edges(component, src, dst, offset)``: a level at a time from each component's smallest id.
+
+    A node's parent is the neighbour that comes first in the level before, in the order in which a queue would hold it: by
+    the parent's own place, then by id. A level only has to be told from itself and the one before.
+    """
+    spark = edges.sparkSession
+    offset = F.when(~F.isnan("offset") & (F.abs("offset") < F.lit(float("inf"))), F.col("offset")).otherwise(0.0)
+    near = both_ways(edges, offset, -offset)
+    path = scratch_path(spark, "levels")
+    schema = "id long, place int, shift double, anchor long"
+    edges.select("component").distinct().select(F.col("component").alias("id"), F.lit(1).alias("place"), F.lit(0.0).alias("shift"), F.col("component").alias("anchor")).write.parquet(f"{path}/level=0")
+    level = 0
+    while True:
+        now = spark.read.schema(schema).parquet(f"{path}/level={level}")
+        known = now.select("id") if level == 0 else now.select("id").union(spark.read.schema(schema).parquet(f"{path}/level={level - 1}").select("id"))
+        met = near.join(now.withColumnRenamed("id", "u"), "u").join(known.select(F.col("id").alias("v")), "v", "left_anti")
+        best = met.groupBy("v").agg(F.min(F.struct("place", "u", "x", "shift", "anchor")).alias("m"))
+        found = cut(best.select(F.col("v").alias("id"), "m.place", (F.col("m.shift") + F.col("m.x")).alias("shift"), "m.anchor"), "level")
+        if found.isEmpty():
+            return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path).select("id", "shift", "anchor")
+        ordered = numbered(found, [F.col("place"), F.col("id")], "next")
+        level += 1
+        ordered.select("id", F.col("next").cast("int").alias("place"), "shift", "anchor").write.parquet(f"{path}/level={level}")
+
+
+def shortest_ways(edges: DataFrame) -> DataFrame:
+    """(start, goal, dist_km, way) of ``edges(component, src, dst, dist_km)``: each component's shortest way from its smallest to its largest id.
+
+    Distances are improved from the nodes that changed last until none does; a way is then followed back from its goal.
+    """
+    spark = edges.sparkSession
+    near = both_ways(edges, F.col("dist_km"), F.col("dist_km"))
+    ends = {r[0]: r[1] for r in edges.groupBy("component").agg(F.max(F.greatest("src", "dst"))).collect()}  # the large components
+    known = cut(edges.select("component").distinct().select(F.col("component").alias("id"), F.lit(0.0).alias("far"), F.lit(None).cast("long").alias("before")), "known")
+    fresh = known
+    while not fresh.isEmpty():
+        step = near.join(fresh.select(F.col("id").alias("u"), "far"), "u").groupBy(F.col("v").alias("id")).agg(F.min(F.struct((F.col("far") + F.col("x")).alias("far"), "u")).alias("m"))
+        fresh = cut(step.join(known.select("id", F.col("far").alias("old")), "id", "left").filter("old is null or m.far < old").select("id", "m.far", F.col("m.u").alias("before")), "fresh")
+        known = cut(known.join(fresh.select("id"), "id", "left_anti").union(fresh), "known")
+    out = []
+    for start, goal in sorted(ends.items()):
+        way, far = [goal], None
+        while way[-1] != start:
+            row = known.filter(F.col("id") == way[-1]).first()
+            far = row["far"] if far is None else far
+            way.append(row["before"])
+        out.append((start, goal, far or 0.0, way[::-1]))
+    return spark.createDataFrame(out, "start long, goal long, dist_km double, way array<long>")
 
 
 def usable(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..scratch import cut
 from .order import numbered
 
 
@@ -59,6 +60,38 @@ def choose_cell_size(candidates: DataFrame, target: int) -> DataFrame:
     return candidates.orderBy(*order).limit(1)  # the choice is the feature
 
 
+def grid_spec(wells: DataFrame, cell_km: float | None = None, target: int | None = None, min_size: int = 1, pad_frac: float = 0.01, steps: int = 30) -> dict[str, float]:
+    """A local plane's grid over the wells: middle, lowest x and y, cell size, rows and columns.
+
+    Without a size it is searched for: coarser by a quarter while there are more occupied cells than ``target`` or one of fewer than
+    ``min_size`` wells, finer by 0.85 else; of ``steps`` sizes the best counts. A step looks at counts of cells only.
+    """
+    good = wells.select("lat", "lon").filter("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    n, lat0, lon0 = good.agg(F.count("*"), F.avg("lat"), F.avg("lon")).first()
+    if n < 2:
+        raise ValueError("too few wells for a grid")
+    x, y = geo.centred_xy(F.col("lat"), F.col("lon"), lat0, lon0)
+    plane = cut(good.select(x.alias("x"), y.alias("y")), "plane")
+    x0, x1, y0, y1 = plane.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if cell_km is None:
+        if target is None:
+            raise ValueError("a size of cells or a number of them")
+        size = min(2000.0, max(0.25, (max(1e-6, (x1 - x0) * (y1 - y0)) / max(1, target)) ** 0.5))
+        cell_km, best = size, float("inf")
+        for _ in range(steps):
+            cells = plane.groupBy(F.floor((F.col("x") - x0) / size).alias("i"), F.floor((F.col("y") - y0) / size).alias("j")).count()
+            occupied, least = cells.agg(F.count("*"), F.min("count")).first()
+            miss = abs(occupied - target) + (10_000 + 100 * (min_size - least) if least < min_size else 0)
+            if miss < best:
+                cell_km, best = size, miss
+            size = min(2000.0, max(0.25, size * (1.25 if least < min_size or occupied > target else 0.85)))
+    if not cell_km > 0:
+        raise ValueError(f"no size of cells: {cell_km}")
+    px, py = pad_frac * max(1e-9, x1 - x0), pad_frac * max(1e-9, y1 - y0)
+    count = lambda a, b: max(1, -int(-(b - a) // cell_km))
+    return {"lat0": lat0, "lon0": lon0, "x_min_km": x0 - px, "y_min_km": y0 - py, "cell_km": cell_km, "n_cols": count(x0 - px, x1 + px), "n_rows": count(y0 - py, y1 + py)}
+
+
 def tiles_with_halo(wells: DataFrame, tile_km: float, halo_km: float, lat0: float) -> DataFrame:
     """(tile ix, iy, well_id, core): each well in its own tile and in those whose halo holds it (closed bounds)."""
     x, y = geo.equirect_xy(F.col("lat"), F.col("lon"), lat0)

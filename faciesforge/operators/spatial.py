@@ -4,8 +4,10 @@ only what can lie within the radius; the exact distance then decides."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from ..scratch import cut
 DEGREE_KM = 111.19492664455873  # 2 pi R / 360
 
 
-def neighbours(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
-    """(src, dst, dist_km): ids of ``b(id, lat, lon)`` other than the own at most ``radius_km`` from those of ``a``.
+def within(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
+    """(src, dst, dist_km): ids of ``b(id, lat, lon)`` at most ``radius_km`` from those of ``a``, coincident ones included.
 
     Buckets are rows of latitude and, in each row, columns of longitude. The column width
     belongs to the row that is looked into, so both sides agree on it.
@@ -29,7 +31,12 @@ def neighbours(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
     b = b.select(F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.array(row - 1, row, row + 1)).alias("row"))
     b = b.withColumn("c", F.floor(F.col("lon2") / width(F.col("row")))).withColumn("col", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
     d = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, ["row", "col"]).filter("id <> id2").select(F.col("id").alias("src"), F.col("id2").alias("dst"), d.alias("dist_km")).filter(F.col("dist_km") <= radius_km)
+    return a.join(b, ["row", "col"]).select(F.col("id").alias("src"), F.col("id2").alias("dst"), d.alias("dist_km")).filter(F.col("dist_km") <= radius_km)
+
+
+def neighbours(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
+    """``within`` for points of one table: a point is not its own neighbour."""
+    return within(a, b, radius_km).filter("src <> dst")
 
 
 def radius_pairs(points: DataFrame, radius_km: float) -> DataFrame:
@@ -41,29 +48,124 @@ def directed(pairs: DataFrame) -> DataFrame:
     return pairs.select("src", "dst", "dist_km").union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist_km"))
 
 
+#: Cell sizes that ``radii`` tries, from its least one on, each twice the last.
+LEVELS = 16
+
+
+def radii(points: DataFrame, k: int, start_km: float) -> DataFrame:
+    """(id, lat, lon, radius): for each point a radius that holds ``k`` others, the diagonal of the smallest cell around it that holds
+    ``k`` + 1 points, of sizes from a sixteenth of ``start_km`` on; null where no size does. Only counts of cells are compared."""
+    sizes = [start_km / 16 * 2**level for level in range(LEVELS)]
+    # a cell is a row of latitude and, in it, a column that is as wide where the row is widest
+    row = lambda s: F.floor(F.col("lat") * DEGREE_KM / s)
+    widest = lambda s: F.cos(F.radians(F.least(F.lit(89.9), F.least(F.abs(row(s) * s), F.abs((row(s) + 1) * s)) / DEGREE_KM)))
+    cells = F.array(*[F.struct(F.lit(i).alias("level"), row(s).alias("row"), F.floor(F.col("lon") * DEGREE_KM * widest(s) / s).alias("col")) for i, s in enumerate(sizes)])
+    each = points.select("id", F.explode(cells).alias("c")).select("id", "c.*")
+    full = each.groupBy("level", "row", "col").agg(F.count("*").alias("n")).filter(F.col("n") > k)
+    best = each.join(full, ["level", "row", "col"]).groupBy("id").agg(F.min("level").alias("level"))
+    across = [2 * geo.EARTH_KM * math.asin(min(1.0, s / math.sqrt(2) / geo.EARTH_KM)) * 1.0001 for s in sizes]
+    size = F.coalesce(*[F.when(F.col("level") == i, x) for i, x in enumerate(across)])
+    return points.select("id", "lat", "lon").join(best, "id", "left").select("id", "lat", "lon", size.alias("radius"))
+
+
 def knn(points: DataFrame, k: int, start_km: float, most_km: float = 20_040.0) -> DataFrame:
     """(src, dst, rank, dist_km): the ``k`` nearest others, ties to the smaller id.
 
-    Rings of growing radius: whoever has k neighbours within the radius is done, the rest
-    look again twice as far. Only the unfinished are sent on.
+    Each point looks as far as its own neighbourhood asks for (``radii``), so that neither a dense
+    region nor a sparse one decides for all; points look together with those of their radius. Where no
+    cell holds enough, the radius grows until there are k or the Earth is covered.
     """
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dist_km", "dst"))
     points = cut(points.select("id", "lat", "lon"), "points")
-    need, done, looking, radius = min(k, points.count() - 1), [], points, start_km
-    while need > 0 and not looking.isEmpty():
-        found = neighbours(looking, points, radius).withColumn("rank", rank).filter(F.col("rank") <= k)
+    need = min(k, points.count() - 1)
+    if need <= 0:
+        return points.sparkSession.createDataFrame([], "src long, dst long, rank int, dist_km double")
+    looking = cut(radii(points, k, start_km), "looking")
+    done, rest = [], looking.filter("radius is null")
+    for (radius,) in looking.filter("radius is not null").select("radius").distinct().collect():  # ``LEVELS`` at most
+        found = neighbours(looking.filter(F.col("radius") == radius), points, radius).withColumn("rank", rank)
+        done.append(found.filter(F.col("rank") <= k).select("src", "dst", "rank", "dist_km"))
+    radius = start_km
+    while not rest.isEmpty():
+        found = neighbours(rest, points, radius).withColumn("rank", rank).filter(F.col("rank") <= k)
         found = cut(found.withColumn("n", F.count("*").over(Window.partitionBy("src"))), "neighbours")
         full = found if radius >= most_km else found.filter(F.col("n") >= need)
         done.append(full.select("src", "dst", "rank", "dist_km"))
         if radius >= most_km:
             break
-        looking = cut(looking.join(full.select(F.col("src").alias("id")).distinct(), "id", "left_anti"), "points")
+        rest = cut(rest.join(full.select(F.col("src").alias("id")).distinct(), "id", "left_anti"), "points")
         radius *= 2
-    if not done:
-        return points.sparkSession.createDataFrame([], "src long, dst long, rank int, dist_km double")
     return reduce(DataFrame.union, done)
 
 
+def directed_sectors(points: DataFrame, start_km: float, most_km: float = 20_040.0) -> DataFrame:
+    """(src, dst, dist_km): the nearest other point in each of N, E, S, W of every point at whatever distance, ties to the smaller id,
+    coincident points left out. Points go on looking, twice as far each time, only for sectors where they have met nothing yet."""
+    points = cut(points.select("id", "lat", "lon"), "points")
+    where = points.toDF("dst", "lat2", "lon2")
+    rank = F.row_number().over(Window.partitionBy("src", "sector").orderBy("dist_km", "dst"))
+    looking, done, radius = points.withColumn("have", F.array().cast("array<string>")), [], start_km
+    while not looking.isEmpty():
+        met = neighbours(looking, points, radius).filter("dist_km > 0").join(looking.withColumnRenamed("id", "src"), "src").join(where, "dst")
+        met = met.withColumn("sector", geo.sector(geo.bearing(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))).filter(~F.array_contains("have", F.col("sector")))
+        found = cut(met.withColumn("rank", rank).filter("rank = 1").select("src", "dst", "dist_km", "sector"), "sectors")
+        done.append(found.select("src", "dst", "dist_km"))
+        if radius >= most_km:
+            break
+        got = found.groupBy(F.col("src").alias("id")).agg(F.collect_set("sector").alias("new"))
+        looking = looking.join(got, "id", "left").select("id", "lat", "lon", F.array_union("have", F.coalesce("new", F.array().cast("array<string>"))).alias("have"))
+        looking = cut(looking.filter(F.size("have") < 4), "looking")
+        radius *= 2
+    return reduce(DataFrame.union, done) if done else points.sparkSession.createDataFrame([], "src long, dst long, dist_km double")
+
+
+def quadrant_candidates_anywhere(points: DataFrame, k_max: int, radius_km: float, start_km: float | None = None) -> DataFrame:
+    """As ``quadrant_candidates``, with the nearest in each sector at any distance."""
+    first = directed_sectors(points, start_km or radius_km).withColumn("source", F.lit("quadrant"))
+    taken = first.groupBy("src").agg(F.count("*").alias("n_first"))
+    near = directed(radius_pairs(points, radius_km)).filter("dist_km > 0").join(first.select("src", "dst"), ["src", "dst"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dist_km", "dst"))
+    more = near.withColumn("place", place).join(taken, "src", "left").filter(F.col("place") + F.coalesce("n_first", F.lit(0)) <= k_max)
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("dist_km", "dst"))).filter(F.col("place") <= k_max)
+    return merged_sources(first.select("src", "dst", "dist_km", "source").union(more.select("src", "dst", "dist_km", F.lit("radius"))))
+
+
+def merged_sources(edges: DataFrame) -> DataFrame:
+    """Undirected edges of the least distance, all sources of an edge joined by +."""
+    edge = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "dist_km", "source")
+    return edge.groupBy("src", "dst").agg(F.min("dist_km").alias("dist_km"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"))
+
+
+def with_bridges(points: DataFrame, radius_km: float, bridges: int, bridge_km: float, delaunay: DataFrame | None = None) -> DataFrame:
+    """(src, dst, dist_km, source): all pairs within the radius, and sparse bridges between what lies apart: each point's ``bridges``
+    nearest others, or the given Delaunay edges, of at most ``bridge_km``."""
+    near = radius_pairs(points, radius_km).withColumn("source", F.lit("max_dist"))
+    if delaunay is not None:
+        a, b = points.select("id", "lat", "lon").toDF("src", "lat", "lon"), points.select("id", "lat", "lon").toDF("dst", "lat2", "lon2")
+        far = delaunay.select("src", "dst").join(a, "src").join(b, "dst").select("src", "dst", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("dist_km"), F.lit("delaunay").alias("source"))
+    else:
+        far = knn(points, bridges, radius_km).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "dist_km", F.lit("bridge").alias("source")).distinct()
+    far = far.filter(F.col("dist_km") <= bridge_km).join(near.select("src", "dst"), ["src", "dst"], "left_anti")
+    return near.select("src", "dst", "dist_km", "source").union(far.select("src", "dst", "dist_km", "source"))
+
+
+def distance_rows(points: DataFrame, by: str) -> DataFrame:
+    """(group, id, ids, dist_km): within each group of ``points(by, id, lat, lon)`` a matrix of distances, a row for each point, zero on the
+    diagonal. For groups that are small by their making (a cell's candidates); a whole table's pairs are ``radius_pairs``."""
+    import pandas as pd
+
+    from ..kernels.greedy import haversine
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        lat, lon = pdf.lat.to_numpy(float), pdf.lon.to_numpy(float)
+        d = haversine(lat[:, None], lon[:, None], lat[None], lon[None])
+        d[np.diag_indices(len(d))] = 0.0
+        return pd.DataFrame({by: pdf[by], "id": pdf.id, "ids": [pdf.id.to_numpy()] * len(pdf), "dist_km": list(d)})
+
+    return points.select(by, "id", "lat", "lon").groupBy(by).applyInPandas(run, f"`{by}` {dict(points.dtypes)[by]}, id long, ids array<long>, dist_km array<double>")
+
+
 def quadrant_candidates(points: DataFrame, k_max: int, radius_km: float, far_km: float) -> DataFrame:
     """(src, dst, dist_km, source): the nearest in each of N, E, S, W within ``far_km``, then neighbours within
     the radius up to ``k_max``; coincident points are left out, and edges are undirected with their sources merged."""
@@ -79,8 +181,7 @@ def quadrant_candidates(points: DataFrame, k_max: int, radius_km: float, far_km:
     place = F.sum(rest.cast("int")).over(Window.partitionBy("src").orderBy("dist_km", "dst").rowsBetween(Window.unboundedPreceding, 0))
     kept = ranked.withColumn("first", first).withColumn("n_first", n_first).withColumn("rest", rest).withColumn("place", place)
     kept = kept.filter(F.col("first") | (F.col("rest") & (F.col("place") + F.col("n_first") <= k_max)))
-    edge = kept.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "dist_km", F.when(F.col("first"), "quadrant").otherwise("radius").alias("source"))
-    return edge.groupBy("src", "dst").agg(F.min("dist_km").alias("dist_km"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"))
+    return merged_sources(kept.select("src", "dst", "dist_km", F.when(F.col("first"), "quadrant").otherwise("radius").alias("source")))
 
 
 def nearest_to(points: DataFrame, lat: float, lon: float, n: int = 1, most_km: float | None = None) -> DataFrame:
