@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import headers as H
-from ..operators import curves, graph, grid, kernels, spatial
+from ..functions import scoring
+from ..operators import chronostrat, curves, framework, graph, grid, kernels, series, spatial, typewells, windowed
+from ..scratch import cut
 from . import views
-from .queries import CELL_KM, LAT0, RADIUS_KM, _edges, r6, rounded
+from .queries import CELL_KM, LAT0, RADIUS_KM, _edges, r6, rounded, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -106,12 +108,13 @@ def representative_quotas(spark, d):
 
 @query
 def top_representatives(spark, d):
-    """The quota of each cell's wells, best score first."""
+    """The quota of each cell's wells, those with the better log suite first; a well's curves are those of the files that share its number."""
     wells = grid.assign(views.wells(spark, d), CELL_KM, LAT0)
     quota = representative_quotas(spark, d)
-    score = F.pmod(F.xxhash64("well_id"), F.lit(1000)) / 10
+    suites = curves.canonical(views.headers(spark, d)).groupBy((F.col("file") % 211).alias("suite")).agg(F.collect_set("mnemonic_n").alias("c"))
+    scored = wells.withColumn("suite", F.col("well_id") % 211).join(suites.select("suite", scoring.log_suite_score(F.col("c")).alias("score")), "suite")
     rank = F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("score"), "well_id"))
-    return wells.withColumn("score", score).withColumn("rank", rank).join(F.broadcast(quota), "cell_id").filter("rank <= quota").select("cell_id", "well_id", r6("score").alias("score"), "rank")
+    return scored.withColumn("rank", rank).join(F.broadcast(quota), "cell_id").filter("rank <= quota").select("cell_id", "well_id", r6("score").alias("score"), "rank")
 
 
 @query
@@ -143,3 +146,101 @@ def well_identity(spark, d):
     return w.select("well_id", pick.alias("chosen"), H.file_key(F.concat(F.lit("/las/"), F.col("c_name"), F.lit(".las"))).alias("file_key"))
 
 
+# ---- the pipeline's kernels, on the wells that have series ------------------------------------------
+
+
+def sites(spark: SparkSession, d: str) -> DataFrame:
+    return views.wells(spark, d).join(samples(spark, d).select("well_id").distinct(), "well_id", "left_semi")
+
+
+def site_edges(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.knn(sites(spark, d).withColumnRenamed("well_id", "id"), 4, 20.0).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "dist_km").distinct()
+
+
+def site_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Each site's series as 48 even samples with their depths."""
+    v = windowed.vectors(samples(spark, d), 48).filter("status = 'OK'")
+    depth = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda k: F.col("top") + k * (F.col("base") - F.col("top")) / 47)
+    return cut(v.select("well_id", "x", depth.alias("depths")), "site-arrays")
+
+
+@query
+def spatial_graph(spark, d):
+    """Delaunay edges and nearest neighbours of all wells, cut at a distance and pruned."""
+    return rounded(framework.spatial_graph(views.points(spark, d))[0])
+
+
+@query
+def stored_vectors(spark, d):
+    v = windowed.vectors(samples(spark, d), 64)
+    return rounded(v.select("well_id", "top", "base", "n_finite", "step", "status", F.aggregate("x", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+@query
+def windowed_edges(spark, d):
+    """Edges aligned over the depths of both ends."""
+    s = samples(spark, d)
+    nodes = s.groupBy("well_id").agg(F.min("depth").alias("depth_min"), F.max("depth").alias("depth_max"))
+    found = windowed.aligned(site_edges(spark, d), nodes, cut(windowed.vectors(s, 128), "stored"), windowed.Windowing(n=64, min_overlap=20.0))
+    return rounded(found.select("src", "dst", "pad", "overlap", "overlap_frac", "status", "cost", "cps", F.size("ii").alias("n_path")))
+
+
+def _solved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    arrays = site_arrays(spark, d)
+    a, b = (arrays.select(F.col("well_id").alias(end), F.col("x").alias(v)) for end, v in (("src", "x"), ("dst", "y")))
+    paths = cut(kernels.align_edges(site_edges(spark, d).join(a, "src").join(b, "dst")).filter("status = 'OK'").select("src", "dst", "ii", "jj"), "site-paths")
+    return arrays, chronostrat.solved(chronostrat.equations(paths, arrays), damping=0.05)
+
+
+@query
+def sample_shifts(spark, d):
+    """The shift of every sample of every site."""
+    return _solved(spark, d)[1].select("well_id", "k", F.round("shift", 2).alias("shift"))
+
+
+def _diagram(spark: SparkSession, d: str) -> DataFrame:
+    arrays, shifts = _solved(spark, d)
+    long = arrays.select("well_id", F.posexplode(F.arrays_zip("depths", "x")).alias("k", "p")).select("well_id", "k", F.col("p.depths").alias("depth"), F.col("p.x").alias("value"))
+    return cut(chronostrat.diagram(long.join(shifts, ["well_id", "k"], "left"), [], 120)[0], "diagram")
+
+
+@query
+def chronostrat_log(spark, d):
+    log = chronostrat.type_log(_diagram(spark, d), [])
+    return log.select("place", F.round("rgt", 2).alias("rgt"), F.round("value", 3).alias("value"), "n_wells")
+
+
+@query
+def multiscale_tops(spark, d):
+    """Tops at eight scales of each site's own series."""
+    s = series.resample(views.series(spark, d).select("well_id", "depth", F.col("value").cast("double").alias("value")), 128)
+    return chronostrat.multiscale_tops(s.select("well_id", F.col("k").cast("int").alias("place"), "value"), ["well_id"])
+
+
+def _members(spark: SparkSession, d: str, nearest: int) -> DataFrame:
+    cells = cut(grid.assign(sites(spark, d), 80.0, LAT0), "site-cells")
+    return cut(typewells.kernel_members(cells, 1, 3, 8, 80, nearest, 200.0), "members")
+
+
+@query
+def local_type_wells(spark, d):
+    types = typewells.local_type_wells(_members(spark, d, 0), typewells.template_features(samples(spark, d), 64))
+    return rounded(types.drop("template"))
+
+
+@query
+def grid_type_wells(spark, d):
+    return typewells.grid_type_wells(_members(spark, d, 12), typewells.curve_quality(samples(spark, d), 32, min_iqr=0.01, min_spread=0.01), 4)
+
+
+@query
+def placements(spark, d):
+    """Each site in its cell's template; every third one only with the middle of its curve."""
+    cells = cut(grid.assign(sites(spark, d), 80.0, LAT0), "site-cells")
+    s = samples(spark, d)
+    types = cut(typewells.local_type_wells(typewells.kernel_members(cells, 1, 3, 8, 80), typewells.template_features(s, 128)), "types")
+    own = s.groupBy("well_id").agg(F.array_sort(F.collect_list(F.struct("depth", "value"))).alias("p"))  # a well's samples
+    n = F.size("p")
+    part = F.when(F.col("well_id") % 3 == 0, F.slice("p", F.floor(n / 4).cast("int") + 1, F.floor(n / 2).cast("int"))).otherwise(F.col("p"))
+    reps = own.select("well_id", part.alias("p")).join(cells.select("well_id", "cell_id"), "well_id")
+    return rounded(typewells.placed(reps.select(F.col("well_id").alias("rep_id"), "cell_id", F.transform("p", lambda q: q["depth"]).alias("depths"), F.transform("p", lambda q: q["value"]).alias("values")), types, lengths=(24, 128)))

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scoring
 from ..functions import headers as H
-from ..operators import curves, graph, grid, series, spatial
+from ..operators import curves, graph, grid, series, spatial, typewells
 from . import views
 from .views import HEADERS, SERIES, SERIES_DUP, WELLS
 
 LAT0, CELL_KM, RADIUS_KM = 38.5, 20.0, 8.0
 R = geo.EARTH_KM
-SIZES = [round(20.0 * 1.2**k, 6) for k in range(-6, 9)]
+SIZES = [round(20.0 * 1.2**k, 6) for k in range(-6, 24)]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -168,6 +168,39 @@ def quadrant_candidates(spark, d):
     return rounded(spatial.quadrant_candidates(views.points(spark, d), 12, RADIUS_KM, 40.0))
 
 
+@query(f"""WITH {WELLS}, {PAIRS}, {DIRECTED}, n AS (SELECT d.*, ((degrees(atan2(sin(radians(b.lon) - radians(a.lon)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon) - radians(a.lon)))) + 360.0) % 360.0) AS az
+FROM directed d JOIN wells a ON a.well_id = d.src JOIN wells b ON b.well_id = d.dst WHERE dist_km > 0),
+f AS (SELECT src, dst, dist_km, row_number() OVER (PARTITION BY src, CASE WHEN az >= 315 OR az < 45 THEN 'N' WHEN az < 135 THEN 'E' WHEN az < 225 THEN 'S' ELSE 'W' END ORDER BY dist_km, dst) = 1 AS first FROM n),
+g AS (SELECT *, sum(CAST(first AS INTEGER)) OVER (PARTITION BY src) AS nf, sum(CAST(NOT first AND dist_km <= {RADIUS_KM} AS INTEGER)) OVER (PARTITION BY src ORDER BY dist_km, dst ROWS UNBOUNDED PRECEDING) AS place FROM f),
+k AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, dist_km, CASE WHEN first THEN 'quadrant' ELSE 'radius' END AS source FROM g WHERE first OR (dist_km <= {RADIUS_KM} AND place + nf <= 12))
+SELECT src, dst, round(min(dist_km), 6) AS dist_km, string_agg(DISTINCT source, '+' ORDER BY source) AS source FROM k GROUP BY src, dst""")
+def quadrant_candidates_anywhere(spark, d):
+    return rounded(spatial.quadrant_candidates_anywhere(views.points(spark, d), 12, RADIUS_KM, 16.0))
+
+
+@query(f"""WITH {KNN}, b AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, min(dist_km) AS dist_km FROM knn WHERE rank <= 3 AND dist_km <= 30 GROUP BY 1, 2), near AS (SELECT src, dst, dist_km FROM pairs WHERE dist_km <= 4)
+SELECT src, dst, round(dist_km, 6) AS dist_km, 'max_dist' AS source FROM near UNION ALL SELECT src, dst, round(dist_km, 6), 'bridge' FROM b WHERE (src, dst) NOT IN (SELECT (src, dst) FROM near)""")
+def candidates_with_bridges(spark, d):
+    return rounded(spatial.with_bridges(views.points(spark, d), 4.0, 3, 30.0))
+
+
+@query(f"""WITH {WELLS}, o AS (SELECT floor(min(lat) / (20000.0 / 111132.0)) * (20000.0 / 111132.0) AS lat0, floor(min(lon) / (20000.0 / (111320.0 * cos(radians(min(lat))) + 1e-12))) * (20000.0 / (111320.0 * cos(radians(min(lat))) + 1e-12)) AS lon0 FROM wells), m AS (SELECT avg(lat) AS mlat, avg(lon) AS mlon FROM wells)
+SELECT well_id, round((lon - lon0) * 111320.0 * cos(radians(lat0)), 3) AS x_m, round((lat - lat0) * 111132.0, 3) AS y_m, round({R} * (radians(lon) - radians(mlon)) * cos(radians(mlat)), 6) AS cx, round({R} * (radians(lat) - radians(mlat)), 6) AS cy, round(lon * cos(radians(mlat)) * 111.32, 6) AS dx, round(lat * 111.32, 6) AS dy FROM wells, o, m""")
+def plane_variants(spark, d):
+    """The same wells on the planes that grids and pair selection use."""
+    w, lat, lon = views.wells(spark, d), F.col("lat"), F.col("lon")
+    lat0, lon0 = geo.grid_origin(w, 20.0)
+    middle = w.crossJoin(F.broadcast(w.agg(F.avg("lat").alias("mlat"), F.avg("lon").alias("mlon"))))  # one row
+    (x, y), (cx, cy), (dx, dy) = geo.origin_xy_m(lat, lon, lat0, lon0), geo.centred_xy(lat, lon, F.col("mlat"), F.col("mlon")), geo.degree_xy(lat, lon, F.col("mlat"))
+    return middle.select("well_id", F.round(x, 3).alias("x_m"), F.round(y, 3).alias("y_m"), r6(cx).alias("cx"), r6(cy).alias("cy"), r6(dx).alias("dx"), r6(dy).alias("dy"))
+
+
+@query(f"""WITH {WELLS}, {XY}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM xy), p AS (SELECT x0 - g AS x_min, x1 + g AS x_max, y0 - g AS y_min, y1 + g AS y_max FROM (SELECT *, greatest(1e-9, x1 - x0, y1 - y0) * 0.01 AS g FROM b))
+SELECT round(floor(x_min / {CELL_KM}) * {CELL_KM}, 6) AS x0, round(floor(y_min / {CELL_KM}) * {CELL_KM}, 6) AS y0, round(x_min, 6) AS x_min, round(x_max, 6) AS x_max, round(y_min, 6) AS y_min, round(y_max, 6) AS y_max FROM p""")
+def padded_bounds(spark, d):
+    return rounded(geo.padded_bounds(grid.assign(views.wells(spark, d), CELL_KM, LAT0), CELL_KM))
+
+
 # ---- headers ----------------------------------------------------------------------------
 
 
@@ -186,6 +219,14 @@ def canonical_headers(spark, d):
     return curves.canonical(views.headers(spark, d))
 
 
+@query(f"""WITH {CANON}, q AS (SELECT file, mnemonic, unit, regexp_replace(regexp_replace(upper(regexp_replace(coalesce(mnemonic, ''), '\\s+', '', 'g')), '[^A-Z0-9_/.\\-]+', '', 'g'), ':\\d+$', '') AS qm, regexp_replace(upper(regexp_replace(coalesce(unit, ''), '\\s+', '', 'g')), '[^A-Z0-9_/.\\-]+', '', 'g') AS qu FROM headers)
+SELECT file, mnemonic, unit, coalesce(m, qm) AS mnemonic_q, coalesce(u, qu) AS unit_q FROM q LEFT JOIN ma ON ma.a = qm LEFT JOIN ua ON ua.a = qu""")
+def header_check_names(spark, d):
+    """Names and units as the header check cleans them."""
+    h = views.headers(spark, d)
+    return h.select("file", "mnemonic", "unit", H.qc_mnemonic(F.col("mnemonic")).alias("mnemonic_q"), H.qc_unit(F.col("unit")).alias("unit_q"))
+
+
 @query(f"WITH {CANON} SELECT mnemonic, unit, count(*) AS n FROM canon GROUP BY ALL")
 def curve_vocabulary(spark, d):
     return curves.vocabulary(views.headers(spark, d))
@@ -202,15 +243,22 @@ def file_curve_summary(spark, d):
 
 
 _ALLOWED = ", ".join(f"('{m}', {units!r})" for m, units in H.ALLOWED_UNITS.items())
+
+
+def _reason(text: str) -> str:
+    """A rule's reason as SQL."""
+    return "'" + text.replace("{}", "' || mnemonic_n || '", 1).replace("{}", "' || unit_n || '", 1) + "'"
+
+
 _BAD = ", ".join(f"('{m}', '{u}')" for m, u in H.IMPOSSIBLE)
 
 
 @query(f"""WITH {CANON}, allowed AS (SELECT * FROM (VALUES {_ALLOWED}) t(m, units)), a AS (SELECT canon.*, units FROM canon LEFT JOIN allowed ON m = mnemonic_n),
-h AS (SELECT file, mnemonic_n, unit_n, 'ERROR' AS severity, 'Impossible mnemonic+unit: ' || mnemonic_n || ' with ' || unit_n AS reason FROM a WHERE (mnemonic_n, unit_n) IN (VALUES {_BAD})
-UNION ALL SELECT file, mnemonic_n, unit_n, 'WARN', 'Unit not allowed for mnemonic: ' || mnemonic_n || ' has ' || unit_n FROM a WHERE units IS NOT NULL AND NOT list_contains(units, unit_n)
-UNION ALL SELECT file, mnemonic_n, unit_n, 'INFO', 'Unknown mnemonic' FROM a WHERE units IS NULL
-UNION ALL SELECT file, mnemonic_n, unit_n, 'ERROR', 'Gamma ray curve carrying resistivity/caliper units.' FROM a WHERE mnemonic_n = 'GR' AND unit_n IN ('OHM-M', 'IN')
-UNION ALL SELECT file, mnemonic_n, unit_n, 'ERROR', 'Caliper mnemonic but description suggests gamma ray.' FROM a WHERE mnemonic_n IN ('CALI', 'DCAL', 'MCAL') AND unit_n = 'GAPI' AND (lower(descr) LIKE '%gamma%' OR lower(descr) LIKE '%gr%'))
+h AS (SELECT file, mnemonic_n, unit_n, 'ERROR' AS severity, {_reason(H.IMPOSSIBLE_REASON)} AS reason FROM a WHERE (mnemonic_n, unit_n) IN (VALUES {_BAD})
+UNION ALL SELECT file, mnemonic_n, unit_n, 'WARN', {_reason(H.NOT_ALLOWED_REASON)} FROM a WHERE units IS NOT NULL AND NOT list_contains(units, unit_n)
+UNION ALL SELECT file, mnemonic_n, unit_n, 'INFO', {_reason(H.UNKNOWN_REASON)} FROM a WHERE units IS NULL
+UNION ALL SELECT file, mnemonic_n, unit_n, 'ERROR', {_reason(H.GAMMA_REASON)} FROM a WHERE mnemonic_n = 'GR' AND unit_n IN ('OHM-M', 'IN')
+UNION ALL SELECT file, mnemonic_n, unit_n, 'ERROR', {_reason(H.CALIPER_REASON)} FROM a WHERE mnemonic_n IN ('CALI', 'DCAL', 'MCAL') AND unit_n = 'GAPI' AND (lower(descr) LIKE '%gamma%' OR lower(descr) LIKE '%gr%'))
 SELECT *, CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END AS severity_rank FROM h""")
 def quarantine_report(spark, d):
     return curves.quarantine(curves.canonical(views.headers(spark, d)))
@@ -449,9 +497,10 @@ def edge_difference(spark, d):
     return graph.difference(*_two_kinds(spark, d))
 
 
-@query(f"WITH {EDGES}, u AS (SELECT well_id AS id FROM wells WHERE well_id % 3 <> 0) SELECT src, dst FROM edges WHERE src IN (SELECT id FROM u) AND dst IN (SELECT id FROM u)")
+@query(f"WITH {EDGES}, u AS (SELECT DISTINCT o_custkey AS id FROM orders) SELECT src, dst FROM edges WHERE src IN (SELECT id FROM u) AND dst IN (SELECT id FROM u)")
 def usable_endpoints(spark, d):
-    return graph.with_endpoints(_edges(spark, d), views.points(spark, d).filter("id % 3 <> 0")).select("src", "dst")
+    """Edges between wells that have orders."""
+    return graph.with_endpoints(_edges(spark, d), views.table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct()).select("src", "dst")
 
 
 @query(f"WITH {EDGES} SELECT src, dst, round(a.lat, 6) AS lat_src, round(a.lon, 6) AS lon_src, round(b.lat, 6) AS lat_dst, round(b.lon, 6) AS lon_dst FROM edges JOIN wells a ON a.well_id = src JOIN wells b ON b.well_id = dst")
@@ -469,28 +518,61 @@ def spanning_forest(spark, d):
     return rounded(graph.spanning_forest(_edges(spark, d)))
 
 
+# ---- type wells ---------------------------------------------------------------------------------
+
+
+@query(f"""WITH {WELLS}, {XY}, {CELLS}, own AS (SELECT cell_id, ix, iy, count(*) AS n, avg(lat) AS clat, avg(lon) AS clon FROM cells GROUP BY ALL),
+s AS (SELECT a.cell_id, sum(CASE WHEN greatest(abs(a.ix - b.ix), abs(a.iy - b.iy)) <= 1 THEN b.n END) AS n1, sum(CASE WHEN greatest(abs(a.ix - b.ix), abs(a.iy - b.iy)) <= 2 THEN b.n END) AS n2, sum(b.n) AS n3 FROM own a JOIN own b ON abs(a.ix - b.ix) <= 3 AND abs(a.iy - b.iy) <= 3 GROUP BY 1),
+r AS (SELECT own.*, CASE WHEN n1 >= 20 THEN 1 WHEN n2 >= 20 THEN 2 WHEN n3 >= 20 THEN 3 ELSE -1 END AS radius FROM own JOIN s USING (cell_id)),
+d AS (SELECT r.cell_id, well_id, radius, {hav('clat', 'clon', 'w.lat', 'w.lon')} AS dist_km, greatest(abs(r.ix - w.ix), abs(r.iy - w.iy)) AS ring FROM r JOIN cells w ON radius = -1 OR (abs(r.ix - w.ix) <= radius AND abs(r.iy - w.iy) <= radius)),
+p AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY dist_km, well_id) AS place FROM d WHERE radius > 0 OR dist_km <= 50)
+SELECT cell_id, well_id, round(dist_km, 6) AS dist_km, radius FROM p WHERE place <= CASE WHEN radius > 0 THEN 200 ELSE 40 END""")
+def kernel_members(spark, d):
+    """The wells around each cell, or its nearest ones where kernels hold too few."""
+    return rounded(typewells.kernel_members(grid.assign(views.wells(spark, d), CELL_KM, LAT0), 1, 3, 20, 200, 40, 50.0).select("cell_id", "well_id", "dist_km", "radius"))
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """Series with their rows' numbers; a well's curve begins at a depth of its own."""
+    s = views.series(spark, d)
+    return s.select("well_id", F.col("k").alias("row"), (F.col("depth") + 7.0 * (F.col("well_id") % 13)).alias("depth"), F.col("value").cast("double").alias("value"))
+
+
+@query(f"""WITH {SERIES}, s AS (SELECT well_id, depth + 7.0 * (well_id % 13) AS depth, CAST(value AS DOUBLE) AS value FROM series),
+q AS (SELECT well_id, count(*) AS n, count(value) AS k, min(depth) FILTER (value IS NOT NULL) AS top, max(depth) FILTER (value IS NOT NULL) AS base, quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.95) AS p95, stddev_pop(value) AS std FROM s GROUP BY 1)
+SELECT well_id, CASE WHEN k < 50 THEN 'FAIL' WHEN p75 - p25 < 0.5 AND p95 - p05 < 2.0 THEN 'WARN' ELSE 'OK' END AS status, CASE WHEN k < 50 THEN 'too_few_finite:' || k WHEN p75 - p25 < 0.5 AND p95 - p05 < 2.0 THEN 'low_variance' ELSE '' END AS error,
+n, round(k / n, 6) AS finite_frac, CASE WHEN k >= 50 THEN round(top, 6) END AS top, CASE WHEN k >= 50 THEN round(base, 6) END AS base, CASE WHEN k >= 50 THEN round(base - top, 6) END AS thickness, CASE WHEN k >= 50 THEN round(p05, 6) END AS p05, CASE WHEN k >= 50 THEN round(p50, 6) END AS p50, CASE WHEN k >= 50 THEN round(p95, 6) END AS p95,
+CASE WHEN k >= 50 THEN round(p75 - p25, 6) END AS iqr, CASE WHEN k >= 50 THEN round(p95 - p05, 6) END AS spread, CASE WHEN k >= 50 THEN round(std, 6) END AS std FROM q""")
+def curve_quality(spark, d):
+    """Status and statistics of each whole curve; those that failed have none."""
+    q = typewells.curve_quality(samples(spark, d))
+    some = lambda c: F.when(F.col("status") != "FAIL", r6(c)).alias(c)
+    return q.select("well_id", "status", "error", "n", r6("finite_frac").alias("finite_frac"), *map(some, ("top", "base", "thickness", "p05", "p50", "p95", "iqr", "spread", "std")))
+
+
 # ---- joins, samples and rasters --------------------------------------------------------------
 
 
-@query(f"""WITH {WELLS}, {XY}, {CELLS}, bins AS (SELECT DISTINCT well_id, cell_id AS bin_id FROM cells WHERE well_id % 2 = 0 UNION ALL SELECT 10000000 + well_id, cell_id FROM cells WHERE well_id % 50 = 0)
+@query(f"""WITH {WELLS}, {XY}, {CELLS}, bins AS (SELECT well_id, cell_id AS bin_id FROM cells UNION SELECT user_id, event_type FROM events)
 SELECT b.well_id, bin_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM bins b LEFT JOIN wells w ON b.well_id = w.well_id WHERE lat IS NOT NULL AND lon IS NOT NULL""")
 def bins_with_wells(spark, d):
+    """Bins of wells and of users, of whom not all are wells."""
     cells = grid.assign(views.wells(spark, d), CELL_KM, LAT0).select("well_id", F.col("cell_id").alias("bin_id"))
-    bins = cells.filter("well_id % 2 = 0").union(cells.filter("well_id % 50 = 0").withColumn("well_id", F.col("well_id") + 10000000)).dropDuplicates(["well_id", "bin_id"])
+    bins = cells.union(views.table(spark, d, "events").select("user_id", "event_type")).distinct()
     return rounded(bins.join(views.wells(spark, d), "well_id", "left").filter("lat is not null and lon is not null").select("well_id", "bin_id", "lat", "lon"))
 
 
-@query(f"WITH {EDGES}, few AS (SELECT src, dst, sim FROM edges WHERE (src + dst) % 3 = 0 UNION ALL SELECT src, dst + 100000, sim FROM edges WHERE (src + dst) % 7 = 0) SELECT few.src, few.dst, round(few.sim, 6) AS sim, round(dist_km, 6) AS dist_km FROM few LEFT JOIN edges ON few.src = edges.src AND few.dst = edges.dst")
+@query(f"WITH {KNN}, {KNN_EDGES} SELECT ke.src, ke.dst, round(dist_km, 6) AS dist_km FROM ke LEFT JOIN (SELECT * FROM pairs WHERE dist_km <= {RADIUS_KM}) c ON ke.src = c.src AND ke.dst = c.dst")
 def edges_with_candidates(spark, d):
-    e = _edges(spark, d)
-    few = e.filter((F.col("src") + F.col("dst")) % 3 == 0).select("src", "dst", "sim").union(e.filter((F.col("src") + F.col("dst")) % 7 == 0).select("src", F.col("dst") + 100000, "sim"))
-    return rounded(few.join(e.select("src", "dst", "dist_km"), ["src", "dst"], "left"))
+    """Edges to nearest neighbours, of which some are no candidates by radius."""
+    near, knn = _two_kinds(spark, d)
+    return rounded(knn.join(_edges(spark, d).select("src", "dst", "dist_km"), ["src", "dst"], "left"))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT c_custkey AS id FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def id_intersection(spark, d):
     c, o = views.table(spark, d, "customer"), views.table(spark, d, "orders")
-    return c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id")).intersect(o.filter("o_orderstatus = 'F'").select("o_custkey"))
+    return c.select(F.col("c_custkey").alias("id")).intersect(o.filter("o_orderstatus = 'F'").select("o_custkey"))
 
 
 @query(f"WITH {EDGES}, b AS (SELECT min(sim) AS lo, max(sim) AS hi FROM edges) SELECT src, dst, round(0.5 + 3.5 * (1 - (sim - lo) / (hi - lo)), 6) AS width FROM edges, b")
