@@ -75,6 +75,11 @@ def held(key, build: Callable):
 def give_back() -> None:
     """Return freed memory to the machine, which counts what a worker's allocators keep as the worker's."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """The same for what is freed already, a matter of milliseconds."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

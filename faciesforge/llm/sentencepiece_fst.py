@@ -48,7 +48,7 @@ UNIGRAM, BPE = 1, 2
 #: Added weight of a character outside a unigram vocabulary, and what a user-defined piece weighs less.
 PENALTY, BONUS = 10.0, 0.1
 #: Words held by Arrow, parts of new words held as Python strings, and the acceptor's arcs.
-MEMO_WORDS, MEMO_PARTS, MEMO_CHARS, MEMO_ARCS = 600_000, 150_000, 48, 500_000
+MEMO_WORDS, MEMO_PARTS, MEMO_CHARS, MEMO_ARCS = 300_000, 150_000, 48, 500_000
 #: Characters that may part words, of which one is taken that no text holds.
 PARTING = [chr(c) for c in range(1, 9)] + [chr(c) for c in range(0xFDD0, 0xFDF0)]
 

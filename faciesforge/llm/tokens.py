@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ._util import held
+from ._util import held, trim
 
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 RUNS = re.compile(rb"[\t-\r ] ")
@@ -35,9 +35,9 @@ WHITE_END = "[\\t-\\r ]$"
 SAFE = re.compile("(?<=[!-~]) (?=[!-~])")
 SEPARATOR = "\N{BLUE HEART}"
 #: Words that the memo keeps, about 40 bytes each, and the longest of them.
-MEMO_ENTRIES, MEMO_BYTES = 600_000, 64
+MEMO_ENTRIES, MEMO_BYTES = 300_000, 64
 #: Bytes of text that are encoded together (or one longer text).
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 2_000_000
 #: Words that go to the tokenizer as one text, and characters of a stretch; a result takes some hundred bytes for each id.
 RUN_WORDS, STRETCH = 2_000, 1 << 16
 #: Stands before a text's first word, which no space precedes.
@@ -270,6 +270,8 @@ class Encoder:
         ids, counts = self.memo.lay(lists.flatten(), self._new)
         flat, cuts = ids.tobytes(), (4 * np.r_[0, np.cumsum(counts)][lists.offsets.to_numpy()]).tolist()
         mine = iter([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        del ids, flat, array, lists
+        trim()
         return [self._whole(raw) if r is None else next(mine) for raw, r in zip(texts, ready, strict=True)]
 
 
