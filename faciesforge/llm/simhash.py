@@ -23,7 +23,7 @@ answered row by row; an empty table gives no rows; other columns are ignored.
 
 ``deduplicate``, the pipeline's stage, does not work on fingerprints: near copies of five-word
 shingles with a Jaccard similarity of 0.8 differ in up to 13 bits, too many to index. It finds
-candidates by bands of minima over the sets and verifies them on the sets themselves.
+candidates by bands of minima over the sets and verifies them on the sets themselves (``similar``).
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import bounded_batches, cut, held, table, values
+from ._util import bounded_batches, cut, give_back, held, table, values
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -54,6 +54,8 @@ WORDS, SIMILARITY = 5, (4, 5)
 #: Keys of a set and minima in each: two sets of similarity 0.8 share none with probability 6e-5, of 0.9 with 5e-11.
 BANDS, BAND_ROWS = 32, 6
 MIX = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1)
+#: Sets, and bytes of their texts, that one task of deduplication compares.
+GROUP_SETS, GROUP_BYTES = 250, 8 << 20
 #: The column of row numbers while rows are deduplicated.
 ROW = "__row"
 #: Shingles whose bits are held at a time, so that a very long text needs no more memory.
@@ -282,17 +284,24 @@ def band_keys(h: np.ndarray) -> list[int]:
 
 
 def sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """(row, node, keys): a number that tells sets of shingles apart, and the set's keys."""
+    """(row, node, size, keys): a number that tells sets of shingles apart, the text's bytes, and the set's keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(None, lambda: None)
         for batch in batches:
-            sets = (shingles(t or b"", shingle) for t in values(batch.column(1).cast(pa.binary())))
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = (shingles(t, shingle) for t in texts)
             found = [(signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)), band_keys(h)) for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], [ROW, "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], [ROW, "node", "size", "keys"])
 
     bounded_batches(rows.sparkSession)
-    return rows.select(ROW, "text").mapInArrow(run, f"{ROW} long, node long, keys array<long>")
+    return rows.select(ROW, "text").mapInArrow(run, f"{ROW} long, node long, size long, keys array<long>")
+
+
+def near(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of ``SIMILARITY``."""
+    part, whole = SIMILARITY
+    return (part + whole) * len(np.intersect1d(one, other, assume_unique=True)) >= part * (len(one) + len(other))
 
 
 def linked(sets: list[np.ndarray]) -> np.ndarray:
@@ -309,33 +318,90 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
             has[mine] = 1
             common = np.add.reduceat(has[codes], starts)[rest].astype(np.int64)
             has[mine] = 0
-            near = (part + whole) * common >= part * (size[at] + size[rest])
-            found, rest = rest[near], rest[~near]
+            close = (part + whole) * common >= part * (size[at] + size[rest])
+            found, rest = rest[close], rest[~close]
             root[found] = first
             queue.extend(found)
     return root
 
 
+def parts_of(n: Column, size: Column) -> Column:
+    """Into how many parts so many sets of so many bytes are dealt, each of which one task compares."""
+    return F.greatest(F.lit(1), F.ceil(n / GROUP_SETS), F.ceil(size / GROUP_BYTES)).cast("int")
+
+
+def dealt_by(sets: DataFrame, group: str) -> DataFrame:
+    """``sets(node, size, group)``, a written table, with the ``part`` of its group that each set is dealt to, of ``parts``.
+
+    Only groups of several parts are looked up, so that a hot one is not gathered to be told its number.
+    """
+    several = cut(sets.groupBy(group).agg(parts_of(F.count("*"), F.sum("size")).alias("parts")).filter("parts > 1"), "parts", few_files=True)
+    found = sets.join(several, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return found.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+
 def similar(rows: DataFrame, shingle: int = WORDS) -> DataFrame:
     """(row, root) for each of ``rows(row, text)``: components of texts whose shingle sets have a Jaccard similarity of ``SIMILARITY`` or more.
 
-    Equal sets are one node. Sets that share a key are candidates; components of candidates come
-    together once, and there every two are compared on the sets themselves.
+    Equal sets are one node, and nodes that share a key are candidates; the least node of a bucket is its pivot. First each
+    node is compared with the least of its pivots, which brings a group of near copies together whatever its size; then,
+    in buckets that still hold several components, nodes with the pivots that they are not yet together with. Only buckets
+    that are mixed even so are left: in those every two sets are compared, a large bucket by pairs of parts. Sets are dealt
+    to parts of a bounded number, so no group has to meet in one task, and no link between candidates is lost.
     """
     marked = cut(sketches(rows, shingle), "sketches")
-    nodes = cut(marked.groupBy("node").agg(F.min(F.struct(ROW, "keys")).alias("x")).select("node", f"x.{ROW}", "x.keys"), "nodes")
-    met = nodes.select(F.col("node").alias("a"), F.explode("keys").alias("key"))
-    blocks = components(met.select("a", F.min("a").over(Window.partitionBy("key")).alias("b")))
-    blocks = blocks.union(blocks.select("root", "root").distinct())
-    texts = blocks.join(nodes.select("node", ROW), "node").join(rows.select(ROW, "text"), ROW).select("node", "root", "text")
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+    nodes = cut(marked.groupBy("node").agg(F.min(F.struct(ROW, "size", "keys")).alias("x")).select("node", f"x.{ROW}", "x.size", "x.keys"), "nodes")
+    met = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = met.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    met = cut(met.join(buckets.hint("merge"), "key"), "candidates")
+
+    # the texts of candidates alone; the whole table is read for them once. Joins that bring texts are by merging at
+    # every size, as a broadcast would only ever serve small tables
+    some = cut(met.select("node").distinct().join(nodes.select("node", ROW), "node"), "some")
+    texts = cut(some.join(rows.select(ROW, "text").hint("merge"), ROW).select("node", "text"), "texts")
+
+    def with_pivot(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["pivot"].iloc[0]
+        mine = shingles(pdf.text[pdf.node == at].iloc[0].encode(), shingle)
+        found = [n for n, t in zip(pdf.node, pdf.text, strict=True) if n != at and near(mine, shingles(t.encode(), shingle))]
+        if len(pdf) > GROUP_SETS // 2:
+            give_back()
+        return pd.DataFrame({"a": np.array(found, np.int64), "b": at})
+
+    def linked_pairs(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(node, pivot)`` that are similar."""
+        pairs = cut(pairs.join(nodes.select("node", "size"), "node"), "pairs")
+        dealt = dealt_by(pairs, "pivot").select("node", "pivot", "part")
+        both = dealt.withColumn("node", F.explode(F.array("node", "pivot"))).distinct()
+        return cut(both.join(texts.hint("merge"), "node").groupBy("pivot", "part").applyInPandas(with_pivot, "a long, b long"), "similar", few_files=True)
+
+    def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The candidates with the root of their component, and the keys of buckets that hold several."""
+        roots = cut(components(links), "roots", few_files=True)
+        out = cut(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
+        return out, out.groupBy("key").agg(F.first("n").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("node")).alias("who")).filter("low <> high")
+
+    links = linked_pairs(met.groupBy("node").agg(F.min("pivot").alias("pivot")).filter("node <> pivot"))
+    told, mixed = labelled(links)
+    apart = told.join(mixed.select("key"), "key", "left_semi")
+    of_pivot = apart.filter("node = pivot").select("key", F.col("root").alias("other"))
+    links = links.union(linked_pairs(apart.join(of_pivot, "key").filter("root <> other").select("node", "pivot").distinct()))
+    told, mixed = labelled(links)
+    mixed = mixed.filter("n > 2").groupBy("who", "n").agg(F.min("key").alias("key"))  # buckets of the same sets are one
+    left = cut(told.join(mixed.select("key"), "key", "left_semi").select("key", "node").join(nodes.select("node", "size"), "node"), "left")
+    left = dealt_by(left, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+    def every_two(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
         node = pdf.node.to_numpy()
-        return pd.DataFrame({"node": node, "root": node[linked([shingles(t.encode(), shingle) for t in pdf.text])]})
-
-    verified = cut(texts.groupBy("root").applyInPandas(verify, "node long, root long"), "similar").filter("node <> root")
-    return marked.select(ROW, "node").join(verified, "node", "left").select(ROW, F.coalesce("root", "node").alias("root"))
+        out = pd.DataFrame({"a": node, "b": node[linked([shingles(t.encode(), shingle) for t in pdf.text])]}).query("a != b")
+        if len(pdf) > GROUP_SETS // 2:
+            give_back()
+        return out
+
+    more = cut(left.join(texts.hint("merge"), "node").groupBy("key", "i", "j").applyInPandas(every_two, "a long, b long"), "similar", few_files=True)
+    final = components(links.union(more)).toDF("node", "root")
+    return marked.select(ROW, "node").join(final, "node", "left").select(ROW, F.coalesce("root", "node").alias("root"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = WORDS) -> DataFrame:

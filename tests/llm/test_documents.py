@@ -324,6 +324,41 @@ def test_deduplicate_by_similarity_of_five_words(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in rows if i % 10 != 1)
 
 
+@pytest.mark.parametrize("sets", [3, 250])
+def test_similar_against_brute_force(spark, monkeypatch, sets):
+    """Chains and dense groups, in parts of few sets too."""
+    monkeypatch.setattr(simhash, "GROUP_SETS", sets)
+    rnd, rows = np.random.default_rng(12), []
+    for i in range(6):
+        words = [f"w{x}" for x in rnd.integers(0, 9000, 120)]
+        for step in range(14):  # each differs from the last a little, so that the ends of a chain are far apart
+            words = list(words)
+            if i % 2:
+                words[int(rnd.integers(0, 120))] = f"n{i}_{step}"
+            rows.append(" ".join(words if i % 2 else [*words[: 119 - step % 5], "end"]))
+    rows += ["", "one", "one", None] + [" ".join(f"z{j}" for j in range(k)) for k in range(30, 60)]
+    docs = cut(spark.createDataFrame([(k, t) for k, t in enumerate(rows)], f"{simhash.ROW} long, text string"), "docs")
+    got: dict = {}
+    for r in simhash.similar(docs).collect():
+        got.setdefault(r["root"], set()).add(r[simhash.ROW])
+    sets_of = [set(simhash.shingles((t or "").encode(), 5).tolist()) for t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets_of[i] == sets_of[j] or 5 * len(sets_of[i] & sets_of[j]) >= 4 * len(sets_of[i] | sets_of[j]):
+                up[root(i)] = root(j)
+    want: dict = {}
+    for i in range(len(rows)):
+        want.setdefault(root(i), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 # ---- languages ---------------------------------------------------------------------------------
 
 
@@ -459,6 +494,32 @@ def test_discriminant_by_definition():
     assert np.allclose(model.scores(x), want)
 
 
+def test_quality_query_against_brute_force(spark):
+    """Shrunken class covariances and Mahalanobis distances straight from their definitions."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    x = {i: np.array(quality.statistics((t or "").encode())) for i, t in docs.items()}
+    learnt = [i for i in docs if marks.get(i) in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    rows = np.array([x[i] for i in learnt])
+    y = np.array([marks[i] for i in learnt])
+    centre, scale = rows.mean(axis=0), rows.std(axis=0)
+    scale[scale < 1e-9] = 1
+    z = (rows - centre) / scale
+    own = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).mean() * own[c] for c in (0, 1))
+    shrunk = [0.8 * own[c] + 0.15 * pooled + 0.05 * np.diag(np.diag(pooled)) + 1e-3 * np.eye(len(centre)) for c in (0, 1)]
+
+    def density(v, c):
+        d = v - z[y == c].mean(axis=0)
+        return math.log((y == c).mean()) - 0.5 * np.linalg.slogdet(shrunk[c])[1] - 0.5 * d @ np.linalg.solve(shrunk[c], d)
+
+    for r in quality.op6_quality_classifier(spark, sf).collect():
+        v = (x[r["doc_id"]] - centre) / scale
+        want = 1 / (1 + math.exp(min(700, density(v, 0) - density(v, 1))))
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 def test_quality_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, None), (7, 1), (8, 0), (99, 1), (9, 0)], "doc_id long, quality int")
     stats = cut(quality.with_statistics(awkward), "statistics")
@@ -473,6 +534,18 @@ def test_quality_awkward(spark, awkward, empty):
 # ---- sharding -------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("law", ["bytes", "rows"])
+def test_ranges_cut_again_place_alike(spark, law, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    hot = spark.range(600).selectExpr("100000 + id AS doc_id", "'one text that a third of all rows hold' AS text")
+    rows = cut(sharding.keyed(docs.union(hot)), "keys")
+    want = sorted(tuple(r) for r in sharding.assign(rows, 16, law).collect())
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 7)
+    assert sorted(tuple(r) for r in sharding.assign(rows, 16, law, 4).collect()) == want
+    held = sharding.subdivided(rows.withColumn("range", F.lit(0))).groupBy("sub").count().collect()
+    assert len(held) > 60 and max(r["count"] for r in held) < 40
+
+
 @pytest.mark.parametrize("law", ["bytes", "rows"])
 def test_sharding(spark, awkward, empty, law):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -494,6 +567,21 @@ def test_sharding(spark, awkward, empty, law):
     assert sharding.shard_documents(empty, 4, law).count() == 0
 
 
+def test_sharding_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    keys = [tuple(r) for r in sharding.keyed(docs).select("h", "doc_id", "row", "size", "text_crc32").collect()]
+    total, before, want, slots = sum(k[3] for k in keys), 0, {}, Counter()
+    for h, doc_id, row, size, crc32 in sorted(keys):
+        shard = min(15, (before + (size - 1) // 2) * 16 // total)
+        want[doc_id] = (size, crc32, "bytes", shard, slots[shard], None)
+        slots[shard] += 1
+        before += size
+    got = {r["doc_id"]: tuple(r)[1:] for r in sharding.op5_sharding(spark, sf).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    assert got == want and all(got[i][0] == len(t) + 1 and (got[i][1] is None or got[i][1] == zlib.crc32(t)) for i, t in texts.items())
+
+
 def test_written_shards_hold_every_row(spark, awkward):
     path = scratch_path(spark, "shards")
     sharding.write_shards(awkward.drop("shard"), path, 3)
@@ -552,6 +640,16 @@ def test_pieces_are_those_of_the_library():
         assert ours.decode(np.array(ids, "<u4").tobytes()) == theirs.decode(ids)
 
 
+def test_sentencepiece_query_against_the_library(spark):
+    import sentencepiece
+
+    theirs = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece_fst.MODEL))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in sentencepiece_fst.op8_sentencepiece(spark, "/root/testdata/sf0.001").collect():
+        ids = theirs.encode(texts[r["doc_id"]])
+        assert (r["n_pieces"], r["ids_crc32"], r["decoded_crc32"]) == (len(ids), crc(ids), zlib.crc32(theirs.decode(ids).encode()))
+
+
 def test_sentencepiece_awkward(awkward, empty):
     path = public_tokenizers.path(sentencepiece_fst.MODEL)
     rows = sentencepiece_fst.encode_documents(awkward, path, keep=True).collect()
