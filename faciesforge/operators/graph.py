@@ -31,11 +31,11 @@ def canonical(edges: DataFrame) -> DataFrame:
     return out.groupBy("src", "dst").agg(F.min("dist_km").alias("dist_km"))
 
 
-def union_with_flags(delaunay: DataFrame, knn: DataFrame) -> DataFrame:
-    """Edges of either kind, marked ``both``, ``delaunay`` or ``knn``."""
-    each = delaunay.select("src", "dst", F.lit(1).alias("d"), F.lit(0).alias("k")).union(knn.select("src", "dst", F.lit(0).alias("d"), F.lit(1).alias("k")))
+def union_with_flags(first: DataFrame, knn: DataFrame, name: str = "delaunay") -> DataFrame:
+    """Edges of either kind, marked ``both``, by the name of the first kind, or ``knn``."""
+    each = first.select("src", "dst", F.lit(1).alias("d"), F.lit(0).alias("k")).union(knn.select("src", "dst", F.lit(0).alias("d"), F.lit(1).alias("k")))
     out = each.groupBy("src", "dst").agg(F.max("d").alias("d"), F.max("k").alias("k"))
-    return out.select("src", "dst", F.when((F.col("d") == 1) & (F.col("k") == 1), "both").when(F.col("d") == 1, "delaunay").otherwise("knn").alias("edge_type"))
+    return out.select("src", "dst", F.when((F.col("d") == 1) & (F.col("k") == 1), "both").when(F.col("d") == 1, name).otherwise("knn").alias("edge_type"))
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:

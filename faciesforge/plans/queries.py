@@ -487,9 +487,10 @@ def _two_kinds(spark, d):
     return spatial.radius_pairs(points, RADIUS_KM).select("src", "dst"), knn
 
 
-@query(f"WITH {KNN}, {KNN_EDGES} SELECT coalesce(near.src, ke.src) AS src, coalesce(near.dst, ke.dst) AS dst, CASE WHEN ke.src IS NOT NULL AND near.src IS NOT NULL THEN 'both' WHEN near.src IS NOT NULL THEN 'delaunay' ELSE 'knn' END AS edge_type FROM near FULL JOIN ke ON near.src = ke.src AND near.dst = ke.dst")
+@query(f"WITH {KNN}, {KNN_EDGES} SELECT coalesce(near.src, ke.src) AS src, coalesce(near.dst, ke.dst) AS dst, CASE WHEN ke.src IS NOT NULL AND near.src IS NOT NULL THEN 'both' WHEN near.src IS NOT NULL THEN 'radius' ELSE 'knn' END AS edge_type FROM near FULL JOIN ke ON near.src = ke.src AND near.dst = ke.dst")
 def edge_union_flags(spark, d):
-    return graph.union_with_flags(*_two_kinds(spark, d))
+    """Edges within the radius and to nearest neighbours; the graph of both with the triangulation is ``spatial_graph``."""
+    return graph.union_with_flags(*_two_kinds(spark, d), "radius")
 
 
 @query(f"WITH {KNN}, {KNN_EDGES} SELECT *, 'missing' AS side FROM (SELECT * FROM near EXCEPT SELECT * FROM ke) UNION ALL SELECT *, 'extra' FROM (SELECT * FROM ke EXCEPT SELECT * FROM near)")
