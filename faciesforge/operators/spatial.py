@@ -105,6 +105,9 @@ def directed_sectors(points: DataFrame, start_km: float, most_km: float = 20_040
     where = points.toDF("dst", "lat2", "lon2")
     rank = F.row_number().over(Window.partitionBy("src", "sector").orderBy("dist_km", "dst"))
     looking, done, radius = points.withColumn("have", F.array().cast("array<string>")), [], start_km
+    south, north, west, east = points.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    if south is not None:  # no two points are further apart than this
+        most_km = min(most_km, (north - south + (east - west)) * DEGREE_KM + 1e-6)
     while not looking.isEmpty():
         met = neighbours(looking, points, radius).filter("dist_km > 0").join(looking.withColumnRenamed("id", "src"), "src").join(where, "dst")
         met = met.withColumn("sector", geo.sector(geo.bearing(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))).filter(~F.array_contains("have", F.col("sector")))
