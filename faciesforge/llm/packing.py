@@ -48,14 +48,14 @@ def cut_points(n: int, capacity: int) -> list[int]:
     return [0, *range(n % capacity or capacity, n, capacity)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False, specials: bool = True, number: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False, specials: bool = True, number: bool = False, thrifty: bool = False) -> DataFrame:
     """(doc_id, text) to pieces of at most ``capacity`` ids, with their checksum and, if asked for, the ids and the numbers that packing needs.
 
     ``specials``: the tokenizer's special strings in a text are their ids, as the library has it; else they are ordinary text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer, specials=specials), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, specials, thrifty), np.array([end_id], "<u4").tobytes()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         n = 6 if keep_ids else 5
@@ -195,16 +195,19 @@ def _placed(items: DataFrame, part: str, place: str, capacity: int) -> DataFrame
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, at_rank = batch.column(batch.schema.get_field_index("length")).to_numpy(), batch.column(len(kept)).to_numpy()
+            length, at_rank = batch.column(batch.schema.get_field_index("length")).to_numpy().astype(np.int64), batch.column(len(kept)).to_numpy()
             at = rows[np.searchsorted(keys, length * stride + at_rank, "right") - 1] if len(rows) else rows
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(at[:, 2] + at_rank - at[:, 1]), pa.array(at[:, 4])], [*kept, "sequence_id", "offset"])
 
     return ranked.mapInArrow(put, f"{fields_of(ranked.drop(rank))}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False, specials: bool = True) -> DataFrame:
-    """Tokenise whole documents, cut the long ones and pack all pieces. The texts are read once."""
-    return _placed(cut(pieces(docs, tokenizer, end_id, capacity, keep_ids, specials, True), "pieces"), "__part", "__place", capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False, specials: bool = True, thrifty: bool = False) -> DataFrame:
+    """Tokenise whole documents, cut the long ones and pack all pieces. The texts are read once.
+
+    ``thrifty``: with less memory in each worker and some more time; results are the same.
+    """
+    return _placed(cut(pieces(docs, tokenizer, end_id, capacity, keep_ids, specials, True, thrifty), "pieces"), "__part", "__place", capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

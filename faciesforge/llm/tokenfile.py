@@ -140,7 +140,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, file = encoder(tokenizer, specials=specials), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        enc, end, file = encoder(tokenizer, specials), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         held: tuple[list, list] = ([], [])
         size = base = number = 0
 

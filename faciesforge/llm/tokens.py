@@ -35,9 +35,11 @@ WHITE_END = "[\\t-\\r ]$"
 SAFE = re.compile("(?<=[!-~]) (?=[!-~])")
 SEPARATOR = "\N{BLUE HEART}"
 #: Words that the memo keeps, about 40 bytes each, and the longest of them.
-MEMO_ENTRIES, MEMO_BYTES = 300_000, 64
-#: Bytes of text that are encoded together (or one longer text).
-GROUP_BYTES = 2_000_000
+MEMO_ENTRIES, MEMO_BYTES = 600_000, 64
+#: Bytes of text that are encoded together.
+GROUP_BYTES = 8_000_000
+#: The same (words, bytes) where a worker's memory is short.
+THRIFTY = (300_000, 2_000_000)
 #: Words that go to the tokenizer as one text, and characters of a stretch; a result takes some hundred bytes for each id.
 RUN_WORDS, STRETCH = 2_000, 1 << 16
 #: Stands before a text's first word, which no space precedes.
@@ -97,7 +99,7 @@ def spread(start: np.ndarray, length: np.ndarray, which: np.ndarray) -> np.ndarr
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES, specials: bool = True):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES, specials: bool = True, group: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         from tokenizers import Tokenizer
 
@@ -105,7 +107,7 @@ class Encoder:
             added = json.load(f).get("added_tokens") or []
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # texts are cut at special strings before
-        self.specials = specials
+        self.specials, self.group = specials, group or GROUP_BYTES
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.model._resize_cache(0)  # the memo stands in for it
@@ -209,11 +211,11 @@ class Encoder:
             return raw.lower()
         return None if b"\x02" in raw or RUNS.search(raw) else b"\x02" + raw
 
-    def _stretches(self, text: str) -> list[str]:
-        """A text cut where that changes no id, so that no part has to be much longer than ``STRETCH``."""
+    def _stretches(self, text: str, step: int) -> list[str]:
+        """A text cut where that changes no id, so that no part has to be much longer than ``step``."""
         out, at = [], 0
-        while len(text) - at > STRETCH:
-            cut = SAFE.search(text, at + STRETCH)
+        while len(text) - at > step:
+            cut = SAFE.search(text, at + step)
             if cut is None:
                 break
             out.append(text[at : cut.start()])
@@ -230,14 +232,20 @@ class Encoder:
             ids = self._direct([raw.decode()])[0].tobytes()
             self.tokenizer.encode_special_tokens = True
             return ids
-        return b"".join(self._direct([part])[0].tobytes() for part in self._stretches(raw.decode()))
+        return b"".join(self._direct([part])[0].tobytes() for part in self._stretches(raw.decode(), STRETCH))
 
     def encoded(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
         """One result for each UTF-8 text (none: empty), a group of texts at a time."""
         group, size = [], 0
         for raw in texts:
             raw = raw or b""
-            if group and size + len(raw) > GROUP_BYTES:
+            if len(raw) > 2 * self.group and not self.others:  # a very long text goes in parts of a group's size
+                if group:
+                    yield from self._group(group)
+                    group, size = [], 0
+                yield b"".join(self._group([part.encode()])[0] for part in self._stretches(raw.decode(), self.group))
+                continue
+            if group and size + len(raw) > self.group:
                 yield from self._group(group)
                 group, size = [], 0
             group.append(raw)
@@ -275,6 +283,7 @@ class Encoder:
         return [self._whole(raw) if r is None else next(mine) for raw, r in zip(texts, ready, strict=True)]
 
 
-def encoder(path: str, entries: int = MEMO_ENTRIES, specials: bool = True) -> Encoder:
+def encoder(path: str, specials: bool = True, thrifty: bool = False) -> Encoder:
     """The worker's encoder for a tokenizer file; its memo lives as long as it is the one in use."""
-    return held(("tokenizer", path, entries, specials), lambda: Encoder(path, entries, specials))
+    entries, group = THRIFTY if thrifty else (MEMO_ENTRIES, GROUP_BYTES)
+    return held(("tokenizer", path, specials, thrifty), lambda: Encoder(path, entries, specials, group))
