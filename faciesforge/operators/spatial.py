@@ -5,33 +5,63 @@ only what can lie within the radius; the exact distance then decides."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..scratch import cut
+from . import triangulation
 
 DEGREE_KM = 111.19492664455873  # 2 pi R / 360
 
 
-def within(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
-    """(src, dst, dist_km): ids of ``b(id, lat, lon)`` at most ``radius_km`` from those of ``a``, coincident ones included.
+def _row(lat: Column, step: Column) -> Column:
+    return F.floor((lat + 90.0) / step)
+
+
+def _columns(row: Column, radius: Column, step: Column) -> Column:
+    """Into how many columns a row is cut: each as wide as two points of this row and the next ones can lie apart within the
+    radius; one where a pole is in reach."""
+    edge = F.greatest(F.abs((row - 1) * step - 90.0), F.abs((row + 2) * step - 90.0))
+    reach = F.sin(radius / geo.EARTH_KM) / F.cos(F.radians(F.least(edge, F.lit(90.0))))
+    width = F.degrees(F.asin(F.least(F.lit(1.0), reach))) * 1.0001
+    return F.when((edge + step >= 90.0) | (reach >= 1.0), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360.0 / width))).cast("long")
+
+
+def _column(lon: Column, columns: Column) -> Column:
+    return F.least(F.floor(F.pmod(lon, F.lit(360.0)) * columns / 360.0), columns - 1)
+
+
+def within_own(a: DataFrame, b: DataFrame, radii: dict[int, float]) -> DataFrame:
+    """(src, dst, dist_km): ids of ``b(id, lat, lon)`` at most so far from those of ``a(id, lat, lon, level)`` as the radius of
+    their level says, coincident ones included.
 
-    Buckets are rows of latitude and, in each row, columns of longitude. The column width
-    belongs to the row that is looked into, so both sides agree on it.
+    Buckets are a level, a row of latitude and, in each row, columns of longitude that close around the Earth. Their number
+    belongs to the row that is looked into, so both sides agree on it. All levels meet in one join.
     """
-    lat_step = radius_km / DEGREE_KM * 1.0001
-    width = lambda row: F.lit(lat_step) / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs((row - 1) * lat_step), F.abs((row + 2) * lat_step))))))
-    a = a.select("id", "lat", "lon", F.floor(F.col("lat") / lat_step).alias("row"))
-    a = a.withColumn("col", F.floor(F.col("lon") / width(F.col("row"))))
-    row = F.floor(F.col("lat") / lat_step)
-    b = b.select(F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.array(row - 1, row, row + 1)).alias("row"))
-    b = b.withColumn("c", F.floor(F.col("lon2") / width(F.col("row")))).withColumn("col", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(float(r)).alias("radius")) for k, r in sorted(radii.items())])
+    radius, step = F.col("radius"), F.col("radius") / DEGREE_KM * 1.0001
+    of_level = F.element_at(F.create_map(*[F.lit(x) for k, r in sorted(radii.items()) for x in (k, float(r))]), F.col("level"))
+    a = a.select("id", "lat", "lon", "level", of_level.alias("radius")).withColumn("row", _row(F.col("lat"), step))
+    a = a.withColumn("col", _column(F.col("lon"), _columns(F.col("row"), radius, step)))
+    b = b.select(F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(levels).alias("l")).select("id2", "lat2", "lon2", "l.*")
+    row = _row(F.col("lat2"), step)
+    b = b.withColumn("row", F.explode(F.array(row - 1, row, row + 1))).withColumn("columns", _columns(F.col("row"), radius, step))
+    c = _column(F.col("lon2"), F.col("columns"))
+    b = b.withColumn("col", F.explode(F.array_distinct(F.array(*[F.pmod(c + i, F.col("columns")) for i in (-1, 0, 1)])))).select("id2", "lat2", "lon2", "level", "row", "col")
     d = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    return a.join(b, ["row", "col"]).select(F.col("id").alias("src"), F.col("id2").alias("dst"), d.alias("dist_km")).filter(F.col("dist_km") <= radius_km)
+    met = a.join(b, ["level", "row", "col"]).withColumn("dist_km", d)
+    return met.filter(F.col("dist_km") <= radius).select(F.col("id").alias("src"), F.col("id2").alias("dst"), "dist_km")
+
+
+def within(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
+    """(src, dst, dist_km): ids of ``b(id, lat, lon)`` at most ``radius_km`` from those of ``a``, coincident ones included."""
+    return within_own(a.withColumn("level", F.lit(0)), b, {0: radius_km})
 
 
 def neighbours(a: DataFrame, b: DataFrame, radius_km: float) -> DataFrame:
@@ -48,13 +78,14 @@ def directed(pairs: DataFrame) -> DataFrame:
     return pairs.select("src", "dst", "dist_km").union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist_km"))
 
 
-#: Cell sizes that ``radii`` tries, from its least one on, each twice the last.
+#: Cell sizes that ``levels_of`` tries, from its least one on, each twice the last.
 LEVELS = 16
 
 
-def radii(points: DataFrame, k: int, start_km: float) -> DataFrame:
-    """(id, lat, lon, radius): for each point a radius that holds ``k`` others, the diagonal of the smallest cell around it that holds
-    ``k`` + 1 points, of sizes from a sixteenth of ``start_km`` on; null where no size does. Only counts of cells are compared."""
+def levels_of(points: DataFrame, k: int, start_km: float) -> tuple[DataFrame, dict[int, float]]:
+    """``points(id, lat, lon)`` with a ``level``, and the radius of each level: one that holds ``k`` others of a point, the diagonal of
+    the smallest cell around it that holds ``k`` + 1 points, of sizes from a sixteenth of ``start_km`` on; the level is null where no
+    size does. Only counts of cells are compared."""
     sizes = [start_km / 16 * 2**level for level in range(LEVELS)]
     # a cell is a row of latitude and, in it, a column that is as wide where the row is widest
     row = lambda s: F.floor(F.col("lat") * DEGREE_KM / s)
@@ -63,27 +94,28 @@ def radii(points: DataFrame, k: int, start_km: float) -> DataFrame:
     each = points.select("id", F.explode(cells).alias("c")).select("id", "c.*")
     full = each.groupBy("level", "row", "col").agg(F.count("*").alias("n")).filter(F.col("n") > k)
     best = each.join(full, ["level", "row", "col"]).groupBy("id").agg(F.min("level").alias("level"))
-    across = [2 * geo.EARTH_KM * math.asin(min(1.0, s / math.sqrt(2) / geo.EARTH_KM)) * 1.0001 for s in sizes]
-    size = F.coalesce(*[F.when(F.col("level") == i, x) for i, x in enumerate(across)])
-    return points.select("id", "lat", "lon").join(best, "id", "left").select("id", "lat", "lon", size.alias("radius"))
+    across = {i: 2 * geo.EARTH_KM * math.asin(min(1.0, s / math.sqrt(2) / geo.EARTH_KM)) * 1.0001 for i, s in enumerate(sizes)}
+    return points.select("id", "lat", "lon").join(best, "id", "left"), across
 
 
 def knn(points: DataFrame, k: int, start_km: float, most_km: float = 20_040.0) -> DataFrame:
     """(src, dst, rank, dist_km): the ``k`` nearest others, ties to the smaller id.
 
-    Each point looks as far as its own neighbourhood asks for (``radii``), so that neither a dense
-    region nor a sparse one decides for all; points look together with those of their radius. Where no
-    cell holds enough, the radius grows until there are k or the Earth is covered.
+    Each point looks as far as its own neighbourhood asks for (``levels_of``), so that neither a dense
+    region nor a sparse one decides for all; one join serves all levels. Where no cell holds enough, the
+    radius grows until there are k or the Earth is covered.
     """
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dist_km", "dst"))
     points = cut(points.select("id", "lat", "lon"), "points")
     need = min(k, points.count() - 1)
     if need <= 0:
         return points.sparkSession.createDataFrame([], "src long, dst long, rank int, dist_km double")
-    looking = cut(radii(points, k, start_km), "looking")
-    done, rest = [], looking.filter("radius is null")
-    for (radius,) in looking.filter("radius is not null").select("radius").distinct().collect():  # ``LEVELS`` at most
-        found = neighbours(looking.filter(F.col("radius") == radius), points, radius).withColumn("rank", rank)
+    looking, across = levels_of(points, k, start_km)
+    looking = cut(looking, "looking")
+    used = [r[0] for r in looking.filter("level is not null").select("level").distinct().collect()]  # ``LEVELS`` at most
+    done, rest = [], looking.filter("level is null").select("id", "lat", "lon")
+    if used:
+        found = within_own(looking.filter("level is not null"), points, {i: across[i] for i in used}).filter("src <> dst").withColumn("rank", rank)
         done.append(found.filter(F.col("rank") <= k).select("src", "dst", "rank", "dist_km"))
     radius = start_km
     while not rest.isEmpty():
@@ -98,39 +130,93 @@ def knn(points: DataFrame, k: int, start_km: float, most_km: float = 20_040.0) -
     return reduce(DataFrame.union, done)
 
 
-def directed_sectors(points: DataFrame, start_km: float, most_km: float = 20_040.0) -> DataFrame:
+#: Points that a sector search asks to be near before it looks further, and points of a tile, of which there are at most MAX_TILES.
+SECTOR_NEAR, SECTOR_TILE = 16, 64
+SECTORS = ("N", "E", "S", "W")
+
+
+def on_sphere(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    lat, lon = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=-1)
+
+
+def tiles_in_sector(lat: float, lon: float, sector: str, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which boxes of points on the unit sphere can hold a place's nearest one in a sector.
+
+    A sector lies between two great circles through the place, so it is where two linear forms are positive: a box is out if
+    one is negative at all its corners, and wholly in if both are positive at all. No box is asked for that lies further
+    than the far end of one that is wholly in.
+    """
+    f, g = np.radians(lat), np.radians(lon)
+    east, north = np.array([-np.sin(g), np.cos(g), 0.0]), np.array([-np.sin(f) * np.cos(g), -np.sin(f) * np.sin(g), np.cos(f)])
+    middle, side = {"N": (north, east), "E": (east, north), "S": (-north, east), "W": (-east, north)}[sector]
+    can, sure = np.ones(len(low), bool), np.ones(len(low), bool)
+    for form in (middle - side, middle + side):
+        can &= np.maximum(form * low, form * high).sum(axis=1) >= -1e-12
+        sure &= np.minimum(form * low, form * high).sum(axis=1) > 1e-12
+    at = on_sphere(np.float64(lat), np.float64(lon))
+    nearest = (np.maximum(0, np.maximum(low - at, at - high)) ** 2).sum(axis=1)
+    farthest = (np.maximum(np.abs(low - at), np.abs(high - at)) ** 2).sum(axis=1)
+    if sure.any():
+        can &= nearest <= farthest[sure].min() * (1 + 1e-9) + 1e-15
+    return np.flatnonzero(can)
+
+
+def directed_sectors(points: DataFrame, start_km: float) -> DataFrame:
     """(src, dst, dist_km): the nearest other point in each of N, E, S, W of every point at whatever distance, ties to the smaller id,
-    coincident points left out. Points go on looking, twice as far each time, only for sectors where they have met nothing yet."""
+    coincident points left out.
+
+    Each point first looks around itself, as far as some others are. For sectors without any the boxes of tiles of the points
+    tell which can hold the nearest one: mostly none at the rim of the map, and few else; those are joined.
+    """
+    spark = points.sparkSession
     points = cut(points.select("id", "lat", "lon"), "points")
     where = points.toDF("dst", "lat2", "lon2")
     rank = F.row_number().over(Window.partitionBy("src", "sector").orderBy("dist_km", "dst"))
-    looking, done, radius = points.withColumn("have", F.array().cast("array<string>")), [], start_km
-    south, north, west, east = points.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-    if south is not None:  # no two points are further apart than this
-        most_km = min(most_km, (north - south + (east - west)) * DEGREE_KM + 1e-6)
-    while not looking.isEmpty():
-        met = neighbours(looking, points, radius).filter("dist_km > 0").join(looking.withColumnRenamed("id", "src"), "src").join(where, "dst")
-        met = met.withColumn("sector", geo.sector(geo.bearing(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))).filter(~F.array_contains("have", F.col("sector")))
-        found = cut(met.withColumn("rank", rank).filter("rank = 1").select("src", "dst", "dist_km", "sector"), "sectors")
-        done.append(found.select("src", "dst", "dist_km"))
-        if radius >= most_km:
-            break
-        got = found.groupBy(F.col("src").alias("id")).agg(F.collect_set("sector").alias("new"))
-        looking = looking.join(got, "id", "left").select("id", "lat", "lon", F.array_union("have", F.coalesce("new", F.array().cast("array<string>"))).alias("have"))
-        looking = cut(looking.filter(F.size("have") < 4), "looking")
-        radius *= 2
-    return reduce(DataFrame.union, done) if done else points.sparkSession.createDataFrame([], "src long, dst long, dist_km double")
+    towards = geo.sector(geo.bearing(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
+    looking, across = levels_of(points, SECTOR_NEAR, start_km)
+    looking = cut(looking, "looking")
+    used = [r[0] for r in looking.filter("level is not null").select("level").distinct().collect()]  # ``LEVELS`` at most
+    met = within_own(looking.filter("level is not null"), points, {i: across[i] for i in used} or {0: start_km}).filter("dist_km > 0")
+    met = met.join(points.withColumnRenamed("id", "src"), "src").join(where, "dst").withColumn("sector", towards)
+    found = cut(met.withColumn("rank", rank).filter("rank = 1").select("src", "dst", "dist_km", "sector"), "sectors")
+    every = points.select("id", "lat", "lon", F.explode(F.array(*map(F.lit, SECTORS))).alias("sector"))
+    left = every.join(found.select(F.col("src").alias("id"), "sector"), ["id", "sector"], "left_anti")
+
+    dealt = triangulation.tiled(points.select("id", F.col("lon").alias("x"), F.col("lat").alias("y")), SECTOR_TILE).select("id", F.col("y").alias("lat"), F.col("x").alias("lon"), "tile")
+    xyz = {"px": F.cos(F.radians("lat")) * F.cos(F.radians("lon")), "py": F.cos(F.radians("lat")) * F.sin(F.radians("lon")), "pz": F.sin(F.radians("lat"))}
+    dealt = cut(dealt.withColumns(xyz), "tiled")
+    boxes = dealt.groupBy("tile").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in xyz]).orderBy("tile").collect()  # MAX_TILES at most
+    numbers = np.array([r["tile"] for r in boxes], np.int64)
+    shared = spark.sparkContext.broadcast(tuple(np.array([[r[f"{f}_{c}"] for c in xyz] for r in boxes], float).reshape(-1, 3) for f in ("min", "max")))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = shared.value
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            tiles = [numbers[tiles_in_sector(lat, lon, sector, low, high)] for _, lat, lon, sector in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tiles, pa.list_(pa.int64()))], ["src", "lat", "lon", "sector", "tiles"])
+
+    wanted = left.select(F.col("id").alias("src"), "lat", "lon", "sector").mapInArrow(asked, f"src {dict(points.dtypes)['id']}, lat double, lon double, sector string, tiles array<long>")
+    there = dealt.select("tile", F.col("id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    far = wanted.withColumn("tile", F.explode("tiles")).drop("tiles").join(there, "tile").withColumn("dist_km", geo.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
+    far = far.filter((F.col("dist_km") > 0) & (F.col("sector") == towards)).withColumn("rank", rank).filter("rank = 1")
+    return found.select("src", "dst", "dist_km").union(cut(far.select("src", "dst", "dist_km"), "far-sectors"))
+
+
+def _candidates(points: DataFrame, first: DataFrame, k_max: int, radius_km: float) -> DataFrame:
+    """Undirected edges of the ``first(src, dst, dist_km)`` of each point and of its neighbours within the radius, up to ``k_max`` in all."""
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dist_km", "dst"))
+    taken = first.groupBy("src").agg(F.count("*").alias("n_first"))
+    near = neighbours(points, points, radius_km).filter("dist_km > 0").join(first.select("src", "dst"), ["src", "dst"], "left_anti")
+    more = near.withColumn("place", place).join(taken, "src", "left").filter(F.col("place") + F.coalesce("n_first", F.lit(0)) <= k_max)
+    first = first.withColumn("place", place).filter(F.col("place") <= k_max).select("src", "dst", "dist_km", F.lit("quadrant").alias("source"))
+    return merged_sources(first.union(more.select("src", "dst", "dist_km", F.lit("radius"))))
 
 
 def quadrant_candidates_anywhere(points: DataFrame, k_max: int, radius_km: float, start_km: float | None = None) -> DataFrame:
     """As ``quadrant_candidates``, with the nearest in each sector at any distance."""
-    first = directed_sectors(points, start_km or radius_km).withColumn("source", F.lit("quadrant"))
-    taken = first.groupBy("src").agg(F.count("*").alias("n_first"))
-    near = directed(radius_pairs(points, radius_km)).filter("dist_km > 0").join(first.select("src", "dst"), ["src", "dst"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("src").orderBy("dist_km", "dst"))
-    more = near.withColumn("place", place).join(taken, "src", "left").filter(F.col("place") + F.coalesce("n_first", F.lit(0)) <= k_max)
-    first = first.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("dist_km", "dst"))).filter(F.col("place") <= k_max)
-    return merged_sources(first.select("src", "dst", "dist_km", "source").union(more.select("src", "dst", "dist_km", F.lit("radius"))))
+    return _candidates(points, cut(directed_sectors(points, start_km or radius_km), "first"), k_max, radius_km)
 
 
 def merged_sources(edges: DataFrame) -> DataFrame:
@@ -172,19 +258,7 @@ def distance_rows(points: DataFrame, by: str) -> DataFrame:
 def quadrant_candidates(points: DataFrame, k_max: int, radius_km: float, far_km: float) -> DataFrame:
     """(src, dst, dist_km, source): the nearest in each of N, E, S, W within ``far_km``, then neighbours within
     the radius up to ``k_max``; coincident points are left out, and edges are undirected with their sources merged."""
-    pairs = directed(radius_pairs(points, far_km)).filter("dist_km > 0")
-    where = points.select("id", "lat", "lon")
-    a, b = where.toDF("src", "lat", "lon"), where.toDF("dst", "lat2", "lon2")
-    sided = pairs.join(a, "src").join(b, "dst").withColumn("sector", geo.sector(geo.bearing(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))))
-    by = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy("dist_km", "dst"))
-    ranked = sided.withColumn("in_sector", by("src", "sector"))
-    first = F.col("in_sector") == 1
-    n_first = F.sum(first.cast("int")).over(Window.partitionBy("src"))
-    rest = ~first & (F.col("dist_km") <= radius_km)
-    place = F.sum(rest.cast("int")).over(Window.partitionBy("src").orderBy("dist_km", "dst").rowsBetween(Window.unboundedPreceding, 0))
-    kept = ranked.withColumn("first", first).withColumn("n_first", n_first).withColumn("rest", rest).withColumn("place", place)
-    kept = kept.filter(F.col("first") | (F.col("rest") & (F.col("place") + F.col("n_first") <= k_max)))
-    return merged_sources(kept.select("src", "dst", "dist_km", F.when(F.col("first"), "quadrant").otherwise("radius").alias("source")))
+    return _candidates(points, cut(directed_sectors(points, radius_km).filter(F.col("dist_km") <= far_km), "first"), k_max, radius_km)
 
 
 def nearest_to(points: DataFrame, lat: float, lon: float, n: int = 1, most_km: float | None = None) -> DataFrame:
