@@ -9,8 +9,9 @@ set is cut at the same boundaries into segments. Two steps use the fragments:
   candidates, as the rest of a segment differs. Sets with so many empty segments that only
   those could be equal are filed under further, independent cuts of the order as well, in the
   end under the n-grams of their prefix: no link is lost, and nothing is capped.
-* Overlaps. Of each pair of candidates the segments of one fragment are compared by themselves;
-  a partial overlap is a row, and the sum over the fragments decides exactly.
+* Overlaps. Pairs of candidates whose sizes, or the parities of whose n-grams in buckets, show that
+  they differ in too many go. Of each other pair the segments of one fragment are compared by
+  themselves; a partial overlap is a row, and the sum over the fragments decides exactly.
 
 Equal sets are one node. The least node of a bucket is its pivot: each node meets the least of
 its pivots first, then those pivots that it is not together with yet. Only buckets whose
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import bounded_batches, cut, held, table
@@ -49,7 +50,7 @@ FRAGMENT_BITS = 3
 CUTS = 3
 #: Members up to which a bucket is looked through pair by pair; sets, and n-grams of sets, of a part of a larger one.
 SMALL_BUCKET, PART_SETS, PART_GRAMS = 24, 400, 1 << 20
-#: So many candidates (two numbers each) are sent to all tasks that read the texts again; more are joined by a shuffle.
+#: So many candidates or pairs of them (a few numbers each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 SEED = 42
 WORDS_HELD, PIECE = 300_000, 1 << 20
@@ -145,24 +146,33 @@ def keys(h: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """Bits that tell for so many buckets of n-grams as there may be n-grams (a power of two, 64 at least) whether a set has an odd
+    number in each: two sets differ in at least as many n-grams as bits."""
+    buckets = max(64, 1 << (len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def filed(docs: DataFrame, gram: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, keys): a set's size, its number and its keys; copies that a task has met before bring no keys again."""
+    """(doc_id, n, node, bits, keys): a set's size, number, parities and keys; copies that a task has met before bring no bits and keys again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = held("n-gram words", Words), set()
         for batch in batches:
-            n, node, under = [], [], []
+            n, node, bits, under = [], [], [], []
             for raw in batch.column(1).cast(pa.binary()):
                 h = grams(raw.as_py() or b"", known, gram)
                 at = node_of(h)
                 n.append(len(h))
                 node.append(at)
+                bits.append(None if at in met or at is None else parities(h))
                 under.append(None if at in met else keys(h, percent).view(np.int64))
                 met.add(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(under, pa.list_(pa.int64()))], ["doc_id", "n", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(under, pa.list_(pa.int64()))], ["doc_id", "n", "node", "bits", "keys"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, bits array<long>, keys array<long>")
 
 
 def cut_sets(docs: DataFrame, some: DataFrame, gram: int) -> DataFrame:
@@ -180,22 +190,31 @@ def cut_sets(docs: DataFrame, some: DataFrame, gram: int) -> DataFrame:
                 columns = [pa.array(np.full(len(starts), x, np.int64)) for x in (at, len(h))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(fragment.astype(np.int32)), parts], ["node", "n", "fragment", "grams"])
 
-    some = some.withColumnRenamed("doc_id", "id")
-    if some.count() <= BROADCAST_NODES:
-        some = F.broadcast(some)
+    some = sent(some.withColumnRenamed("doc_id", "id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id_here"), "text").join(some, F.col("id_here").eqNullSafe(F.col("id"))).select("node", "text")
     return texts.mapInArrow(run, "node long, n long, fragment int, grams array<long>").dropDuplicates(["node", "fragment"])
 
 
-def long_enough(n: str, other: str, percent: int):
-    return F.least(n, other) * 100 >= F.greatest(n, other) * percent
+def sent(few: DataFrame) -> DataFrame:
+    """A written table to be joined: sent to all tasks if it has up to ``BROADCAST_NODES`` rows, else shuffled."""
+    return F.broadcast(few) if few.count() <= BROADCAST_NODES else few
+
+
+def may_link(percent: int) -> Column:
+    """Whether pairs with ``n``, ``other``, ``bits`` and ``bits_other`` can link, by their sizes and by how many n-grams they surely differ in."""
+    folded = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+    differ = F.aggregate(F.zip_with(folded("bits", "bits_other"), folded("bits_other", "bits"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, x: a + x)
+    sizes = F.least("n", "other") * 100 >= F.greatest("n", "other") * percent
+    near = F.greatest(F.size("bits"), F.size("bits_other")) <= 2 * F.least(F.size("bits"), F.size("bits_other"))  # sizes of half and less
+    return sizes & (~near | (differ * (100 + percent) <= (F.col("n") + F.col("other")) * (100 - percent)))
 
 
 def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b, n, other)`` that link: partial overlaps, a row for each fragment, are summed."""
+    """Those of ``pairs(a, b, n, other)``, a written table, that link: partial overlaps, a row for each fragment, are summed."""
+    ends = sent(cut(pairs.select(F.col("b").alias("node")).distinct(), "ends", few_files=True))
+    two = sets.join(ends, "node", "left_semi").select(F.col("node").alias("b"), "fragment", F.col("grams").alias("theirs"))
     one = sets.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("mine"))
-    two = sets.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("theirs"))
-    partial = pairs.filter(long_enough("n", "other", percent)).join(one, "a").join(two, ["b", "fragment"])
+    partial = one.join(sent(pairs), "a").join(two, ["b", "fragment"])
     partial = partial.select("a", "b", "n", "other", F.size(F.array_intersect("mine", "theirs")).alias("common"))
     summed = partial.groupBy("a", "b", "n", "other").agg(F.sum("common").alias("common"))
     return summed.filter(F.col("common") * (100 + percent) >= (F.col("n") + F.col("other")) * percent).select("a", "b")
@@ -234,19 +253,19 @@ def spanning(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 def linked(docs: DataFrame, marked: DataFrame, gram: int, percent: int) -> DataFrame:
     """(a, b): links between different sets; their components are those of all links."""
-    nodes = cut(marked.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id")), "nodes", few_files=True)
+    nodes = cut(marked.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.max("bits").alias("bits")), "nodes", few_files=True)
     bucket = Window.partitionBy("key")
     met = marked.filter("keys is not null").select("node", F.explode("keys").alias("key")).repartition("key")
     met = met.withColumn("pivot", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket)).filter("pivot < last")
     met = cut(met.select("key", "node", "pivot").distinct(), "candidates")
     some = cut(met.select("node").distinct().join(nodes, "node").select("node", "doc_id"), "some", few_files=True)
     sets = cut(cut_sets(docs, some, gram), "sets")
-    size = nodes.select("node", "n")
+    size = cut(nodes.join(some.select("node"), "node", "left_semi").select("node", "n", "bits"), "sizes", few_files=True)
 
     def links_of(pairs: DataFrame) -> DataFrame:
         """Links of ``pairs(a, b)``."""
-        sized = pairs.join(size.toDF("a", "n"), "a").join(size.toDF("b", "other"), "b")
-        return cut(overlapping(sized, sets, percent), "links", few_files=True)
+        sized = pairs.join(size.toDF("a", "n", "bits"), "a").join(size.toDF("b", "other", "bits_other"), "b")
+        return cut(overlapping(cut(sized.filter(may_link(percent)).select("a", "b", "n", "other"), "pairs", few_files=True), sets, percent), "links", few_files=True)
 
     def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The candidates with the root of their component, and the keys of buckets that hold several."""
@@ -263,7 +282,7 @@ def linked(docs: DataFrame, marked: DataFrame, gram: int, percent: int) -> DataF
 
     told, several = labelled(links)
     several = several.filter("members > 2").groupBy("who", "members").agg(F.min("key").alias("key"))  # buckets of the same sets are one; those of two are done
-    left = cut(told.join(several.select("key", "members"), "key").select("key", "node", "root", "members").join(size, "node"), "left")
+    left = cut(told.join(several.select("key", "members"), "key").select("key", "node", "root", "members").join(size.select("node", "n"), "node"), "left")
     small = left.filter(F.col("members") <= SMALL_BUCKET)
     two = small.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
     pairs = small.select("key", F.col("node").alias("a"), "root").join(two, "key").filter("a > b and root <> root_b").select("a", "b").distinct()

@@ -230,6 +230,17 @@ def test_linked_sets_share_a_key():
                     assert np.intersect1d(ngramjoin.keys(a, percent), ngramjoin.keys(b, percent)).size
 
 
+def test_parities_never_exceed_the_difference():
+    rnd = np.random.default_rng(4)
+    fold = lambda x, n: x if len(x) == n else x[:n] ^ x[n:]
+    for m in [1, 2, 63, 64, 65, 100, 1000]:
+        a = np.unique(rnd.integers(0, 2**64, m, np.uint64))
+        b = np.unique(np.r_[a[m // 8 :], rnd.integers(0, 2**64, m // 8, np.uint64)])
+        x, y = ngramjoin.parities(a).view(np.uint64), ngramjoin.parities(b).view(np.uint64)
+        n = min(len(x), len(y))
+        assert np.bitwise_count(fold(x, n) ^ fold(y, n)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_sets_with_many_empty_segments_share_a_key():
     """Sets that sit in few segments of each cut fall back on their prefix."""
     rnd = np.random.default_rng(3)
