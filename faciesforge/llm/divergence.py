@@ -36,7 +36,7 @@ TOP = 10
 #: One in fixed-point probabilities, as a power of 1000.
 SCALE_STEPS = 3
 #: Cells of a tile (groups times terms); of a pair matrix, and of what is held while pairs are compared.
-TILE_CELLS, PAIR_CELLS = 1 << 20, 1 << 20
+TILE_CELLS, PAIR_CELLS = 1 << 16, 1 << 20
 #: Different (lang, source, term) that a task counts before it hands them on.
 HELD_TERMS = 200_000
 #: So many languages (a row of three numbers each) are sent to all tasks; more are joined by a shuffle.
