@@ -16,9 +16,9 @@ set is cut at the same boundaries into segments. Two steps use the fragments:
 Equal sets are one node. The least node of a bucket is its pivot: each node meets the least of
 its pivots first, then those pivots that it is not together with yet. Only buckets whose
 members are in several components even then are looked through: small ones pair by pair, large
-ones in tasks for two bounded parts each, which sum their partial overlap matrices in place
-and return a spanning forest. So a group of near copies costs its size, mostly, and no group
-has to fit a task. Components are stars over written tables.
+ones in tasks for two bounded parts each, which hold sizes and parities, no sets, and give the
+pairs of different components that can still link. So a group of near copies costs its size,
+mostly, and no group has to fit a task. Components are stars over written tables.
 
 Defined results: null texts and those without words have the empty set and are linked with
 nothing, not even each other; texts with fewer words than an n-gram have one, the whole
@@ -48,8 +48,8 @@ PERCENT = 85
 FRAGMENT_BITS = 3
 #: Independent cuts of the order before the prefix is used.
 CUTS = 3
-#: Members up to which a bucket is looked through pair by pair; sets, and n-grams of sets, of a part of a larger one.
-SMALL_BUCKET, PART_SETS, PART_GRAMS = 24, 400, 1 << 20
+#: Members up to which a bucket is looked through pair by pair, and of a part of a larger one.
+SMALL_BUCKET, PART_SETS = 24, 1000
 #: So many candidates or pairs of them (a few numbers each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 SEED = 42
@@ -192,7 +192,12 @@ def cut_sets(docs: DataFrame, some: DataFrame, gram: int) -> DataFrame:
 
     some = sent(some.withColumnRenamed("doc_id", "id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id_here"), "text").join(some, F.col("id_here").eqNullSafe(F.col("id"))).select("node", "text")
-    return texts.mapInArrow(run, "node long, n long, fragment int, grams array<long>").dropDuplicates(["node", "fragment"])
+    found = texts.mapInArrow(run, "node long, n long, fragment int, grams array<long>").withColumn("copy", F.monotonically_increasing_id())
+    found = cut(found, "sets")
+    # rows repeated with id and text come more than once; only their numbers are compared
+    again = found.groupBy("node", "fragment").agg(F.count("*").alias("copies"), F.min("copy").alias("first")).filter("copies > 1")
+    again = sent(cut(again.select("node", "fragment", "first"), "copies", few_files=True))
+    return found.join(again, ["node", "fragment"], "left").filter("first is null or copy = first").select("node", "n", "fragment", "grams")
 
 
 def sent(few: DataFrame) -> DataFrame:
@@ -220,35 +225,26 @@ def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return summed.filter(F.col("common") * (100 + percent) >= (F.col("n") + F.col("other")) * percent).select("a", "b")
 
 
-def spanning(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the sets of ``rows(node, n, fragment, grams)`` that connect what links connect."""
+def may_link_here(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs among ``rows(node, n, root, bits)`` of different components that can link (``may_link``), a row of the matrix at a time."""
     node, first = np.unique(rows.column("node").to_numpy(), return_index=True)
-    n = rows.column("n").to_numpy()[first]
-    at, fragment, parts = np.searchsorted(node, rows.column("node").to_numpy()), rows.column("fragment").to_numpy(), rows.column("grams").combine_chunks()
-    common = np.zeros((len(node), len(node)))
-    for f in np.unique(fragment):
-        here = np.flatnonzero(fragment == f)
-        some = parts.take(pa.array(here))
-        flat, owner = some.flatten().to_numpy(), np.repeat(at[here], some.value_lengths().to_numpy())
-        code, count = np.unique(flat, return_inverse=True, return_counts=True)[1:]
-        code, owner = (np.cumsum(count > 1) - 1)[code][count[code] > 1], owner[count[code] > 1]
-        for low in range(0, code.max() + 1 if len(code) else 0, 2048):  # the partial overlaps of a fragment, some n-grams at a time
-            block = (code >= low) & (code < low + 2048)
-            has = np.zeros((len(node), 2048), np.float32)
-            has[owner[block], code[block] - low] = 1
-            common += has @ has.T
-    links = common * (100 + percent) >= (n[:, None] + n) * percent
-    a, b, rest = [], [], np.ones(len(node), bool)
-    for start in range(len(node)):
-        queue = [start] if rest[start] else []
-        rest[start] = False
-        while queue:
-            found = np.flatnonzero(links[queue.pop()] & rest)
-            rest[found] = False
-            queue.extend(found.tolist())
-            a.extend(found.tolist())
-            b.extend([start] * len(found))
-    return node[a], node[b]
+    n, root = rows.column("n").to_numpy()[first], rows.column("root").to_numpy()[first]
+    bits = rows.column("bits").combine_chunks().take(pa.array(first))
+    wide = bits.value_lengths().to_numpy()
+    by_width = {w: np.flatnonzero(wide == w) for w in np.unique(wide).tolist()}
+    words = {w: bits.take(pa.array(at)).flatten().to_numpy().view(np.uint64).reshape(-1, w) for w, at in by_width.items()}
+    for w, at in by_width.items():
+        for other in (w, 2 * w):  # sizes that link differ by less than half
+            there = by_width.get(other)
+            if there is None:
+                continue
+            theirs = words[other] if other == w else words[other][:, :w] ^ words[other][:, w:]
+            for i, mine in zip(at, words[w], strict=True):
+                differ = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
+                near = (differ * (100 + percent) <= (n[i] + n[there]) * (100 - percent)) & (np.minimum(n[i], n[there]) * 100 >= np.maximum(n[i], n[there]) * percent)
+                found = there[near & (root[there] != root[i]) & ((there > i) | (other != w))]
+                if len(found):
+                    yield np.full(len(found), node[i]), node[found]
 
 
 def linked(docs: DataFrame, marked: DataFrame, gram: int, percent: int) -> DataFrame:
@@ -259,7 +255,7 @@ def linked(docs: DataFrame, marked: DataFrame, gram: int, percent: int) -> DataF
     met = met.withColumn("pivot", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket)).filter("pivot < last")
     met = cut(met.select("key", "node", "pivot").distinct(), "candidates")
     some = cut(met.select("node").distinct().join(nodes, "node").select("node", "doc_id"), "some", few_files=True)
-    sets = cut(cut_sets(docs, some, gram), "sets")
+    sets = cut_sets(docs, some, gram)
     size = cut(nodes.join(some.select("node"), "node", "left_semi").select("node", "n", "bits"), "sizes", few_files=True)
 
     def links_of(pairs: DataFrame) -> DataFrame:
@@ -289,16 +285,17 @@ def linked(docs: DataFrame, marked: DataFrame, gram: int, percent: int) -> DataF
     links = links.union(links_of(pairs))
 
     large = left.filter(F.col("members") > SMALL_BUCKET)
-    parts = large.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum("n") / PART_GRAMS)).cast("int").alias("parts"))
+    parts = large.groupBy("key").agg(F.ceil(F.count("*") / PART_SETS).cast("int").alias("parts"))
     dealt = large.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "root", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
     def every_two(rows: pa.Table) -> pa.Table:
-        a, b = spanning(rows, percent)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        found = [*may_link_here(rows, percent)] or [(np.empty(0, np.int64),) * 2]
+        return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip("ab", zip(*found, strict=True), strict=True)})
 
-    more = dealt.join(sets, "node").select("key", "i", "j", "node", "n", "fragment", "grams").groupBy("key", "i", "j").applyInArrow(every_two, "a long, b long")
-    return links.union(cut(more, "links", few_files=True))
+    possible = dealt.join(size, "node").select("key", "i", "j", "node", "n", "root", "bits").groupBy("key", "i", "j").applyInArrow(every_two, "a long, b long")
+    possible = possible.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return links.union(links_of(possible))
 
 
 def jaccard_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:

@@ -264,12 +264,17 @@ def test_long_texts_are_split_in_pieces(monkeypatch):
     assert (ngramjoin.grams(LONG.encode(), ngramjoin.Words()) == whole).all()
 
 
-def test_spanning_forest_of_a_part():
-    sets = [np.arange(100), np.arange(2, 102), np.arange(50, 150), np.arange(1000, 1010)]
-    rows = [(i, len(s), f, s[s % 8 == f]) for i, s in enumerate(sets) for f in range(8)]
-    columns = [[r[k] for r in rows] for k in range(4)]
-    got = ngramjoin.spanning(pa.table([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3], pa.list_(pa.int64()))], ["node", "n", "fragment", "grams"]), 85)
-    assert [x.tolist() for x in got] == [[1], [0]]
+def test_pairs_of_a_part_that_can_link():
+    rnd = np.random.default_rng(6)
+    sets = [np.unique(rnd.integers(0, 2**64, n, np.uint64)) for n in (60, 66, 100, 500)]
+    sets += [np.r_[s[len(s) // 40 :], rnd.integers(0, 2**64, 1 + len(s) // 40, np.uint64)] for s in sets]  # 66 has 128 buckets, 60 has 64
+    sets = [np.unique(s) for s in [*sets, sets[0], np.r_[sets[0], rnd.integers(0, 2**64, 5, np.uint64)]]]
+    root = [0, 1, 2, 3, 4, 1, 6, 7, 8, 9]  # 1 and 5 are together
+    rows = pa.table({"node": pa.array(range(10), pa.int64()), "n": pa.array([len(s) for s in sets]), "root": pa.array(root, pa.int64()), "bits": pa.array([ngramjoin.parities(s).tolist() for s in sets], pa.list_(pa.int64()))})
+    got = {tuple(sorted(p)) for a, b in ngramjoin.may_link_here(rows, 85) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    jaccard = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    want = {(i, j) for i in range(10) for j in range(i + 1, 10) if root[i] != root[j] and jaccard(sets[i], sets[j])}
+    assert want <= got and len(got) <= len(want) + 2 and {(0, 9), (2, 6), (3, 7)} <= want and (1, 5) not in got
 
 
 def test_join_query_on_documents(spark):
