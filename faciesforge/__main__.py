@@ -1,7 +1,7 @@
 """Command line.
 
-``python -m faciesforge run --wells W --samples S --out DIR [--config C.yaml] [--steps 0,1,2] [--pairwise] [--grid-types]``
-runs the correlation pipeline; ``python -m faciesforge framework --reps R.csv --edges E.csv --out DIR [--paths P.jsonl]``
+``python -m faciesforge run (--wells W --samples S | --manifest M --las DIR) --out DIR [--config C.yaml] [--steps 0,1,2]
+[--pairwise] [--grid-types]`` runs the correlation pipeline on tables, or on the files of a manifest; ``python -m faciesforge framework --reps R.csv --edges E.csv --out DIR [--paths P.jsonl]``
 builds a framework and its shifts from files.
 """
 
@@ -12,8 +12,10 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .plans import artifacts, config
+from .plans.scan import Scan
 from .plans.steps import Run, Settings
 from .scratch import drop
+from .sources.delimited import read_delimited
 from .sources.state import heartbeat
 from .sources.tables import read_wells
 
@@ -22,8 +24,10 @@ def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="faciesforge", description="Well-log correlation over Parquet tables.")
     commands = p.add_subparsers(dest="command", required=True)
     run = commands.add_parser("run", help="the correlation pipeline")
-    run.add_argument("--wells", required=True, help="Parquet table with well_id and coordinates")
-    run.add_argument("--samples", required=True, help="Parquet table of well_id, depth, value")
+    run.add_argument("--wells", help="Parquet table with well_id and coordinates")
+    run.add_argument("--samples", help="Parquet table of well_id, depth, value")
+    run.add_argument("--manifest", help="delimited text that lists wells and the URLs of their LAS files")
+    run.add_argument("--las", help="folder of those files")
     run.add_argument("--out", required=True)
     run.add_argument("--config", help="YAML file of settings")
     run.add_argument("--section", default="", help="dotted name of the settings in that file")
@@ -58,8 +62,12 @@ def main(argv: list[str] | None = None) -> None:
     values = config.load(args.config) if args.config else {}
     values = config.value_at(values, args.section, {}) if args.section else values
     steps = tuple(dict.fromkeys(int(x) for x in args.steps.split(",")))
-    run, wells, samples = Run(spark, args.out, Settings.of(values)), read_wells(spark, args.wells), spark.read.parquet(args.samples)
-    out = run.run(wells, samples, steps)
+    run, files = Run(spark, args.out, Settings.of(values)), {}
+    if args.manifest:
+        files, wells, samples = run.from_files(read_delimited(spark, args.manifest), args.las, Scan(min_finite=run.settings.min_finite))
+    else:
+        wells, samples = read_wells(spark, args.wells), spark.read.parquet(args.samples)
+    out = files | run.run(wells, samples, steps)
     if args.pairwise:
         out |= run.pairwise(wells, samples)
     if args.grid_types:

@@ -19,8 +19,8 @@ from ..kernels import solve, tops, traces
 from ..scratch import cut
 from . import graph
 
-#: Equations of a component that one task solves; larger components are solved by joins.
-SMALL_SYSTEM = 5_000_000
+#: Equations of a system that one task solves; larger systems are solved by joins.
+SMALL_SYSTEM = 1_000_000
 
 
 def equations(paths: DataFrame, arrays: DataFrame, precise: bool = False) -> DataFrame:
@@ -41,39 +41,48 @@ def equations(paths: DataFrame, arrays: DataFrame, precise: bool = False) -> Dat
 def solved(rows: DataFrame, anchors: DataFrame | None = None, damping: float = 0.01, pull: float = 0.0, tol: float = 1e-6, most: int = 500, small: int = SMALL_SYSTEM) -> DataFrame:
     """(well_id, k, shift): the damped least-squares solution of ``equations``, every sample an unknown.
 
-    ``anchors(well_id, k, target, weight)`` pull samples to targets. Systems of different components do not
-    touch: each small one is solved where its rows meet, a large one by conjugate gradients on tables.
+    ``anchors(well_id, k, target, weight)`` pull samples to targets. Systems that do not touch are solved apart. Where each
+    equation is between samples of one place, as ``equations`` makes them unless ``precise``, the samples of each place are
+    a system of their own: a component of wells falls into as many as it has places, and a task has equations of one. Else
+    a component is one system. A system of more than ``small`` equations is solved by conjugate gradients on tables.
     """
     spark = rows.sparkSession
     rows = cut(rows, "equations")
     if anchors is None:
         anchors = spark.createDataFrame([], "well_id long, k int, target double, weight double")
     label = graph.components(rows.select("src", "dst").distinct()).withColumnRenamed("id", "src")
-    labelled = cut(rows.join(label, "src"), "labelled")
-    sizes = cut(labelled.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    few, many = sizes.filter(F.col("n") <= small).select("component"), sizes.filter(F.col("n") > small).select("component")
-    own = anchors.join(label.withColumnRenamed("src", "well_id"), "well_id")
+    by_place = rows.filter("i <> j").isEmpty()
+    place = lambda c: (F.col(c) if by_place else F.lit(0)).cast("int").alias("system")
+    key = ["component", "system"]
+    labelled = cut(rows.join(label, "src").withColumn("system", place("i")), "labelled")
+    sizes = cut(labelled.groupBy(*key).agg(F.count("*").alias("n")), "sizes")
+    few, many = sizes.filter(F.col("n") <= small).select(*key), sizes.filter(F.col("n") > small).select(*key)
+    own = anchors.join(label.withColumnRenamed("src", "well_id"), "well_id").withColumn("system", place("k"))
 
     def at_once(key: tuple, e: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         e = e.sort_values(["src", "i", "dst", "j", "dz"], ignore_index=True)
-        u = pd.MultiIndex.from_arrays([np.r_[e.src, e.dst], np.r_[e.i, e.j]])
-        code, known = pd.factorize(u, sort=True)
-        at, good = known.get_indexer(pd.MultiIndex.from_arrays([a.well_id, a.k])), None
-        good = at >= 0
+        low = min(e.i.min(), e.j.min(), a.k.min() if len(a) else 0)
+        wide = int(max(e.i.max(), e.j.max(), a.k.max() if len(a) else 0)) - int(low) + 1
+        wells, at_well = np.unique(np.r_[e.src, e.dst, a.well_id], return_inverse=True)
+        code = at_well * wide + np.r_[e.i, e.j, a.k] - low  # one number for a sample
+        known, at = np.unique(code[: 2 * len(e)], return_inverse=True)
+        held = code[2 * len(e) :]
+        place = np.searchsorted(known, held).clip(0, len(known) - 1)
+        good = known[place] == held
         diag, rhs = np.zeros(len(known)), np.zeros(len(known))
-        np.add.at(diag, at[good], a.weight[good] ** 2)
-        np.add.at(rhs, at[good], a.weight[good] ** 2 * a.target[good])
-        s = solve.pulled_shifts(len(known), code[: len(e)], code[len(e) :], e.dz.to_numpy(float), diag * pull, rhs * pull, damping, tol, most)
-        return pd.DataFrame({"well_id": known.get_level_values(0), "k": known.get_level_values(1), "shift": s}).astype({"well_id": "int64", "k": "int32"})
+        np.add.at(diag, place[good], a.weight.to_numpy()[good] ** 2)
+        np.add.at(rhs, place[good], (a.weight**2 * a.target).to_numpy()[good])
+        s = solve.pulled_shifts(len(known), at[: len(e)], at[len(e) :], e.dz.to_numpy(float), diag * pull, rhs * pull, damping, tol, most)
+        return pd.DataFrame({"well_id": wells[known // wide], "k": (known % wide + low).astype(np.int32), "shift": s})
 
     schema = "well_id long, k int, shift double"
-    grouped = labelled.join(few, "component").groupBy("component").cogroup(own.join(few, "component").groupBy("component"))
+    grouped = labelled.join(few, key).groupBy(*key).cogroup(own.join(few, key).groupBy(*key))
     out = grouped.applyInPandas(at_once, schema)
     if many.isEmpty():
         return out
     node = lambda w, k: F.struct(F.col(w).cast("long").alias("well_id"), F.col(k).cast("int").alias("k"))
-    big = labelled.join(many, "component").select("component", node("src", "i").alias("u"), node("dst", "j").alias("v"), "dz")
-    held = own.join(many, "component").groupBy(node("well_id", "k").alias("id")).agg(F.sum(F.pow("weight", F.lit(2)) * pull).alias("diag"), F.sum(F.pow("weight", F.lit(2)) * F.col("target") * pull).alias("rhs"))
+    big = labelled.join(many, key).select(node("src", "i").alias("u"), node("dst", "j").alias("v"), "dz")
+    held = own.join(many, key).groupBy(node("well_id", "k").alias("id")).agg(F.sum(F.pow("weight", F.lit(2)) * pull).alias("diag"), F.sum(F.pow("weight", F.lit(2)) * F.col("target") * pull).alias("rhs"))
     found = conjugate_gradients(big, held, damping, tol, most)
     return out.union(found.select("id.well_id", "id.k", F.col("x").alias("shift")))
 
@@ -81,13 +90,19 @@ def solved(rows: DataFrame, anchors: DataFrame | None = None, damping: float = 0
 def conjugate_gradients(rows: DataFrame, held: DataFrame, damping: float, tol: float = 1e-6, most: int = 500) -> DataFrame:
     """(id, x): x[u] - x[v] = dz for ``rows(u, v, dz[, w])`` in the (weighted) damped least-squares sense, with ``held(id, diag, rhs)`` added.
 
-    A step is two grouped sums over the rows and two numbers on the driver; the vectors are tables, written before they are used again.
+    Directions are scaled by the diagonal of the normal equations, the sum of a node's weights, so nodes of many and of few
+    equations come to rest together. A step is two grouped sums over the rows and two numbers on the driver; the vectors are
+    tables, written before they are used again.
     """
     rows = cut(rows.select("u", "v", "dz", F.col("w") if "w" in rows.columns else F.lit(1.0).alias("w")), "rows")
     sides = lambda r, c: r.select(F.col("u").alias("id"), F.col(c).alias("g")).union(r.select(F.col("v").alias("id"), (-F.col(c)).alias("g")))
-    b = sides(rows.withColumn("wdz", F.col("w") * F.col("dz")), "wdz").groupBy("id").agg(F.sum("g").alias("g")).join(held, "id", "left")
-    state = cut(b.select("id", F.coalesce("diag", F.lit(0.0)).alias("diag"), F.lit(0.0).alias("x"), (F.col("g") + F.coalesce("rhs", F.lit(0.0))).alias("r")).withColumn("p", F.col("r")), "state")
-    rr = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    both = rows.select(F.explode(F.array(F.struct(F.col("u").alias("id"), (F.col("w") * F.col("dz")).alias("g"), "w"), F.struct(F.col("v").alias("id"), (-F.col("w") * F.col("dz")).alias("g"), "w"))).alias("e"))
+    b = both.groupBy("e.id").agg(F.sum("e.g").alias("g"), F.sum("e.w").alias("weight")).join(held, "id", "left")
+    diag = F.coalesce("diag", F.lit(0.0))
+    state = b.select("id", diag.alias("diag"), (F.col("weight") + diag + damping).alias("scale"), F.lit(0.0).alias("x"), (F.col("g") + F.coalesce("rhs", F.lit(0.0))).alias("r"))
+    state = cut(state.withColumn("p", F.col("r") / F.col("scale")), "state")
+    norms = [F.sum(F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("r") / F.col("scale"))]
+    rr, rz = (v or 0.0 for v in state.agg(*norms).first())
     goal = tol * tol * rr
     for _ in range(most):
         if rr <= goal or rr == 0.0:
@@ -96,10 +111,10 @@ def conjugate_gradients(rows: DataFrame, held: DataFrame, damping: float, tol: f
         d = rows.join(ends[0], "u").join(ends[1], "v").select("u", "v", (F.col("w") * (F.col("p_u") - F.col("p_v"))).alias("d"))
         ap = sides(d, "d").groupBy("id").agg(F.sum("g").alias("g"))
         step = cut(state.join(ap, "id").withColumn("ap", F.col("g") + (F.col("diag") + damping) * F.col("p")).drop("g"), "step")
-        a = rr / step.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
-        moved = cut(step.select("id", "diag", (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("ap")).alias("r"), "p"), "moved")
-        rr, old = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0], rr
-        state = moved.withColumn("p", F.col("r") + (rr / old) * F.col("p"))
+        a = rz / step.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        moved = cut(step.select("id", "diag", "scale", (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("ap")).alias("r"), "p"), "moved")
+        old, (rr, rz) = rz, moved.agg(*norms).first()
+        state = moved.withColumn("p", F.col("r") / F.col("scale") + (rz / old) * F.col("p"))
     if rr <= goal:
         return state.select("id", "x")
     raise ArithmeticError(f"no convergence in {most} steps")

@@ -12,11 +12,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..kernels import align, traces
+from .kernels import lists_of, series_of
 
 
 @dataclass(frozen=True)
@@ -85,36 +87,46 @@ def aligned(edges: DataFrame, nodes: DataFrame, stored: DataFrame, s: Windowing
         for end in ("src", "dst"):
             plan = plan.join(raw.select(F.col("well_id").alias(end), F.col("raw").alias(f"raw_{end}")), end, "left")
 
-    def curve(r: dict, end: str) -> np.ndarray:
-        lo, hi = r["win_lo"], r["win_hi"]
-        if r["x_src"] is not None and r["x_dst"] is not None:
-            return traces.windowed(np.array(r[f"x_{end}"], float), r[f"top_{end}"], r[f"base_{end}"], lo, hi, s.n, s.low, s.high)
-        if r[f"raw_{end}"] is None:
-            raise traces.TraceError("nothing to read")
-        d, v = (np.array([np.nan if p[c] is None else p[c] for p in r[f"raw_{end}"]], float) for c in ("depth", "value"))
-        return traces.resampled(d, v, s.n, s.low, s.high, window=(lo, hi)).x
-
-    def one(r: dict) -> tuple:
-        if r["status"] is not None:
-            return r["status"], None, None, None, None
-        if s.stored_only and (r["x_src"] is None or r["x_dst"] is None):
-            return "cache_miss", None, None, None, None
-        try:
-            x, y = curve(r, "src"), curve(r, "dst")
-        except ValueError:
-            return "read_fail", None, None, None, None
-        cost, path = align.dtw(x, y, s.alpha)
-        if not np.isfinite(cost):
-            return "dtw_fail", None, None, None, None
-        status = "ok" if align.end_slopes_ok(path, s.guard_share, s.guard_least, *s.slopes, n=s.n) else "end_mismatch"
-        return status, cost, cost / len(path), path[:, 0].tolist(), path[:, 1].tolist()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = list(zip(*map(one, batch.to_pylist()), strict=True)) or [()] * 5
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("src", "dst", "dist_km", "pad", "overlap", "overlap_frac")]
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, k) for c, k in zip(got, (pa.string(), pa.float64(), pa.float64(), ints, ints), strict=True)]], ["src", "dst", "dist_km", "pad", "overlap", "overlap_frac", "status", "cost", "cps", "ii", "jj"])
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            number = {c: pc.fill_null(column(c), np.nan).to_numpy(zero_copy_only=False) for c in ("win_lo", "win_hi", "top_src", "top_dst", "base_src", "base_dst")}
+            stored = {end: series_of(column(f"x_{end}")) for end in ("src", "dst")}
+            status = column("status").to_pylist()
+            found: list = [(None, None, None, None)] * batch.num_rows
+
+            def curve(k: int, end: str) -> np.ndarray:
+                lo, hi = number["win_lo"][k], number["win_hi"][k]  # noqa: B023
+                if stored["src"][k] is not None and stored["dst"][k] is not None:  # noqa: B023
+                    return traces.windowed(stored[end][k], number[f"top_{end}"][k], number[f"base_{end}"][k], lo, hi, s.n, s.low, s.high)  # noqa: B023
+                raw = column(f"raw_{end}")[k]  # noqa: B023
+                if not raw.is_valid:
+                    raise traces.TraceError("nothing to read")
+                d, v = (pc.fill_null(raw.values.field(c), np.nan).to_numpy(zero_copy_only=False) for c in ("depth", "value"))
+                return traces.resampled(d, v, s.n, s.low, s.high, window=(lo, hi)).x
+
+            at, xs, ys = [], [], []
+            for k in [k for k, told in enumerate(status) if told is None]:
+                if s.stored_only and (stored["src"][k] is None or stored["dst"][k] is None):
+                    status[k] = "cache_miss"
+                    continue
+                try:
+                    x, y = curve(k, "src"), curve(k, "dst")
+                except ValueError:
+                    status[k] = "read_fail"
+                    continue
+                at.append(k)
+                xs.append(x)
+                ys.append(y)
+            for some, x, y in align.by_shape(xs, ys):
+                for k, (cost, path) in zip(some.tolist(), align.dtw_many(x, y, s.alpha), strict=True):
+                    ok = np.isfinite(cost) and align.end_slopes_ok(path, s.guard_share, s.guard_least, *s.slopes, n=s.n)
+                    status[at[k]] = "ok" if ok else "end_mismatch" if np.isfinite(cost) else "dtw_fail"
+                    if np.isfinite(cost):
+                        found[at[k]] = cost, cost / len(path), path[:, 0], path[:, 1]
+            cost, cps, ii, jj = zip(*found, strict=True) if found else ((),) * 4
+            kept = [column(c) for c in ("src", "dst", "dist_km", "pad", "overlap", "overlap_frac")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(status, pa.string()), pa.array(cost, pa.float64()), pa.array(cps, pa.float64()), lists_of(ii), lists_of(jj)], ["src", "dst", "dist_km", "pad", "overlap", "overlap_frac", "status", "cost", "cps", "ii", "jj"])
 
     columns = ["src", "dst", "dist_km", "pad", "overlap", "overlap_frac", "win_lo", "win_hi", "status", *[f"{c}_{e}" for c in ("x", "top", "base", "raw") for e in ("src", "dst")]]
     return plan.select(*columns).mapInArrow(run, "src long, dst long, dist_km double, pad double, overlap double, overlap_frac double, status string, cost double, cps double, ii array<int>, jj array<int>")

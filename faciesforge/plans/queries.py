@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import geo, scoring
 from ..functions import headers as H
 from ..operators import curves, graph, grid, series, spatial, typewells
-from . import views
+from ..scratch import scratch_path
+from . import scan, views
 from .views import HEADERS, SERIES, SERIES_DUP, WELLS
 
 LAT0, CELL_KM, RADIUS_KM = 38.5, 20.0, 8.0
@@ -487,7 +488,12 @@ def _two_kinds(spark, d):
     return spatial.radius_pairs(points, RADIUS_KM).select("src", "dst"), knn
 
 
-@query(f"WITH {KNN}, {KNN_EDGES} SELECT coalesce(near.src, ke.src) AS src, coalesce(near.dst, ke.dst) AS dst, CASE WHEN ke.src IS NOT NULL AND near.src IS NOT NULL THEN 'both' WHEN near.src IS NOT NULL THEN 'radius' ELSE 'knn' END AS edge_type FROM near FULL JOIN ke ON near.src = ke.src AND near.dst = ke.dst")
+# the same with each table made once, and unions instead of joins on two columns
+KNN_ONCE = f"{KNN}, {KNN_EDGES}".replace("pairs AS (", "pairs AS MATERIALIZED (").replace("knn AS (", "knn AS MATERIALIZED (").replace("ke AS (", "ke AS MATERIALIZED (").replace("near AS (", "near AS MATERIALIZED (")
+
+
+@query(f"""WITH {KNN_ONCE}, each AS (SELECT src, dst, 1 AS n, 0 AS k FROM near UNION ALL SELECT src, dst, 0, 1 FROM ke)
+SELECT src, dst, CASE WHEN max(n) = 1 AND max(k) = 1 THEN 'both' WHEN max(n) = 1 THEN 'radius' ELSE 'knn' END AS edge_type FROM each GROUP BY src, dst""")
 def edge_union_flags(spark, d):
     """Edges within the radius and to nearest neighbours; the graph of both with the triangulation is ``spatial_graph``."""
     return graph.union_with_flags(*_two_kinds(spark, d), "radius")
@@ -563,7 +569,8 @@ def bins_with_wells(spark, d):
     return rounded(bins.join(views.wells(spark, d), "well_id", "left").filter("lat is not null and lon is not null").select("well_id", "bin_id", "lat", "lon"))
 
 
-@query(f"WITH {KNN}, {KNN_EDGES} SELECT ke.src, ke.dst, round(dist_km, 6) AS dist_km FROM ke LEFT JOIN (SELECT * FROM pairs WHERE dist_km <= {RADIUS_KM}) c ON ke.src = c.src AND ke.dst = c.dst")
+@query(f"""WITH {KNN_ONCE}, each AS (SELECT src, dst, 1 AS k, NULL AS dist_km FROM ke UNION ALL SELECT src, dst, 0, dist_km FROM pairs WHERE dist_km <= {RADIUS_KM})
+SELECT src, dst, round(max(dist_km), 6) AS dist_km FROM each GROUP BY src, dst HAVING max(k) = 1""")
 def edges_with_candidates(spark, d):
     """Edges to nearest neighbours, of which some are no candidates by radius."""
     near, knn = _two_kinds(spark, d)
@@ -652,3 +659,32 @@ def latest_event(spark, d):
 
     e = views.table(spark, d, "events").select("user_id", "event_id", "ts").withColumn("at", F.struct("ts", "event_id"))
     return latest_by_key(e, "user_id", "at").select("user_id", "ts", "event_id")
+
+
+# ---- files ------------------------------------------------------------------------------------
+
+
+def las_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(file, text): a LAS file for each supplier with series; those in debt have no gamma ray, those of the first nations are wrapped."""
+    cell = F.format_string("%.1f %s", "depth", F.when(F.col("value").isNull(), "-999.25").otherwise(F.format_string("%.1f", "value")))
+    rows = views.series(spark, d).groupBy("well_id").agg(F.array_sort(F.collect_list(F.struct("k", cell.alias("row")))).alias("r"))  # a well's rows
+    wells = rows.join(views.table(spark, d, "supplier"), F.col("well_id") == F.col("s_suppkey"))
+    wrapped = F.col("s_nationkey") < 5
+    lines = F.array_join(F.transform("r", lambda r: r["row"]), F.when(wrapped, "\n  ").otherwise("\n"))
+    head = F.concat(F.lit("~V\nVERS. 2.0 :\nWRAP. "), F.when(wrapped, "YES").otherwise("NO"), F.lit(" :\n~W\nNULL. -999.25 :\n~C\nDEPT.FT : depth\n"), F.when(F.col("s_acctbal") < 0, "CALI.IN : caliper").otherwise("GAMMA_RAY.GAPI : gamma ray"), F.lit("\n~A\n"))
+    return wells.select(F.col("well_id").alias("file"), F.concat(head, lines, F.lit("\n")).alias("text"))
+
+
+@query(f"""WITH {WELLS}, {SERIES}, s AS (SELECT well_id, count(*) AS n, count(value) AS nf, min(depth) AS lo, max(depth) AS hi, quantile_cont(value, [0.01, 0.5, 0.99]) AS q FROM series GROUP BY 1),
+f AS (SELECT s.*, s_acctbal >= 0 AS gr FROM s JOIN supplier ON s.well_id = s_suppkey),
+r AS (SELECT w.well_id, round(lat, 6) AS lat, round(lon, 6) AS lon, CASE WHEN n IS NULL THEN 'MISSING_LAS' WHEN NOT gr THEN 'NO_GR' WHEN nf < 300 THEN 'INSUFFICIENT_GR' ELSE 'OK' END AS status, f.* EXCLUDE (well_id) FROM wells w LEFT JOIN f ON f.well_id = w.well_id)
+SELECT CAST(well_id AS VARCHAR) AS well_id, status, lat, lon, CASE WHEN gr THEN 'GAMMA_RAY' END AS curve, CASE WHEN gr THEN n END AS n_total, CASE WHEN gr THEN nf END AS n_finite,
+CASE WHEN gr THEN lo END AS depth_min, CASE WHEN gr THEN hi END AS depth_max, CASE WHEN gr THEN round(q[1], 6) END AS p01, CASE WHEN gr THEN round(q[2], 6) END AS p50, CASE WHEN gr THEN round(q[3], 6) END AS p99 FROM r""")
+def file_index(spark, d):
+    """Every customer's well in a manifest, with a file for those that have series: written, listed, scanned and joined."""
+    root = scratch_path(spark, "las")
+    las_texts(spark, d).write.partitionBy("file").text(root)
+    name = F.regexp_extract("path", "/file=([0-9]+)/", 1)
+    manifest = views.wells(spark, d).select(*[F.col(c).cast("string").alias(a) for c, a in (("well_id", "KGS_ID"), ("well_id", "URL"), ("lat", "Latitude"), ("lon", "Longitude"))])
+    rows = scan.indexed(manifest, root, scan.Scan(min_finite=300), name)
+    return rounded(rows.select("well_id", "status", "lat", "lon", F.col("gr_mnemonic_used").alias("curve"), "n_total", "n_finite", "depth_min", "depth_max", "p01", "p50", "p99"))

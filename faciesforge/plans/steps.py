@@ -1,9 +1,9 @@
 """The correlation pipeline, step by step, over tables.
 
 Inputs are ``wells(well_id, lat, lon)`` and long ``samples(well_id, depth, value)``. Each
-step writes its tables under a folder named by the step and a hash of the settings that led
-to it, and a step whose folder is complete is read instead of run: changed settings never
-meet old tables, and an interrupted run goes on at the step it was in.
+step writes its tables under a folder named by the step, a hash of the settings and one of the
+rows of the inputs, and a step whose folder is complete is read instead of run: changed settings
+or inputs never meet old tables, and an interrupted run goes on at the step it was in.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ..operators import chronostrat, curves, framework, graph, grid, kernels, se
 from ..operators.order import numbered
 from ..scratch import cut
 from ..sources.state import meta_table
+from .scan import Scan, indexed, listing, samples_of
 
 
 @dataclass(frozen=True)
@@ -214,15 +215,39 @@ def type_columns(cells: DataFrame, arrays: DataFrame, shifts: DataFrame, s: Sett
     return {"type_log": log, "type_wells": wells, "tops": tops, "intervals": named}
 
 
+#: Steps whose tables depend on the representatives' scores.
+RANKED = ("02_reps", "02_typewells", "02_arrays", "03_correlation", "03_products", "04_type_columns")
+
+
+def rows_mark(*tables: DataFrame) -> str:
+    """A hash of the rows of tables, in whatever order, and of their columns."""
+    marks = []
+    for df in tables:
+        row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+        # sums besides the exclusive or, so that repeated rows do not cancel out
+        found = df.agg(F.count("*"), F.bit_xor(row), F.sum(F.shiftrightunsigned(row, 32)), F.sum(row.bitwiseAND(F.lit(0xFFFFFFFF)))).first()
+        marks.append([sorted(df.dtypes), list(found)])
+    return hashlib.sha1(json.dumps(marks).encode()).hexdigest()[:12]
+
+
 class Run:
     """A run's folder of tables."""
 
     def __init__(self, spark: SparkSession, out: str, settings: Settings):
         self.spark, self.out, self.settings = spark, out.rstrip("/"), settings
         self.key = hashlib.sha1(json.dumps(asdict(settings), sort_keys=True).encode()).hexdigest()[:12]
+        self.inputs: str | None = None
+        self.ranked = ""
+
+    def given(self, *tables: DataFrame, scores: DataFrame | None = None) -> None:
+        """From now on the steps are those of these inputs, and so for later runs of these settings until they are given others."""
+        self.inputs, self.ranked = rows_mark(*tables), "" if scores is None else f"-{rows_mark(scores)}"
+        self.spark.createDataFrame([(self.inputs,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.out}/inputs-{self.key}")
 
     def _path(self, step: str) -> str:
-        return f"{self.out}/{step}-{self.key}"
+        if self.inputs is None and self._exists(last := f"{self.out}/inputs-{self.key}"):
+            self.inputs = self.spark.read.text(last).first()[0]
+        return f"{self.out}/{step}-{self.key}" + (f"-{self.inputs}" if self.inputs else "") + (self.ranked if step in RANKED else "")
 
     def _exists(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -238,9 +263,19 @@ class Run:
                 made[t].write.mode("overwrite").parquet(paths[t])
         return {t: self.spark.read.parquet(p) for t, p in paths.items()}
 
+    def from_files(self, manifest: DataFrame, root: str, scan: Scan = Scan()) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+        """The index of a manifest's LAS files, and the wells and samples that the other steps take. Only what is new is read: the
+        inputs are the manifest's rows and the folder's listing."""
+        self.given(manifest, listing(self.spark, root), self.spark.createDataFrame([(repr(scan),)], "scan string"))
+        rows = self.step("00_files", lambda: {"files": indexed(manifest, root, scan)}, ("files",))["files"]
+        kept = rows.filter("status = 'OK' and lat is not null and lon is not null").dropDuplicates(["well_id"])
+        made = self.step("00_samples", lambda: {"counts": curves.status_counts(rows), "samples": samples_of(kept, root, scan.family)}, ("counts", "samples"))
+        return {"files": rows, "counts": made["counts"]}, kept.select("well_id", "lat", "lon"), made["samples"]
+
     def run(self, wells: DataFrame, samples: DataFrame, steps: tuple[int, ...] = (0, 1, 2, 3, 4), scores: DataFrame | None = None) -> dict[str, DataFrame]:
         """The steps up to the last one asked for; what they need is read or made. ``scores(well_id, score)`` rank representatives."""
         s, last, out = self.settings, max(steps), {}
+        self.given(wells, samples, scores=scores)
         out |= self.step("00_index", lambda: index(wells, samples, s), ("wells", "kept", "status_counts"))
         if last >= 1:
             out |= self.step("01_bins", lambda: bins(out["kept"], s), ("cells", "meta"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -39,3 +40,16 @@ def drop(spark: SparkSession) -> None:
     """Delete this application's tables in that folder, once its results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/faciesforge/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of rows that a Python worker gets at a time where rows can be whole files.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Arrow batches bounded by their bytes, unless the session has them smaller already."""
+    digits, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(_BATCH).lower()).groups()
+    now = int(digits) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}[unit]
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")

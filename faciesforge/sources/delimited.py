@@ -47,17 +47,42 @@ def write_parts(df: DataFrame, path: str, rows: int = 1000, mode: str = "errorif
 
 
 class CsvSink:
-    """A folder of text that grows by whole tables, as from ``foreachBatch``: a header in each part, nulls as ''. The first write
-    replaces what is there if ``overwrite`` is asked for; a batch written before is not written again."""
+    """A folder of text that grows by whole tables, as from ``foreachBatch``: a header in each part, nulls as ''.
+
+    A batch is written beside the table first, then moved into it under names that hold its number, then noted. One that is
+    noted is not written again, in this process or another; of one that broke off, what has been moved is replaced. The
+    first batch (of a new folder, or number 0) replaces what is there if ``overwrite`` is asked for; later batches of a
+    stream that starts again never do.
+    """
 
     def __init__(self, path: str, columns: list[str], overwrite: bool = False):
-        self.path, self.columns, self.overwrite, self.last = path.rstrip("/"), columns, overwrite, -1
+        self.path, self.columns, self.overwrite = path.rstrip("/"), columns, overwrite
 
     def __call__(self, df: DataFrame, batch: int | None = None) -> None:
-        if batch is not None and batch <= self.last:
+        if batch is None:
+            write_csv(df, self.path, self.columns, "overwrite" if self.overwrite else "append")
+            self.overwrite = False
+            return
+        spark = df.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        noted = hadoop(f"{self.path}/_batches/{batch:012d}")
+        if fs.exists(noted):
+            self.overwrite = False
             return
-        write_csv(df, self.path, self.columns, "overwrite" if self.overwrite else "append")
-        self.overwrite, self.last = False, self.last if batch is None else batch
+        if self.overwrite and (batch == 0 or not fs.exists(hadoop(f"{self.path}/_batches"))):
+            fs.delete(hadoop(self.path), True)
+        self.overwrite = False
+        for old in fs.globStatus(hadoop(f"{self.path}/batch-{batch:012d}-*")) or []:
+            fs.delete(old.getPath(), False)
+        beside = f"{self.path}/_writing-{batch:012d}"
+        write_csv(df, beside, self.columns, "overwrite")
+        for k, part in enumerate(fs.globStatus(hadoop(f"{beside}/part-*"))):
+            if not fs.rename(part.getPath(), hadoop(f"{self.path}/batch-{batch:012d}-{k:05d}.csv")):
+                raise OSError(f"cannot move {part.getPath()}")
+        fs.delete(hadoop(beside), True)
+        fs.mkdirs(noted.getParent())
+        fs.create(noted, True).close()
 
 
 def write_alignment(edges: DataFrame, path: str) -> None:
