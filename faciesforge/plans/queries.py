@@ -670,7 +670,7 @@ def las_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = views.series(spark, d).groupBy("well_id").agg(F.array_sort(F.collect_list(F.struct("k", cell.alias("row")))).alias("r"))  # a well's rows
     wells = rows.join(views.table(spark, d, "supplier"), F.col("well_id") == F.col("s_suppkey"))
     wrapped = F.col("s_nationkey") < 5
-    lines = F.array_join(F.transform("r", lambda r: r["row"]), F.when(wrapped, "\n  ").otherwise("\n"))
+    lines = F.array_join(F.transform("r", lambda r: F.when(wrapped, F.replace(r["row"], F.lit(" "), F.lit("\n"))).otherwise(r["row"])), "\n")
     head = F.concat(F.lit("~V\nVERS. 2.0 :\nWRAP. "), F.when(wrapped, "YES").otherwise("NO"), F.lit(" :\n~W\nNULL. -999.25 :\n~C\nDEPT.FT : depth\n"), F.when(F.col("s_acctbal") < 0, "CALI.IN : caliper").otherwise("GAMMA_RAY.GAPI : gamma ray"), F.lit("\n~A\n"))
     return wells.select(F.col("well_id").alias("file"), F.concat(head, lines, F.lit("\n")).alias("text"))
 
