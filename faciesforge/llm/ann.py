@@ -11,14 +11,17 @@ pruned depends on the vectors (the bounds bite more the lower their intrinsic di
 so each search takes, shard by shard, the largest of ``FACTORS`` whose recall on a bounded
 sample of its queries, held against the exact search, is at least ``RECALL``.
 
+Distances are taken on the shard's own scale, a power of two, and each query's on its own, so
+that neither tiny nor huge vectors lose digits; scores are those of the vectors as given.
+
 Shards are cut from the stream of rows where they lie (``SHARD_ROWS`` at most), so that
 every row is indexed, memory is bounded and nothing is shuffled. The index is a written
 table of plain numbers, and so are the queries, in blocks; each tree meets each block in one join.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
 part, nor do rows with null id; vectors meet those of their own length only; rows that share
-an id count as one, with their best score; ties go to the smaller id; a query without
-candidates has no rows, and so has an empty table; other columns are ignored.
+an id count as one, with their best score; ties go to the smaller id; scores beyond doubles
+are infinite, found by their true order and ranked by id; a query without candidates has no rows, and so has an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ from .topk import blocks, meetings, of_length, ranked, unpacked, usable
 SHARD_ROWS, LEAF_ROWS = 8192, 96
 #: Factors to choose from; none of them reaching ``RECALL`` on ``SAMPLE`` queries in a shard, the search there is exact.
 FACTORS, RECALL, SAMPLE = (5.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.25), 0.97, 128
-#: Scores are compared on this grid while searching, so that equal vectors tie in spite of rounding.
-GRID = 2.0**40
+#: Scores are compared while searching in steps of this share of their vectors' sizes, so that equal vectors tie in spite of rounding.
+STEP = 2.0**-38
 HITS = "query_id long, vec_id long, score double"
 TREE = "dims int, n int, ids binary, x binary, norm2 double, points binary, nodes binary"
 #: A node: vantage point, inner and outer child, first row and the one after the last; distances that bound the sides.
@@ -48,22 +51,35 @@ NODE = np.dtype([("v", "<i4"), ("inner", "<i4"), ("outer", "<i4"), ("a", "<i4"),
 HELD = 500_000
 
 
+def exponents(x: np.ndarray) -> np.ndarray:
+    """The power of two that each row's largest component lies below."""
+    return np.frexp(np.abs(x).max(axis=1, initial=0.0))[1]
+
+
 @dataclass
 class Tree:
     ids: np.ndarray
     x: np.ndarray
-    #: Largest squared norm; the nodes: (vantage row, median distance, inner child, outer child, first row, last row).
+    #: From here on all is on the shard's own scale, by which its largest component lies between a half and one.
+    #: Largest squared norm; vantage points; the nodes: (vantage row, median distance, inner child, outer child, first row, last row).
     norm2: float
     extra: np.ndarray
     nodes: list[tuple[int, float, int, int, int, int]]
 
+    def __post_init__(self) -> None:
+        own = exponents(self.x)
+        top = int(own.max(initial=0) if (self.x != 0).any() else 0)
+        self.y = np.ldexp(self.x, -top)
+        self.step = np.ldexp(STEP, np.maximum(own - top, -900))
+
 
 def build(ids: np.ndarray, x: np.ndarray, leaf: int = LEAF_ROWS) -> Tree:
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
-    n2 = np.einsum("ij,ij->i", x, x)
+    y = np.ldexp(x, -int(exponents(x).max()))
+    n2 = np.einsum("ij,ij->i", y, y)
     norm2 = float(n2.max())
-    full = np.c_[x, np.sqrt(np.maximum(norm2 - n2, 0.0))]
+    full = np.c_[y, np.sqrt(np.maximum(norm2 - n2, 0.0))]
     rng, nodes, place = np.random.default_rng(len(ids)), [], np.arange(len(ids))
     todo = [(0, len(ids), -1, 0)]
     while todo:
@@ -109,7 +125,8 @@ class Search:
     """The k nearest in one tree for a block of queries."""
 
     def __init__(self, tree: Tree, ids: np.ndarray, q: np.ndarray, k: int, factor: float):
-        self.tree, self.ids, self.q, self.k, self.factor = tree, ids, q, k, factor
+        self.tree, self.ids, self.given, self.k, self.factor = tree, ids, q, k, factor
+        self.q = q = np.ldexp(q, -exponents(q)[:, None])  # a query's own scale does not change its order
         self.q2 = np.einsum("ij,ij->i", q, q)
         self.score = np.full((len(q), k), -np.inf)
         self.row = np.full((len(q), k), -1)
@@ -123,7 +140,8 @@ class Search:
         a, b = np.nonzero(self.row >= 0)
         rows = self.row[a, b]
         # the score itself, in double precision and in one order of addition for equal vectors
-        return self.ids[a], self.tree.ids[rows], np.einsum("ij,ij->i", self.q[a], self.tree.x[rows])
+        with np.errstate(over="ignore", invalid="ignore"):
+            return self.ids[a], self.tree.ids[rows], np.einsum("ij,ij->i", self.given[a], self.tree.x[rows])
 
     def _walk(self, seed: bool) -> None:
         nodes, todo = self.tree.nodes, [(0, np.arange(len(self.q)), None)]
@@ -159,7 +177,7 @@ class Search:
 
     def _leaf(self, who: np.ndarray, a: int, b: int) -> None:
         ids = self.tree.ids[a:b]
-        new = np.rint(self.q[who] @ self.tree.x[a:b].T * GRID) / GRID
+        new = np.rint(self.q[who] @ self.tree.y[a:b].T / self.tree.step[a:b]) * self.tree.step[a:b]
         new[self.ids[who][:, None] == ids[None, :]] = -np.inf
         better = (new >= self.score[who, -1:]) & np.isfinite(new)
         hit = better.any(axis=1)

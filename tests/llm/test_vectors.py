@@ -137,3 +137,41 @@ def test_recall_at_low_intrinsic_dimension(spark, dims):
     s[np.arange(len(s)), np.arange(0, len(x), 20)] = -np.inf
     best = np.argsort(-s, axis=1)[:, :20]
     assert sum(len(found[20 * i] & set(b.tolist())) for i, b in enumerate(best)) / best.size >= 0.9
+
+
+DOUBLES = "vec_id long, embedding array<double>"
+
+
+@pytest.mark.parametrize("scale", [1e-140, 1e-9, 1e-7, 1.0, 1e150, "mixed"])
+def test_factor_one_is_exact_at_every_scale(spark, scale):
+    rnd = np.random.default_rng(9)
+    x = rnd.standard_normal((1500, 16))
+    x[100:140] = x[100]  # ties
+    x = x * (10.0 ** rnd.integers(-12, 12, 1500)[:, None] if scale == "mixed" else scale)
+    ids = np.r_[np.arange(1480), np.arange(0, 100, 5)]  # repeated ids
+    v = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), DOUBLES).coalesce(1)
+    got = {}
+    for r in ann.search(cut(ann.index(v, 512, 16), "trees"), v.filter("vec_id % 20 = 0"), 10, 1.0).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    for q in range(0, 1480, 20):
+        score = np.max([x @ x[i] for i in np.flatnonzero(ids == q)], axis=0)
+        best = {}
+        for i, s in zip(ids.tolist(), score.tolist(), strict=True):
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), s)
+        want = sorted(best, key=lambda i: (-best[i], i))[:10]
+        found = np.array(sorted(got[q].values(), reverse=True))
+        assert np.allclose(found, [best[i] for i in want], rtol=1e-10, atol=0) and len(set(got[q]) ^ set(want)) <= 2 * sum(100 <= i < 140 for i in want)
+
+
+def test_huge_vectors_are_found_in_their_true_order(spark):
+    x = np.random.default_rng(10).standard_normal((600, 8))
+    v = spark.createDataFrame(list(enumerate((x * 1e160).tolist())), DOUBLES).coalesce(1)
+    for factor in (1.0, None):
+        found = {}
+        for r in ann.search(cut(ann.index(v), "trees"), v.filter("vec_id % 20 = 0"), 10, factor).collect():
+            found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        s = x[::20] @ x.T
+        s[np.arange(len(s)), np.arange(0, 600, 20)] = -np.inf
+        hits = [len(found[20 * i] & set(np.argsort(-row)[:10].tolist())) for i, row in enumerate(s)]
+        assert sum(hits) >= (10 if factor else 9.5) * len(hits)
