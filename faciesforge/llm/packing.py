@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ from ._util import bounded_batches, cut, table, values
 from .tokens import encoder
 
 CAPACITY = 2048
+#: Lengths are told apart up to here.
+LONGEST = 1 << 20
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that a worker gathers before it hands them on.
@@ -148,7 +151,8 @@ def numbered(batches: Iterator[pa.RecordBatch], part: str, place: str) -> Iterat
     """
     met, task = np.zeros(1, np.int64), TaskContext.get().partitionId()
     for batch in batches:
-        length = batch.column(batch.schema.get_field_index("length")).to_numpy()
+        length = batch.column(batch.schema.get_field_index("length"))
+        length = np.clip(pc.fill_null(length, 0).to_numpy(), 0, LONGEST)  # what is no length is told by the histogram
         if len(length) and length.max() >= len(met):
             met = np.r_[met, np.zeros(int(length.max()) + 1 - len(met), np.int64)]
         order = np.argsort(length, kind="stable")
@@ -174,7 +178,8 @@ def private(columns: list[str], name: str) -> str:
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Rows with a ``length`` from 1 to ``capacity`` get ``sequence_id`` and ``offset``; columns of these names are replaced, all others kept."""
+    """Rows with a ``length`` from 1 to ``capacity`` get ``sequence_id`` and ``offset``; columns of these names, in whatever case, are
+    replaced, all others kept. A row without such a length raises ``ValueError``."""
     part, place = private(items.columns, "__part"), private(items.columns, "__place")
     return _placed(cut(items.mapInArrow(lambda batches: numbered(batches, part, place), f"{fields_of(items)}, `{part}` int, `{place}` long"), "items"), part, place, capacity)
 
@@ -182,11 +187,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def _placed(items: DataFrame, part: str, place: str, capacity: int) -> DataFrame:
     """Pack a written table of numbered rows."""
     counts = cut(items.groupBy("length", part).agg(F.count("*").alias("n")), "lengths", few_files=True)
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most ``capacity`` rows
+    clipped = F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.greatest(F.least("length", F.lit(capacity + 1)), F.lit(0))).alias("length")
+    histogram = {r[0]: r[1] for r in counts.groupBy(clipped).agg(F.sum("n")).collect()}  # at most ``capacity`` rows and three
+    if wrong := [n for n in histogram if n is None or not 1 <= n <= capacity]:
+        raise ValueError(f"lengths have to be from 1 to {capacity}, not {wrong[:5]}")
     rows, _ = plan(histogram, capacity)
     stride = 1 << 44
     keys = rows[:, 0] * stride + rows[:, 1]
-    kept = [c for c in items.columns if c not in (part, place, "sequence_id", "offset")]
+    kept = [c for c in items.columns if c.lower() not in (part, place, "sequence_id", "offset")]
     rank = private(items.columns, "__rank")
     # the pieces of this length in the tasks before: a row for each task and length, so that a frequent length is many keys
     before = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

@@ -7,8 +7,9 @@ many more ranges than shards. Exact counts then show which ranges are overfull,
 are subdivided by samples of their own until none is, and those of more records than a task
 should order once more. Ranges in key order, with their exact bytes and rows, give each record
 its exact place in the whole, and the place gives the shard: by bytes (law ``bytes``: sizes differ by one record at most) or by count (law
-``rows``). A group of equal texts, however large, is only cut where a boundary falls, and
-ranges cut it too, so no task gets more than a range.
+``rows``). A group of equal texts that a boundary between shards of law ``bytes`` falls into goes
+to the side with more of it, unless it holds over a hundredth of a shard's bytes; a larger one
+is cut there. Ranges cut any group, so no task gets more than a range.
 
 Everything is DataFrame functions. The texts are read once, to a written table of keys and
 sizes; what reaches the driver are samples and totals of a fixed number of first ranges.
@@ -20,6 +21,8 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ RANGE_ROWS = 1_000_000
 #: Rounds of subdivision; each makes an overfull range smaller many times over.
 ROUNDS = 8
 KEY = ("h", "doc_id", "row")
+#: What equal texts share, and the share of a shard's bytes up to which a group of them is not cut between shards.
+GROUP, CUT_SHARE = ("h", "size", "text_crc32"), 0.01
 
 
 def keyed(docs: DataFrame, row: Column | None = None) -> DataFrame:
@@ -112,7 +117,7 @@ def splitters(rows: DataFrame, total_rows: int, total_bytes: int, ranges: int =
     return bounds
 
 
-def assign(rows: DataFrame, shards: int = SHARDS, law: str = "bytes", ranges: int = RANGES) -> DataFrame:
+def assign(rows: DataFrame, shards: int = SHARDS, law: str = "bytes", ranges: int = RANGES, keep_groups: bool = True) -> DataFrame:
     """``rows`` (a written table from ``keyed``) with ``shard`` and ``slot``."""
     if law not in ("bytes", "rows"):
         raise ValueError(f"no law {law!r}")
@@ -145,9 +150,33 @@ def assign(rows: DataFrame, shards: int = SHARDS, law: str = "bytes", ranges: in
     marked = totals.withColumn("crosses", crosses | (F.col("rows_before") == 0))
     beside = F.coalesce(F.lag("crosses").over(order), F.lit(False)) | F.coalesce(F.lead("crosses").over(order), F.lit(False))
     near = marked.withColumn("beside", beside).filter("crosses or beside").select("range", "sub")  # three for each shard at most
-    start = {r["shard"]: r["place"] for r in placed(dealt.join(F.broadcast(near), ["range", "sub"], "left_semi")).groupBy("shard").agg(F.min("place").alias("place")).collect()}
-    starts = F.element_at(F.array(*[F.lit(start.get(s, 0)).cast("long") for s in range(shards)]), F.col("shard") + 1)
-    return placed(dealt).withColumn("slot", (F.col("place") - starts).cast("long")).select(*rows.columns, "shard", "slot")
+    first = placed(dealt.join(F.broadcast(near), ["range", "sub"], "left_semi")).groupBy("shard").agg(F.min_by(F.struct("place", *GROUP), "place").alias("r")).select("shard", "r.*").collect()
+    start = {r["shard"]: r["place"] for r in first}
+    if keep_groups and law == "bytes":
+        start = whole_groups(start, [r for r in first if r["shard"] > 0], dealt, placed, total / shards * CUT_SHARE)
+    for s in reversed(range(shards)):  # a shard without records begins where the next one does
+        start.setdefault(s, start.get(s + 1, n))
+    starts = F.array(*[F.lit(start[s]).cast("long") for s in range(shards)])
+    own = F.size(F.filter(starts, lambda s: s <= F.col("place"))) - 1
+    return placed(dealt).drop("shard").withColumn("shard", own.cast("int")).withColumn("slot", (F.col("place") - F.element_at(starts, F.col("shard") + 1)).cast("long")).select(*rows.columns, "shard", "slot")
+
+
+def whole_groups(start: dict[int, int], first: list, dealt: DataFrame, placed: Callable[[DataFrame], DataFrame], most: float) -> dict[int, int]:
+    """First places of shards, moved to the nearer end of the group of equal texts that they fall into, if it weighs at most ``most``.
+
+    ``first`` are the first records of shards, so there is a group to look at for each shard at most.
+    """
+    hashes = F.col("h").isin(sorted({r["h"] for r in first}))
+    ranges = dealt.filter(hashes).select("range", "sub").distinct()
+    groups = placed(dealt.join(ranges, ["range", "sub"], "left_semi")).filter(hashes).groupBy(*GROUP).agg(F.min("place").alias("a"), F.max("place").alias("b"), F.sum("weight").alias("w"), F.count("*").alias("n"))
+    found = {tuple(r[c] for c in GROUP): r for r in groups.collect()}
+    out = dict(start)
+    for r in first:
+        g = found[tuple(r[c] for c in GROUP)]
+        # equal texts stand together, unless another text has the same hash
+        if g["a"] < r["place"] and g["w"] <= most and g["b"] - g["a"] + 1 == g["n"]:
+            out[r["shard"]] = g["a"] if r["place"] - g["a"] <= g["b"] + 1 - r["place"] else g["b"] + 1
+    return out
 
 
 def subdivided(dealt: DataFrame) -> DataFrame:
@@ -176,12 +205,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "bytes") -
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, law: str = "bytes") -> None:
     """Write all columns of ``docs`` with ``shard`` and ``slot`` to one folder a shard, each in many files."""
-    clash = [c for c in docs.columns if c in ("shard", "slot")]
+    clash = [c for c in docs.columns if c.lower() in ("shard", "slot")]
     if clash:
         raise ValueError(f"columns {clash} are taken by the shards")
-    kept = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    found = assign(cut(keyed(kept, F.col("__row")), "keys"), shards, law)
-    kept.join(found.select(F.col("row").alias("__row"), "shard", "slot"), "__row").drop("__row").write.partitionBy("shard").parquet(path)
+    number = "__row"
+    while number in {c.lower() for c in docs.columns}:
+        number += "_"
+    kept = cut(docs.withColumn(number, F.monotonically_increasing_id()), "documents")
+    found = assign(cut(keyed(kept, F.col(number)), "keys"), shards, law)
+    kept.join(found.select(F.col("row").alias(number), "shard", "slot"), number).drop(number).write.partitionBy("shard").parquet(path)
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:

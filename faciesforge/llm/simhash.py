@@ -407,10 +407,12 @@ def similar(rows: DataFrame, shingle: int = WORDS) -> DataFrame:
 def deduplicate(docs: DataFrame, shingle: int = WORDS) -> DataFrame:
     """One row of ``docs`` for each component of similar texts: that of the smallest id, null ids last, and of repeated ids the first.
 
-    Rows are told apart by a number that is written with them, so neither null nor repeated ids matter.
+    Rows are told apart by a number that is written with them, so neither null nor repeated ids matter. All columns are kept,
+    one of the number's name too.
     """
-    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    return survivors(rows, similar(rows, shingle))
+    taken = {c: f"{c}_of_docs{i}" for i, c in enumerate(docs.columns) if c.lower() == ROW}
+    rows = cut(docs.withColumnsRenamed(taken).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    return survivors(rows, similar(rows, shingle)).withColumnsRenamed({v: k for k, v in taken.items()})
 
 
 def survivors(rows: DataFrame, found: DataFrame) -> DataFrame:

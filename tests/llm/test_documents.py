@@ -582,6 +582,38 @@ def test_sharding_query_against_brute_force(spark):
     assert got == want and all(got[i][0] == len(t) + 1 and (got[i][1] is None or got[i][1] == zlib.crc32(t)) for i, t in texts.items())
 
 
+def test_equal_texts_stay_in_a_shard(spark):
+    rows = sharding.op5_sharding(spark, "/root/testdata/sf0.1").collect()
+    shards, weight, share = {}, Counter(), sum(r["size"] for r in rows) / 16
+    for r in rows:
+        shards.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+        weight[r["text_crc32"], r["size"]] += r["size"]
+    assert all(len(at) == 1 or weight[g] > share / 100 for g, at in shards.items())
+    sizes = Counter()
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 0.03 * share
+
+
+def test_columns_of_the_names_in_use_are_kept(spark, awkward):
+    docs = awkward.withColumn("__ROW", F.lit("mine"))
+    out = simhash.deduplicate(docs)
+    assert out.columns == docs.columns and {r["__ROW"] for r in out.collect()} == {"mine"}
+    path = scratch_path(spark, "shards")
+    sharding.write_shards(docs.drop("shard"), path, 2)
+    assert {r["__ROW"] for r in spark.read.parquet(path).collect()} == {"mine"}
+    items = spark.createDataFrame([(5, "a", "b", "c"), (9, "a", "b", "c")], "length int, Sequence_ID string, OFFSET string, __Part string")
+    packed = packing.pack(items, 10)
+    assert sorted(packed.columns) == ["__Part", "length", "offset", "sequence_id"] and {r["__Part"] for r in packed.collect()} == {"c"}
+
+
+@pytest.mark.parametrize("length", [None, 0, -3, 11, 2**40])
+def test_rows_without_a_length_are_refused(spark, length):
+    items = spark.createDataFrame([(5,), (length,), (9,)], "length long")
+    with pytest.raises(ValueError, match="lengths have to be from 1 to 10"):
+        packing.pack(items, 10)
+
+
 def test_written_shards_hold_every_row(spark, awkward):
     path = scratch_path(spark, "shards")
     sharding.write_shards(awkward.drop("shard"), path, 3)
