@@ -14,11 +14,13 @@ set is cut at the same boundaries into segments. Two steps use the fragments:
   themselves; a partial overlap is a row, and the sum over the fragments decides exactly.
 
 Equal sets are one node. The least node of a bucket is its pivot: each node meets the least of
-its pivots first, then those pivots that it is not together with yet. Only buckets whose
-members are in several components even then are looked through: small ones pair by pair, large
-ones in tasks for two bounded parts each, which hold sizes and parities, no sets, and give the
-pairs of different components that can still link. So a group of near copies costs its size,
-mostly, and no group has to fit a task. Components are stars over written tables.
+its pivots first, then, of those pivots that it is not together with yet, the most similar one.
+In large buckets whose members are in several components even then each node meets the most
+similar one of another component, round after round. What is still apart is looked through
+pair by pair, large buckets in tasks for two bounded parts each, which hold sizes and parities
+but no sets and give the pairs of different components that can still link. So a group of near
+copies costs its size, mostly, and no group has to fit a task. Components are stars over
+written tables.
 
 Defined results: null texts and those without words have the empty set and are linked with
 nothing, not even each other; texts with fewer words than an n-gram have one, the whole
@@ -50,6 +52,8 @@ FRAGMENT_BITS = 3
 CUTS = 3
 #: Members up to which a bucket is looked through pair by pair, and of a part of a larger one.
 SMALL_BUCKET, PART_SETS = 24, 1000
+#: How often large buckets are looked through for the nearest of each node before they are for all pairs.
+ROUNDS = 3
 #: So many candidates or pairs of them (a few numbers each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 SEED = 42
@@ -147,9 +151,9 @@ def keys(h: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def parities(h: np.ndarray) -> np.ndarray:
-    """Bits that tell for so many buckets of n-grams as there may be n-grams (a power of two, 64 at least) whether a set has an odd
-    number in each: two sets differ in at least as many n-grams as bits."""
-    buckets = max(64, 1 << (len(h) - 1).bit_length())
+    """Bits that tell for two to four times as many buckets of n-grams as there are n-grams (a power of two, 64 at least) whether a set
+    has an odd number in each: two sets differ in at least as many n-grams as bits."""
+    buckets = max(64, 2 << (len(h) - 1).bit_length())
     odd = np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) % 2
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -205,13 +209,17 @@ def sent(few: DataFrame) -> DataFrame:
     return F.broadcast(few) if few.count() <= BROADCAST_NODES else few
 
 
-def may_link(percent: int) -> Column:
-    """Whether pairs with ``n``, ``other``, ``bits`` and ``bits_other`` can link, by their sizes and by how many n-grams they surely differ in."""
+def differing() -> Column:
+    """In how many n-grams the sets of ``bits`` and ``bits_other`` surely differ; null where one has more than twice the buckets."""
     folded = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
     differ = F.aggregate(F.zip_with(folded("bits", "bits_other"), folded("bits_other", "bits"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, x: a + x)
+    return F.when(F.greatest(F.size("bits"), F.size("bits_other")) <= 2 * F.least(F.size("bits"), F.size("bits_other")), differ)
+
+
+def may_link(percent: int) -> Column:
+    """Whether pairs with ``n``, ``other`` and ``differ`` can link. Sizes that link differ by less than half."""
     sizes = F.least("n", "other") * 100 >= F.greatest("n", "other") * percent
-    near = F.greatest(F.size("bits"), F.size("bits_other")) <= 2 * F.least(F.size("bits"), F.size("bits_other"))  # sizes of half and less
-    return sizes & (~near | (differ * (100 + percent) <= (F.col("n") + F.col("other")) * (100 - percent)))
+    return sizes & (F.col("differ") * (100 + percent) <= (F.col("n") + F.col("other")) * (100 - percent))
 
 
 def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,26 +233,41 @@ def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return summed.filter(F.col("common") * (100 + percent) >= (F.col("n") + F.col("other")) * percent).select("a", "b")
 
 
-def may_link_here(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs among ``rows(node, n, root, bits)`` of different components that can link (``may_link``), a row of the matrix at a time."""
+def may_link_here(rows: pa.Table, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs among ``rows(node, n, root, bits)`` of different components that can link (``may_link``): all, or for each node the one
+    that differs least."""
     node, first = np.unique(rows.column("node").to_numpy(), return_index=True)
     n, root = rows.column("n").to_numpy()[first], rows.column("root").to_numpy()[first]
     bits = rows.column("bits").combine_chunks().take(pa.array(first))
     wide = bits.value_lengths().to_numpy()
     by_width = {w: np.flatnonzero(wide == w) for w in np.unique(wide).tolist()}
     words = {w: bits.take(pa.array(at)).flatten().to_numpy().view(np.uint64).reshape(-1, w) for w, at in by_width.items()}
+    least, best = np.full(len(node), np.iinfo(np.int64).max), np.full(len(node), -1)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for w, at in by_width.items():
         for other in (w, 2 * w):  # sizes that link differ by less than half
             there = by_width.get(other)
             if there is None:
                 continue
             theirs = words[other] if other == w else words[other][:, :w] ^ words[other][:, w:]
-            for i, mine in zip(at, words[w], strict=True):
+            for i, mine in zip(at.tolist(), words[w], strict=True):
                 differ = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
                 near = (differ * (100 + percent) <= (n[i] + n[there]) * (100 - percent)) & (np.minimum(n[i], n[there]) * 100 >= np.maximum(n[i], n[there]) * percent)
-                found = there[near & (root[there] != root[i]) & ((there > i) | (other != w))]
-                if len(found):
-                    yield np.full(len(found), node[i]), node[found]
+                good = near & (root[there] != root[i]) & ((there > i) | (other != w))
+                found, differ = there[good], differ[good]
+                if not nearest:
+                    a.append(np.full(len(found), node[i]))
+                    b.append(node[found])
+                elif len(found):
+                    k = int(differ.argmin())
+                    if differ[k] < least[i]:
+                        least[i], best[i] = differ[k], found[k]
+                    closer = differ < least[found]
+                    least[found[closer]], best[found[closer]] = differ[closer], i
+    if nearest:
+        has = np.flatnonzero(best >= 0)
+        return node[has], node[best[has]]
+    return np.concatenate(a), np.concatenate(b)
 
 
 def linked(docs: DataFrame, marked: DataFrame, gram: int, percent: int) -> DataFrame:
@@ -258,10 +281,14 @@ def linked(docs: DataFrame, marked: DataFrame, gram: int, percent: int) -> DataF
     sets = cut_sets(docs, some, gram)
     size = cut(nodes.join(some.select("node"), "node", "left_semi").select("node", "n", "bits"), "sizes", few_files=True)
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        """Links of ``pairs(a, b)``."""
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(a, b)`` that can link."""
         sized = pairs.join(size.toDF("a", "n", "bits"), "a").join(size.toDF("b", "other", "bits_other"), "b")
-        return cut(overlapping(cut(sized.filter(may_link(percent)).select("a", "b", "n", "other"), "pairs", few_files=True), sets, percent), "links", few_files=True)
+        return sized.withColumn("differ", differing()).filter(may_link(percent)).select("a", "b", "n", "other", "differ")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """Links of pairs that can link."""
+        return cut(overlapping(cut(pairs.select("a", "b", "n", "other"), "pairs", few_files=True), sets, percent), "links", few_files=True)
 
     def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The candidates with the root of their component, and the keys of buckets that hold several."""
@@ -270,32 +297,52 @@ def linked(docs: DataFrame, marked: DataFrame, gram: int, percent: int) -> DataF
         keys = out.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("node")).alias("who"))
         return out, keys.filter("low <> high")
 
-    links = links_of(met.groupBy("node").agg(F.min("pivot").alias("pivot")).filter("node <> pivot").toDF("a", "b"))
+    # each node with the least of its pivots
+    links = links_of(possible(met.groupBy("node").agg(F.min("pivot").alias("pivot")).filter("node <> pivot").toDF("a", "b")))
+
+    # in buckets of several components: each node with the pivot that differs least, of those that it is not together with
     told, several = labelled(links)
     apart = told.join(several.select("key"), "key", "left_semi")
     of_pivot = apart.filter("node = pivot").select("key", F.col("root").alias("other"))
-    links = links.union(links_of(apart.join(of_pivot, "key").filter("root <> other").select("node", "pivot").distinct().toDF("a", "b")))
+    pairs = possible(apart.join(of_pivot, "key").filter("root <> other").select("node", "pivot").distinct().toDF("a", "b"))
+    links = links.union(links_of(pairs.groupBy("a").agg(F.min_by(F.struct("b", "n", "other"), F.struct("differ", "b")).alias("p")).select("a", "p.*")))
+
+    def within_large(left: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of different components in the buckets of ``left`` that are too large to be joined with themselves."""
+        large = left.filter(F.col("members") > SMALL_BUCKET)
+        parts = large.groupBy("key").agg(F.ceil(F.count("*") / PART_SETS).cast("int").alias("parts"))
+        dealt = large.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "root", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+        def every_two(rows: pa.Table) -> pa.Table:
+            a, b = may_link_here(rows, percent, nearest)
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        found = dealt.join(size, "node").select("key", "i", "j", "node", "n", "root", "bits").groupBy("key", "i", "j").applyInArrow(every_two, "a long, b long")
+        return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    def mixed_buckets() -> DataFrame:
+        """The members of buckets that hold several components, written; buckets of the same sets are one."""
+        told, several = labelled(links)
+        several = several.groupBy("who", "members").agg(F.min("key").alias("key"))
+        return cut(told.join(several.select("key", "members"), "key").select("key", "node", "root", "members"), "mixed")
+
+    # in large buckets each node with the one that differs least, as long as that brings components together
+    for _ in range(ROUNDS):
+        left = mixed_buckets()
+        if left.filter(F.col("members") > SMALL_BUCKET).isEmpty():
+            break
+        more = links_of(possible(within_large(left, True)))
+        links = links.union(more)
+        if more.isEmpty():
+            break
 
-    told, several = labelled(links)
-    several = several.filter("members > 2").groupBy("who", "members").agg(F.min("key").alias("key"))  # buckets of the same sets are one; those of two are done
-    left = cut(told.join(several.select("key", "members"), "key").select("key", "node", "root", "members").join(size.select("node", "n"), "node"), "left")
+    # what is left, pair by pair
+    left = mixed_buckets()
     small = left.filter(F.col("members") <= SMALL_BUCKET)
     two = small.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = small.select("key", F.col("node").alias("a"), "root").join(two, "key").filter("a > b and root <> root_b").select("a", "b").distinct()
-    links = links.union(links_of(pairs))
-
-    large = left.filter(F.col("members") > SMALL_BUCKET)
-    parts = large.groupBy("key").agg(F.ceil(F.count("*") / PART_SETS).cast("int").alias("parts"))
-    dealt = large.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "root", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-
-    def every_two(rows: pa.Table) -> pa.Table:
-        found = [*may_link_here(rows, percent)] or [(np.empty(0, np.int64),) * 2]
-        return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip("ab", zip(*found, strict=True), strict=True)})
-
-    possible = dealt.join(size, "node").select("key", "i", "j", "node", "n", "root", "bits").groupBy("key", "i", "j").applyInArrow(every_two, "a long, b long")
-    possible = possible.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return links.union(links_of(possible))
+    pairs = small.select("key", F.col("node").alias("a"), "root").join(two, "key").filter("a > b and root <> root_b").select("a", "b")
+    return links.union(links_of(possible(pairs.union(within_large(left, False)).distinct())))
 
 
 def jaccard_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:

@@ -271,10 +271,13 @@ def test_pairs_of_a_part_that_can_link():
     sets = [np.unique(s) for s in [*sets, sets[0], np.r_[sets[0], rnd.integers(0, 2**64, 5, np.uint64)]]]
     root = [0, 1, 2, 3, 4, 1, 6, 7, 8, 9]  # 1 and 5 are together
     rows = pa.table({"node": pa.array(range(10), pa.int64()), "n": pa.array([len(s) for s in sets]), "root": pa.array(root, pa.int64()), "bits": pa.array([ngramjoin.parities(s).tolist() for s in sets], pa.list_(pa.int64()))})
-    got = {tuple(sorted(p)) for a, b in ngramjoin.may_link_here(rows, 85) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    of = lambda nearest: [tuple(x.tolist()) for x in np.stack(ngramjoin.may_link_here(rows, 85, nearest), axis=1)]
+    got = {tuple(sorted(p)) for p in of(False)}
     jaccard = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
     want = {(i, j) for i in range(10) for j in range(i + 1, 10) if root[i] != root[j] and jaccard(sets[i], sets[j])}
     assert want <= got and len(got) <= len(want) + 2 and {(0, 9), (2, 6), (3, 7)} <= want and (1, 5) not in got
+    best = dict(of(True))
+    assert len(best) == len(of(True)) == len({i for p in got for i in p}) and best[0] == 8 and best[8] == 0 and best[2] == 6
 
 
 def test_join_query_on_documents(spark):
