@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import headers as H
 from ..functions import scoring
-from ..operators import chronostrat, curves, framework, graph, grid, kernels, series, spatial, typewells, windowed
+from ..operators import chronostrat, curves, framework, graph, grid, kernels, series, spatial, stitching, typewells, windowed
 from ..scratch import cut
 from . import views
 from .queries import CELL_KM, LAT0, RADIUS_KM, _edges, r6, rounded, samples
@@ -244,3 +244,19 @@ def placements(spark, d):
     part = F.when(F.col("well_id") % 3 == 0, F.slice("p", F.floor(n / 4).cast("int") + 1, F.floor(n / 2).cast("int"))).otherwise(F.col("p"))
     reps = own.select("well_id", part.alias("p")).join(cells.select("well_id", "cell_id"), "well_id")
     return rounded(typewells.placed(reps.select(F.col("well_id").alias("rep_id"), "cell_id", F.transform("p", lambda q: q["depth"]).alias("depths"), F.transform("p", lambda q: q["value"]).alias("values")), types, lengths=(24, 128)))
+
+
+def block_ties(spark: SparkSession, d: str) -> DataFrame:
+    """Each order line's quantity in its supplier's and in its customer's block."""
+    li, orders = views.table(spark, d, "lineitem"), views.table(spark, d, "orders")
+    met = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    value = F.col("l_quantity").cast("double")
+    tied = met.select(F.col("l_suppkey").alias("p"), F.col("o_custkey").alias("q"), value.alias("x"), (value * (1 + F.col("l_discount")) + F.col("l_linenumber")).alias("y"), (1 + F.col("l_tax")).cast("double").alias("weight"))
+    return tied.filter("p <> q")
+
+
+@query
+def block_stitching(spark, d):
+    """Every well's factor and offset on the scale of the first one."""
+    found = stitching.stitched(views.wells(spark, d).select(F.col("well_id").alias("block")), block_ties(spark, d), 0)
+    return found.select("block", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
