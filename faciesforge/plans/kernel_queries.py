@@ -13,9 +13,11 @@ from ..functions import scoring
 from ..operators import chronostrat, curves, framework, graph, grid, kernels, series, spatial, stitching, typewells, windowed
 from ..scratch import cut
 from . import views
-from .queries import CELL_KM, LAT0, RADIUS_KM, _edges, r6, rounded, samples
+from .queries import CELL_KM, LAT0, PAIRS, RADIUS_KM, _edges, r6, rounded, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: DuckDB SQL of the few that SQL can say.
+SQL: dict[str, str] = {}
 
 
 def query(f):
@@ -260,3 +262,12 @@ def block_stitching(spark, d):
     """Every well's factor and offset on the scale of the first one."""
     found = stitching.stitched(views.wells(spark, d).select(F.col("well_id").alias("block")), block_ties(spark, d), 0)
     return found.select("block", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
+
+
+SQL["framework_anchors"] = f"""WITH RECURSIVE {views.WELLS}, {PAIRS}, both_ways AS MATERIALIZED (SELECT src, dst FROM pairs WHERE dist_km <= {RADIUS_KM} UNION SELECT dst, src FROM pairs WHERE dist_km <= {RADIUS_KM}),
+reach AS (SELECT src AS id, src AS root FROM both_ways UNION SELECT b.dst, r.root FROM reach r JOIN both_ways b ON b.src = r.id WHERE r.root <= b.dst), comp AS (SELECT id, min(root) AS component FROM reach GROUP BY id),
+ranked AS (SELECT component, id, row_number() OVER (PARTITION BY component ORDER BY degree DESC, id) AS place FROM comp JOIN (SELECT src AS id, count(*) AS degree FROM both_ways GROUP BY 1) USING (id))
+SELECT component, id AS anchor FROM ranked WHERE place = 1"""
+SQL["well_identity"] = f"""WITH {views.WELLS} SELECT well_id, CASE well_id % 3 WHEN 0 THEN c_name WHEN 1 THEN CAST(well_id AS VARCHAR)
+ELSE 'xy' || CAST(CAST('0x' || substr(md5(format('{{:.6f}}_{{:.6f}}', CAST(lat AS DOUBLE), CAST(lon AS DOUBLE))), 1, 8) AS BIGINT) AS VARCHAR) END AS chosen,
+regexp_replace(c_name, '[^A-Za-z0-9._-]+', '_', 'g') || '_' || substr(sha1('/las/' || c_name || '.las'), 1, 10) AS file_key FROM wells JOIN customer ON well_id = c_custkey"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faciesforge.kernels import align
 from faciesforge.operators import chronostrat, kernels
-from faciesforge.plans import scan
+from faciesforge.plans import kernel_queries, scan
 from faciesforge.plans.steps import Run, Settings, rows_mark
 from faciesforge.sources.delimited import CsvSink, read_delimited
 
@@ -199,3 +199,10 @@ def test_edges_of_all_kinds_in_a_table(spark):
         ties = align.path_sample(path, 6)
         assert np.isclose(got[i]["cost"], cost) and got[i]["ii"] == ties[:, 0].tolist() and got[i]["jj"] == ties[:, 1].tolist() and got[i]["steps"] == len(ties)
     assert pd.isna(got[92]["cps"])
+
+
+@pytest.mark.parametrize("name", sorted(kernel_queries.SQL))
+def test_kernel_queries_that_sql_can_say(spark, duck, name):
+    df, want = kernel_queries.QUERIES[name](spark, "/root/testdata/sf0.01"), duck.sql(kernel_queries.SQL[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    assert sorted(tuple(r) for r in df.select(*want.columns).collect()) == sorted(want.fetchall())
