@@ -8,6 +8,7 @@ longer than it takes. ``LasDataSource`` offers the same as a Spark data source,
 
 from __future__ import annotations
 
+import fnmatch
 import math
 import re
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -312,42 +314,66 @@ def curve_samples(files: DataFrame, wanted: tuple[str, ...] | None = None) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cols = list(zip(*samples(text or "", wanted), strict=True)) or [()] * 4
-                kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(cols[0]), pa.string()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["path", "row", "mnemonic", "depth", "value"])
+            for path, text in zip(batch.column(0), batch.column(1), strict=True):  # a text at a time
+                yield sample_batch(path.as_py(), text.as_py() or "", wanted)
 
     return files.select("path", "text").mapInArrow(run, SAMPLES)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def sample_batch(path: str, text: str, wanted: tuple[str, ...] | None) -> pa.RecordBatch:
+    """A file's long samples."""
+    cols = list(zip(*samples(text, wanted), strict=True)) or [()] * 4
+    kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(cols[0]), pa.string()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["path", "row", "mnemonic", "depth", "value"])
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
+    """Files are listed with their sizes and gathered to partitions of about so many bytes, so that many small files are few tasks
+    and a large one is a task of its own."""
+
     def __init__(self, options: dict):
         self.options = options
 
-    def partitions(self) -> list[InputPartition]:
-        import glob
-        import os
-
-        path = self.options["path"].removeprefix("file://")
-        found = sorted(glob.glob(os.path.join(path, "*.las")) + glob.glob(os.path.join(path, "*.LAS"))) if os.path.isdir(path) else sorted(glob.glob(path))
-        return [_File(p) for p in found]
+    def _store(self) -> tuple[fs.FileSystem, str]:
+        path = self.options["path"]
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def partitions(self) -> list[InputPartition]:
+        store, path = self._store()
+        folder, _, pattern = path.rpartition("/")
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            folder, pattern = path, "*.las"
+        found = store.get_file_info(fs.FileSelector(folder or ".", allow_not_found=True))
+        match = lambda name: fnmatch.fnmatchcase(name, pattern) or (pattern == "*.las" and name.lower().endswith(".las"))
+        files = sorted((f.path, f.size or 0) for f in found if f.is_file and match(f.base_name))
+        most, out, held = int(self.options.get("partitionBytes", 32 << 20)), [], 0
+        for file, size in files:
+            if not out or held + size > most:
+                out.append(_Files([]))
+                held = 0
+            out[-1].paths.append(file)
+            held += size + 4096  # opening a file costs something too
+        return out
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         wanted = tuple(w for w in self.options.get("curves", "").split(",") if w) or None
-        with open(partition.path, encoding="utf-8", errors="replace") as f:
-            for row in samples(f.read(), wanted):
-                yield (partition.path, *row)
+        store, _ = self._store()
+        for path in getattr(partition, "paths", None) or ():
+            with store.open_input_stream(path) as f:
+                yield sample_batch(path, f.read().decode(errors="replace"), wanted)
 
 
 class LasDataSource(DataSource):
     """``spark.dataSource.register(LasDataSource)``, then ``spark.read.format("las").option("curves", "GR").load(path)``.
 
-    For paths that workers can open; ``read_text`` with ``curve_samples`` reads any store that Spark reads.
+    ``path`` is a folder, a file or a pattern of names in a folder, local or in a store that PyArrow opens by its URI; ``curves``
+    are the families that are read, as a file's other columns are never turned into rows; ``partitionBytes`` sizes the tasks.
+    ``read_text`` with ``curve_samples`` reads any store that Spark reads.
     """
 
     @classmethod

@@ -11,6 +11,7 @@ from faciesforge.kernels import align
 from faciesforge.operators import chronostrat, kernels
 from faciesforge.plans import kernel_queries, scan
 from faciesforge.plans.steps import Run, Settings, rows_mark
+from faciesforge.sources import las
 from faciesforge.sources.delimited import CsvSink, read_delimited
 
 HEAD = "~V\nWRAP. {wrap} :\n~W\nNULL. -999.25 :\n~C\n{curves}\n~A\n"
@@ -125,6 +126,17 @@ def test_stream_into_the_sink_starts_again(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.csv(path, header=True).collect()) == ["x", "y", "z"]
 
 
+def test_small_files_share_a_task(spark, folder):
+    spark.dataSource.register(las.LasDataSource)
+    source = lambda path, **options: spark.read.format("las").options(**options).load(f"{folder}/{path}")
+    every = source("las", curves="GR")
+    assert every.rdd.getNumPartitions() == 1 and source("las", partitionBytes=9_000).rdd.getNumPartitions() > 1
+    got = sorted((r["path"].rsplit("/", 1)[-1], r["row"], r["depth"], r["value"]) for r in every.collect())
+    want = sorted((r["path"].rsplit("/", 1)[-1], r["row"], r["depth"], r["value"]) for r in las.curve_samples(las.read_text(spark, f"{folder}/las"), ("GR",)).collect())
+    assert repr(got) == repr(want) and len(got) == 30 + 2 + 3 + 5
+    assert source("las/s*.las").select("path").distinct().count() == 1 == source("las/nogr.las").select("path").distinct().count() and source("none").count() == 0
+
+
 # ---- relative time -----------------------------------------------------------------------------------
 
 
