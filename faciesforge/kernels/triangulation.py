@@ -80,7 +80,8 @@ def triangulate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     def reach(t: np.ndarray) -> np.ndarray:
         """East of this a circle surely has no point."""
         centre, r, thin = circles(p, t)
-        return np.where(thin, np.inf, centre[:, 0] + r * (1 + 1e-6) + 1e-9 * span)
+        with np.errstate(invalid="ignore"):
+            return np.where(thin, np.inf, centre[:, 0] + r * (1 + 1e-6) + 1e-9 * span)
 
     done, east = [], reach(tri)
     corner = p[tri].reshape(-1, 6)
@@ -89,7 +90,7 @@ def triangulate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if past.any():
             done.append(tri[past])
             tri, corner, east = tri[~past], corner[~past], east[~past]
-        ax, ay, bx, by, cx, cy = (corner - np.tile(p[q], 3)).T
+        ax, ay, bx, by, cx, cy = (corner - p[[q, q, q]].ravel()).T
         la, lb, lc = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
         det = la * (bx * cy - cx * by) + lb * (cx * ay - ax * cy) + lc * (ax * by - bx * ay)
         bad = det > 0
@@ -100,14 +101,15 @@ def triangulate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         seen = one - two > 0
         for i in np.flatnonzero(np.abs(one - two) <= ORIENT_ERROR * (np.abs(one) + np.abs(two))):
             seen[i] = points.orient(hull[i, 1], hull[i, 0], q) > 0
-        hit = tri[bad]
-        sides = np.concatenate([hit[:, [0, 1]], hit[:, [1, 2]], hit[:, [2, 0]], hull[seen][:, ::-1]])
-        rim = sides[~np.isin(sides[:, 0] * n + sides[:, 1], sides[:, 1] * n + sides[:, 0])]
+        ends = hull[seen].tolist()
+        # few sides, so plain sets are faster than arrays; those whose other side goes too are inside the hole
+        sides = {(v, u) for u, v in ends}
+        for i, j, k in tri[bad].tolist():
+            sides |= {(i, j), (j, k), (k, i)}
+        new = np.array([(u, v, q) for u, v in sides if (v, u) not in sides])
         # what is seen of the hull is one stretch, whose two ends get an edge to the new point
-        ends = hull[seen]
-        first, last = np.setdiff1d(ends[:, 0], ends[:, 1]), np.setdiff1d(ends[:, 1], ends[:, 0])
-        new = np.column_stack([rim, np.full(len(rim), q)])
-        hull = np.concatenate([hull[~seen], [[first[0], q], [q, last[0]]]])
+        starts, stops = {u for u, _ in ends}, {v for _, v in ends}
+        hull = np.concatenate([hull[~seen], [[(starts - stops).pop(), q], [q, (stops - starts).pop()]]])
         tri, corner, east = np.concatenate([tri[~bad], new]), np.concatenate([corner[~bad], p[new].reshape(-1, 6)]), np.concatenate([east[~bad], reach(new)])
     return np.concatenate([*done, tri]), hull
 

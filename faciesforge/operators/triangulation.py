@@ -23,7 +23,7 @@ from ..kernels import triangulation
 from ..scratch import cut
 
 #: Points of a tile, and how many tiles at most; beyond that tiles grow. Their boxes, four numbers each, are sent to all tasks.
-TILE_POINTS, MAX_TILES = 2_000, 65_536
+TILE_POINTS, MAX_TILES = 500, 65_536
 #: A halo's width in mean distances between points; boxes that a tile asks for the first time.
 HALO, ASKED = 4.0, 8
 
