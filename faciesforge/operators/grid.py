@@ -116,7 +116,10 @@ def tile_adjacency(members: DataFrame) -> DataFrame:
 
 
 def merge_small_bins(bins: list[tuple[str, int, float, float]], least: int) -> dict[str, str]:
-    """Bin -> bin after merging: the smallest bin joins the nearest centroid until all hold ``least``. Works on the few bins, on the driver."""
+    """Bin -> bin after merging: the smallest bin joins the nearest centroid until all hold ``least``.
+
+    The rule as it is said, for a few bins at hand; ``merging.merged`` gives the same for tables.
+    """
     import math
 
     live = {b: (n, lat, lon) for b, n, lat, lon in bins}
@@ -139,7 +142,10 @@ def merge_small_bins(bins: list[tuple[str, int, float, float]], least: int) -> d
 
 
 def quotas(caps: dict[str, int], total: int, mode: str = "equal", least: int = 1) -> dict[str, int]:
-    """How many to take from each cell: equal or proportional shares, never above a cell's size, summing to ``total`` where that is possible."""
+    """How many to take from each cell: equal or proportional shares, never above a cell's size, summing to ``total`` where that is possible.
+
+    The rule as it is said, for a few cells at hand; ``merging.quotas`` gives the same for tables.
+    """
     n, cells = sum(caps.values()), sorted(caps)
     share = lambda c: -(-total // len(cells)) if mode == "equal" else max(least, round(total * caps[c] / n))
     take = {c: min(caps[c], share(c)) for c in cells}

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import headers as H
 from ..functions import scoring
-from ..operators import chronostrat, curves, framework, graph, grid, kernels, series, spatial, stitching, typewells, windowed
+from ..operators import chronostrat, curves, framework, graph, grid, kernels, merging, series, spatial, stitching, typewells, windowed
 from ..scratch import cut
 from . import views
-from .queries import CELL_KM, LAT0, PAIRS, RADIUS_KM, _edges, r6, rounded, samples
+from .queries import CELL_KM, CELLS, LAT0, PAIRS, RADIUS_KM, SUITES, XY, _edges, r6, rounded, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the few that SQL can say.
@@ -95,17 +95,15 @@ def fence_paths(spark, d):
 
 @query
 def small_bin_merge(spark, d):
-    """Cells are few (the grid bounds them), so the sequential merge runs on their table of counts."""
     bins = grid.bins_meta(grid.assign(views.wells(spark, d), CELL_KM, LAT0))
-    rows = [(r["cell_id"], r["n_wells"], r["centroid_lat"], r["centroid_lon"]) for r in bins.orderBy("cell_id").collect()]
-    return spark.createDataFrame(sorted(grid.merge_small_bins(rows, 10).items()), "cell_id string, bin_id string")
+    bins = bins.select(F.col("cell_id").alias("id"), F.col("n_wells").alias("n"), F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon"))
+    return merging.merged(bins, 10, 3 * CELL_KM).withColumnRenamed("id", "cell_id")
 
 
 @query
 def representative_quotas(spark, d):
-    cells = grid.assign(views.wells(spark, d), CELL_KM, LAT0).groupBy("cell_id").count()
-    caps = {r[0]: r[1] for r in cells.collect()}
-    return spark.createDataFrame(sorted(grid.quotas(caps, sum(caps.values()) // 3).items()), "cell_id string, quota int")
+    cells = grid.assign(views.wells(spark, d), CELL_KM, LAT0).groupBy("cell_id").agg(F.count("*").alias("n"))
+    return merging.quotas(cells, views.wells(spark, d).count() // 3)
 
 
 @query
@@ -116,7 +114,7 @@ def top_representatives(spark, d):
     suites = curves.canonical(views.headers(spark, d)).groupBy((F.col("file") % 211).alias("suite")).agg(F.collect_set("mnemonic_n").alias("c"))
     scored = wells.withColumn("suite", F.col("well_id") % 211).join(suites.select("suite", scoring.log_suite_score(F.col("c")).alias("score")), "suite")
     rank = F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("score"), "well_id"))
-    return scored.withColumn("rank", rank).join(F.broadcast(quota), "cell_id").filter("rank <= quota").select("cell_id", "well_id", r6("score").alias("score"), "rank")
+    return scored.withColumn("rank", rank).join(quota, "cell_id").filter("rank <= quota").select("cell_id", "well_id", r6("score").alias("score"), "rank")
 
 
 @query
@@ -271,3 +269,13 @@ SELECT component, id AS anchor FROM ranked WHERE place = 1"""
 SQL["well_identity"] = f"""WITH {views.WELLS} SELECT well_id, CASE well_id % 3 WHEN 0 THEN c_name WHEN 1 THEN CAST(well_id AS VARCHAR)
 ELSE 'xy' || CAST(CAST('0x' || substr(md5(format('{{:.6f}}_{{:.6f}}', CAST(lat AS DOUBLE), CAST(lon AS DOUBLE))), 1, 8) AS BIGINT) AS VARCHAR) END AS chosen,
 regexp_replace(c_name, '[^A-Za-z0-9._-]+', '_', 'g') || '_' || substr(sha1('/las/' || c_name || '.las'), 1, 10) AS file_key FROM wells JOIN customer ON well_id = c_custkey"""
+# full turns are counted one by one here
+QUOTAS = f"""{views.WELLS}, {XY}, {CELLS}, caps AS (SELECT cell_id, count(*) AS n FROM cells GROUP BY 1),
+shares AS (SELECT cell_id, n, least(n, CAST(ceil(total / k) AS BIGINT)) AS take, total FROM caps, (SELECT CAST(floor(sum(n) / 3) AS BIGINT) AS total, count(*) AS k FROM caps)),
+gaps AS (SELECT max(total) - sum(take) AS gap FROM shares), rooms AS (SELECT cell_id, take, gap, CASE WHEN gap > 0 THEN n - take ELSE take END AS room FROM shares, gaps),
+turns AS (SELECT turn, sum(least(room, turn)) AS filled, max(abs(gap)) AS gap FROM rooms, (SELECT unnest(range(max(room) + 1)) AS turn FROM rooms) GROUP BY 1),
+full_turns AS (SELECT max(turn) AS turn, max(filled) AS filled FROM turns WHERE filled <= gap),
+quotas AS (SELECT cell_id, CAST(take + CASE WHEN gap > 0 THEN 1 ELSE -1 END * (least(room, turn) + CASE WHEN row_number() OVER (ORDER BY room DESC, cell_id) <= abs(gap) - filled THEN 1 ELSE 0 END) AS INTEGER) AS quota FROM rooms, full_turns)"""
+SQL["representative_quotas"] = f"WITH {QUOTAS} SELECT cell_id, quota FROM quotas"
+SQL["top_representatives"] = f"""WITH {QUOTAS}, {SUITES}, ranked AS (SELECT cell_id, c.well_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY score DESC, c.well_id) AS INTEGER) AS rank
+FROM cells c JOIN suites ON suites.suite = c.well_id % 211) SELECT cell_id, well_id, score, rank FROM ranked JOIN quotas USING (cell_id) WHERE rank <= quota"""

@@ -265,10 +265,13 @@ def quarantine_report(spark, d):
     return curves.quarantine(curves.canonical(views.headers(spark, d)))
 
 
-@query(f"""WITH {CANON}, g AS (SELECT file % 211 AS well_id, list(DISTINCT mnemonic_n) AS c FROM canon GROUP BY 1),
-s AS (SELECT well_id, c, list_contains(c, 'RHOB') AS den, list_has_any(c, ['NPHI', 'NPOR', 'CNPOR']) AS neu FROM g)
-SELECT well_id, round(CASE WHEN NOT list_contains(c, 'GR') THEN -1e9 ELSE 10.0 + CASE WHEN list_has_any(c, ['DPHI', 'DPOR', 'SPOR']) THEN 4 ELSE 0 END + CASE WHEN den THEN 2 ELSE 0 END + CASE WHEN neu THEN 2 ELSE 0 END
-+ CASE WHEN list_contains(c, 'PE') THEN 3 ELSE 0 END + CASE WHEN list_has_any(c, ['DT', 'DTC']) THEN 1 ELSE 0 END + CASE WHEN den AND neu THEN 2 ELSE 0 END + 0.01 * len(c) END, 6) AS score FROM s""")
+SUITES = f"""{CANON}, of_suite AS (SELECT file % 211 AS suite, list(DISTINCT mnemonic_n) AS c FROM canon GROUP BY 1),
+kinds AS (SELECT suite, c, list_contains(c, 'RHOB') AS den, list_has_any(c, ['NPHI', 'NPOR', 'CNPOR']) AS neu FROM of_suite),
+suites AS (SELECT suite, CASE WHEN NOT list_contains(c, 'GR') THEN -1e9 ELSE 10.0 + CASE WHEN list_has_any(c, ['DPHI', 'DPOR', 'SPOR']) THEN 4 ELSE 0 END + CASE WHEN den THEN 2 ELSE 0 END + CASE WHEN neu THEN 2 ELSE 0 END
++ CASE WHEN list_contains(c, 'PE') THEN 3 ELSE 0 END + CASE WHEN list_has_any(c, ['DT', 'DTC']) THEN 1 ELSE 0 END + CASE WHEN den AND neu THEN 2 ELSE 0 END + 0.01 * len(c) END AS score FROM kinds)"""
+
+
+@query(f"WITH {SUITES} SELECT suite AS well_id, round(score, 6) AS score FROM suites")
 def log_suite_score(spark, d):
     suites = curves.canonical(views.headers(spark, d)).groupBy((F.col("file") % 211).alias("well_id")).agg(F.collect_set("mnemonic_n").alias("c"))
     return suites.select("well_id", r6(scoring.log_suite_score(F.col("c"))).alias("score"))

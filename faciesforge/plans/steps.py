@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import chronostrat, curves, framework, graph, grid, kernels, series, spatial, typewells, windowed
+from ..operators import chronostrat, curves, framework, graph, grid, kernels, merging, series, spatial, typewells, windowed
 from ..operators.order import numbered
 from ..scratch import cut
 from ..sources.state import meta_table
@@ -94,9 +94,9 @@ def bins(kept: DataFrame, s: Settings) -> dict[str, DataFrame]:
     """Cells of the kept wells, their meta rows, and the bin that each cell belongs to after small ones merged."""
     cells = grid.assign(kept.select("well_id", "lat", "lon"), s.cell_km, s.lat0)
     meta = grid.bins_meta(cells)
-    few = [(r["cell_id"], r["n_wells"], r["centroid_lat"], r["centroid_lon"]) for r in meta.orderBy("cell_id").collect()]  # the grid's cells
-    into = meta.sparkSession.createDataFrame(sorted(grid.merge_small_bins(few, s.min_bin).items()) if few else [], "cell_id string, bin_id string")
-    return {"cells": cells.join(F.broadcast(into), "cell_id"), "meta": meta}
+    counts = meta.select(F.col("cell_id").alias("id"), F.col("n_wells").alias("n"), F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon"))
+    into = merging.merged(counts, s.min_bin, 3 * s.cell_km).withColumnRenamed("id", "cell_id")
+    return {"cells": cells.join(into, "cell_id"), "meta": meta}
 
 
 def candidates(kept: DataFrame, s: Settings) -> dict[str, DataFrame]:
@@ -124,8 +124,7 @@ def pairs(kept: DataFrame, edges: DataFrame, stored: DataFrame, s: Settings) ->
 def representatives(cells: DataFrame, s: Settings, scores: DataFrame | None = None) -> dict[str, DataFrame]:
     """Wells that stand for their cells: of the candidates (farthest points, then others in a seeded order, twice as many at most) the
     cell's quota of the best ``scores(well_id, score)``, without scores in the candidates' order; numbered through."""
-    caps = {r[0]: r[1] for r in cells.groupBy("cell_id").count().collect()}  # the grid's cells
-    quota = cells.sparkSession.createDataFrame(sorted(grid.quotas(caps, s.n_reps).items()) if caps else [], "cell_id string, quota int")
+    quota = merging.quotas(cells.groupBy("cell_id").agg(F.count("*").alias("n")), s.n_reps)
     most = max(s.candidates_per_cell, s.reps_per_cell)
     first = kernels.farthest_in_cells(cells, most).select("cell_id", "well_id", "place")
     others = cells.select("cell_id", "well_id").join(first.select("well_id"), "well_id", "left_anti").select("cell_id", "well_id")
@@ -133,7 +132,7 @@ def representatives(cells: DataFrame, s: Settings, scores: DataFrame | None = No
     tried = first.union(others) if scores is not None else first
     scored = tried.join(scores.select("well_id", "score"), "well_id").filter("score > -1e8") if scores is not None else tried.withColumn("score", F.lit(0.0))
     rank = F.row_number().over(Window.partitionBy("cell_id").orderBy(F.desc("score"), "place"))
-    picked = scored.withColumn("rank", rank.cast("int")).join(F.broadcast(quota), "cell_id").filter("rank <= quota")
+    picked = scored.withColumn("rank", rank.cast("int")).join(quota, "cell_id").filter("rank <= quota")
     out = picked.join(cells.select("well_id", "lat", "lon"), "well_id").select("well_id", "cell_id", "rank", "score", "lat", "lon")
     return {"reps": numbered(out, [F.col("cell_id"), F.col("rank")], "rep_id")}
 
