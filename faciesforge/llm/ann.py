@@ -6,13 +6,18 @@ inner product is a smaller Euclidean distance, which obeys the triangle inequali
 splits its vectors at the median distance from a vantage point. A search keeps the distance
 ``t`` of its k-th nearest so far and leaves a side out if ``factor`` times the least distance
 that the inequality allows there is beyond ``t``: factor one is exact, larger ones prune
-more. Queries go down a tree together; each starts in the leaf nearest to it. How much may be
-pruned depends on the vectors (the bounds bite more the lower their intrinsic dimension is),
-so each search takes, shard by shard, the largest of ``FACTORS`` whose recall on a bounded
-sample of its queries, held against the exact search, is at least ``RECALL``.
-
-Distances are taken on the shard's own scale, a power of two, and each query's on its own, so
-that neither tiny nor huge vectors lose digits; scores are those of the vectors as given.
+more. Queries go down a tree together; each starts in the leaf nearest to it. The k best of all
+these leaves give each query a cutoff, which all trees are told before they are searched. How much
+may be pruned depends on the vectors (the bounds bite more the lower their intrinsic dimension is),
+so each search takes, shard by shard, the largest of ``FACTORS`` whose recall on a bounded sample
+of its queries, held against the exact search, is at least ``RECALL``. What counts there are the rows
+that reach their query's cutoff: a shard is near to some queries only, and those decide. Near a
+vantage point (one that is itself within ``t``) the inequality says most and errs most when relaxed;
+sides are left out there by the exact bound alone.
+
+Distances are taken on the shard's own scale, a power of two, and each query is made as long as the
+shard's longest vector, so that neither tiny nor huge vectors lose digits and a factor means the same
+for all queries; scores are those of the vectors as given.
 
 Shards are cut from the stream of rows where they lie (``SHARD_ROWS`` at most), so that
 every row is indexed, memory is bounded and nothing is shuffled. The index is a written
@@ -26,7 +31,7 @@ are infinite, found by their true order and ranked by id; a query without candid
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,8 +44,9 @@ from ._util import cut as written
 from .topk import blocks, meetings, of_length, ranked, unpacked, usable
 
 SHARD_ROWS, LEAF_ROWS = 8192, 96
-#: Factors to choose from; none of them reaching ``RECALL`` on ``SAMPLE`` queries in a shard, the search there is exact.
-FACTORS, RECALL, SAMPLE = (5.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.25), 0.97, 128
+#: Factors to choose from; none of them reaching ``RECALL`` on a sample in a shard, the search there is exact. Queries are drawn
+#: ``SAMPLE`` at a time until ``ENOUGH`` rows that count are found; a shard that has fewer for a block of queries is searched exactly.
+FACTORS, RECALL, SAMPLE, ENOUGH = (5.0, 4.0, 3.0, 2.5, 2.0, 1.5, 1.25), 0.98, 128, 512
 #: Scores are compared while searching in steps of this share of their vectors' sizes, so that equal vectors tie in spite of rounding.
 STEP = 2.0**-38
 HITS = "query_id long, vec_id long, score double"
@@ -68,7 +74,7 @@ class Tree:
 
     def __post_init__(self) -> None:
         own = exponents(self.x)
-        top = int(own.max(initial=0) if (self.x != 0).any() else 0)
+        self.top = top = int(own.max(initial=0) if (self.x != 0).any() else 0)
         self.y = np.ldexp(self.x, -top)
         self.step = np.ldexp(STEP, np.maximum(own - top, -900))
 
@@ -122,21 +128,33 @@ def restored(dims: int, ids: bytes, x: bytes, norm2: float, points: bytes, nodes
 
 
 class Search:
-    """The k nearest in one tree for a block of queries."""
+    """The k nearest in one tree for a block of queries, as far as they reach their query's ``cutoff``, a score."""
 
-    def __init__(self, tree: Tree, ids: np.ndarray, q: np.ndarray, k: int, factor: float):
+    def __init__(self, tree: Tree, ids: np.ndarray, q: np.ndarray, k: int, factor: float, cutoff: np.ndarray | None = None):
         self.tree, self.ids, self.given, self.k, self.factor = tree, ids, q, k, factor
-        self.q = q = np.ldexp(q, -exponents(q)[:, None])  # a query's own scale does not change its order
+        own = exponents(q)
+        q = np.ldexp(q, -own[:, None])
+        # a query's scale does not change its order, but says how tight the bounds are: all are as long as the shard's longest
+        stretch = np.sqrt(tree.norm2 / np.einsum("ij,ij->i", q, q))
+        self.q = q = q * stretch[:, None]
         self.q2 = np.einsum("ij,ij->i", q, q)
+        self.bar = np.full(len(q), -np.inf)
+        if cutoff is not None:  # on the scale of the search, with room for rounding; none where the score left the range of doubles
+            good = np.isfinite(cutoff) & (np.abs(cutoff) > 1e-290)
+            with np.errstate(over="ignore"):
+                bar = np.ldexp(np.where(good, cutoff, 0.0), -(own + tree.top)) * stretch - 1e-9 * np.sqrt(self.q2 * tree.norm2)
+            self.bar[good] = bar[good]
         self.score = np.full((len(q), k), -np.inf)
         self.row = np.full((len(q), k), -1)
         self.home = np.full(len(q), -1)
         points = tree.extra
         self.reach = np.sqrt(np.maximum(self.q2[:, None] + (points**2).sum(axis=1) - 2 * q @ points[:, : q.shape[1]].T, 0.0)) if len(points) else None
 
-    def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def run(self, leaves: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query ids, row ids, scores); of ``leaves``, those that are found where each query starts."""
         self._walk(seed=True)
-        self._walk(seed=False)
+        if not leaves:
+            self._walk(seed=False)
         a, b = np.nonzero(self.row >= 0)
         rows = self.row[a, b]
         # the score itself, in double precision and in one order of addition for equal vectors
@@ -148,8 +166,7 @@ class Search:
         while todo:
             at, who, bound = todo.pop()
             if bound is not None:  # the k-th nearest may have come closer since this side was put off
-                keep = self.factor * bound <= self._limit(who)
-                who = who[keep]
+                who = who[bound <= self._limit(who)]
             if not len(who):
                 continue
             v, inside, inner, outer, a, b, outside = nodes[at]
@@ -167,10 +184,11 @@ class Search:
             if seed:
                 todo += [(outer, who[~near], None), (inner, who[near], None)]
             else:
-                todo += [(outer, who, low[1]), (inner, who, low[0])]
+                relaxed = np.where(d > self._limit(who), self.factor, 1.0)
+                todo += [(outer, who, relaxed * low[1]), (inner, who, relaxed * low[0])]
 
     def _limit(self, who: np.ndarray) -> np.ndarray:
-        worst = self.score[who, -1]
+        worst = np.maximum(self.score[who, -1], self.bar[who])
         with np.errstate(invalid="ignore"):
             t = np.sqrt(np.maximum(self.q2[who] + self.tree.norm2 - 2 * worst, 0.0))
         return np.where(np.isfinite(worst), t * (1 + 1e-7) + 1e-6, np.inf)
@@ -179,7 +197,7 @@ class Search:
         ids = self.tree.ids[a:b]
         new = np.rint(self.q[who] @ self.tree.y[a:b].T / self.tree.step[a:b]) * self.tree.step[a:b]
         new[self.ids[who][:, None] == ids[None, :]] = -np.inf
-        better = (new >= self.score[who, -1:]) & np.isfinite(new)
+        better = (new >= np.maximum(self.score[who, -1], self.bar[who])[:, None]) & np.isfinite(new)
         hit = better.any(axis=1)
         who, new = who[hit], np.where(better, new, -np.inf)[hit]
         if not len(who):
@@ -208,18 +226,34 @@ class Search:
         return self._repeats
 
 
-def factor_for(tree: Tree, ids: np.ndarray, q: np.ndarray, k: int) -> float:
-    """The largest factor that finds ``RECALL`` of the exact ``k`` nearest in this tree for a sample of the queries."""
-    at = np.random.default_rng(len(ids)).permutation(len(ids))[:SAMPLE]
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def factor_for(tree: Tree, ids: np.ndarray, q: np.ndarray, cutoff: np.ndarray, k: int, want: set[tuple[int, int]]) -> float:
+    """The largest factor that finds ``RECALL`` of what the exact search finds for these queries in this tree."""
 
     def found(factor: float) -> set[tuple[int, int]]:
-        a, b, _ = Search(tree, ids[at], q[at], k, factor).run()
+        a, b, _ = Search(tree, ids, q, k, factor, cutoff).run()
         return set(zip(a.tolist(), b.tolist(), strict=True))
 
-    want = found(1.0)
     return next((f for f in FACTORS if len(found(f) & want) >= RECALL * len(want)), 1.0)
 
 
+def searched(tree: Tree, ids: np.ndarray, q: np.ndarray, cutoff: np.ndarray, k: int) -> Hits:
+    """What a search by the tree's own factor finds; the queries that were sampled for it keep their exact answers."""
+    order, done, want, at = np.random.default_rng(len(ids)).permutation(len(ids)), [], set(), 0
+    while at < len(order) and len(want) < ENOUGH:
+        part = order[at : at + SAMPLE]
+        done.append(Search(tree, ids[part], q[part], k, 1.0, cutoff[part]).run())
+        want |= set(zip(done[-1][0].tolist(), done[-1][1].tolist(), strict=True))
+        at += SAMPLE
+    if at < len(order):
+        some = order[:at][np.isin(ids[order[:at]], [a for a, _ in want])]
+        rest = order[at:]
+        done.append(Search(tree, ids[rest], q[rest], k, factor_for(tree, ids[some], q[some], cutoff[some], k, want), cutoff[rest]).run())
+    return tuple(np.concatenate(c) for c in zip(*done, strict=True))
+
+
 def ready(vectors: DataFrame) -> DataFrame:
     good = usable() & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
     return vectors.filter(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -262,11 +296,8 @@ def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple
     return query[keep], ids[keep], score[keep]
 
 
-def search(trees: DataFrame, queries: DataFrame, k: int, factor: float | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of each of ``queries(vec_id, embedding)``; ``trees`` is a written index.
-
-    Without a ``factor`` each shard gets its own by ``factor_for``.
-    """
+def met(trees: DataFrame, queries: DataFrame, k: int, pick: Callable[[Tree, np.ndarray, np.ndarray, np.ndarray], Hits]) -> DataFrame:
+    """``pick``'s hits of every tree with every block of queries, as far as they are among a task's best ``k`` of their query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size, last = [], 0, (None, None)
@@ -275,13 +306,13 @@ def search(trees: DataFrame, queries: DataFrame, k: int, factor: float | None =
             return pa.RecordBatch.from_arrays([pa.array(c) for c in hits], ["query_id", "vec_id", "score"])
 
         for batch in batches:
-            names = [c.split()[0] for c in TREE.split(", ") if not c.startswith("n ")] + ["q_ids", "q_x"]
+            names = [c.split()[0] for c in TREE.split(", ") if not c.startswith("n ")] + ["q_ids", "q_x", "q_extra"]
             for row in zip(*(batch.column(c) for c in names), strict=True):
-                *cells, q_ids, q_x = (v.as_py() for v in row)
+                *cells, q_ids, q_x, cutoff = (v.as_py() for v in row)
                 if last[0] != cells[1]:
                     last = cells[1], restored(*cells)
                 ids, q = unpacked(cells[0], q_ids, q_x)
-                found.append(Search(last[1], ids, q, k, factor or factor_for(last[1], ids, q, k)).run())
+                found.append(pick(last[1], ids, q, np.frombuffer(cutoff, "<f8")))
                 size += len(found[-1][0])
                 if size > HELD:
                     found = [best(*(np.concatenate(c) for c in zip(*found, strict=True)), k)]
@@ -291,8 +322,22 @@ def search(trees: DataFrame, queries: DataFrame, k: int, factor: float | None =
         if found:
             yield out(best(*(np.concatenate(c) for c in zip(*found, strict=True)), k))
 
+    return ranked(meetings(trees, queries).mapInArrow(run, HITS), k)
+
+
+def search(trees: DataFrame, queries: DataFrame, k: int, factor: float | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest found of each of ``queries(vec_id, embedding)``; ``trees`` is a written index.
+
+    Without a ``factor`` each shard gets its own by ``factor_for``.
+    """
     bounded_batches(trees.sparkSession)
-    return ranked(meetings(trees, blocks(ready(queries).distinct(), "queries")).mapInArrow(run, HITS), k)
+    queries = ready(queries).distinct()
+    none = F.lit(float("-inf"))
+    leads = met(trees, blocks(queries.withColumn("cutoff", none), "queries", "cutoff"), k, lambda tree, ids, q, cutoff: Search(tree, ids, q, k, 1.0).run(leaves=True))
+    cutoff = leads.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
+    told = written(queries.join(cutoff, "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", none)), "told")
+    pick = lambda tree, ids, q, cutoff: Search(tree, ids, q, k, factor, cutoff).run() if factor else searched(tree, ids, q, cutoff, k)
+    return met(trees, blocks(told, "cutoffs", "cutoff"), k, pick)
 
 
 def op10_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -175,3 +175,20 @@ def test_huge_vectors_are_found_in_their_true_order(spark):
         s[np.arange(len(s)), np.arange(0, 600, 20)] = -np.inf
         hits = [len(found[20 * i] & set(np.argsort(-row)[:10].tolist())) for i, row in enumerate(s)]
         assert sum(hits) >= (10 if factor else 9.5) * len(hits)
+
+
+@pytest.mark.parametrize("length", [0.3, 1.0, 7.0])
+def test_a_factor_means_the_same_at_every_length_of_a_query(length):
+    rnd = np.random.default_rng(11)
+    x = rnd.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree, ids = ann.build(np.arange(6000), x), np.arange(0, 6000, 20)
+    a, b, score = ann.Search(tree, ids, length * x[ids], 20, 3.0).run()
+    s = x[ids] @ x.T
+    s[np.arange(len(ids)), ids] = -np.inf
+    kth = np.sort(s, axis=1)[:, -20]
+    found = np.bincount(a // 20, weights=score >= length * kth[a // 20] - 1e-9, minlength=len(ids)) / 20
+    assert found.mean() >= 0.98 and (found >= 0.9).mean() >= 0.98
+    # a cutoff leaves all that reach it, at factor one exactly that
+    a, b, _ = ann.Search(tree, ids, length * x[ids], 20, 1.0, length * kth).run()
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted((ids[i], j) for i, j in zip(*np.nonzero(s >= kth[:, None] - 1e-12), strict=True))
