@@ -122,6 +122,14 @@ def test_pairs_across_the_date_line_and_the_poles(spark, radius):
     assert len(got) == len(set(got)) and set(got) == want and ((0, 1) in want and (2, 3) in want)
 
 
+@pytest.mark.parametrize("join", [lambda p: spatial.radius_pairs(p, 20.0), lambda p: spatial.within(p, p, 20.0)])
+def test_pairs_of_a_small_table_are_dealt_to_many_tasks(spark, join):
+    """One file of points is one task if its other side is sent to it, however many pairs it makes."""
+    found = join(points_of(spark, *places()).coalesce(1))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_nearest_across_the_date_line(spark):
     lat, lon = places()
     d = greedy.haversine(lat[:, None], lon[:, None], lat[None], lon[None])
