@@ -10,7 +10,7 @@ with a corner at infinity, whose circle is the half plane outside.
 
 from __future__ import annotations
 
-from fractions import Fraction
+from functools import cached_property
 
 import numpy as np
 
@@ -25,13 +25,19 @@ def _sign(x) -> int:
 
 
 class Points:
-    """Coordinates in floating point and, where asked for, as exact fractions."""
+    """Coordinates in floating point and, where asked for, as exact integers: all by one power of two, which no sign depends on."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.x, self.y = x, y
 
-    def exact(self, i: int) -> tuple[Fraction, Fraction]:
-        return Fraction(float(self.x[i])), Fraction(float(self.y[i]))
+    @cached_property
+    def whole(self) -> list[tuple[int, int]]:
+        ratios = [[v.as_integer_ratio() for v in np.asarray(c, float).tolist()] for c in (self.x, self.y)]
+        one = max((d for c in ratios for _, d in c), default=1)
+        return list(zip(*([n * (one // d) for n, d in c] for c in ratios), strict=True))
+
+    def exact(self, i: int) -> tuple[int, int]:
+        return self.whole[i]
 
     def orient(self, a: int, b: int, c: int) -> int:
         """1 if c lies left of the way from a to b, -1 right, 0 on the line."""
@@ -127,45 +133,73 @@ def ordered(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return order[fresh]
 
 
-def touched(p: np.ndarray, tri: np.ndarray, hull: np.ndarray, boxes: np.ndarray, known: np.ndarray, full: np.ndarray, margin: float) -> np.ndarray:
-    """Which of ``boxes`` (x0, y0, x1, y1) may hold points inside the circle of one of ``tri`` or beyond an edge of ``hull``.
+def hull_corners(points: Points) -> np.ndarray:
+    """Places of the corners of the hull of different points; exact, without those that lie within an edge."""
+    order = np.lexsort((points.y, points.x)).tolist()
+
+    def side(places: list[int]) -> list[int]:
+        way: list[int] = []
+        for q in places:
+            while len(way) > 1:
+                a, b = way[-2], way[-1]
+                one = (points.x[b] - points.x[a]) * (points.y[q] - points.y[a])
+                two = (points.y[b] - points.y[a]) * (points.x[q] - points.x[a])
+                turn = one - two
+                if abs(turn) <= ORIENT_ERROR * (abs(one) + abs(two)):
+                    turn = points.orient(a, b, q)
+                if turn > 0:
+                    break
+                way.pop()
+            way.append(q)
+        return way
+
+    return np.unique(np.array(side(order) + side(order[::-1]), np.int64))
+
 
-    All points in the rectangle ``known`` are known, and all in boxes that are ``full``. What is not sure counts as touched.
+def touched(p: np.ndarray, tri: np.ndarray, boxes: np.ndarray, known: np.ndarray, own: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) where the circle of ``tri[i]`` may hold unknown points of ``boxes[j]`` (x0, y0, x1, y1).
+
+    All points in the rectangle ``known`` and in the box ``own`` are known. What is not sure counts as touched. Circles count
+    only where points can be: beyond the hull nothing is.
     """
-    need = np.zeros(len(boxes), bool)
-    open_ = np.flatnonzero(~full)
-
-    def half_plane(a: np.ndarray, b: np.ndarray) -> None:
-        """Right of the way from a to b."""
-        d = b - a
-        length = np.hypot(*d)
-        box = boxes[open_]
-        x, y = np.where(d[1] > 0, box[:, 2], box[:, 0]), np.where(d[0] > 0, box[:, 1], box[:, 3])  # the corner furthest to the right
-        right = (x - a[0]) * d[1] - (y - a[1]) * d[0]
-        need[open_] |= right >= -margin * length
-
-    def rectangle(low: np.ndarray, high: np.ndarray, inside=None) -> None:
-        box = boxes[open_]
-        lo, hi = np.maximum(box[:, :2], low), np.minimum(box[:, 2:], high)
-        meets = (lo <= hi).all(axis=1) & ~((lo >= known[:2]).all(axis=1) & (hi <= known[2:]).all(axis=1))
-        need[open_] |= meets if inside is None else meets & inside(box)
-
-    for a, b in hull:
-        half_plane(p[a], p[b])
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    lo, hi = boxes[:, :2], boxes[:, 2:]
+
+    def unknown(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Boxes that meet a rectangle elsewhere than in what is known."""
+        a, b = np.maximum(lo, low), np.minimum(hi, high)
+        return (a <= b).all(axis=1) & ~((a >= known[:2]).all(axis=1) & (b <= known[2:]).all(axis=1))
+
+    def met(i: int, which: np.ndarray) -> None:
+        j = np.flatnonzero(which)
+        j = j[j != own]
+        out.append((np.full(len(j), i), j))
+
     centre, r, thin = circles(p, tri)
     r = r * (1 + 1e-6) + margin
     sure = ~thin & (centre - r[:, None] >= known[:2]).all(axis=1) & (centre + r[:, None] <= known[2:]).all(axis=1)
     for i in np.flatnonzero(~sure & ~thin):
         c = centre[i]
-        rectangle(c - r[i], c + r[i], lambda box: (np.maximum(0, np.maximum(box[:, :2] - c, c - box[:, 2:])) ** 2).sum(axis=1) <= r[i] ** 2)  # noqa: B023
+        met(i, unknown(c - r[i], c + r[i]) & ((np.maximum(0, np.maximum(lo - c, c - hi)) ** 2).sum(axis=1) <= r[i] ** 2))
     for i in np.flatnonzero(thin):
         # a thin triangle's circle lies beyond its longest side, but for a segment of the circle over that side
         at = tri[i]
         k = int(np.argmax([np.hypot(*(p[at[(j + 1) % 3]] - p[at[j]])) for j in range(3)]))
         a, b, c = p[at[k]], p[at[(k + 1) % 3]], p[at[(k + 2) % 3]]
-        d = (b - a) / np.hypot(*(b - a))
-        length, t, h = np.hypot(*(b - a)), float((c - a) @ d), abs(float((c - a) @ [-d[1], d[0]]))
+        length = np.hypot(*(b - a))
+        d = (b - a) / length
+        t, h = float((c - a) @ d), abs(float((c - a) @ [-d[1], d[0]]))
         height = min(length, h * length**2 / max(2 * t * (length - t), 1e-300)) + margin  # twice what it can be
-        half_plane(a, b)
-        rectangle(np.minimum(a, b) - height, np.maximum(a, b) + height)
-    return np.flatnonzero(need)
+        x, y = np.where(d[1] > 0, hi[:, 0], lo[:, 0]), np.where(d[0] > 0, lo[:, 1], hi[:, 1])  # the corner furthest beyond the side
+        beyond = (x - a[0]) * d[1] - (y - a[1]) * d[0] >= -margin
+        met(i, beyond | unknown(np.minimum(a, b) - height, np.maximum(a, b) + height))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def inside(corners: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For circles through ``corners`` (ax, ay, bx, by, cx, cy, counter-clockwise), a row each, and points, a column each: which
+    may lie inside, and how far (of one circle, larger is deeper)."""
+    ax, ay, bx, by, cx, cy = (corners[:, k, None] - (y if k % 2 else x) for k in range(6))
+    la, lb, lc = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+    det = la * (bx * cy - cx * by) + lb * (cx * ay - ax * cy) + lc * (ax * by - bx * ay)
+    return det >= -CIRCLE_ERROR * (la + lb + lc) ** 2, det

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glob import glob
 from itertools import combinations
 
 import numpy as np
@@ -13,6 +14,7 @@ from faciesforge.kernels import greedy, triangulation
 from faciesforge.operators import kernels, spatial
 from faciesforge.operators.triangulation import delaunay_edges
 from faciesforge.plans import views
+from faciesforge.scratch import shared_dir
 
 # ---- triangulation ----------------------------------------------------------------------------------
 
@@ -99,6 +101,31 @@ def test_wells_have_all_edges_and_many_tiles(spark):
     assert found.count() == 3 * len(p) - 3 - len(hull) == found.distinct().count()
 
 
+@pytest.mark.parametrize("name", SHAPES)
+def test_corners_of_the_hull(name):
+    x, y = SHAPES[name]
+    at = triangulation.ordered(x, y)
+    points = triangulation.Points(x[at], y[at])
+    way = triangulation.triangulate(x[at], y[at])[1].tolist()
+    after = dict(way)
+    assert set(triangulation.hull_corners(points).tolist()) == {b for a, b in way if points.orient(a, b, after[b]) > 0}
+
+
+def test_rim_tiles_hold_few_points(spark):
+    """Tiles along a straight rim need the points at the rim, not each other whole."""
+    x, y = square(4000, 6)
+    before = set(glob(f"{held_tables(spark)}/held-*"))
+    found = delaunay_edges(table_of(spark, x, y), 40)
+    assert found.count() == 3 * len(x) - 3 - len(triangulation.triangulate(*np.stack([x, y])[:, triangulation.ordered(x, y)])[1])
+    held = [spark.read.parquet(f) for f in sorted(set(glob(f"{held_tables(spark)}/held-*")) - before)]
+    told = [h.filter("kind = 0 and b = -1").groupBy("tile").agg(F.count_distinct("a").alias("n")).agg(F.max("n")).first()[0] or 0 for h in held]  # besides halos
+    assert told and 0 < max(told) < len(x) / 16  # the 36 tiles of the rim have 1,440
+
+
+def held_tables(spark):
+    return f"{shared_dir(spark).removeprefix('file://')}/faciesforge/{spark.sparkContext.applicationId}"
+
+
 # ---- distances around the Earth -----------------------------------------------------------------------
 
 
