@@ -15,6 +15,16 @@ def by_depth() -> WindowSpec:
     return Window.partitionBy("well_id").orderBy("depth")
 
 
+def up_to_each(down: bool = False) -> WindowSpec:
+    """A sample and all above it, or all below it (``down``); of samples at one depth the missing ones are furthest.
+
+    What lies below is a running frame of the order turned round: a frame that ends with the well is gone through anew for each
+    sample, the square of a well's samples.
+    """
+    depth = F.desc("depth") if down else F.asc("depth")
+    return Window.partitionBy("well_id").orderBy(depth, F.isnull("value")).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def sanitised(c: Column, null_value: float | None = None) -> Column:
     """NaN, infinities and the file's null marker as NULL."""
     good = ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
@@ -36,13 +46,13 @@ def fill_linear(series: DataFrame, min_finite: int = 1) -> DataFrame:
 
     Wells with fewer than ``min_finite`` samples stay as they are.
     """
-    before, after = by_depth().rowsBetween(Window.unboundedPreceding, 0), by_depth().rowsBetween(0, Window.unboundedFollowing)
     point = F.when(F.col("value").isNotNull(), F.struct("depth", "value"))
-    out = series.select("well_id", "depth", "value", F.last(point, True).over(before).alias("a"), F.first(point, True).over(after).alias("b"), F.count("value").over(Window.partitionBy("well_id")).alias("n"))
+    few = [F.count("value").over(Window.partitionBy("well_id")).alias("n")] if min_finite > 1 else []  # a well without samples stays as it is anyhow
+    out = series.select("well_id", "depth", "value", F.last(point, True).over(up_to_each()).alias("a"), F.last(point, True).over(up_to_each(down=True)).alias("b"), *few)
     t = (F.col("depth") - F.col("a.depth")) / F.nullif(F.col("b.depth") - F.col("a.depth"), F.lit(0.0))
     line = F.col("a.value") + t * (F.col("b.value") - F.col("a.value"))
     filled = F.coalesce(F.col("value"), line, F.col("a.value"), F.col("b.value"))
-    return out.select("well_id", "depth", F.when(F.col("n") >= min_finite, filled).otherwise(F.col("value")).alias("value"))
+    return out.select("well_id", "depth", (F.when(F.col("n") >= min_finite, filled).otherwise(F.col("value")) if few else filled).alias("value"))
 
 
 def resample(series: DataFrame, n: int) -> DataFrame:
@@ -68,9 +78,8 @@ def resample(series: DataFrame, n: int) -> DataFrame:
 
 def imputed_mask(series: DataFrame, max_gap: float) -> DataFrame:
     """``imputed``: a missing sample outside the well's samples, or in a gap longer than ``max_gap``."""
-    before, after = by_depth().rowsBetween(Window.unboundedPreceding, 0), by_depth().rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col("value").isNotNull(), F.col("depth"))
-    a, b = F.last(at, True).over(before), F.first(at, True).over(after)
+    a, b = (F.last(at, True).over(up_to_each(down)) for down in (False, True))
     return series.select("well_id", "depth", "value", F.coalesce((b - a) > max_gap, F.lit(True)).alias("imputed"))
 
 
@@ -123,8 +132,8 @@ def monotone(series: DataFrame) -> DataFrame:
 def zero_crossings(series: DataFrame) -> DataFrame:
     """Samples where the sign changes; zeros carry the sign before them, leading ones the sign after."""
     sign = F.when(F.abs("value") > 1e-12, F.signum("value"))
-    before, after = by_depth().rowsBetween(Window.unboundedPreceding, 0), by_depth().rowsBetween(0, Window.unboundedFollowing)
-    s = series.select("well_id", "depth", "value", F.coalesce(F.last(sign, True).over(before), F.first(sign, True).over(after)).alias("s"))
+    before, after = by_depth().rowsBetween(Window.unboundedPreceding, 0), up_to_each(down=True)
+    s = series.select("well_id", "depth", "value", F.coalesce(F.last(sign, True).over(before), F.last(sign, True).over(after)).alias("s"))
     return s.withColumn("was", F.lag("s").over(by_depth())).filter("s <> was").select("well_id", "depth", "value")
 
 
